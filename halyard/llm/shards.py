@@ -28,7 +28,7 @@ from ._blocks import partitions, settle
 
 SHARDS = 24
 OVERHEAD = 8
-GRID = 1024
+GRID = 4096
 #: Bits of a dimension's order that its value takes; the rest tell equal values apart.
 VALUE_BITS = 30
 
@@ -68,23 +68,20 @@ def _greedy(sizes: list[tuple[str, int]], shards: int, target: float) -> tuple[d
     return place, filled
 
 
-def _cuts(table: DataFrame, nodes: dict[int, tuple[str, float]], lows: dict, highs: dict) -> dict[int, int]:
+def _cuts(table: DataFrame, nodes: dict[int, tuple[str, float]], lows: dict, highs: dict, close: float) -> dict[int, int]:
     """For each node (column, bytes wanted on the left) the key at which to cut: the left
-    part is all keys below it. Grids of GRID cells are narrowed until one key is left."""
+    part is all keys below it. A grid of GRID cells is narrowed to the cell that holds the
+    cut until that cell holds at most `close` bytes or one key."""
     low, high = dict(lows), {n: h + 1 for n, h in highs.items()}
     want = {n: w for n, (_, w) in nodes.items()}
     done: dict[int, int] = {}
     while len(done) < len(nodes):
         live = [n for n in nodes if n not in done]
-        cell = F.lit(None).cast("int")
         step = {n: max(1, -(-(high[n] - low[n]) // GRID)) for n in live}
-        for n in live:
-            col = F.col(nodes[n][0])
-            cell = F.when(
-                F.col("node") == n,
-                F.when((col >= low[n]) & (col < high[n]), ((col - F.lit(low[n])) / F.lit(1)).cast("long") if step[n] == 1 else F.expr(f"({nodes[n][0]} - {low[n]}L) div {step[n]}L")),
-            ).otherwise(cell)
-        counts = table.withColumn("cell", cell).filter("cell is not null").groupBy("node", "cell").agg(F.sum("bytes").alias("b")).collect()
+        cell = "CASE node " + " ".join(
+            f"WHEN {n} THEN if({nodes[n][0]} >= {low[n]}L AND {nodes[n][0]} < {high[n]}L, ({nodes[n][0]} - {low[n]}L) div {step[n]}L, NULL)" for n in live
+        ) + " END"
+        counts = table.withColumn("cell", F.expr(cell)).filter("cell is not null").groupBy("node", "cell").agg(F.sum("bytes").alias("b")).collect()
         by: dict[int, dict[int, int]] = {n: {} for n in live}
         for r in counts:
             by[r["node"]][int(r["cell"])] = int(r["b"])
@@ -97,9 +94,9 @@ def _cuts(table: DataFrame, nodes: dict[int, tuple[str, float]], lows: dict, hig
                 left -= by[n][c]
             if cut is None:
                 done[n] = high[n]
-            elif step[n] == 1:
-                # this key's groups go to the side that comes closer
-                done[n] = low[n] + cut + (1 if left > by[n][cut] / 2 else 0)
+            elif step[n] == 1 or by[n][cut] <= close:
+                # this cell's groups go to the side that comes closer
+                done[n] = low[n] + (cut + (1 if left > by[n][cut] / 2 else 0)) * step[n]
             else:
                 low[n], high[n] = low[n] + cut * step[n], min(high[n], low[n] + (cut + 1) * step[n])
                 want[n] = left
@@ -107,54 +104,45 @@ def _cuts(table: DataFrame, nodes: dict[int, tuple[str, float]], lows: dict, hig
 
 
 def tree(groups: DataFrame, room: list[float]) -> DataFrame:
-    """group, shard for the groups (columns group, bytes, d0, d1, d2); room: bytes that each shard has left."""
+    """group, shard for the groups (columns group, bytes, d0, d1, d2); room: bytes that each shard has left.
+
+    The tree itself, a cut for each inner node, is an expression over the dimensions."""
     dims = ["d0", "d1", "d2"]
-    nodes = {0: list(range(len(room)))}
-    table = settle(groups.withColumn("node", F.lit(0)))
-    ends = table.agg(*[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]).first()
-    spread = {d: max(1, (ends[f"max_{d}"] or 0) - (ends[f"min_{d}"] or 0)) for d in dims}
-    next_node = 1
-    done: dict[int, int] = {}
-    while nodes:
-        for n in [n for n, s in nodes.items() if len(s) == 1]:
-            done[n] = nodes.pop(n)[0]
-        if not nodes:
-            break
+    close = sum(room) / len(room) / 4000
+    spread: dict[str, int] = {}
+    cuts: dict[int, tuple[str, int]] = {}  # by node; node n's children are 2n and 2n + 1
+    shards_of = {1: list(range(len(room)))}
+    level = [1]
+
+    def expression(n: int, leaf) -> str:
+        if n in cuts:
+            d, c = cuts[n]
+            return f"if({d} < {c}L, {expression(2 * n, leaf)}, {expression(2 * n + 1, leaf)})"
+        return str(leaf(n))
+
+    while level := [n for n in level if len(shards_of[n]) > 1]:
+        table = groups.withColumn("node", F.expr(expression(1, lambda n: n)))
         stats = {
             r["node"]: r
-            for r in table.filter(F.col("node").isin(list(nodes)))
-            .groupBy("node")
+            for r in table.groupBy("node")
             .agg(F.sum("bytes").alias("bytes"), *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)])
             .collect()
         }
-        asked, sides = {}, {}
-        for n, shards in list(nodes.items()):
-            half = len(shards) // 2
-            left, right = shards[:half], shards[half:]
-            sides[n] = (next_node, left, next_node + 1, right)
-            next_node += 2
+        spread = spread or {d: max(1, max((r[f"max_{d}"] for r in stats.values()), default=0) - min((r[f"min_{d}"] for r in stats.values()), default=0)) for d in dims}
+        asked = {}
+        for n in level:
+            half = len(shards_of[n]) // 2
+            shards_of[2 * n], shards_of[2 * n + 1] = shards_of[n][:half], shards_of[n][half:]
             if n in stats:
                 widest = max(dims, key=lambda d: ((stats[n][f"max_{d}"] - stats[n][f"min_{d}"]) / spread[d], d))
-                total = sum(room[s] for s in shards) or 1
-                asked[n] = (widest, float(stats[n]["bytes"]) * sum(room[s] for s in left) / total)
-        cuts = _cuts(
-            table,
-            asked,
-            {n: stats[n][f"min_{d}"] for n, (d, _) in asked.items()},
-            {n: stats[n][f"max_{d}"] for n, (d, _) in asked.items()},
-        )
-        node = F.col("node")
-        for n, (d, _) in asked.items():
-            a, _, b, _ = sides[n]
-            node = F.when(F.col("node") == n, F.when(F.col(d) < cuts[n], a).otherwise(b)).otherwise(node)
-        table = settle(table.withColumn("node", node))
-        nodes = {}
-        for a, left, b, right in sides.values():
-            nodes |= {a: left, b: right}
-    shard = F.lit(None).cast("int")
-    for n, s in done.items():
-        shard = F.when(F.col("node") == n, F.lit(s)).otherwise(shard)
-    return table.select("group", shard.alias("shard"))
+                total = sum(room[s] for s in shards_of[n]) or 1
+                asked[n] = (widest, float(stats[n]["bytes"]) * sum(room[s] for s in shards_of[2 * n]) / total)
+        lows, highs = ({n: stats[n][f"{f}_{d}"] for n, (d, _) in asked.items()} for f in ("min", "max"))
+        found = _cuts(table, asked, lows, highs, close)
+        cuts |= {n: (d, found[n]) for n, (d, _) in asked.items()}
+        level = [c for n in level for c in (2 * n, 2 * n + 1)]
+    # a node without groups was not cut; it has no rows either
+    return groups.select("group", F.expr(expression(1, lambda n: shards_of[n][0])).cast("int").alias("shard"))
 
 
 def shard_documents(
@@ -177,11 +165,10 @@ def shard_documents(
             (docs[source] if source in docs.columns else F.lit(None)).cast("string").alias("source"),
         )
     )
-    groups = settle(
-        rows.groupBy("group").agg(
-            F.sum("size").alias("bytes"), F.max("n_chars").alias("n_chars"), F.min("lang").alias("lang"), F.min("source").alias("source")
-        )
+    groups = rows.groupBy("group").agg(
+        F.sum("size").alias("bytes"), F.max("n_chars").alias("n_chars"), F.min("lang").alias("lang"), F.min("source").alias("source")
     )
+    groups = settle(groups)
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     target = total / shards
     # at most 8 * shards groups can be above an eighth of the target
@@ -191,8 +178,8 @@ def shard_documents(
     pieces = [(f"{g}/{k}", b // torn[g]) for g, b in large if g in torn for k in range(torn[g])]
     placed, filled = _greedy(whole + pieces, shards, target)
     room = [max(target - f, 0.0) for f in filled]
-    small = _dimensions(groups.filter(F.col("bytes") <= max(1.0, target / 8)))
-    in_tree = tree(small.select("group", "bytes", "d0", "d1", "d2"), room)
+    small = _dimensions(groups.filter(F.col("bytes") <= max(1.0, target / 8))).select("group", "bytes", "d0", "d1", "d2")
+    in_tree = tree(settle(small), room)
     known = spark.createDataFrame([(g, s) for g, s in placed.items()], "group string, shard int")
     place = in_tree.union(known).withColumnRenamed("group", "unit")
     named = rows.withColumn("unit", F.col("group"))

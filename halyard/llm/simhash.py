@@ -49,11 +49,17 @@ def text_fingerprint(text: str | None, words: int = 3) -> int:
         starts, stops = [0], [len(joined)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
-    counts = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        part = hashes[k : k + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(majority(hashes.reshape(-1, 1))[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For hashes (rows by 64-bit words) the words whose bits are set in over half the rows."""
+    counts = np.zeros(hashes.shape[1] * BITS, np.int64)
+    for k in range(0, len(hashes), 255):
+        part = np.ascontiguousarray(hashes[k : k + 255]).view(np.uint8)
+        # 255 rows fit in a byte, so the sums need no wider lanes
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, *, id_column: str = "doc_id") -> DataFrame:
@@ -157,15 +163,3 @@ def simhash_components(
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **more) -> DataFrame:
-    """The rows of docs that stand for their component: one row for each, with its columns.
-
-    The kept ids join the documents on the id; copies of one id are told apart there.
-    """
-    found = simhash_components(docs, text, id_column=id_column, **more)
-    kept = found.select(F.col("component_id").alias("__kept")).distinct()
-    one = Window.partitionBy("__kept").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    joined = docs.join(kept, docs[id_column].eqNullSafe(F.col("__kept")))
-    return joined.withColumn("__row", F.row_number().over(one)).filter("__row = 1").select(*docs.columns)
