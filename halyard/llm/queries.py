@@ -23,7 +23,7 @@ PROBE = r"\### Assistant: </turn> ok"
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(*chat.prefix_tree(given.unionByName(probe)))
+    return chat.read_back(*chat.prefix_tree(given.unionByName(probe))).drop("intervals")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,68 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# what SQL can say -----------------------------------------------------------------------------
+
+_ESCAPES = " + ".join(
+    f"(length({{0}}) - length(replace({{0}}, {s}, ''))) // {n}" for s, n in (("chr(92)", 1), ("'<turn>'", 6), ("'</turn>'", 7))
+)
+
+CHAT_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(15 + length(role) + length(text) + {_ESCAPES.format("text")} + {_ESCAPES.format("role")} + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+LEAK_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+ i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS ws FROM benchmark),
+ w AS (SELECT DISTINCT item, least(10, len(ws)) AS n, ws[p:p + least(10, len(ws)) - 1] AS win
+       FROM (SELECT item, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0) x),
+ p AS (SELECT doc_id, n, p, ws[p:p + n - 1] AS win
+       FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT n FROM w) s WHERE len(ws) >= n) x),
+ h AS (SELECT p.doc_id, p.n, p.p, w.item FROM p JOIN w ON p.win = w.win AND p.n = w.n),
+ hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS k FROM h) x GROUP BY doc_id),
+ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) x GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
+       sha256(coalesce(its.items, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
+#: The rules' patterns with letters of either case spelt out.
+_SECRETS = [
+    (
+        "(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + "|" + _either_case("api") + "_?" + _either_case("key") + ")"
+        + """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    ),
+    *(pattern for _, pattern, _, _ in secret_scan.RULES[1:]),
+]
+
+
+def _secret_sql() -> str:
+    parts = [
+        f"""SELECT doc_id, {k} AS kind, '{name}' AS name, i, length(g[i]) AS gap, length(m[i]) AS size, length(c[i]) >= {least} AS ok
+ FROM (SELECT doc_id, m, c, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{own}', 0) AS m, regexp_extract_all(t, '{own}', {group}) AS c,
+       string_split_regex(t, '{own}') AS g FROM d) a) b"""
+        for k, ((name, _, group, least), own) in enumerate(zip(secret_scan.RULES, _SECRETS))
+    ]
+    listed = "string_agg(name || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, kind)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ f AS ({" UNION ALL ".join(parts)}),
+ s AS (SELECT * FROM (SELECT *, CAST(sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM f) x WHERE ok)
+SELECT d.doc_id, count(*) FILTER (s.kind = 0) AS n_assign, count(*) FILTER (s.kind = 1) AS n_access, count(*) FILTER (s.kind = 2) AS n_hex,
+       sha256(coalesce({listed} FILTER (s.kind < 3), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
+
+
+ORACLES: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op7_decontaminate": LEAK_SQL, "op8_secrets": _secret_sql()}
