@@ -27,12 +27,15 @@ from ._blocks import blocks, lower_bytes, span_hashes, text_buffers, through, wo
 
 WINDOW = 10
 #: Bytes of document text whose suffixes are sorted together.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text sent to the workers at a time.
 BENCHMARK_BYTES = 16 << 20
 #: Digits, letters and all bytes of other code points; A-Z are lowered before.
 _INSIDE = word_table(words=bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 _BITS = 21
+_FIELDS = ("item", "item_word", "doc_word", "words")
+_MATCHES = "array<struct<item:string,item_word:int,doc_word:int,words:int>>"
+_MATCH_TYPE = pa.list_(pa.struct([(n, pa.string() if n == "item" else pa.int32()) for n in _FIELDS]))
 
 
 class Tests:
@@ -41,7 +44,7 @@ class Tests:
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.window = window
         self.words: list[list[bytes]] = []
-        hashes, at, length, owner = [], [], [], []
+        hashes, at, length, owner, place = [], [], [], [], []
         total = 0
         self.items = [i for i, _ in items]
         for k, (_, text) in enumerate(items):
@@ -57,10 +60,11 @@ class Tests:
                 at.append(total + p)
                 length.append(n)
                 owner.append(k)
+                place.append(p)
                 self.words.append(own[p : p + n])
             total += len(starts)
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.at, self.length, self.owner = (np.array(x, np.int64) for x in (at, length, owner))
+        self.at, self.length, self.owner, self.place = (np.array(x, np.int64) for x in (at, length, owner, place))
         self.vocabulary, self.number = np.unique(self.hashes, return_inverse=True)
 
 
@@ -148,8 +152,21 @@ def occurrences(ids, vocabulary, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
     return order[start + np.arange(counts.sum())], np.repeat(live[found], counts)
 
 
-def scan_shard(ids: pa.Array, texts: pa.Array, tests: Tests) -> list[tuple[int, int, list, list]]:
-    """Per document: n_words, hit spans [(first word, end)], items."""
+def longest(hits: list[tuple[int, int, int]], tests: Tests) -> list[tuple[str, int, int, int]]:
+    """(item, its first word, the document's first word, words) of the longest verbatim
+    matches: windows that follow each other in both texts are one match."""
+    rows = sorted((int(tests.owner[t]), w - int(tests.place[t]), w, n) for w, n, t in hits)
+    out: list[list] = []
+    for owner, shift, w, n in rows:
+        if out and out[-1][0] == owner and out[-1][1] == shift and w == out[-1][3] + 1:
+            out[-1][3], out[-1][4] = w, w + n
+        else:
+            out.append([owner, shift, w, w, w + n])
+    return [(tests.items[o], first - shift, first, end - first) for o, shift, first, _, end in out]
+
+
+def scan_shard(ids: pa.Array, texts: pa.Array, tests: Tests) -> list[tuple[int, list, list, list]]:
+    """Per document: n_words, hit spans [(first word, end)], items, longest matches."""
     raw, ends = text_buffers(texts)
     raw = lower_bytes(raw)
     starts, stops, bounds = word_spans(raw, ends, _INSIDE)
@@ -183,7 +200,8 @@ def scan_shard(ids: pa.Array, texts: pa.Array, tests: Tests) -> list[tuple[int,
                 spans[-1][1] = max(spans[-1][1], w + length)
             else:
                 spans.append([w, w + length])
-        out.append((int(counts[d]), spans, sorted({tests.items[tests.owner[t]] for _, _, t in hits.get(d, ())})))
+        items = sorted({tests.items[tests.owner[t]] for _, _, t in hits.get(d, ())})
+        out.append((int(counts[d]), spans, items, longest(hits[d], tests) if d in hits else []))
     return out
 
 
@@ -214,19 +232,21 @@ def scan(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", *, window: int = WINDOW, id_column: str = "doc_id",
     item_column: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """doc_id, n_words, spans (word ranges inside some occurrence), items, one row per row of docs.
+    """doc_id, n_words, spans (word ranges inside some occurrence), items, matches (the
+    longest verbatim matches and where they are), one row per row of docs.
 
     A benchmark of several blocks makes a chain of passes, each of which adds what its
     block hits; rows stay where they are, so no key is needed to bring the hits together.
     """
     spark = docs.sparkSession
-    names = ["doc_id", "text", "n_words", "spans", "items"]
+    names = ["doc_id", "text", "n_words", "spans", "items", "matches"]
     rows = docs.select(
         docs[id_column].cast("long").alias("doc_id"),
         docs[text].cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<array<int>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
+        F.array().cast(_MATCHES).alias("matches"),
     )
     tests = [*_test_blocks(benchmark, item_column, item_text, window)] or [Tests([], window)]
     for k, block in enumerate(tests):
@@ -235,23 +255,25 @@ def scan(
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, first=k == 0) -> Iterator[pa.RecordBatch]:
             for shard in blocks(batches, "text", SHARD_BYTES):
                 found = scan_shard(shard.column(0), shard.column(1), sent.value)
-                spans, items = [r[1] for r in found], [r[2] for r in found]
+                spans, items, matches = ([r[k] for r in found] for k in (1, 2, 3))
                 if not first:
                     spans = [_merged(a + b) for a, b in zip(spans, shard.column(3).to_pylist())]
                     items = [sorted({*a, *b}) for a, b in zip(items, shard.column(4).to_pylist())]
+                    matches = [[tuple(x.values()) for x in b] + a for a, b in zip(matches, shard.column(5).to_pylist())]
                 columns = [
                     shard.column(0),
                     shard.column(1),
                     pa.array([r[0] for r in found], pa.int64()),
                     pa.array(spans, pa.list_(pa.list_(pa.int32()))),
                     pa.array(items, pa.list_(pa.string())),
+                    pa.array([[dict(zip(_FIELDS, m)) for m in x] for x in matches], _MATCH_TYPE),
                 ]
                 if last:
                     yield pa.RecordBatch.from_arrays(columns[:1] + columns[2:], names[:1] + names[2:])
                 else:
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-        schema = "doc_id long, text string, n_words long, spans array<array<int>>, items array<string>"
+        schema = f"doc_id long, text string, n_words long, spans array<array<int>>, items array<string>, matches {_MATCHES}"
         rows = rows.transform(through, run, schema.replace(" text string,", "") if last else schema)
     return rows
 
