@@ -152,30 +152,42 @@ def flagship(pop: DataFrame, rows_frames: DataFrame, weights: DataFrame) -> Data
     return projected_mean(split(pop, rows_frames, weights))
 
 
-def split_blocks(pop: DataFrame, rows_frames: DataFrame, weights: DataFrame, block_rows: int = 65_536) -> DataFrame:
+def packed(pop: DataFrame) -> DataFrame:
+    """h, t, p: one row of the grid with all shares, in order of the bands."""
+    return pop.groupBy("h", "t").agg(F.array_sort(F.collect_list(F.struct("band", "p"))).alias("x")).select("h", "t", F.col("x.p").alias("p"))
+
+
+def split_blocks(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, block_rows: int = 65_536) -> DataFrame:
     """The same split for long histories: h, t, grp, pg, occ, chr.
 
-    A row carries its states' shares as one array, and its frame's weights as one array for each
-    group, so nothing is multiplied out before the arithmetic. A history is dealt in blocks
-    of rows; a block's last row goes along to the next block, so no task holds a history.
+    rows: h, t, p (packed), with its frame where rows_frames is None. A row's shares are one array, and its frame's weights one array for
+    each group, so nothing is multiplied out before the arithmetic. A history is dealt in
+    blocks of rows; a block's last row goes along to the next block, so no task holds a history.
     """
-    bands = F.array_sort(F.collect_list(F.struct("band", "p")))
-    rows = pop.groupBy("h", "t").agg(bands.alias("x")).select("h", "t", F.col("x.band").alias("bands"), F.col("x.p").alias("p"))
     # one row a frame: groups by bands; its size is that of the projection table
     table = weights.groupBy("frame", "grp").agg(F.array_sort(F.collect_list(F.struct("band", "w"))).alias("x"))
-    table = table.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("grp", F.col("x.band").alias("band"), F.col("x.w").alias("w")))).alias("g"))
-    joined = rows.join(rows_frames, ["h", "t"]).join(table, "frame").withColumn("block", F.floor(F.col("t") / block_rows))
-    lent = F.array(F.struct(F.col("block").alias("block"), F.lit(False).alias("lent")), F.struct((F.col("block") + 1).alias("block"), F.lit(True).alias("lent")))
-    own = F.array(F.struct(F.col("block").alias("block"), F.lit(False).alias("lent")))
-    dealt = joined.drop("block").withColumn("block", joined["block"]).withColumn(
-        "to", F.explode(F.when(F.col("t") % block_rows == block_rows - 1, lent).otherwise(own))
-    ).select("h", "t", "p", "g", "to.block", "to.lent")
+    table = table.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("grp", F.col("x.w").alias("w")))).alias("g"))
+    block = F.floor(F.col("t") / block_rows)
+    own = F.struct(block.alias("block"), F.lit(False).alias("lent"))
+    lent = F.struct((block + 1).alias("block"), F.lit(True).alias("lent"))
+    last = F.col("t") % block_rows == block_rows - 1
+    walked = rows if rows_frames is None else rows.join(rows_frames, ["h", "t"])
+    dealt = (
+        walked.select("h", "t", "p", "frame", F.explode(F.when(last, F.array(own, lent)).otherwise(F.array(own))).alias("to"))
+        .select("h", "t", "p", "frame", "to.block", "to.lent")
+    )
     order = Window.partitionBy("h", "block").orderBy("t")
-    moved = dealt.withColumn("p0", F.lag("p").over(order)).withColumn("g0", F.lag("g").over(order)).filter("not lent")
+    moved = dealt.withColumn("p0", F.lag("p").over(order)).withColumn("frame0", F.lag("frame").over(order)).filter("not lent")
+    before = table.select(F.col("frame").alias("frame0"), F.col("g").alias("g0"))
+    placed = moved.join(table, "frame").join(before, "frame0", "left")
+
+    def dot(left: str, right: str) -> str:
+        return f"aggregate(zip_with({left}, {right}, (a, b) -> a * b), 0D, (s, v) -> s + v)"
+
+    mean_w, step_w = "zip_with(x.w, g0[k].w, (a, b) -> 0.5D * (a + b))", "zip_with(x.w, g0[k].w, (a, b) -> a - b)"
+    mean_p, step_p = "zip_with(p, p0, (a, b) -> 0.5D * (a + b))", "zip_with(p, p0, (a, b) -> a - b)"
     sums = F.expr(
-        """transform(g, (x, k) -> struct(x.grp AS grp,
-             aggregate(zip_with(p, x.w, (a, b) -> a * b), 0D, (s, v) -> s + v) AS pg,
-             CASE WHEN p0 IS NULL THEN 0D ELSE aggregate(zip_with(zip_with(p, p0, (a, b) -> a - b), zip_with(x.w, g0[k].w, (a, b) -> 0.5D * (a + b)), (a, b) -> a * b), 0D, (s, v) -> s + v) END AS occ,
-             CASE WHEN p0 IS NULL THEN 0D ELSE aggregate(zip_with(zip_with(p, p0, (a, b) -> 0.5D * (a + b)), zip_with(x.w, g0[k].w, (a, b) -> a - b), (a, b) -> a * b), 0D, (s, v) -> s + v) END AS chr))"""
+        f"""transform(g, (x, k) -> struct(x.grp AS grp, {dot("p", "x.w")} AS pg,
+            CASE WHEN p0 IS NULL THEN 0D ELSE {dot(step_p, mean_w)} END AS occ, CASE WHEN p0 IS NULL THEN 0D ELSE {dot(mean_p, step_w)} END AS chr))"""
     )
-    return moved.select("h", "t", F.explode(sums).alias("s")).select("h", "t", "s.grp", "s.pg", "s.occ", "s.chr")
+    return placed.select("h", "t", F.explode(sums).alias("s")).select("h", "t", "s.grp", "s.pg", "s.occ", "s.chr")

@@ -502,7 +502,7 @@ registry.register("O186_piecewise", _piecewise)
 
 
 def _split_blocks(views: Views):
-    return C.split_blocks(views.pop, views.rows_frames, views.weights, block_rows=8)
+    return C.split_blocks(C.packed(views.pop), views.rows_frames, views.weights, block_rows=8)
 
 
 _text, _bases = _duck(C.SPLIT)
