@@ -7,7 +7,7 @@ would make that scan quadratic; there the same merges are drawn from a heap.
 
 Merging by the vocabulary's pair list (not by ranks of concatenations) gives what the
 tokenizers library gives, and each distinct word is encoded once per worker until the
-bounded cache is cleared.
+bounded cache lets it go.
 
 Nulls and empty texts encode to no ids; the string of an added token becomes its id.
 Repeated rows give repeated results, and further columns are ignored.
@@ -31,8 +31,8 @@ from ._blocks import blocks, through
 VOCABULARY = "byte_bpe_50k.json"
 #: Words of at most so many bytes use the scanned rank array.
 SCAN_LIMIT = 256
-#: Words kept in a worker's cache; it is emptied when full.
-CACHE_WORDS = 250_000
+#: Words in each half of a worker's cache; a full young half becomes the old one.
+CACHE_WORDS = 200_000
 #: Longer words are not cached.
 CACHE_WORD_CHARS = 64
 NO_PAIR = 1 << 40
@@ -73,11 +73,13 @@ class Encoder:
         self.bytes_of = {i: s.encode() for s, i in added.items()}
         for s, i in vocab.items():
             self.bytes_of[i] = bytes(letters[c] for c in s)
-        #: rank and merged id of each adjacent pair, keyed by both ids
-        self.pairs: dict[int, tuple[int, int]] = {}
+        #: rank of each adjacent pair, keyed by both ids, and the merged id of each rank
+        self.pairs: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs[vocab[a] << 32 | vocab[b]] = rank, vocab[a + b]
+            self.pairs[vocab[a] << 32 | vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         self.words = regex.compile(PATTERN).findall
         self.added = added
         self.split = (
@@ -86,6 +88,7 @@ class Encoder:
             else None
         )
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -108,55 +111,59 @@ class Encoder:
                 extend(miss(word))
 
     def _miss(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8", "surrogatepass")
-        out = self._scan(raw) if len(raw) <= SCAN_LIMIT else self._heap(raw)
-        if len(word) <= CACHE_WORD_CHARS:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = out
+        out = self.older.get(word)
+        if out is None:
+            raw = word.encode("utf-8", "surrogatepass")
+            out = self._scan(raw) if len(raw) <= SCAN_LIMIT else self._heap(raw)
+            if len(word) > CACHE_WORD_CHARS:
+                return out
+        # what is met again moves to the young half before the old one is dropped
+        if len(self.cache) >= CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
+        self.cache[word] = out
         return out
 
     def _scan(self, raw: bytes) -> tuple[int, ...]:
         """The contiguous array: parts[i] is the id that starts at the i-th boundary,
         ranks[i] the rank of the pair (parts[i], parts[i + 1])."""
-        pairs, none = self.pairs, (NO_PAIR, -1)
-        parts = [self.first[b] for b in raw]
-        ranks = [pairs.get(a << 32 | b, none)[0] for a, b in zip(parts, parts[1:])]
+        rank, merged, first = self.pairs.get, self.merged, self.first
+        parts = [first[b] for b in raw]
+        ranks = [rank(a << 32 | b, NO_PAIR) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == NO_PAIR:
                 break
             i = ranks.index(least)
-            parts[i] = pairs[parts[i] << 32 | parts[i + 1]][1]
+            parts[i] = own = merged[least]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = pairs.get(parts[i] << 32 | parts[i + 1], none)[0]
+                ranks[i] = rank(own << 32 | parts[i + 1], NO_PAIR)
             if i:
-                ranks[i - 1] = pairs.get(parts[i - 1] << 32 | parts[i], none)[0]
+                ranks[i - 1] = rank(parts[i - 1] << 32 | own, NO_PAIR)
         return tuple(parts)
 
     def _heap(self, raw: bytes) -> tuple[int, ...]:
         pairs, parts, n = self.pairs, [self.first[b] for b in raw], len(raw)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [
-            (found[0], i, parts[i], parts[i + 1])
+            (found, i, parts[i], parts[i + 1])
             for i in range(n - 1)
-            if (found := pairs.get(parts[i] << 32 | parts[i + 1]))
+            if (found := pairs.get(parts[i] << 32 | parts[i + 1])) is not None
         ]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
+            found, i, a, b = heapq.heappop(queue)
             j = after[i]
             if parts[i] != a or j >= n or parts[j] != b:
                 continue
-            parts[i], parts[j] = pairs[a << 32 | b][1], -1
+            parts[i], parts[j] = self.merged[found], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := pairs.get(parts[i] << 32 | parts[k]):
-                    heapq.heappush(queue, (found[0], i, parts[i], parts[k]))
-            if (h := before[i]) >= 0 and (found := pairs.get(parts[h] << 32 | parts[i])):
-                heapq.heappush(queue, (found[0], h, parts[h], parts[i]))
+                if (found := pairs.get(parts[i] << 32 | parts[k])) is not None:
+                    heapq.heappush(queue, (found, i, parts[i], parts[k]))
+            if (h := before[i]) >= 0 and (found := pairs.get(parts[h] << 32 | parts[i])) is not None:
+                heapq.heappush(queue, (found, h, parts[h], parts[i]))
         return tuple(p for p in parts if p >= 0)
 
     def count(self, text: str) -> int:
