@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from ..session import ship_code
 
 #: Bytes of text in one block; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Bytes in one Arrow batch between the JVM and Python, where the session has Spark's default.
+BATCH_BYTES = 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -48,8 +51,11 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def through(df: DataFrame, run, schema) -> DataFrame:
-    """df through an Arrow function of this package."""
+    """df through an Arrow function of this package. Batches are smaller than Spark's default:
+    each is held by the JVM and by Python at once, for every task of an executor."""
     ship_code(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH) == _BATCH_DEFAULT:
+        df.sparkSession.conf.set(_BATCH, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 
 
@@ -130,18 +136,22 @@ def word_spans(
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes hashed together; a longer word makes a piece of its own.
+_PIECE = 1 << 18
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
-def _grow(n: int) -> None:
+def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse mod 2**64; only those of a usual piece are kept."""
     global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers))
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _BASE, np.uint64)])
-            back = np.uint64(pow(_BASE, -1, 1 << 64))
-            _inverse = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, back, np.uint64)])
+    if len(_powers) >= n:
+        return _powers, _inverse
+    with np.errstate(over="ignore"):
+        made = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, 2 * _PIECE) - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    if n <= 2 * _PIECE:
+        _powers, _inverse = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -153,16 +163,24 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from prefix sums of a polynomial mod 2**64."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    _grow(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    with np.errstate(over="ignore"):
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers[: len(raw)], out=sums[1:])
-        h = (sums[stops] - sums[starts]) * _inverse[starts]
-        return mix(h + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span's bytes, from prefix sums of a polynomial mod 2**64.
+
+    Spans are in order and don't overlap; they are taken a piece of the text at a time."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, first + _PIECE, "left")))
+        piece = raw[first : int(stops[to - 1])]
+        powers, inverse = _grow(len(piece) + 1)
+        a, b = starts[at:to] - first, stops[at:to] - first
+        sums = np.empty(len(piece) + 1, np.uint64)
+        sums[0] = 0
+        with np.errstate(over="ignore"):
+            np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers[: len(piece)], out=sums[1:])
+            out[at:to] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = to
+    return out
 
 
 def chained(hashes: np.ndarray, length: int) -> np.ndarray:

@@ -133,7 +133,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", id_column
     sample = labelled.filter(draw < share).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 4 << 20):
+        for block in blocks(batches, "text", 1 << 20):
             names, texts = block.column(0).to_pylist(), block.column(1).to_pylist()
             for name in sorted(set(names)):
                 own = [t for n, t in zip(names, texts) if n == name]
