@@ -7,26 +7,25 @@ from ..plans.template import bind
 #: Reduced Planck constant in eV fs, wave numbers per inverse femtosecond.
 HBAR = 0.6582119569509066
 INV_FS_TO_CM1 = 33356.4095198152
-STEP = 1.0
 
 SCALES = f"""
 SELECT DISTINCT state, {HBAR}D / (state + 1) AS ev, 1000.0D * {HBAR}D / (state + 1) AS mev, (state + 1) * {INV_FS_TO_CM1}D AS cm1 FROM {{energies}}"""
 
 TO_MEV = f"""
-SELECT frame, i, j, CASE WHEN (i + j) % 3 = 0 THEN v * 1000.0D WHEN (i + j) % 3 = 1 THEN v ELSE v * {HBAR}D * 1000.0D END AS mev FROM {{nac}} WHERE frame <= 50"""
+SELECT frame, i, j, CASE WHEN (i + j) % 3 = 0 THEN v * 1000.0D WHEN (i + j) % 3 = 1 THEN v ELSE v * {HBAR}D * 1000.0D END AS mev FROM {{nac}} WHERE frame <= :last"""
 
 PAIRS = f"""
 SELECT a.i, a.j, avg(abs(a.gap)) AS mean_gap, sqrt(avg(a.gap * a.gap)) AS rms_gap, avg(a.v) AS mean_nac, sqrt(avg(a.v * a.v)) AS rms_nac,
-       PCT(a.v, 0.95) AS p95_nac, max(a.v) AS max_nac, count_if(a.v > 0.5) AS n_above, count_if(a.v = m.most) AS n_at_max,
-       max(a.v) / {HBAR / STEP}D AS max_over_scale, count_if(a.v > {0.8 * HBAR}D) / CAST(count(*) AS DOUBLE) AS above_80,
-       count_if(a.v > {0.9 * HBAR}D) / CAST(count(*) AS DOUBLE) AS above_90, sum(a.v) AS total, sum(a.v) * {STEP}D AS integral
+       PCT(a.v, 0.95) AS p95_nac, max(a.v) AS max_nac, count_if(a.v > :nac_threshold) AS n_above, count_if(a.v = m.most) AS n_at_max,
+       max(a.v) / ({HBAR}D / :dt) AS max_over_scale, count_if(a.v > 0.8D * {HBAR}D / :dt) / CAST(count(*) AS DOUBLE) AS above_80,
+       count_if(a.v > 0.9D * {HBAR}D / :dt) / CAST(count(*) AS DOUBLE) AS above_90, sum(a.v) AS total, sum(a.v) * :dt AS integral
 FROM (SELECT n.frame, n.i, n.j, abs(n.v) AS v, ei.e - ej.e AS gap FROM {{nac}} n JOIN {{energies}} ei ON ei.frame = n.frame AND ei.state = n.i
       JOIN {{energies}} ej ON ej.frame = n.frame AND ej.state = n.j WHERE n.i < n.j) a
 CROSS JOIN (SELECT max(abs(v)) AS most FROM {{nac}} WHERE i <> j) m
 GROUP BY a.i, a.j"""
 
 TOP_PAIRS = """
-SELECT i, j, mean_nac FROM (SELECT i, j, avg(abs(v)) AS mean_nac FROM {nac} WHERE i < j GROUP BY i, j) a ORDER BY mean_nac DESC, i, j LIMIT 4"""
+SELECT i, j, mean_nac FROM (SELECT i, j, avg(abs(v)) AS mean_nac FROM {nac} WHERE i < j GROUP BY i, j) a ORDER BY mean_nac DESC, i, j LIMIT :top"""
 
 CEILING = """
 SELECT m.most, count(*) AS n_shared, count(*) > 2 AS engineered
@@ -52,15 +51,15 @@ DEPHASING = """
 SELECT min(v) AS least, PCT(v, 0.5) AS median, max(v) AS most FROM (SELECT i, j, avg(abs(v)) AS v FROM {nac} WHERE i < j GROUP BY i, j) a"""
 
 
-def pair_statistics(nac, energies):
+def pair_statistics(nac, energies, **params):
     """One row for each pair i < j. Couplings meet energies on the frame twice, both sides keyed
     alike, so the second join reuses the first one's partitioning on frame."""
-    return bind(PAIRS, nac=nac, energies=energies)
+    return bind(PAIRS, params=params, nac=nac, energies=energies)
 
 
-def checked(nac):
+def checked(nac, **params):
     """nac, or an error when it is not antisymmetric."""
-    row = bind(CHECKS, nac=nac).first()
+    row = bind(CHECKS, params=params, nac=nac).first()
     if row["n_frames"] and not row["antisymmetric"]:
         raise ValueError(f"couplings are not antisymmetric: {row['asymmetry']}")
     return nac

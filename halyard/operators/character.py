@@ -53,12 +53,12 @@ FROM {{weights}} w JOIN ({DOMINANT}) d ON w.frame = d.frame AND w.band = d.band"
 
 TRANSITIONS = """
 SELECT frame0, frame, CASE WHEN frame - frame0 = 1 THEN 'adjacent' ELSE 'across_gap' END AS resolution
-FROM (SELECT frame, lag(frame) OVER (ORDER BY frame) AS frame0 FROM (SELECT DISTINCT frame FROM {weights} WHERE frame <= 20) f) a WHERE frame0 IS NOT NULL
-UNION ALL SELECT 20 AS frame0, 1 AS frame, 'cycle_wrap' AS resolution"""
+FROM (SELECT frame, lag(frame) OVER (ORDER BY frame) AS frame0 FROM (SELECT DISTINCT frame FROM {weights} WHERE frame <= :period) f) a WHERE frame0 IS NOT NULL
+UNION ALL SELECT :period AS frame0, 1 AS frame, 'cycle_wrap' AS resolution"""
 
 SWAPS = f"""
 SELECT a.band, x.frame0, x.frame, x.resolution, a.dominant AS before, b.dominant AS after, a.dominant_w AS before_w, b.dominant_w AS after_w,
-       a.dominant_w >= 0.6 AND b.dominant_w >= 0.6 AS confident
+       a.dominant_w >= :dominance AND b.dominant_w >= :dominance AS confident
 FROM ({TRANSITIONS}) x JOIN ({DOMINANT}) a ON a.frame = x.frame0 JOIN ({DOMINANT}) b ON b.frame = x.frame AND a.band = b.band
 WHERE a.dominant <> b.dominant"""
 
@@ -66,36 +66,39 @@ SWAP_SUMMARY = f"""
 SELECT band, resolution, count(*) AS n_swaps, count_if(confident) AS n_confident FROM ({SWAPS}) s GROUP BY band, resolution"""
 
 DOMINANCE = f"""
-SELECT band, dominant, count(*) / CAST(sum(count(*)) OVER (PARTITION BY band) AS DOUBLE) AS share, count_if(dominant_w < 0.6) AS n_mixed,
+SELECT band, dominant, count(*) / CAST(sum(count(*)) OVER (PARTITION BY band) AS DOUBLE) AS share, count_if(dominant_w < :dominance) AS n_mixed,
        PCT(dominant_w, 0.5) AS median_w
 FROM ({DOMINANT}) d GROUP BY band, dominant"""
 
 QUALITY = """
 SELECT band, count(*) AS n, min(captured) AS least, PCT(captured, 0.01) AS p01, PCT(captured, 0.05) AS p05, PCT(captured, 0.5) AS median,
-       PCT(captured, 0.95) AS p95, max(captured) AS most, count_if(captured < 40) AS n_below
+       PCT(captured, 0.95) AS p95, max(captured) AS most, count_if(captured < :least_captured) AS n_below
 FROM (SELECT DISTINCT frame, band, captured FROM {weights}) c GROUP BY band"""
 
-WORST = "SELECT DISTINCT frame, band, captured FROM {weights} ORDER BY captured, frame, band LIMIT 10"
+WORST = "SELECT DISTINCT frame, band, captured FROM {weights} ORDER BY captured, frame, band LIMIT :worst"
 
 WORST_FRAMES = """
-SELECT frame, min(captured) AS least, count_if(captured < 40) AS n_below FROM (SELECT DISTINCT frame, band, captured FROM {weights}) c
-GROUP BY frame HAVING count_if(captured < 40) > 0"""
+SELECT frame, min(captured) AS least, count_if(captured < :least_captured) AS n_below FROM (SELECT DISTINCT frame, band, captured FROM {weights}) c
+GROUP BY frame HAVING count_if(captured < :least_captured) > 0"""
 
-FLAGGED = "SELECT DISTINCT frame, band, captured, captured < 40 AS flagged FROM {weights}"
+FLAGGED = "SELECT DISTINCT frame, band, captured, captured < :least_captured AS flagged FROM {weights}"
 
 CONSUMPTION = """
 SELECT count(DISTINCT w.frame) AS declared, count(DISTINCT f.frame) AS required, count(DISTINCT w.frame) - count(DISTINCT f.frame) AS skipped
 FROM {weights} w LEFT JOIN {rows_frames} f ON w.frame = f.frame"""
 
 REQUIRED = "SELECT DISTINCT w.frame, w.band FROM {weights} w LEFT SEMI JOIN {rows_frames} f ON w.frame = f.frame"
-REQUIRED_DUCK = "SELECT DISTINCT w.frame, w.band FROM {weights} w SEMI JOIN {rows_frames} f ON w.frame = f.frame"
 MISSING = """
-SELECT f.frame FROM (SELECT DISTINCT frame + 90 AS frame FROM {rows_frames}) f
+SELECT DISTINCT f.frame FROM {required} f
 WHERE NOT EXISTS (SELECT 1 FROM {weights} w WHERE w.frame = f.frame)"""
 EXCEPT = "SELECT frame FROM {weights} EXCEPT SELECT frame FROM {rows_frames}"
-ALL_FRAMES = "SELECT DISTINCT frame FROM {rows_frames} UNION SELECT frame FROM {weights} WHERE frame > 95"
+ALL_FRAMES = "SELECT DISTINCT frame FROM {rows_frames} UNION SELECT frame FROM {weights}"
 
-LINEAR = "SELECT h, t, 1 + 7 * h + t AS frame FROM (SELECT DISTINCT h, t FROM {pop}) g"
+LINEAR = "SELECT g.h, g.t, s.start + g.t AS frame FROM (SELECT DISTINCT h, t FROM {pop}) g JOIN {starts} s ON s.h = g.h"
+
+CYCLIC = """
+SELECT g.h, g.t, CASE WHEN (g.t + s.start) % :period = 0 THEN :period ELSE (g.t + s.start) % :period END AS frame
+FROM (SELECT DISTINCT h, t FROM {pop}) g JOIN {starts} s ON s.h = g.h"""
 
 ALIGNMENT = """
 SELECT h, min_by(frame, t) AS first_frame, max_by(frame, t) AS last_frame, count(DISTINCT frame) AS n_frames,
@@ -104,13 +107,13 @@ FROM (SELECT h, t, frame, lag(frame) OVER (PARTITION BY h ORDER BY t) AS frame0
 
 WRAPPED = """
 SELECT count(DISTINCT h) AS n_histories, count(*) AS n_steps
-FROM (SELECT h, frame, lag(frame) OVER (PARTITION BY h ORDER BY t) AS frame0 FROM {rows_frames}) a WHERE frame0 = 20 AND frame = 1"""
+FROM (SELECT h, frame, lag(frame) OVER (PARTITION BY h ORDER BY t) AS frame0 FROM {rows_frames}) a WHERE frame0 = :period AND frame = 1"""
 
 WRAP_STATUS = """
 SELECT h, CASE WHEN n_frames < 2 THEN 'degenerate_period' WHEN n_wraps = 0 THEN 'not_traversed' WHEN NOT loaded THEN 'frames_not_loaded' ELSE 'examined' END AS status
-FROM (SELECT a.h, count(DISTINCT a.frame) AS n_frames, count_if(a.frame0 = 20 AND a.frame = 1) AS n_wraps, max(l.n) = 2 AS loaded
+FROM (SELECT a.h, count(DISTINCT a.frame) AS n_frames, count_if(a.frame0 = :period AND a.frame = 1) AS n_wraps, max(l.n) = 2 AS loaded
       FROM (SELECT h, frame, lag(frame) OVER (PARTITION BY h ORDER BY t) AS frame0 FROM {rows_frames}) a
-      CROSS JOIN (SELECT count(DISTINCT frame) AS n FROM {weights} WHERE frame IN (1, 20)) l GROUP BY a.h) s"""
+      CROSS JOIN (SELECT count(DISTINCT frame) AS n FROM {weights} WHERE frame IN (1, :period)) l GROUP BY a.h) s"""
 
 FIXED_VS_PROJECTED = """
 SELECT grp, max(abs(d)) AS most, max(CASE WHEN place = 1 THEN t END) AS most_time, sqrt(avg(d * d)) AS rms, avg(d) AS mean_d,
@@ -125,27 +128,27 @@ FIXED_VS_DYNAMIC = """
 SELECT a.grp, max_by(a.mean, a.t) - min_by(a.mean, a.t) AS dynamic_net, max_by(b.mean, b.t) - min_by(b.mean, b.t) AS fixed_net,
        max(a.mean) - min(a.mean) AS dynamic_range, max(b.mean) - min(b.mean) AS fixed_range, avg(a.mean) AS dynamic_mean, avg(b.mean) AS fixed_mean,
        regr_slope(a.mean, CAST(a.t AS DOUBLE)) AS dynamic_slope, regr_slope(b.mean, CAST(b.t AS DOUBLE)) AS fixed_slope
-FROM {projected} a JOIN {fixed} b ON a.t = b.t AND a.grp = b.grp WHERE a.t >= 10 GROUP BY a.grp"""
+FROM {projected} a JOIN {fixed} b ON a.t = b.t AND a.grp = b.grp WHERE a.t >= :late_from GROUP BY a.grp"""
 
 #: The populations at the first frame's character: what a fixed assignment would give.
 FIXED = """
-SELECT t, grp, avg(pg) AS mean FROM (SELECT p.h, p.t, w.grp, sum(p.p * w.w) AS pg FROM {pop} p JOIN {weights} w ON w.band = p.band AND w.frame = 1
+SELECT t, grp, avg(pg) AS mean FROM (SELECT p.h, p.t, w.grp, sum(p.p * w.w) AS pg FROM {pop} p JOIN {weights} w ON w.band = p.band AND w.frame = :reference_frame
  GROUP BY p.h, p.t, w.grp) a GROUP BY t, grp"""
 
 
-def fragment_weights(ions: DataFrame, ion_groups: DataFrame) -> DataFrame:
+def fragment_weights(ions: DataFrame, ion_groups: DataFrame, **params) -> DataFrame:
     """frame, band, grp, ord, w, captured, total. The groups are broadcast: one row an ion."""
-    return bind(WEIGHTS, ions=ions, ion_groups=F.broadcast(ion_groups))
+    return bind(WEIGHTS, params=params, ions=ions, ion_groups=F.broadcast(ion_groups))
 
 
-def split(pop: DataFrame, rows_frames: DataFrame, weights: DataFrame) -> DataFrame:
+def split(pop: DataFrame, rows_frames: DataFrame, weights: DataFrame, **params) -> DataFrame:
     """h, t, grp, pg, occ, chr: the exact split of each change; 0 at a history's first row."""
-    return bind(SPLIT, pop=pop, rows_frames=rows_frames, weights=weights)
+    return bind(SPLIT, params=params, pop=pop, rows_frames=rows_frames, weights=weights)
 
 
-def projected_mean(parts: DataFrame) -> DataFrame:
+def projected_mean(parts: DataFrame, **params) -> DataFrame:
     """Histories are projected first and averaged then."""
-    return bind(PROJECTED_MEAN, split=parts)
+    return bind(PROJECTED_MEAN, params=params, split=parts)
 
 
 def flagship(pop: DataFrame, rows_frames: DataFrame, weights: DataFrame) -> DataFrame:

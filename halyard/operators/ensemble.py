@@ -4,45 +4,43 @@ from __future__ import annotations
 
 from ..plans.template import bind
 
-SIGN = 1e-3
-
 HISTORY = """
 SELECT s.h, s.grp, max_by(s.pg, s.t) - min_by(s.pg, s.t) AS net_full,
-       max(CASE WHEN s.t = 29 THEN s.pg END) - max(CASE WHEN s.t = 10 THEN s.pg END) AS net_late,
-       max(CASE WHEN s.t >= 10 THEN s.pg END) - min(CASE WHEN s.t >= 10 THEN s.pg END) AS range_late, sum(s.occ) AS occ, sum(s.chr) AS chr
+       max_by(s.pg, s.t) - min_by(CASE WHEN s.t >= :late_from THEN s.pg END, CASE WHEN s.t >= :late_from THEN s.t END) AS net_late,
+       max(CASE WHEN s.t >= :late_from THEN s.pg END) - min(CASE WHEN s.t >= :late_from THEN s.pg END) AS range_late, sum(s.occ) AS occ, sum(s.chr) AS chr
 FROM {split} s GROUP BY s.h, s.grp"""
 
-STATS = f"""
+STATS = """
 SELECT grp, quantity, count(value) AS n, avg(value) AS mean, PCT(value, 0.5) AS median, stddev_samp(value) AS std, min(value) AS least, max(value) AS most,
-       count_if(value > {SIGN}) AS n_gain, count_if(value < -{SIGN}) AS n_loss, count_if(abs(value) <= {SIGN}) AS n_flat,
+       count_if(value > :sign) AS n_gain, count_if(value < -:sign) AS n_loss, count_if(abs(value) <= :sign) AS n_flat,
        PCT(value, 0.05) AS q05, PCT(value, 0.25) AS q25, PCT(value, 0.75) AS q75, PCT(value, 0.95) AS q95
-FROM (SELECT grp, 'net_full' AS quantity, net_full AS value FROM {{histories}} UNION ALL SELECT grp, 'net_late', net_late FROM {{histories}}
-      UNION ALL SELECT grp, 'range_late', range_late FROM {{histories}} UNION ALL SELECT grp, 'occ', occ FROM {{histories}} UNION ALL SELECT grp, 'chr', chr FROM {{histories}}) x
+FROM (SELECT grp, 'net_full' AS quantity, net_full AS value FROM {histories} UNION ALL SELECT grp, 'net_late', net_late FROM {histories}
+      UNION ALL SELECT grp, 'range_late', range_late FROM {histories} UNION ALL SELECT grp, 'occ', occ FROM {histories} UNION ALL SELECT grp, 'chr', chr FROM {histories}) x
 GROUP BY grp, quantity"""
 
 DOMINANT_TERM = """
-SELECT grp, CASE WHEN abs(o) + abs(c) = 0 THEN 'none' WHEN abs(o) / (abs(o) + abs(c)) >= 0.7 THEN 'occupation' WHEN abs(o) / (abs(o) + abs(c)) <= 0.3 THEN 'character' ELSE 'mixed' END AS term
+SELECT grp, CASE WHEN abs(o) + abs(c) = 0 THEN 'none' WHEN abs(o) / (abs(o) + abs(c)) >= :mostly THEN 'occupation' WHEN abs(o) / (abs(o) + abs(c)) <= :hardly THEN 'character' ELSE 'mixed' END AS term
 FROM (SELECT grp, PCT(occ, 0.5) AS o, PCT(chr, 0.5) AS c FROM {histories} GROUP BY grp) x"""
 
 CURVE = """
 SELECT t, grp, PCT(pg, 0.5) AS median, PCT(pg, 0.25) AS q25, PCT(pg, 0.75) AS q75, min(pg) AS least, max(pg) AS most FROM {split} GROUP BY t, grp"""
 
-# passes of 20 rows; passes without a step in the window count up to the last pass that has one
+# passes of one period; passes without a step in the window count up to the last pass that has one
 PER_PASS = """
 SELECT x.h, x.name, x.grp, sum(x.occ) / (max(x.pass) + 1) AS occ, sum(x.chr) / (max(x.pass) + 1) AS chr, (sum(x.occ) + sum(x.chr)) / (max(x.pass) + 1) AS net,
        count(DISTINCT x.pass) AS n_covering
-FROM (SELECT s.h, w.name, s.grp, CAST(floor(s.t / 20) AS INT) AS pass, s.occ, s.chr
+FROM (SELECT s.h, w.name, s.grp, CAST(floor(s.t / :period) AS INT) AS pass, s.occ, s.chr
       FROM {split} s JOIN {rows_frames} f ON s.h = f.h AND s.t = f.t
-      JOIN (SELECT 'near' AS name, 3 AS lo, 8 AS hi UNION ALL SELECT 'far', 7, 16) w ON f.frame BETWEEN w.lo AND w.hi) x GROUP BY x.h, x.name, x.grp"""
+      JOIN {frame_windows} w ON f.frame BETWEEN w.lo AND w.hi) x GROUP BY x.h, x.name, x.grp"""
 
 STEP_VERDICT = """
-SELECT h, name, CASE WHEN d IS NULL OR a IS NULL THEN 'not_classified' WHEN abs(d) <= 1e-5 AND abs(a) <= 1e-5 THEN 'essentially_reversible'
-       WHEN a > 1e-5 AND d < -1e-5 THEN 'persistent_acceptor_gain' WHEN a < -1e-5 AND d > 1e-5 THEN 'persistent_donor_gain' ELSE 'no_clear_direction' END AS verdict
-FROM (SELECT h, name, max(CASE WHEN grp = 'ga' THEN net END) AS d, max(CASE WHEN grp = 'gb' THEN net END) AS a FROM {passes} GROUP BY h, name) x"""
+SELECT h, name, CASE WHEN d IS NULL OR a IS NULL THEN 'not_classified' WHEN abs(d) <= :step_tolerance AND abs(a) <= :step_tolerance THEN 'essentially_reversible'
+       WHEN a > :step_tolerance AND d < -:step_tolerance THEN 'persistent_acceptor_gain' WHEN a < -:step_tolerance AND d > :step_tolerance THEN 'persistent_donor_gain' ELSE 'no_clear_direction' END AS verdict
+FROM (SELECT h, name, max(CASE WHEN grp = :donor THEN net END) AS d, max(CASE WHEN grp = :acceptor THEN net END) AS a FROM {passes} GROUP BY h, name) x"""
 
-EPISODE_SUMMARY = f"""
-SELECT name, grp, count(*) AS n, avg(net) AS mean, PCT(net, 0.5) AS median, stddev_samp(net) AS std, count_if(net > {SIGN}) AS n_gain, count_if(net < -{SIGN}) AS n_loss
-FROM {{passes}} GROUP BY name, grp"""
+EPISODE_SUMMARY = """
+SELECT name, grp, count(*) AS n, avg(net) AS mean, PCT(net, 0.5) AS median, stddev_samp(net) AS std, count_if(net > :sign) AS n_gain, count_if(net < -:sign) AS n_loss
+FROM {passes} GROUP BY name, grp"""
 
 RUN_TABLE = """
 SELECT state, max(CASE WHEN run = 'A' THEN net END) AS net_a, max(CASE WHEN run = 'B' THEN net END) AS net_b, max(CASE WHEN run = 'C' THEN net END) AS net_c
@@ -54,22 +52,23 @@ SELECT run, name, state, avg(last - first) AS net FROM (
 GROUP BY run, name, state"""
 
 REVIEWER = """
-SELECT run, concat(CAST(count_if(net > 1e-3) AS VARCHAR(10)), '/', CAST(count(*) AS VARCHAR(10))) AS gains, PCT(net, 0.5) AS median
-FROM (SELECT run, h, max_by(p, t) - min_by(p, t) AS net FROM {runs} WHERE state = 'click' GROUP BY run, h) a GROUP BY run"""
+SELECT run, concat(CAST(count_if(net > :sign) AS VARCHAR(10)), '/', CAST(count(*) AS VARCHAR(10))) AS gains, PCT(net, 0.5) AS median
+FROM (SELECT run, h, max_by(p, t) - min_by(p, t) AS net FROM {runs} WHERE state = :target_state GROUP BY run, h) a GROUP BY run"""
 
-SHARED_TIMES = "SELECT t FROM {runs} WHERE run = 'A' AND t < 25 INTERSECT SELECT t FROM {runs} WHERE run = 'B' AND t >= 3 INTERSECT SELECT t FROM {runs} WHERE run = 'C'"
+# exact times that every run has, by set intersection over two runs at a time
+SHARED_TIMES = "SELECT t FROM {first_run} INTERSECT SELECT t FROM {second_run}"
 
 DIFFERENCES = """
 SELECT run, state, min_by(d, t) AS initial, max_by(d, t) AS final, max(abs(d)) AS largest, sum(coalesce(0.5 * (d + d0) * (t - t0), 0)) AS integral
 FROM (SELECT run, state, t, d, lag(d) OVER (PARTITION BY run, state ORDER BY t) AS d0, lag(t) OVER (PARTITION BY run, state ORDER BY t) AS t0
       FROM (SELECT x.run, x.state, x.t, x.p - r.p AS d FROM (SELECT run, state, t, avg(p) AS p FROM {runs} GROUP BY run, state, t) x
-            JOIN (SELECT state, t, avg(p) AS p FROM {runs} WHERE run = 'A' GROUP BY state, t) r ON r.state = x.state AND r.t = x.t WHERE x.run <> 'A') y) z GROUP BY run, state"""
+            JOIN (SELECT state, t, avg(p) AS p FROM {runs} WHERE run = :reference_run GROUP BY state, t) r ON r.state = x.state AND r.t = x.t WHERE x.run <> :reference_run) y) z GROUP BY run, state"""
 
 ENVELOPE = """
-SELECT state, bucket, avg(t) AS centre, min(mean) AS low, max(mean) AS high FROM (SELECT state, t, mean, CAST(floor(t * 7 / 30.0) AS INT) AS bucket FROM {series} ) a GROUP BY state, bucket"""
+SELECT state, bucket, avg(t) AS centre, min(mean) AS low, max(mean) AS high FROM (SELECT state, t, mean, CAST(floor(t * :buckets / CAST(:points AS DOUBLE)) AS INT) AS bucket FROM {series} ) a GROUP BY state, bucket"""
 
-THINNED = "SELECT t, state, mean FROM {series} WHERE t % 4 = 0"
+THINNED = "SELECT t, state, mean FROM {series} WHERE t % :stride = 0"
 
 
-def histories(parts):
-    return bind(HISTORY, split=parts)
+def histories(parts, **params):
+    return bind(HISTORY, params=params, split=parts)

@@ -5,82 +5,80 @@ from __future__ import annotations
 from ..plans.template import bind
 from .character import DOMINANT
 
-PAD = 3
-
 MARKS = f"""
-SELECT p.frame FROM (SELECT frame, band, dominant, lag(dominant) OVER (PARTITION BY band ORDER BY frame) AS before FROM ({DOMINANT}) d WHERE band IN (0, 1)) p
+SELECT p.frame FROM (SELECT frame, band, dominant, lag(dominant) OVER (PARTITION BY band ORDER BY frame) AS before FROM ({DOMINANT}) d WHERE band IN (:band_a, :band_b)) p
 GROUP BY p.frame
-HAVING count_if(p.before <> p.dominant) > 0 AND count_if(p.before IN ('ga', 'gb') AND p.dominant IN ('ga', 'gb')) > 0"""
+HAVING count_if(p.before <> p.dominant) > 0 AND count_if(p.before IN (:donor, :acceptor) AND p.dominant IN (:donor, :acceptor)) > 0"""
 
-# gaps and islands: a mark more than 2 * PAD after the last one opens an episode
+# gaps and islands: a mark more than twice the pad after the last one opens an episode
 ISLANDS = f"""
-SELECT episode, greatest(1, min(frame) - {PAD}) AS first_frame, least(max(m.last), max(frame) + {PAD}) AS last_frame, count(*) AS n_marks
-FROM (SELECT frame, sum(CASE WHEN frame - prev <= {2 * PAD} THEN 0 ELSE 1 END) OVER (ORDER BY frame) AS episode
+SELECT episode, greatest(1, min(frame) - :pad) AS first_frame, least(max(m.last), max(frame) + :pad) AS last_frame, count(*) AS n_marks
+FROM (SELECT frame, sum(CASE WHEN frame - prev <= 2 * :pad THEN 0 ELSE 1 END) OVER (ORDER BY frame) AS episode
       FROM (SELECT frame, lag(frame) OVER (ORDER BY frame) AS prev FROM ({MARKS}) m) a) b CROSS JOIN (SELECT max(frame) AS last FROM {{weights}}) m
 GROUP BY episode"""
 
 EPISODES = f"""
 SELECT CAST(x.episode AS INT) AS episode, CAST(x.first_frame AS INT) AS first_frame, CAST(x.last_frame AS INT) AS last_frame, x.n_marks, min(abs(a.e - b.e)) AS min_gap, max(abs(n.v)) AS max_nac,
        min_by(d.dominant, d.frame) AS before, max_by(d.dominant, d.frame) AS after
-FROM ({ISLANDS}) x JOIN {{energies}} a ON a.state = 0 AND a.frame BETWEEN x.first_frame AND x.last_frame JOIN {{energies}} b ON b.state = 1 AND b.frame = a.frame
-JOIN {{nac}} n ON n.i = 0 AND n.j = 1 AND n.frame = a.frame JOIN ({DOMINANT}) d ON d.band = 0 AND d.frame = a.frame
+FROM ({ISLANDS}) x JOIN {{energies}} a ON a.state = :band_a AND a.frame BETWEEN x.first_frame AND x.last_frame JOIN {{energies}} b ON b.state = :band_b AND b.frame = a.frame
+JOIN {{nac}} n ON n.i = :band_a AND n.j = :band_b AND n.frame = a.frame JOIN ({DOMINANT}) d ON d.band = :band_a AND d.frame = a.frame
 GROUP BY x.episode, x.first_frame, x.last_frame, x.n_marks"""
 
-# 'ga' gives, 'gb' takes
+# the donor gives, the acceptor takes
 VERDICT = """
 SELECT h, name, d_occ + d_chr AS donor_net, a_occ + a_chr AS acceptor_net,
-       CASE WHEN abs(a_occ + a_chr) <= 1e-3 AND abs(d_occ + d_chr) <= 1e-3 THEN 'no_net_fragment_transfer'
-            WHEN abs(a_occ) / nullif(abs(a_occ) + abs(a_chr), 0) >= 0.7 THEN 'occupation_redistribution_dominated'
-            WHEN abs(a_occ) / nullif(abs(a_occ) + abs(a_chr), 0) <= 0.3 THEN 'character_following_transfer' ELSE 'mixed' END AS verdict,
+       CASE WHEN abs(a_occ + a_chr) <= :moved AND abs(d_occ + d_chr) <= :moved THEN 'no_net_fragment_transfer'
+            WHEN abs(a_occ) / nullif(abs(a_occ) + abs(a_chr), 0) >= :mostly THEN 'occupation_redistribution_dominated'
+            WHEN abs(a_occ) / nullif(abs(a_occ) + abs(a_chr), 0) <= :hardly THEN 'character_following_transfer' ELSE 'mixed' END AS verdict,
        CASE WHEN a_occ + a_chr > 0 AND d_occ + d_chr < 0 THEN 'donor_to_acceptor' WHEN a_occ + a_chr < 0 AND d_occ + d_chr > 0 THEN 'acceptor_to_donor' ELSE 'undetermined' END AS direction
-FROM (SELECT s.h, w.name, sum(CASE WHEN grp = 'ga' THEN occ ELSE 0 END) AS d_occ, sum(CASE WHEN grp = 'ga' THEN chr ELSE 0 END) AS d_chr,
-             sum(CASE WHEN grp = 'gb' THEN occ ELSE 0 END) AS a_occ, sum(CASE WHEN grp = 'gb' THEN chr ELSE 0 END) AS a_chr
+FROM (SELECT s.h, w.name, sum(CASE WHEN grp = :donor THEN occ ELSE 0 END) AS d_occ, sum(CASE WHEN grp = :donor THEN chr ELSE 0 END) AS d_chr,
+             sum(CASE WHEN grp = :acceptor THEN occ ELSE 0 END) AS a_occ, sum(CASE WHEN grp = :acceptor THEN chr ELSE 0 END) AS a_chr
       FROM {split} s JOIN {windows} w ON s.t BETWEEN w.lo AND w.hi GROUP BY s.h, w.name) a"""
 
 ISOLATION = """
 SELECT n.state AS neighbour, p.min_gap, p.median_gap, min(least(abs(n.e - a.e), abs(n.e - b.e))) AS separation, min(least(abs(n.e - a.e), abs(n.e - b.e))) / p.min_gap AS ratio
-FROM {energies} n JOIN {energies} a ON a.frame = n.frame AND a.state = 0 JOIN {energies} b ON b.frame = n.frame AND b.state = 1
-CROSS JOIN (SELECT min(abs(x.e - y.e)) AS min_gap, PCT(abs(x.e - y.e), 0.5) AS median_gap FROM {energies} x JOIN {energies} y ON x.frame = y.frame WHERE x.state = 0 AND y.state = 1 AND x.frame BETWEEN 10 AND 40) p
-WHERE n.state > 1 AND n.frame BETWEEN 10 AND 40 GROUP BY n.state, p.min_gap, p.median_gap"""
+FROM {energies} n JOIN {energies} a ON a.frame = n.frame AND a.state = :band_a JOIN {energies} b ON b.frame = n.frame AND b.state = :band_b
+CROSS JOIN (SELECT min(abs(x.e - y.e)) AS min_gap, PCT(abs(x.e - y.e), 0.5) AS median_gap FROM {energies} x JOIN {energies} y ON x.frame = y.frame WHERE x.state = :band_a AND y.state = :band_b AND x.frame BETWEEN :first AND :last) p
+WHERE n.state NOT IN (:band_a, :band_b) AND n.frame BETWEEN :first AND :last GROUP BY n.state, p.min_gap, p.median_gap"""
 
 RAW_WEIGHT = """
 SELECT band, count_if(sign(d) <> sign(d_first) AND d <> 0) > 0 AS swapped, max(CASE WHEN place = 1 THEN frame END) AS excursion_frame, max(abs(d - d_first)) AS excursion,
        (max(captured) - min(captured)) / avg(captured) AS captured_range
 FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY abs(d - d_first) DESC, frame) AS place
       FROM (SELECT band, frame, captured, d, first_value(d) OVER (PARTITION BY band ORDER BY frame) AS d_first
-            FROM (SELECT band, frame, max(captured) AS captured, sum(CASE WHEN grp = 'ga' THEN w * captured WHEN grp = 'gb' THEN -w * captured ELSE 0 END) AS d
-                  FROM {weights} WHERE frame BETWEEN 10 AND 40 GROUP BY band, frame) a) b) c GROUP BY band"""
+            FROM (SELECT band, frame, max(captured) AS captured, sum(CASE WHEN grp = :donor THEN w * captured WHEN grp = :acceptor THEN -w * captured ELSE 0 END) AS d
+                  FROM {weights} WHERE frame BETWEEN :first AND :last GROUP BY band, frame) a) b) c GROUP BY band"""
 
 PARTICIPATION = f"""
 SELECT s.band, s.separation, s.pair_gap, f.n_fragments, f.n_other,
        CASE WHEN f.n_other = 0 AND f.n_fragments > 1 THEN 'participates_in_fragment_transfer' WHEN s.separation < s.pair_gap THEN 'energetically_involved_only' ELSE 'not_involved' END AS verdict
 FROM (SELECT n.state AS band, min(least(abs(n.e - a.e), abs(n.e - b.e))) AS separation, min(min(abs(a.e - b.e))) OVER () AS pair_gap
-      FROM {{energies}} n JOIN {{energies}} a ON a.frame = n.frame AND a.state = 0 JOIN {{energies}} b ON b.frame = n.frame AND b.state = 1
-      WHERE n.state > 1 AND n.frame BETWEEN 10 AND 40 GROUP BY n.state) s
-JOIN (SELECT band, count(DISTINCT dominant) AS n_fragments, count_if(dominant NOT IN ('ga', 'gb')) AS n_other FROM ({DOMINANT}) d WHERE frame BETWEEN 10 AND 40 GROUP BY band) f ON f.band = s.band"""
+      FROM {{energies}} n JOIN {{energies}} a ON a.frame = n.frame AND a.state = :band_a JOIN {{energies}} b ON b.frame = n.frame AND b.state = :band_b
+      WHERE n.state NOT IN (:band_a, :band_b) AND n.frame BETWEEN :first AND :last GROUP BY n.state) s
+JOIN (SELECT band, count(DISTINCT dominant) AS n_fragments, count_if(dominant NOT IN (:donor, :acceptor)) AS n_other FROM ({DOMINANT}) d WHERE frame BETWEEN :first AND :last GROUP BY band) f ON f.band = s.band"""
 
 ALIGNMENT = """
 SELECT shift, score, n, score = max(score) OVER () AS best
 FROM (SELECT s.shift, corr(m.mix, -ln(g.gap + 1e-12)) AS score, count(*) AS n
-      FROM (SELECT frame, least(max(CASE WHEN grp = 'ga' THEN w END), max(CASE WHEN grp = 'gb' THEN w END)) AS mix FROM {weights} WHERE band = 0 GROUP BY frame) m
-      CROSS JOIN (SELECT DISTINCT CAST(atom AS INT) - 8 AS shift FROM {traj} WHERE atom <= 16) s
-      JOIN (SELECT a.frame, abs(a.e - b.e) AS gap FROM {energies} a JOIN {energies} b ON a.frame = b.frame WHERE a.state = 0 AND b.state = 1) g ON g.frame = m.frame + s.shift
-      GROUP BY s.shift HAVING count(*) >= 16) x"""
+      FROM (SELECT frame, least(max(CASE WHEN grp = :donor THEN w END), max(CASE WHEN grp = :acceptor THEN w END)) AS mix FROM {weights} WHERE band = :band_a GROUP BY frame) m
+      CROSS JOIN {shifts} s
+      JOIN (SELECT a.frame, abs(a.e - b.e) AS gap FROM {energies} a JOIN {energies} b ON a.frame = b.frame WHERE a.state = :band_a AND b.state = :band_b) g ON g.frame = m.frame + s.shift
+      GROUP BY s.shift HAVING count(*) >= :overlap) x"""
 
 LOCAL_TABLE = f"""
-SELECT w.frame, max(abs(a.e - b.e)) AS gap, max(abs(n.v)) AS nac, max(CASE WHEN w.band = 0 AND w.grp = 'ga' THEN w.w END) AS a_ga, max(CASE WHEN w.band = 0 AND w.grp = 'gb' THEN w.w END) AS a_gb,
-       max(CASE WHEN w.band = 1 AND w.grp = 'ga' THEN w.w END) AS b_ga, max(CASE WHEN w.band = 1 AND w.grp = 'gb' THEN w.w END) AS b_gb,
-       max(CASE WHEN d.band = 0 THEN d.dominant END) AS dominant_a, max(CASE WHEN d.band = 1 THEN d.dominant END) AS dominant_b
-FROM {{weights}} w JOIN ({DOMINANT}) d ON d.frame = w.frame AND d.band = w.band JOIN {{energies}} a ON a.frame = w.frame AND a.state = 0 JOIN {{energies}} b ON b.frame = w.frame AND b.state = 1
-JOIN {{nac}} n ON n.frame = w.frame AND n.i = 0 AND n.j = 1 WHERE w.frame BETWEEN 10 AND 40 AND w.band IN (0, 1) GROUP BY w.frame"""
+SELECT w.frame, max(abs(a.e - b.e)) AS gap, max(abs(n.v)) AS nac, max(CASE WHEN w.band = :band_a AND w.grp = :donor THEN w.w END) AS a_ga, max(CASE WHEN w.band = :band_a AND w.grp = :acceptor THEN w.w END) AS a_gb,
+       max(CASE WHEN w.band = :band_b AND w.grp = :donor THEN w.w END) AS b_ga, max(CASE WHEN w.band = :band_b AND w.grp = :acceptor THEN w.w END) AS b_gb,
+       max(CASE WHEN d.band = :band_a THEN d.dominant END) AS dominant_a, max(CASE WHEN d.band = :band_b THEN d.dominant END) AS dominant_b
+FROM {{weights}} w JOIN ({DOMINANT}) d ON d.frame = w.frame AND d.band = w.band JOIN {{energies}} a ON a.frame = w.frame AND a.state = :band_a JOIN {{energies}} b ON b.frame = w.frame AND b.state = :band_b
+JOIN {{nac}} n ON n.frame = w.frame AND n.i = :band_a AND n.j = :band_b WHERE w.frame BETWEEN :first AND :last AND w.band IN (:band_a, :band_b) GROUP BY w.frame"""
 
 MANIFOLD = """
 SELECT a.frame, max(CASE WHEN a.state = 0 THEN a.e END) AS e0, max(CASE WHEN a.state = 1 THEN a.e END) AS e1, max(CASE WHEN a.state = 2 THEN a.e END) AS e2,
        max(CASE WHEN a.state = 0 AND b.state = 1 THEN abs(a.e - b.e) END) AS gap01, max(CASE WHEN a.state = 0 AND b.state = 2 THEN abs(a.e - b.e) END) AS gap02,
        max(CASE WHEN a.state = 1 AND b.state = 2 THEN abs(a.e - b.e) END) AS gap12, max(CASE WHEN n.i = 0 AND n.j = 1 THEN abs(n.v) END) AS nac01
 FROM {energies} a JOIN {energies} b ON a.frame = b.frame LEFT JOIN {nac} n ON n.frame = a.frame AND n.i = a.state AND n.j = b.state
-WHERE a.frame BETWEEN 10 AND 40 AND a.state <= 2 AND b.state <= 2 GROUP BY a.frame"""
+WHERE a.frame BETWEEN :first AND :last AND a.state <= 2 AND b.state <= 2 GROUP BY a.frame"""
 
 
-def episodes(weights, energies, nac):
-    return bind(EPISODES, weights=weights, energies=energies, nac=nac)
+def episodes(weights, energies, nac, **params):
+    return bind(EPISODES, params=params, weights=weights, energies=energies, nac=nac)

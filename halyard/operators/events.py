@@ -8,8 +8,6 @@ from __future__ import annotations
 from ..plans.template import bind
 from .character import DOMINANT
 
-GAP, COUPLING, EXCHANGE, MOVED = 0.05, 0.01, 0.25, 1e-3
-
 BAND_PAIRS = "SELECT band AS a, next AS b FROM (SELECT band, lead(band) OVER (ORDER BY band) AS next FROM (SELECT DISTINCT band FROM {weights}) x) y WHERE next IS NOT NULL"
 
 STEPS = f"""
@@ -23,8 +21,8 @@ WHERE frame0 IS NOT NULL GROUP BY band, frame, frame0"""
 FLAGS = f"""
 SELECT a.frame0, a.frame, p.a, p.b, a.before AS before_a, a.after AS after_a, b.before AS before_b, b.after AS after_b,
        greatest(a.change, b.change) AS change, abs(ea.e - eb.e) AS gap, abs(n.v) AS nac,
-       abs(ea.e - eb.e) <= {GAP} * factor AS small_gap, abs(n.v) >= {COUPLING} / factor AS strong_nac,
-       a.before <> a.after OR b.before <> b.after OR greatest(a.change, b.change) >= {EXCHANGE} / factor AS swap, factor
+       abs(ea.e - eb.e) <= :gap * factor AS small_gap, abs(n.v) >= :coupling / factor AS strong_nac,
+       a.before <> a.after OR b.before <> b.after OR greatest(a.change, b.change) >= :exchange / factor AS swap, factor
 FROM ({BAND_PAIRS}) p CROSS JOIN (SELECT 1.0D AS factor) z JOIN ({STEPS}) a ON a.band = p.a JOIN ({STEPS}) b ON b.band = p.b AND b.frame = a.frame
 LEFT JOIN {{energies}} ea ON ea.frame = a.frame AND ea.state = p.a LEFT JOIN {{energies}} eb ON eb.frame = a.frame AND eb.state = p.b
 LEFT JOIN {{nac}} n ON n.frame = a.frame AND n.i = p.a AND n.j = p.b"""
@@ -47,20 +45,20 @@ WHERE place = 1 AND frame0 IS NOT NULL AND frame <> frame0"""
 CLASSIFIED = f"""
 SELECT h, t, a, b, frame, grp, occ, chr, dp, change, gap, nac, swap, coalesce(small_gap, false) AS small_gap, coalesce(strong_nac, false) AS strong_nac,
        CASE WHEN swap AND dp IS NULL THEN 'character_swap_population_not_evaluated'
-            WHEN swap AND abs(dp) <= {MOVED} THEN 'character_swap_without_projected_fragment_change'
+            WHEN swap AND abs(dp) <= :moved THEN 'character_swap_without_projected_fragment_change'
             WHEN swap THEN 'character_swap_with_projected_fragment_change'
-            WHEN abs(dp) > {MOVED} THEN 'fragment_population_change_without_character_swap'
+            WHEN abs(dp) > :moved THEN 'fragment_population_change_without_character_swap'
             WHEN small_gap AND strong_nac THEN 'close_and_coupled_without_character_swap' ELSE 'flagged_metric_only' END AS classification,
-       CASE WHEN abs(occ) + abs(chr) <= {MOVED} THEN 'no_movement' WHEN abs(occ) / (abs(occ) + abs(chr)) >= 0.7 THEN 'occupation_dominated'
-            WHEN abs(occ) / (abs(occ) + abs(chr)) <= 0.3 THEN 'character_dominated' ELSE 'mixed' END AS descriptor
+       CASE WHEN abs(occ) + abs(chr) <= :moved THEN 'no_movement' WHEN abs(occ) / (abs(occ) + abs(chr)) >= :mostly THEN 'occupation_dominated'
+            WHEN abs(occ) / (abs(occ) + abs(chr)) <= :hardly THEN 'character_dominated' ELSE 'mixed' END AS descriptor
 FROM (SELECT s.h, s.t, p.a, p.b, s.frame, s.grp, s.occ, s.chr, s.dp, greatest(x.change, y.change) AS change, abs(ea.e - eb.e) AS gap, abs(n.v) AS nac,
-             x.dominant <> x.dominant0 OR y.dominant <> y.dominant0 OR greatest(x.change, y.change) >= {EXCHANGE} AS swap,
-             abs(ea.e - eb.e) <= {GAP} AS small_gap, abs(n.v) >= {COUPLING} AS strong_nac
+             x.dominant <> x.dominant0 OR y.dominant <> y.dominant0 OR greatest(x.change, y.change) >= :exchange AS swap,
+             abs(ea.e - eb.e) <= :gap AS small_gap, abs(n.v) >= :coupling AS strong_nac
       FROM {{steps}} s CROSS JOIN ({BAND_PAIRS}) p
       JOIN {{moves}} x ON x.frame0 = s.frame0 AND x.frame = s.frame AND x.band = p.a JOIN {{moves}} y ON y.frame0 = s.frame0 AND y.frame = s.frame AND y.band = p.b
       LEFT JOIN {{energies}} ea ON ea.frame = s.frame AND ea.state = p.a LEFT JOIN {{energies}} eb ON eb.frame = s.frame AND eb.state = p.b
       LEFT JOIN {{nac}} n ON n.frame = s.frame AND n.i = p.a AND n.j = p.b) z
-WHERE swap OR small_gap OR strong_nac OR abs(dp) > {MOVED}"""
+WHERE swap OR small_gap OR strong_nac OR abs(dp) > :moved"""
 
 #: How each band's character differs between the two frames of every step that some history takes.
 MOVES = f"""
@@ -74,13 +72,13 @@ DESCRIPTORS = "SELECT descriptor, count(*) AS n FROM {events} WHERE classificati
 
 TOTALS = """
 SELECT h, name, classification, count(*) AS n
-FROM (SELECT e.h, e.classification, coalesce(CASE WHEN e.t BETWEEN 2 AND 9 THEN 'early' WHEN e.t BETWEEN 15 AND 29 THEN 'late' END, 'outside') AS name FROM {events} e) x
+FROM (SELECT e.h, e.classification, w.name FROM {events} e JOIN {named_rows} w ON w.t = e.t) x
 GROUP BY GROUPING SETS ((h, classification), (classification), (name, classification))"""
 
 EARLY_LATE = """
 SELECT coalesce(e.classification, l.classification) AS classification, coalesce(e.n, 0) AS early, coalesce(l.n, 0) AS late, coalesce(l.n, 0) - coalesce(e.n, 0) AS change
-FROM (SELECT classification, count(*) AS n FROM {events} WHERE t BETWEEN 2 AND 9 GROUP BY classification) e
-FULL OUTER JOIN (SELECT classification, count(*) AS n FROM {events} WHERE t BETWEEN 15 AND 29 GROUP BY classification) l ON e.classification = l.classification"""
+FROM (SELECT e.classification, count(*) AS n FROM {events} e JOIN {windows} w ON w.name = :early AND e.t BETWEEN w.lo AND w.hi GROUP BY e.classification) e
+FULL OUTER JOIN (SELECT e.classification, count(*) AS n FROM {events} e JOIN {windows} w ON w.name = :late AND e.t BETWEEN w.lo AND w.hi GROUP BY e.classification) l ON e.classification = l.classification"""
 
 FACTORS = "(SELECT 0.5D AS factor UNION ALL SELECT 0.75D UNION ALL SELECT 1.0D UNION ALL SELECT 1.5D UNION ALL SELECT 2.0D) z"
 SENSITIVITY = (
@@ -99,12 +97,12 @@ FROM (SELECT frame, a, b, CASE WHEN before_a <> after_a THEN 1 ELSE 0 END + CASE
       FROM ({FLAGS}) f) x"""
 
 
-def frame_events(weights, energies, nac):
-    return bind(FRAME_EVENTS, weights=weights, energies=energies, nac=nac)
+def frame_events(weights, energies, nac, **params):
+    return bind(FRAME_EVENTS, params=params, weights=weights, energies=energies, nac=nac)
 
 
-def history_events(parts, rows_frames, weights, energies, nac):
+def history_events(parts, rows_frames, weights, energies, nac, **params):
     """Events of each history's own walk over the frames; a step that stays on its frame is none."""
-    steps = bind(HISTORY_STEPS, split=parts, rows_frames=rows_frames)
-    moves = bind(MOVES, steps=steps, weights=weights)
-    return bind(CLASSIFIED, steps=steps, moves=moves, weights=weights, energies=energies, nac=nac)
+    steps = bind(HISTORY_STEPS, params=params, split=parts, rows_frames=rows_frames)
+    moves = bind(MOVES, params=params, steps=steps, weights=weights)
+    return bind(CLASSIFIED, params=params, steps=steps, moves=moves, weights=weights, energies=energies, nac=nac)

@@ -16,18 +16,18 @@ SELECT i, j, sum(v) AS v FROM (SELECT dst AS i, src AS j, k AS v FROM {edges} UN
 
 # states with a path into state 3
 BACKWARD = """
-WITH RECURSIVE r(s) AS (SELECT 3 AS s UNION SELECT e.src FROM {edges} e JOIN r ON e.dst = r.s) SELECT DISTINCT s AS state FROM r"""
+WITH RECURSIVE r(s) AS (SELECT :target AS s UNION SELECT e.src FROM {edges} e JOIN r ON e.dst = r.s) SELECT DISTINCT s AS state FROM r"""
 BACKWARD_SPARK = """
-WITH RECURSIVE r(s, hops) AS (SELECT 3 AS s, 0 AS hops UNION ALL SELECT e.src, r.hops + 1 FROM {edges} e JOIN r ON e.dst = r.s WHERE r.hops < 4) SELECT DISTINCT s AS state FROM r"""
+WITH RECURSIVE r(s, hops) AS (SELECT :target AS s, 0 AS hops UNION ALL SELECT e.src, r.hops + 1 FROM {edges} e JOIN r ON e.dst = r.s WHERE r.hops < :n_bands - 1) SELECT DISTINCT s AS state FROM r"""
 FORWARD = """
-WITH RECURSIVE r(s) AS (SELECT 0 AS s UNION SELECT e.dst FROM {edges} e JOIN r ON e.src = r.s WHERE e.src <> 3) SELECT DISTINCT s AS state FROM r WHERE s <> 3"""
+WITH RECURSIVE r(s) AS (SELECT :source AS s UNION SELECT e.dst FROM {edges} e JOIN r ON e.src = r.s WHERE e.src <> :target) SELECT DISTINCT s AS state FROM r WHERE s <> :target"""
 FORWARD_SPARK = """
-WITH RECURSIVE r(s, hops) AS (SELECT 0 AS s, 0 AS hops UNION ALL SELECT e.dst, r.hops + 1 FROM {edges} e JOIN r ON e.src = r.s WHERE e.src <> 3 AND r.hops < 4) SELECT DISTINCT s AS state FROM r WHERE s <> 3"""
+WITH RECURSIVE r(s, hops) AS (SELECT :source AS s, 0 AS hops UNION ALL SELECT e.dst, r.hops + 1 FROM {edges} e JOIN r ON e.src = r.s WHERE e.src <> :target AND r.hops < :n_bands - 1) SELECT DISTINCT s AS state FROM r WHERE s <> :target"""
 
 LOCAL_RATIO = """
-SELECT src, CASE WHEN sum(CASE WHEN dst IN (3, 4) THEN 0 ELSE k END) > 0 THEN NULL ELSE sum(CASE WHEN dst = 3 THEN k ELSE 0 END) / sum(k) END AS ratio,
-       CASE WHEN sum(CASE WHEN dst IN (3, 4) THEN 0 ELSE k END) > 0 THEN 'other_exits' ELSE 'local' END AS reason
-FROM {edges} WHERE src NOT IN (3, 4) GROUP BY src"""
+SELECT src, CASE WHEN sum(CASE WHEN dst IN (:target, :other) THEN 0 ELSE k END) > 0 THEN NULL ELSE sum(CASE WHEN dst = :target THEN k ELSE 0 END) / sum(k) END AS ratio,
+       CASE WHEN sum(CASE WHEN dst IN (:target, :other) THEN 0 ELSE k END) > 0 THEN 'other_exits' ELSE 'local' END AS reason
+FROM {edges} WHERE src NOT IN (:target, :other) GROUP BY src"""
 
 RESIDUAL_COUNT = """
 SELECT h, (count(DISTINCT t) - 1) * (count(DISTINCT state) - CASE WHEN max(total) - min(total) <= 1e-5 THEN 1 ELSE 0 END) AS n_independent
@@ -46,14 +46,14 @@ FROM (SELECT h, sum(r * r) AS rss, count(*) AS n, 5 AS k FROM (SELECT p.h, p.p -
 
 NARRATIVE = """
 SELECT grp, early_net, late_net, early_peak, CASE WHEN abs(early_net) + abs(late_net) = 0 THEN NULL ELSE abs(early_net) / (abs(early_net) + abs(late_net)) END AS early_share,
-       CASE WHEN abs(early_net) >= 0.7 * (abs(early_net) + abs(late_net)) THEN 'early' WHEN abs(early_net) <= 0.3 * (abs(early_net) + abs(late_net)) THEN 'late' ELSE 'both' END AS when_it_moves,
+       CASE WHEN abs(early_net) >= :mostly * (abs(early_net) + abs(late_net)) THEN 'early' WHEN abs(early_net) <= :hardly * (abs(early_net) + abs(late_net)) THEN 'late' ELSE 'both' END AS when_it_moves,
        early_peak > late_peak AS overshoots
 FROM {regimes}"""
 
 FIT_STATUS = """
 SELECT h, CASE WHEN n_points < 5 THEN 'too_few_points' WHEN spread < 1e-6 THEN 'flat' WHEN last_fifth >= first_fifth THEN 'refused_rise' ELSE 'fit' END AS status
 FROM (SELECT h, count(*) AS n_points, max(p) - min(p) AS spread, avg(CASE WHEN t >= 24 THEN p END) AS last_fifth, avg(CASE WHEN t < 6 THEN p END) AS first_fifth
-      FROM {pop} WHERE state = 'click' GROUP BY h) a"""
+      FROM {pop} WHERE state = :target_state GROUP BY h) a"""
 
 # preparation -------------------------------------------------------------------------------
 
@@ -74,7 +74,7 @@ FROM (SELECT h, count(DISTINCT t) AS n_rows, count(DISTINCT state) AS n_states F
 
 CYCLE = """
 SELECT covered, declared, CASE WHEN covered = declared THEN 'agreed' WHEN covered < declared THEN 'not_covered' ELSE 'ambiguous' END AS proposal
-FROM (SELECT max(frame) AS covered FROM {weights} WHERE frame <= 20) a CROSS JOIN (SELECT max(frame) AS declared FROM {rows_frames}) b"""
+FROM (SELECT max(frame) AS covered FROM {weights} WHERE frame <= :period) a CROSS JOIN (SELECT max(frame) AS declared FROM {rows_frames}) b"""
 
 ATOM_CHECK = """
 SELECT i.ion, count(g.grp) AS n_groups, CASE count(g.grp) WHEN 1 THEN 'ok' WHEN 0 THEN 'missing' ELSE 'shared' END AS verdict
@@ -96,24 +96,24 @@ BASIS = "SELECT DISTINCT h, CASE WHEN h < 3 THEN 4 - h % 2 + 1 END AS basis_size
 LINES = "SELECT event_id, concat('  ', CAST(event_id AS VARCHAR(20)), '.5D-0', CAST(user_id % 7 AS VARCHAR(2)), '  1d+2 ! ', event_type, ' # x') AS line, concat(' ', CASE WHEN user_id % 4 = 0 THEN 'T' WHEN user_id % 4 = 1 THEN '42' WHEN user_id % 4 = 2 THEN '1.5D-3' ELSE event_type END, ' ') AS raw FROM {events_table}"
 
 LATTICE = """
-SELECT frame, scale, CASE WHEN scale > 0 THEN scale ELSE pow(-scale / volume, 1.0 / 3.0) END AS factor
-FROM (SELECT DISTINCT frame, CASE WHEN frame % 2 = 0 THEN 1.5 ELSE -8.0 END AS scale, 1.0 + frame AS volume FROM {weights}) a"""
+SELECT frame, scale, CASE WHEN scale > 0 THEN scale ELSE pow(-scale / volume, 1.0D / 3.0D) END AS factor
+FROM (SELECT DISTINCT frame, CASE WHEN frame % 2 = 0 THEN 1.5D ELSE -8.0D END AS scale, 1.0D + frame AS volume FROM {weights}) a"""
 
 MASS = f"""
-SELECT atom, CASE WHEN atom % 3 = 0 THEN 'C' WHEN atom % 3 = 1 THEN 'H' ELSE 'O' END AS symbol, CASE WHEN atom % 3 = 0 THEN 12.011 WHEN atom % 3 = 1 THEN 1.008 ELSE 15.999 END AS mass
+SELECT atom, CASE WHEN atom % 3 = 0 THEN 'C' WHEN atom % 3 = 1 THEN 'H' ELSE 'O' END AS symbol, CASE WHEN atom % 3 = 0 THEN 12.011D WHEN atom % 3 = 1 THEN 1.008D ELSE 15.999D END AS mass
 FROM (SELECT DISTINCT atom FROM {{traj}}) a"""
 
 # checks of single steps in files, as relations ---------------------------------------------------
 
 JUMPS = """
 SELECT band, frame, de FROM (SELECT state AS band, frame, e - lag(e) OVER (PARTITION BY state ORDER BY frame) AS de, frame - lag(frame) OVER (PARTITION BY state ORDER BY frame) AS step FROM {energies}) a
-WHERE step = 1 AND abs(de) >= 0.3"""
+WHERE step = 1 AND abs(de) >= :jump"""
 
 SHIFT_SCORE = """
 SELECT frame, PCT(abs(de), 0.5) AS median_shift, max(abs(de)) AS most_shift, greatest(count_if(de > 1e-6), count_if(de < -1e-6)) / CAST(nullif(count_if(abs(de) > 1e-6), 0) AS DOUBLE) AS same_sign
 FROM (SELECT frame, e - lag(e) OVER (PARTITION BY state ORDER BY frame) AS de FROM {energies}) a WHERE de IS NOT NULL GROUP BY frame"""
 
-COMMON_MODE = f"SELECT frame, median_shift, same_sign FROM ({SHIFT_SCORE}) s WHERE median_shift >= 0.1 AND same_sign >= 0.8"
+COMMON_MODE = f"SELECT frame, median_shift, same_sign FROM ({SHIFT_SCORE}) s WHERE median_shift >= :common_shift AND same_sign >= :common_share"
 
 CENTROID = """
 SELECT w.frame, w.grp, sum(e.e * w.w) / sum(w.w) AS centroid, sqrt(greatest(sum(e.e * e.e * w.w) / sum(w.w) - pow(sum(e.e * w.w) / sum(w.w), 2), 0)) AS spread
@@ -121,11 +121,11 @@ FROM {weights} w JOIN {energies} e ON e.frame = w.frame AND e.state = w.band GRO
 
 GAP_SUMMARY = """
 SELECT a.state AS i, b.state AS j, min(abs(a.e - b.e)) * 1000 AS gap_mev, min_by(a.frame, abs(a.e - b.e)) AS frame
-FROM {energies} a JOIN {energies} b ON a.frame = b.frame AND b.state = a.state + 1 WHERE a.frame BETWEEN 10 AND 40 GROUP BY a.state, b.state"""
+FROM {energies} a JOIN {energies} b ON a.frame = b.frame AND b.state = a.state + 1 WHERE a.frame BETWEEN :first AND :last GROUP BY a.state, b.state"""
 
 FRAGMENT_RULE = """
 SELECT atom, symbol, CASE WHEN symbol = 'C' AND place <= 3 THEN 'lattice' WHEN symbol = 'C' AND place <= 5 THEN 'donor' WHEN symbol IN ('C', 'O') THEN 'acceptor' ELSE 'lattice' END AS fragment
 FROM (SELECT atom, symbol, row_number() OVER (PARTITION BY symbol ORDER BY atom) AS place FROM {atoms}) a"""
 
 NEIGHBOURHOOD = """
-SELECT w.frame, w.band, w.grp, (w.w + 1e-15) / sum(w.w + 1e-15) OVER (PARTITION BY w.frame, w.band) AS w FROM {weights} w WHERE w.frame BETWEEN 30 - 5 AND 30 + 5"""
+SELECT w.frame, w.band, w.grp, (w.w + 1e-15) / sum(w.w + 1e-15) OVER (PARTITION BY w.frame, w.band) AS w FROM {weights} w WHERE w.frame BETWEEN :first AND :last"""

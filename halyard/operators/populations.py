@@ -26,17 +26,16 @@ FROM ({FILE_GROUPS}) f GROUP BY t, grp"""
 
 UNGROUPED = """
 SELECT DISTINCT p.state FROM {pop} p
-WHERE NOT EXISTS (SELECT 1 FROM {state_groups} g WHERE g.state = p.state AND g.grp <> 'donor')"""
+WHERE NOT EXISTS (SELECT 1 FROM {state_groups} g WHERE g.state = p.state)"""
 
 COVERAGE = """
-SELECT c.h, c.n_rows, c.n_distinct, c.n_rows = c.n_distinct AND c.n_rows = m.longest AS complete
-FROM (SELECT h, count(*) AS n_rows, count(DISTINCT t) AS n_distinct FROM (SELECT DISTINCT h, t, state FROM {pop}) a
-      WHERE state = 'view' GROUP BY h) c
-CROSS JOIN (SELECT count(DISTINCT t) AS longest FROM {pop}) m"""
+SELECT c.h, c.n_cells, c.n_rows, c.n_cells = m.longest * m.n_states AND c.n_rows = m.longest AS complete
+FROM (SELECT h, count(*) AS n_cells, count(DISTINCT t) AS n_rows FROM {pop} GROUP BY h) c
+CROSS JOIN (SELECT count(DISTINCT t) AS longest, count(DISTINCT state) AS n_states FROM {pop}) m"""
 
 SURVIVAL = """
 SELECT t, avg(alive) AS survival, stddev_samp(alive) / sqrt(count(*)) AS sem
-FROM (SELECT h, t, 1 - sum(CASE WHEN state = 'view' THEN p ELSE 0 END) AS alive FROM {pop} GROUP BY h, t) a GROUP BY t"""
+FROM (SELECT h, t, 1 - sum(CASE WHEN state = :recombined THEN p ELSE 0 END) AS alive FROM {pop} GROUP BY h, t) a GROUP BY t"""
 
 TRAPEZOID = """
 SELECT grp, sum(0.5 * (y + y0) * (t - t0)) AS integral
@@ -64,21 +63,21 @@ GROUP BY grp, name HAVING count(*) >= 2"""
 REGIMES = """
 SELECT e.grp, e.mean AS early_mean, l.mean AS late_mean, e.peak AS early_peak, l.peak AS late_peak,
        CASE WHEN l.peak > 0 THEN e.peak / l.peak END AS peak_ratio, e.net AS early_net, l.net AS late_net,
-       coalesce(e.peak / nullif(l.peak, 0) > 1.5 AND abs(l.net) < 0.02, false) AS transient_only
-FROM {metrics} e JOIN {metrics} l ON e.grp = l.grp WHERE e.name = 'early' AND l.name = 'late'"""
+       coalesce(e.peak / nullif(l.peak, 0) > :peak_ratio AND abs(l.net) < :still, false) AS transient_only
+FROM {metrics} e JOIN {metrics} l ON e.grp = l.grp WHERE e.name = :early AND l.name = :late"""
 
 CONSERVATION = """
-SELECT min(total) AS least, max(total) AS most, avg(total) AS mean, max(abs(1 - total)) AS deviation, max(abs(1 - total)) <= 1e-5 AS conserved
+SELECT min(total) AS least, max(total) AS most, avg(total) AS mean, max(abs(1 - total)) AS deviation, max(abs(1 - total)) <= :conserved AS conserved
 FROM (SELECT h, t, sum(p) AS total FROM {pop} GROUP BY h, t) a"""
 
 TALLY = """
 SELECT h, min(low) AS least, max(high) AS most, min(total) AS least_total, max(total) AS most_total,
-       min(low) >= -1e-5 AND max(high) <= 1 + 1e-5 AND max(abs(1 - total)) <= 1e-5 AS valid
+       min(low) >= -:conserved AND max(high) <= 1 + :conserved AND max(abs(1 - total)) <= :conserved AS valid
 FROM (SELECT h, t, min(p) AS low, max(p) AS high, sum(p) AS total FROM {pop} GROUP BY h, t) a GROUP BY h"""
 
 UNIFORMITY = """
 SELECT h, avg(step) AS mean_step, min(step) AS least_step, max(step) AS most_step,
-       (max(step) - min(step)) / avg(step) AS spread, (max(step) - min(step)) / avg(step) <= 1e-6 AS is_uniform
+       (max(step) - min(step)) / avg(step) AS spread, (max(step) - min(step)) / avg(step) <= :uniform AS is_uniform
 FROM (SELECT h, CAST(t - lag(t) OVER (PARTITION BY h ORDER BY t) AS DOUBLE) AS step FROM (SELECT DISTINCT h, t FROM {pop}) g) a
 GROUP BY h"""
 
@@ -97,7 +96,7 @@ TIME_UNITS = "SELECT DISTINCT t, t / 1e6 AS from_fs, t / 1e3 AS from_ps, t / 1e0
 
 RESOLVED = """
 SELECT name, coalesce(lo, first_t) AS lo, coalesce(hi, last_t) AS hi, count(*) AS n_rows
-FROM (SELECT w.name, CASE WHEN w.name = 'early' THEN NULL ELSE w.lo END AS lo, CASE WHEN w.name = 'late' THEN NULL ELSE w.hi END AS hi FROM {windows} w) w
+FROM {windows} w
 CROSS JOIN (SELECT min(t) AS first_t, max(t) AS last_t FROM {pop}) e
 JOIN (SELECT DISTINCT t FROM {pop}) g ON g.t BETWEEN coalesce(lo, first_t) AND coalesce(hi, last_t)
 GROUP BY name, coalesce(lo, first_t), coalesce(hi, last_t)"""
@@ -105,33 +104,33 @@ GROUP BY name, coalesce(lo, first_t), coalesce(hi, last_t)"""
 FIRST_WINDOW = """
 SELECT t, coalesce(name, 'outside') AS name
 FROM (SELECT g.t, w.name, row_number() OVER (PARTITION BY g.t ORDER BY w.ord) AS place
-      FROM (SELECT DISTINCT t FROM {pop}) g LEFT JOIN (SELECT * FROM {windows} WHERE name <> 'all') w ON g.t BETWEEN w.lo AND w.hi) a
+      FROM (SELECT DISTINCT t FROM {pop}) g LEFT JOIN {windows} w ON g.t BETWEEN w.lo AND w.hi) a
 WHERE place = 1"""
 
 SWEEP = """
-SELECT h AS k, 0.01D * pow(100.0D / 0.01D, h / 3.0D) AS rate FROM (SELECT DISTINCT h FROM {pop}) a"""
+SELECT k, :low_rate * pow(:high_rate / :low_rate, k / CAST(:n_rates - 1 AS DOUBLE)) AS rate FROM {counts} WHERE k < :n_rates"""
 
 
-def ensemble(pop: DataFrame) -> DataFrame:
+def ensemble(pop: DataFrame, **params) -> DataFrame:
     """t, state, mean, sem, n: equal weight for each history; sem is null for one history."""
-    return bind(ENSEMBLE, pop=pop)
+    return bind(ENSEMBLE, params=params, pop=pop)
 
 
-def file_groups(pop: DataFrame, state_groups: DataFrame) -> DataFrame:
-    return bind(FILE_GROUPS, pop=pop, state_groups=F.broadcast(state_groups))
+def file_groups(pop: DataFrame, state_groups: DataFrame, **params) -> DataFrame:
+    return bind(FILE_GROUPS, params=params, pop=pop, state_groups=F.broadcast(state_groups))
 
 
-def group_series(pop: DataFrame, state_groups: DataFrame) -> DataFrame:
-    return bind(GROUP_SERIES, pop=pop, state_groups=F.broadcast(state_groups))
+def group_series(pop: DataFrame, state_groups: DataFrame, **params) -> DataFrame:
+    return bind(GROUP_SERIES, params=params, pop=pop, state_groups=F.broadcast(state_groups))
 
 
-def trapezoid(series: DataFrame) -> DataFrame:
-    return bind(TRAPEZOID, series=series)
+def trapezoid(series: DataFrame, **params) -> DataFrame:
+    return bind(TRAPEZOID, params=params, series=series)
 
 
-def window_metrics(series: DataFrame, windows: DataFrame) -> DataFrame:
+def window_metrics(series: DataFrame, windows: DataFrame, **params) -> DataFrame:
     """Nine metrics of each group in each window; the window is cut before any difference."""
-    return bind(WINDOW_METRICS, series=series, windows=F.broadcast(windows))
+    return bind(WINDOW_METRICS, params=params, series=series, windows=F.broadcast(windows))
 
 
 def flat_metrics(metrics: DataFrame, groups: list[str], fields: list[str]) -> DataFrame:
@@ -139,17 +138,17 @@ def flat_metrics(metrics: DataFrame, groups: list[str], fields: list[str]) -> Da
     return metrics.groupBy("name").pivot("grp", groups).agg(*[F.first(f).alias(f) for f in fields])
 
 
-def regimes(metrics: DataFrame) -> DataFrame:
-    return bind(REGIMES, metrics=metrics)
+def regimes(metrics: DataFrame, **params) -> DataFrame:
+    return bind(REGIMES, params=params, metrics=metrics)
 
 
-def check_population(pop: DataFrame) -> DataFrame:
+def check_population(pop: DataFrame, **params) -> DataFrame:
     """pop, or an error that names what is wrong: shares outside [0, 1], totals that are not
     conserved, grids that differ."""
-    bad = bind(TALLY, pop=pop).filter("not valid").count()
+    bad = bind(TALLY, params=params, pop=pop).filter("not valid").count()
     if bad:
         raise ValueError(f"{bad} histories hold shares outside [0, 1] or totals other than 1")
-    odd = bind(SAME_GRID, pop=pop).filter("not shared").count()
+    odd = bind(SAME_GRID, params=params, pop=pop).filter("not shared").count()
     if odd:
         raise ValueError(f"{odd} rows of the grid are not in every history")
     return pop

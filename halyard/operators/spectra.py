@@ -18,73 +18,68 @@ SELECT frame, atom, dx - EVEN(dx) AS vx, dy - EVEN(dy) AS vy, dz - EVEN(dz) AS v
 FROM (SELECT frame, atom, lead(x) OVER (PARTITION BY atom ORDER BY frame) - x AS dx, lead(y) OVER (PARTITION BY atom ORDER BY frame) - y AS dy,
              lead(z) OVER (PARTITION BY atom ORDER BY frame) - z AS dz FROM {traj}) a WHERE dx IS NOT NULL"""
 
-MASSES = "CASE WHEN atom % 3 = 0 THEN 12.011 WHEN atom % 3 = 1 THEN 1.008 ELSE 15.999 END"
-
-COM_REMOVED = f"""
+COM_REMOVED = """
 SELECT frame, atom, m, vx - sum(m * vx) OVER (PARTITION BY frame) / sum(m) OVER (PARTITION BY frame) AS vx,
        vy - sum(m * vy) OVER (PARTITION BY frame) / sum(m) OVER (PARTITION BY frame) AS vy, vz - sum(m * vz) OVER (PARTITION BY frame) / sum(m) OVER (PARTITION BY frame) AS vz
-FROM (SELECT *, CAST({MASSES} AS DOUBLE) AS m FROM {{velocities}}) a"""
+FROM (SELECT v.*, a.mass AS m FROM {velocities} v JOIN {atoms} a ON a.atom = v.atom) x"""
 
 VACF = """
 SELECT CAST(lag AS INT) AS lag, sum(m * c) / sum(m) AS vacf
 FROM (SELECT a.atom, max(a.m) AS m, b.frame - a.frame AS lag, avg(a.vx * b.vx + a.vy * b.vy + a.vz * b.vz) AS c
-      FROM {moving} a JOIN {moving} b ON a.atom = b.atom AND b.frame BETWEEN a.frame AND a.frame + 9 GROUP BY a.atom, b.frame - a.frame) x GROUP BY lag"""
+      FROM {moving} a JOIN {moving} b ON a.atom = b.atom AND b.frame BETWEEN a.frame AND a.frame + :max_lag GROUP BY a.atom, b.frame - a.frame) x GROUP BY lag"""
 
 SEGMENTED = """
 SELECT lag, avg(c) AS vacf, count(*) AS n_segments
 FROM (SELECT segment, CAST(b_frame - a_frame AS INT) AS lag, avg(c) AS c
-      FROM (SELECT CAST(floor((a.frame - 1) / 100) AS INT) AS segment, a.frame AS a_frame, b.frame AS b_frame, a.vx * b.vx + a.vy * b.vy + a.vz * b.vz AS c
-            FROM {moving} a JOIN {moving} b ON a.atom = b.atom AND b.frame BETWEEN a.frame AND a.frame + 9 AND floor((a.frame - 1) / 100) = floor((b.frame - 1) / 100)) y
+      FROM (SELECT CAST(floor((a.frame - 1) / :segment) AS INT) AS segment, a.frame AS a_frame, b.frame AS b_frame, a.vx * b.vx + a.vy * b.vy + a.vz * b.vz AS c
+            FROM {moving} a JOIN {moving} b ON a.atom = b.atom AND b.frame BETWEEN a.frame AND a.frame + :max_lag AND floor((a.frame - 1) / :segment) = floor((b.frame - 1) / :segment)) y
       GROUP BY segment, b_frame - a_frame) z GROUP BY lag"""
 
 TAPERED = """
-SELECT lag, vacf, vacf * (0.5 - 0.5 * cos(2 * pi() * lag / 9.0)) AS hann, vacf * (0.54 - 0.46 * cos(2 * pi() * lag / 9.0)) AS hamming FROM {vacf}"""
+SELECT lag, vacf, vacf * (0.5 - 0.5 * cos(2 * pi() * lag / CAST(:max_lag AS DOUBLE))) AS hann, vacf * (0.54 - 0.46 * cos(2 * pi() * lag / CAST(:max_lag AS DOUBLE))) AS hamming FROM {vacf}"""
 
 DIAGNOSTICS = """
 SELECT min(CASE WHEN vacf <= 0 THEN lag END) AS zero_crossing, sum(coalesce(0.5 * (norm + norm0), 0)) AS correlation_time
 FROM (SELECT lag, vacf, vacf / first_value(vacf) OVER (ORDER BY lag) AS norm, lag(vacf) OVER (ORDER BY lag) / first_value(vacf) OVER (ORDER BY lag) AS norm0 FROM {vacf}) a"""
 
 COSINE = f"""
-SELECT k, k * {INV_FS_TO_CM1}D / 10.0 AS f_cm1, 2 * sum(vacf * cos(2 * pi() * k * lag / 10.0)) - min_by(vacf, lag) AS intensity
-FROM {{vacf}} CROSS JOIN (SELECT DISTINCT lag AS k FROM {{vacf}} WHERE lag BETWEEN 1 AND 5) f GROUP BY k"""
+SELECT k, k * {INV_FS_TO_CM1}D / CAST(:max_lag + 1 AS DOUBLE) AS f_cm1, 2 * sum(vacf * cos(2 * pi() * k * lag / CAST(:max_lag + 1 AS DOUBLE))) - min_by(vacf, lag) AS intensity
+FROM {{vacf}} CROSS JOIN (SELECT DISTINCT lag AS k FROM {{vacf}} WHERE lag BETWEEN 1 AND (:max_lag + 1) / 2) f GROUP BY k"""
 
 BAND_INTEGRAL = """
 SELECT label, CASE WHEN count(*) < 2 THEN NULL ELSE sum(coalesce(0.5 * (y + y0) * (f - f0), 0)) END AS integral,
        CASE WHEN min(y) < 0 OR sum(y) <= 0 THEN NULL ELSE sum(coalesce(0.5 * (y * f + y0 * f0) * (f - f0), 0)) / sum(coalesce(0.5 * (y + y0) * (f - f0), 0)) END AS centroid,
        count_if(y < 0) AS n_negative
-FROM (SELECT label, f, y, lag(y) OVER (PARTITION BY label ORDER BY f) AS y0, lag(f) OVER (PARTITION BY label ORDER BY f) AS f0 FROM {spectrum} WHERE f BETWEEN 5 AND 40) a GROUP BY label"""
+FROM (SELECT label, f, y, lag(y) OVER (PARTITION BY label ORDER BY f) AS y0, lag(f) OVER (PARTITION BY label ORDER BY f) AS f0 FROM {spectrum} WHERE f BETWEEN :low AND :high) a GROUP BY label"""
 
 COMPARED = """
-SELECT a.label, max(abs(a.f - b.f)) AS grid_difference, max(abs(a.f - b.f)) <= 1e-6 AS shared, sum(a.y) / sum(b.y) AS ratio, sum(a.y - b.y) AS difference
-FROM {spectrum} a JOIN {spectrum} b ON a.f = b.f WHERE b.label = 0 GROUP BY a.label"""
+SELECT a.label, max(abs(a.f - b.f)) AS grid_difference, max(abs(a.f - b.f)) <= :grid AS shared, sum(a.y) / sum(b.y) AS ratio, sum(a.y - b.y) AS difference
+FROM {spectrum} a JOIN {spectrum} b ON a.f = b.f WHERE b.label = :reference_label GROUP BY a.label"""
 
 PEAKS = """
 SELECT label, f, y FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY y DESC, f) AS place
   FROM (SELECT label, f, y, lag(y) OVER (PARTITION BY label ORDER BY f) AS before, lead(y) OVER (PARTITION BY label ORDER BY f) AS after, max(y) OVER (PARTITION BY label) AS top FROM {spectrum}) a
-  WHERE y > before AND y > after AND y >= 0.1 * top) b WHERE place <= 8"""
+  WHERE y > before AND y > after AND y >= :rel_height * top) b WHERE place <= :max_peaks"""
 
 SMOOTH = """
 SELECT s.label, s.idx, sum(r.y * k.weight) / sum(k.weight) AS y
 FROM {indexed} s CROSS JOIN {kernel} k
-JOIN {indexed} r ON r.label = s.label AND r.idx = CASE WHEN s.idx + k.offset < 0 THEN -(s.idx + k.offset) - 1 WHEN s.idx + k.offset >= 64 THEN 127 - (s.idx + k.offset) ELSE s.idx + k.offset END
+JOIN {indexed} r ON r.label = s.label AND r.idx = CASE WHEN s.idx + k.offset < 0 THEN -(s.idx + k.offset) - 1 WHEN s.idx + k.offset >= :length THEN 2 * :length - 1 - (s.idx + k.offset) ELSE s.idx + k.offset END
 GROUP BY s.label, s.idx"""
 
-SPECTRUM = "SELECT CAST(band AS INT) AS label, CAST(ion AS DOUBLE) AS f, tot AS y FROM {ions} WHERE frame = 1"
-INDEXED = "(SELECT CAST(band AS INT) AS label, ion - 1 AS idx, tot AS y FROM {ions} WHERE frame = 1)"
-KERNEL = "(SELECT DISTINCT ord AS z, ion - 9 AS offset, exp(-0.5 * (ion - 9) * (ion - 9) / 4.0) AS weight FROM {ion_groups} WHERE ion <= 17)"
-
 
-def velocities(traj: DataFrame) -> DataFrame:
-    return bind(VELOCITIES.replace("EVEN(", "bround("), traj=traj)
+def velocities(traj: DataFrame, **params) -> DataFrame:
+    return bind(VELOCITIES, params=params, traj=traj)
 
 
-def moving(traj: DataFrame) -> DataFrame:
-    return bind(COM_REMOVED, velocities=velocities(traj))
+def moving(traj: DataFrame, atoms: DataFrame, **params) -> DataFrame:
+    """Velocities without the centre of mass; atoms(atom, mass), one row each, is broadcast."""
+    return bind(COM_REMOVED, params=params, velocities=velocities(traj), atoms=F.broadcast(atoms))
 
 
-def vacf(moved: DataFrame) -> DataFrame:
+def vacf(moved: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     """Mass-weighted velocity autocorrelation by a lag join on the atom."""
-    return bind(VACF, moving=moved)
+    return bind(VACF, params={"max_lag": max_lag - 1}, moving=moved)
 
 
 def vacf_fft(moved: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:

@@ -21,18 +21,14 @@ LEFT JOIN (SELECT h, high, low, count(DISTINCT block) AS n
                  FROM {pairs} p CROSS JOIN {levels} k) x
            WHERE block > 0 AND d <= low AND a >= low GROUP BY h, high, low) e ON e.h = g.h AND e.high = g.high AND e.low = g.low"""
 
-PAIRS = """
-SELECT h, t, sum(CASE WHEN state IN ('view', 'signup') THEN p ELSE 0 END) AS d, sum(CASE WHEN state IN ('click', 'purchase') THEN p ELSE 0 END) AS a FROM {pop} GROUP BY h, t"""
-LEVELS = "(SELECT 0.5D AS high, 0.4D AS low UNION ALL SELECT 0.45D, 0.35D UNION ALL SELECT 0.42D, 0.4D)"
 
-
-def continuous_change(pairs: DataFrame) -> DataFrame:
+def continuous_change(pairs: DataFrame, **params) -> DataFrame:
     """pairs(h, t, d, a): donor and acceptor shares."""
-    return bind(CONTINUOUS, pairs=pairs)
+    return bind(CONTINUOUS, params=params, pairs=pairs)
 
 
-def threshold_events(pairs: DataFrame, levels: DataFrame) -> DataFrame:
+def threshold_events(pairs: DataFrame, levels: DataFrame, **params) -> DataFrame:
     """Events of a re-arming counter: armed at d >= high, counted at d <= low with a >= low."""
     if levels.filter("low >= high").count():
         raise ValueError("a low threshold must be below its high threshold")
-    return bind(THRESHOLDS, pairs=pairs, levels=levels)
+    return bind(THRESHOLDS, params=params, pairs=pairs, levels=levels)

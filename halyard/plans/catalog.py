@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..adapters import Views
 from ..operators import audit, character, ensemble, episodes, events, network, populations, spectra, transfer
 from . import registry
-from .template import bind
+from .template import bind, with_literals
 
 #: Inputs that are themselves plans over the adapter views, as SQL for both engines.
 DERIVED = {
@@ -21,14 +21,25 @@ DERIVED = {
     "events": events.CLASSIFIED,
     "histories": ensemble.HISTORY,
     "passes": ensemble.PER_PASS,
-    "pairs": transfer.PAIRS,
-    "levels": f"SELECT * FROM {transfer.LEVELS}",
+    "pairs": "SELECT h, t, sum(CASE WHEN state IN ('view', 'signup') THEN p ELSE 0 END) AS d, sum(CASE WHEN state IN ('click', 'purchase') THEN p ELSE 0 END) AS a FROM {pop} GROUP BY h, t",
+    "levels": "SELECT 0.5D AS high, 0.4D AS low UNION ALL SELECT 0.45D, 0.35D UNION ALL SELECT 0.42D, 0.4D",
+    "some_groups": "SELECT state, grp FROM {state_groups} WHERE grp <> 'donor'",
+    "open_windows": "SELECT name, ord, CASE WHEN name = 'early' THEN NULL ELSE lo END AS lo, CASE WHEN name = 'late' THEN NULL ELSE hi END AS hi FROM {windows}",
+    "two_windows": "SELECT * FROM {windows} WHERE name <> 'all'",
+    "named_rows": populations.FIRST_WINDOW.replace("{windows}", "{two_windows}"),
+    "counts": "SELECT DISTINCT band AS k FROM {pop}",
+    "starts": "SELECT DISTINCT h, 1 + 7 * h AS start FROM {pop}",
+    "required": "SELECT DISTINCT frame + 90 AS frame FROM {rows_frames}",
+    "shifts": "SELECT DISTINCT CAST(atom AS INT) - 8 AS shift FROM {traj} WHERE atom <= 16",
+    "frame_windows": "SELECT name, CASE name WHEN 'early' THEN 3 ELSE 7 END AS lo, CASE name WHEN 'early' THEN 8 ELSE 16 END AS hi FROM {two_windows}",
+    "first_run": "SELECT DISTINCT t FROM {runs} WHERE run = 'A' AND t < 25",
+    "second_run": "SELECT DISTINCT t FROM {runs} WHERE run = 'B' AND t >= 3",
     "velocities": spectra.VELOCITIES,
     "moving": spectra.COM_REMOVED,
     "vacf": spectra.VACF,
-    "spectrum": spectra.SPECTRUM,
-    "indexed": f"SELECT * FROM {spectra.INDEXED}",
-    "kernel": f"SELECT * FROM {spectra.KERNEL}",
+    "spectrum": "SELECT CAST(band AS INT) AS label, CAST(ion AS DOUBLE) AS f, tot AS y FROM {ions} WHERE frame = 1",
+    "indexed": "SELECT CAST(band AS INT) AS label, ion - 1 AS idx, tot AS y FROM {ions} WHERE frame = 1",
+    "kernel": "SELECT ion - 9 AS offset, exp(-0.5 * (ion - 9) * (ion - 9) / 4.0) AS weight FROM {ion_groups} WHERE ion <= 17",
     "edges": network.EDGES,
     "regimes": populations.REGIMES,
     "unlabelled": network.UNLABELLED,
@@ -52,7 +63,7 @@ class _Plans:
     def get(self, name: str):
         if name not in self.built:
             if name in DERIVED:
-                sql = DERIVED[name].replace("EVEN(", "bround(")
+                sql = DERIVED[name]
                 self.built[name] = bind(sql, self.views.spark, **{k: self.get(k) for k in _inputs(sql)})
             else:
                 self.built[name] = getattr(self.views, name)
@@ -77,33 +88,40 @@ def _duck(sql: str) -> tuple[str, list[str]]:
     body = sql
     if ctes:
         body = "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in ctes.items()) + "\n" + sql
-    return body.replace("EVEN(", "round_even_0("), bases
+    return with_literals(body), bases
 
 
 def plan(name: str, sql: str, doubles: str = "", duck: str | None = None) -> None:
     """Register one SQL plan; duck: the independent engine's text where it has to differ."""
     text, bases = _duck(duck or sql)
-    # a parenthesised even rounding is the same in both engines, to zero places
-    text = _even(text)
 
     def run(views: Views):
         plans = _Plans(views)
-        body = sql.replace("EVEN(", "bround(")
-        return bind(body, views.spark, **{k: plans.get(k) for k in _inputs(body)})
+        return bind(sql, views.spark, **{k: plans.get(k) for k in _inputs(sql)})
 
     registry.register(name, run, " ".join(bases), _for_duck(text), doubles)
 
 
-def _even(text: str) -> str:
-    import re
-
-    return re.sub(r"round_even_0\((\w+)\)", r"round_even(\1, 0)", text)
+def _whole_counts(text: str) -> str:
+    """count_if gives a wider integer there."""
+    out, at = "", 0
+    while (k := text.find("count_if(", at)) >= 0:
+        depth, end = 1, k + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        inner = _whole_counts(text[k + len("count_if(") : end - 1])
+        out += text[at:k] + f"CAST(count_if({inner}) AS BIGINT)"
+        at = end
+    return out + text[at:]
 
 
 def _for_duck(text: str) -> str:
     """Literals of the double type and a few names are spelt differently."""
     import re
 
+    text = _whole_counts(text)
+    text = re.sub(r"EVEN\((\w+)\)", r"round_even(\1, 0)", text)
     text = re.sub(r"(\d+(?:\.\d+)?(?:e-?\d+)?)D\b", r"CAST(\1 AS DOUBLE)", text)
     text = re.sub(r"(?<![\w.'(])(\d+\.\d+)(?![\w'])", r"CAST(\1 AS DOUBLE)", text)
     return text.replace("FROM {weights} w LEFT SEMI JOIN", "FROM {weights} w SEMI JOIN")
@@ -117,11 +135,11 @@ plan("O055_thinned_curve", N.THINNED.replace("{series}", "{mean_series}"), "mean
 plan("O056_time_units", P.TIME_UNITS, "from_fs from_ps from_ns")
 plan("O057_nac_units", A.TO_MEV, "mev")
 plan("O058_energy_scales", A.SCALES, "ev mev cm1")
-plan("O062_window_resolve", P.RESOLVED)
+plan("O062_window_resolve", P.RESOLVED.replace("{windows}", "{open_windows}"))
 plan("O064_rate_sweep", P.SWEEP, "rate")
 plan("O065_band_pairs", E.BAND_PAIRS)
-plan("O066_ungrouped_states", P.UNGROUPED)
-plan("O067_cyclic_frames", "SELECT h, t, frame FROM {rows_frames}")
+plan("O066_ungrouped_states", P.UNGROUPED.replace("{state_groups}", "{some_groups}"))
+plan("O067_cyclic_frames", C.CYCLIC)
 plan("O067_linear_frames", C.LINEAR)
 plan("O068_grid_uniformity", P.UNIFORMITY, "mean_step least_step most_step spread")
 plan("O071_step_verdict", N.STEP_VERDICT)
@@ -136,7 +154,7 @@ plan("O082_fragment_weights", "SELECT frame, band, grp, w, captured, total FROM
 plan("O083_file_groups", P.FILE_GROUPS, "value")
 plan("O084_event_flags", E.FLAGS, "change gap nac factor")
 plan("O085_history_steps", E.HISTORY_STEPS, "occ chr dp")
-plan("O086_first_window", P.FIRST_WINDOW)
+plan("O086_first_window", P.FIRST_WINDOW.replace("{windows}", "{two_windows}"))
 plan("O087_episode_response", N.PER_PASS, "occ chr net")
 plan("O088_shared_times", N.SHARED_TIMES)
 plan("O089_alignment_scan", X.ALIGNMENT, "score")
@@ -294,7 +312,7 @@ def _vacf_fft(views: Views):
 
 
 _text, _bases = _duck(S.VACF)
-registry.register("O223_vacf_fft", _vacf_fft, " ".join(_bases), _for_duck(_even(_duck(S.VACF)[0])), "vacf")
+registry.register("O223_vacf_fft", _vacf_fft, " ".join(_bases), _for_duck(_text), "vacf")
 
 
 # fits and first passage: no SQL; tests hold them to closed forms ----------------------------------

@@ -196,5 +196,13 @@ def test_passes_without_a_step_count(spark):
     split = spark.createDataFrame([(0, t, "ga", 0.0, 1.0, 0.0) for t in range(60)], "h int, t int, grp string, pg double, occ double, chr double")
     # frames 3 to 8 are visited in the first and third pass only
     visits = spark.createDataFrame([(0, t, (t % 20) + 1 if t // 20 != 1 else 20) for t in range(60)], "h int, t int, frame int")
-    found = {r["name"]: r for r in bind(ensemble.PER_PASS, split=split, rows_frames=visits).collect()}
+    windows = spark.createDataFrame([("near", 3, 8), ("far", 7, 16)], "name string, lo int, hi int")
+    found = {r["name"]: r for r in bind(ensemble.PER_PASS, split=split, rows_frames=visits, frame_windows=windows).collect()}
     assert found["near"]["occ"] == pytest.approx(12 / 3) and found["near"]["n_covering"] == 2
+
+
+def test_parameters_replace_defaults(spark):
+    pop = spark.createDataFrame([(0, 0, "a", 0.25), (0, 0, "b", 0.75)], "h int, t int, state string, p double")
+    assert bind(populations.SURVIVAL, params={"recombined": "b"}, pop=pop).first()["survival"] == pytest.approx(0.25)
+    with pytest.raises(ValueError):
+        bind(populations.SURVIVAL, params={"recombind": "b"}, pop=pop)
