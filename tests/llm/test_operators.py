@@ -534,3 +534,20 @@ def test_no_pattern_is_slow():
         pii.base_spans(text)
         pii.candidates(text, [])
     assert time.time() - began < 20
+
+
+def test_null_ids(spark):
+    rows = [(None, "the of and the of", None, None), (None, None, None, None), (3, "token=abcdefghijklmnop a b c", "en", "s"), (4, "", None, "s")]
+    table = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, node string")
+    benchmark = spark.createDataFrame([(None, "the of and")], "item_id string, text string")
+    counts = {
+        "encode": bpe.encode_documents(table), "simhash": simhash.simhash_components(table), "shards": shards.shard_documents(table, shards=2),
+        "language": langid.identify(table), "decontaminate": decontam.report(decontam.scan(table, benchmark)),
+        "secrets": secret_scan.report(secret_scan.findings(table)), "fingerprints": fingerprints.compare_with_next(table), "personal": pii.report(pii.find(table)),
+        "redact": secret_scan.redact(table),
+    }
+    assert {k: v.count() for k, v in counts.items()} == dict.fromkeys(counts, 4)
+    # rows without an id can't be told apart by it: one of them stays
+    kept = {r["doc_id"] for r in near_copies.keep_one(table).collect()}
+    assert kept == {None, 3, 4} or kept == {None, 3}
+    assert token_counts.token_histogram(table).agg({"n_docs": "sum"}).first()[0] == 4
