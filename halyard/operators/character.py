@@ -65,15 +65,30 @@ WHERE a.dominant <> b.dominant"""
 SWAP_SUMMARY = f"""
 SELECT band, resolution, count(*) AS n_swaps, count_if(confident) AS n_confident FROM ({SWAPS}) s GROUP BY band, resolution"""
 
+OCCUPANCY = f"""
+SELECT band, dominant, count(*) / CAST(sum(count(*)) OVER (PARTITION BY band) AS DOUBLE) AS share FROM ({DOMINANT}) d GROUP BY band, dominant"""
+
+# of equally common characters the first group counts
 DOMINANCE = f"""
-SELECT band, dominant, count(*) / CAST(sum(count(*)) OVER (PARTITION BY band) AS DOUBLE) AS share, count_if(dominant_w < :dominance) AS n_mixed,
-       PCT(dominant_w, 0.5) AS median_w
-FROM ({DOMINANT}) d GROUP BY band, dominant"""
+SELECT d.band, m.grp AS most_common, d.median_w, d.n_mixed, d.mixed_fraction, coalesce(s.n_swaps, 0) AS n_swaps, coalesce(s.n_adjacent, 0) AS n_adjacent,
+       coalesce(s.n_across_gap, 0) AS n_across_gap, coalesce(s.n_wrap, 0) AS n_wrap
+FROM (SELECT band, PCT(dominant_w, 0.5) AS median_w, count_if(dominant_w < :dominance) AS n_mixed, count_if(dominant_w < :dominance) / CAST(count(*) AS DOUBLE) AS mixed_fraction
+      FROM ({DOMINANT}) a GROUP BY band) d
+JOIN (SELECT band, grp FROM (SELECT band, grp, row_number() OVER (PARTITION BY band ORDER BY n DESC, ord) AS place
+      FROM (SELECT w.band, w.grp, w.ord, count_if(o.dominant = w.grp) AS n FROM {{weights}} w JOIN ({DOMINANT}) o ON o.frame = w.frame AND o.band = w.band GROUP BY w.band, w.grp, w.ord) x) y WHERE place = 1) m
+  ON m.band = d.band
+LEFT JOIN (SELECT band, count(*) AS n_swaps, count_if(resolution = 'adjacent') AS n_adjacent, count_if(resolution = 'across_gap') AS n_across_gap, count_if(resolution = 'cycle_wrap') AS n_wrap
+           FROM ({SWAPS}) z GROUP BY band) s ON s.band = d.band"""
 
 QUALITY = """
-SELECT band, count(*) AS n, min(captured) AS least, PCT(captured, 0.01) AS p01, PCT(captured, 0.05) AS p05, PCT(captured, 0.5) AS median,
+SELECT band, n, least, median, frame_of_least, n_below, n_below / CAST(n AS DOUBLE) AS fraction_below
+FROM (SELECT band, count(*) AS n, min(captured) AS least, PCT(captured, 0.5) AS median, max(CASE WHEN place = 1 THEN frame END) AS frame_of_least, count_if(captured < :least_captured) AS n_below
+      FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY captured, frame) AS place FROM (SELECT DISTINCT frame, band, captured FROM {weights}) c) x GROUP BY band) y"""
+
+QUALITY_TOTAL = """
+SELECT count(*) AS n, count(DISTINCT frame) AS n_frames, min(captured) AS least, PCT(captured, 0.01) AS p01, PCT(captured, 0.05) AS p05, PCT(captured, 0.5) AS median,
        PCT(captured, 0.95) AS p95, max(captured) AS most, count_if(captured < :least_captured) AS n_below
-FROM (SELECT DISTINCT frame, band, captured FROM {weights}) c GROUP BY band"""
+FROM (SELECT DISTINCT frame, band, captured FROM {weights}) c"""
 
 WORST = "SELECT DISTINCT frame, band, captured FROM {weights} ORDER BY captured, frame, band LIMIT :worst"
 

@@ -13,6 +13,7 @@ FROM {split} s GROUP BY s.h, s.grp"""
 STATS = """
 SELECT grp, quantity, count(value) AS n, avg(value) AS mean, PCT(value, 0.5) AS median, stddev_samp(value) AS std, min(value) AS least, max(value) AS most,
        count_if(value > :sign) AS n_gain, count_if(value < -:sign) AS n_loss, count_if(abs(value) <= :sign) AS n_flat,
+       count_if(value > :sign) / CAST(count(value) AS DOUBLE) AS fraction_gain, count_if(value < -:sign) / CAST(count(value) AS DOUBLE) AS fraction_loss,
        PCT(value, 0.05) AS q05, PCT(value, 0.25) AS q25, PCT(value, 0.75) AS q75, PCT(value, 0.95) AS q95
 FROM (SELECT grp, 'net_full' AS quantity, net_full AS value FROM {histories} UNION ALL SELECT grp, 'net_late', net_late FROM {histories}
       UNION ALL SELECT grp, 'range_late', range_late FROM {histories} UNION ALL SELECT grp, 'occ', occ FROM {histories} UNION ALL SELECT grp, 'chr', chr FROM {histories}) x

@@ -19,9 +19,10 @@ GROUP BY episode"""
 
 EPISODES = f"""
 SELECT CAST(x.episode AS INT) AS episode, CAST(x.first_frame AS INT) AS first_frame, CAST(x.last_frame AS INT) AS last_frame, x.n_marks, min(abs(a.e - b.e)) AS min_gap, max(abs(n.v)) AS max_nac,
-       min_by(d.dominant, d.frame) AS before, max_by(d.dominant, d.frame) AS after
+       min_by(d.dominant, d.frame) AS before, max_by(d.dominant, d.frame) AS after, min_by(o.dominant, o.frame) AS before_b, max_by(o.dominant, o.frame) AS after_b
 FROM ({ISLANDS}) x JOIN {{energies}} a ON a.state = :band_a AND a.frame BETWEEN x.first_frame AND x.last_frame JOIN {{energies}} b ON b.state = :band_b AND b.frame = a.frame
 JOIN {{nac}} n ON n.i = :band_a AND n.j = :band_b AND n.frame = a.frame JOIN ({DOMINANT}) d ON d.band = :band_a AND d.frame = a.frame
+JOIN ({DOMINANT}) o ON o.band = :band_b AND o.frame = a.frame
 GROUP BY x.episode, x.first_frame, x.last_frame, x.n_marks"""
 
 # the donor gives, the acceptor takes
@@ -36,17 +37,21 @@ FROM (SELECT s.h, w.name, sum(CASE WHEN grp = :donor THEN occ ELSE 0 END) AS d_o
       FROM {split} s JOIN {windows} w ON s.t BETWEEN w.lo AND w.hi GROUP BY s.h, w.name) a"""
 
 ISOLATION = """
-SELECT n.state AS neighbour, p.min_gap, p.median_gap, min(least(abs(n.e - a.e), abs(n.e - b.e))) AS separation, min(least(abs(n.e - a.e), abs(n.e - b.e))) / p.min_gap AS ratio
+SELECT n.state AS neighbour, p.min_gap, p.median_gap, min(least(abs(n.e - a.e), abs(n.e - b.e))) AS separation, PCT(least(abs(n.e - a.e), abs(n.e - b.e)), 0.5) AS median_separation, min(least(abs(n.e - a.e), abs(n.e - b.e))) / p.min_gap AS ratio
 FROM {energies} n JOIN {energies} a ON a.frame = n.frame AND a.state = :band_a JOIN {energies} b ON b.frame = n.frame AND b.state = :band_b
 CROSS JOIN (SELECT min(abs(x.e - y.e)) AS min_gap, PCT(abs(x.e - y.e), 0.5) AS median_gap FROM {energies} x JOIN {energies} y ON x.frame = y.frame WHERE x.state = :band_a AND y.state = :band_b AND x.frame BETWEEN :first AND :last) p
 WHERE n.state NOT IN (:band_a, :band_b) AND n.frame BETWEEN :first AND :last GROUP BY n.state, p.min_gap, p.median_gap"""
 
+# a passage there and back ends as it began, so a sign that turns anywhere inside counts
 RAW_WEIGHT = """
-SELECT band, count_if(sign(d) <> sign(d_first) AND d <> 0) > 0 AS swapped, max(CASE WHEN place = 1 THEN frame END) AS excursion_frame, max(abs(d - d_first)) AS excursion,
-       (max(captured) - min(captured)) / avg(captured) AS captured_range
-FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY abs(d - d_first) DESC, frame) AS place
-      FROM (SELECT band, frame, captured, d, first_value(d) OVER (PARTITION BY band ORDER BY frame) AS d_first
-            FROM (SELECT band, frame, max(captured) AS captured, sum(CASE WHEN grp = :donor THEN w * captured WHEN grp = :acceptor THEN -w * captured ELSE 0 END) AS d
+SELECT band, min(w_d) < 0 AND max(w_d) > 0 AS normalized_swaps, min(raw_d) < 0 AND max(raw_d) > 0 AS raw_swaps,
+       (min(w_d) < 0 AND max(w_d) > 0) = (min(raw_d) < 0 AND max(raw_d) > 0) AS agree,
+       max(CASE WHEN w_place = 1 THEN frame END) AS normalized_frame, max(CASE WHEN raw_place = 1 THEN frame END) AS raw_frame, max(abs(raw_d - raw_first)) AS excursion,
+       min(captured) AS captured_least, max(captured) AS captured_most, (max(captured) - min(captured)) / avg(captured) AS captured_range
+FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY abs(raw_d - raw_first) DESC, frame) AS raw_place, row_number() OVER (PARTITION BY band ORDER BY abs(w_d - w_first) DESC, frame) AS w_place
+      FROM (SELECT band, frame, captured, raw_d, w_d, first_value(raw_d) OVER (PARTITION BY band ORDER BY frame) AS raw_first, first_value(w_d) OVER (PARTITION BY band ORDER BY frame) AS w_first
+            FROM (SELECT band, frame, max(captured) AS captured, sum(CASE WHEN grp = :donor THEN w WHEN grp = :acceptor THEN -w ELSE 0 END) AS w_d,
+                         sum(CASE WHEN grp = :donor THEN w * captured WHEN grp = :acceptor THEN -w * captured ELSE 0 END) AS raw_d
                   FROM {weights} WHERE frame BETWEEN :first AND :last GROUP BY band, frame) a) b) c GROUP BY band"""
 
 PARTICIPATION = f"""

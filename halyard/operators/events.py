@@ -21,8 +21,8 @@ WHERE frame0 IS NOT NULL GROUP BY band, frame, frame0"""
 FLAGS = f"""
 SELECT a.frame0, a.frame, p.a, p.b, a.before AS before_a, a.after AS after_a, b.before AS before_b, b.after AS after_b,
        greatest(a.change, b.change) AS change, abs(ea.e - eb.e) AS gap, abs(n.v) AS nac,
-       abs(ea.e - eb.e) <= :gap * factor AS small_gap, abs(n.v) >= :coupling / factor AS strong_nac,
-       a.before <> a.after OR b.before <> b.after OR greatest(a.change, b.change) >= :exchange / factor AS swap, factor
+       abs(ea.e - eb.e) <= :gap * factor AS small_gap, abs(n.v) >= :coupling * factor AS strong_nac,
+       a.before <> a.after OR b.before <> b.after OR greatest(a.change, b.change) >= :exchange * factor AS swap, factor
 FROM ({BAND_PAIRS}) p CROSS JOIN (SELECT 1.0D AS factor) z JOIN ({STEPS}) a ON a.band = p.a JOIN ({STEPS}) b ON b.band = p.b AND b.frame = a.frame
 LEFT JOIN {{energies}} ea ON ea.frame = a.frame AND ea.state = p.a LEFT JOIN {{energies}} eb ON eb.frame = a.frame AND eb.state = p.b
 LEFT JOIN {{nac}} n ON n.frame = a.frame AND n.i = p.a AND n.j = p.b"""
@@ -87,14 +87,26 @@ SENSITIVITY = (
     + ") f WHERE swap OR small_gap OR strong_nac GROUP BY factor"
 )
 
-# moves of both bands: from a lost dominant fragment to a gained one
-DIRECTION = f"""
-SELECT frame, a, b, CASE WHEN n_moves = 0 THEN NULL WHEN n_targets > 1 THEN NULL WHEN target_is_source THEN NULL
-                        ELSE true END AS decidable
-FROM (SELECT frame, a, b, CASE WHEN before_a <> after_a THEN 1 ELSE 0 END + CASE WHEN before_b <> after_b THEN 1 ELSE 0 END AS n_moves,
+DELTAS = "SELECT h, t, grp, pg - lag(pg) OVER (PARTITION BY h, grp ORDER BY t) AS dp FROM {split}"
+
+# Does the population move as the characters do? Undecided where no dominant changes, where both
+# bands move to different fragments, and where one band's target is the other's source.
+DIRECTION = """
+SELECT e.h, e.t, e.a, e.b, e.n_moves, e.target,
+       CASE WHEN e.n_moves = 0 OR e.n_targets > 1 OR e.target_is_source OR g.dp IS NULL THEN NULL
+            ELSE g.dp > :moved AND coalesce(sa.dp < -:moved, true) AND coalesce(sb.dp < -:moved, true) END AS agrees
+FROM (SELECT h, t, a, b, CASE WHEN before_a <> after_a THEN 1 ELSE 0 END + CASE WHEN before_b <> after_b THEN 1 ELSE 0 END AS n_moves,
              CASE WHEN before_a <> after_a AND before_b <> after_b AND after_a <> after_b THEN 2 ELSE 1 END AS n_targets,
-             (before_a <> after_a AND before_b <> after_b AND (after_a = before_b OR after_b = before_a)) AS target_is_source
-      FROM ({FLAGS}) f) x"""
+             before_a <> after_a AND before_b <> after_b AND (after_a = before_b OR after_b = before_a) AS target_is_source,
+             CASE WHEN before_a <> after_a THEN after_a WHEN before_b <> after_b THEN after_b END AS target,
+             CASE WHEN before_a <> after_a THEN before_a END AS source_a, CASE WHEN before_b <> after_b THEN before_b END AS source_b
+      FROM (SELECT c.h, c.t, c.a, c.b, x.dominant0 AS before_a, x.dominant AS after_a, y.dominant0 AS before_b, y.dominant AS after_b
+            FROM {events} c JOIN {steps} s ON s.h = c.h AND s.t = c.t
+            JOIN {moves} x ON x.frame0 = s.frame0 AND x.frame = s.frame AND x.band = c.a
+            JOIN {moves} y ON y.frame0 = s.frame0 AND y.frame = s.frame AND y.band = c.b) m) e
+LEFT JOIN {deltas} g ON g.h = e.h AND g.t = e.t AND g.grp = e.target
+LEFT JOIN {deltas} sa ON sa.h = e.h AND sa.t = e.t AND sa.grp = e.source_a
+LEFT JOIN {deltas} sb ON sb.h = e.h AND sb.t = e.t AND sb.grp = e.source_b"""
 
 
 def frame_events(weights, energies, nac, **params):

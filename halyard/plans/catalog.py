@@ -19,6 +19,7 @@ DERIVED = {
     "steps": events.HISTORY_STEPS,
     "moves": events.MOVES,
     "events": events.CLASSIFIED,
+    "deltas": events.DELTAS,
     "histories": ensemble.HISTORY,
     "passes": ensemble.PER_PASS,
     "pairs": "SELECT h, t, sum(CASE WHEN state IN ('view', 'signup') THEN p ELSE 0 END) AS d, sum(CASE WHEN state IN ('click', 'purchase') THEN p ELSE 0 END) AS a FROM {pop} GROUP BY h, t",
@@ -176,15 +177,17 @@ plan("O111_conservation_tally", P.TALLY, "least most least_total most_total")
 plan("O112_pair_audit", A.PAIRS, "mean_gap rms_gap mean_nac rms_nac p95_nac max_nac max_over_scale above_80 above_90 total integral")
 plan("O113_nac_ceiling", A.CEILING, "most")
 plan("O114_repeated_magnitude", A.REPEATED, "magnitude")
-plan("O115_quality", C.QUALITY, "least p01 p05 median p95 most")
+plan("O115_quality", C.QUALITY, "least median fraction_below")
+plan("O115_quality_total", C.QUALITY_TOTAL, "least p01 p05 median p95 most")
 plan("O115_worst_frames", C.WORST_FRAMES, "least")
-plan("O116_dominance", C.DOMINANCE, "share median_w")
+plan("O116_dominance", C.DOMINANCE, "median_w mixed_fraction")
+plan("O116_occupancy", C.OCCUPANCY, "share")
 plan("O117_swap_summary", C.SWAP_SUMMARY)
 plan("O118_fixed_vs_dynamic", C.FIXED_VS_DYNAMIC, "dynamic_net fixed_net dynamic_range fixed_range dynamic_mean fixed_mean dynamic_slope fixed_slope")
-plan("O119_isolation", X.ISOLATION, "min_gap median_gap separation ratio")
-plan("O120_raw_weight", X.RAW_WEIGHT, "excursion captured_range")
+plan("O119_isolation", X.ISOLATION, "min_gap median_gap separation median_separation ratio")
+plan("O120_raw_weight", X.RAW_WEIGHT, "excursion captured_least captured_most captured_range")
 plan("O121_participation", X.PARTICIPATION, "separation pair_gap")
-plan("O122_run_summary", N.STATS, "mean median std least most q05 q25 q75 q95")
+plan("O122_run_summary", N.STATS, "mean median std least most fraction_gain fraction_loss q05 q25 q75 q95")
 plan("O124_episode_summary", N.EPISODE_SUMMARY, "mean median std")
 plan("O125_reviewer_table", N.REVIEWER, "median")
 plan("O126_dominant_term", N.DOMINANT_TERM)
@@ -428,7 +431,7 @@ plan(
 )
 plan("O031_atom_expansion", "SELECT grp, count(*) AS n_ions, min(ion) AS first_ion, max(ion) AS last_ion FROM {ion_groups} GROUP BY grp")
 plan("O074_swap_moves", "SELECT frame, band, before AS from_group, after AS to_group FROM (" + C.SWAPS + ") s WHERE resolution = 'adjacent'")
-plan("O123_statistics", N.STATS, "mean median std least most q05 q25 q75 q95")
+plan("O123_statistics", N.STATS, "mean median std least most fraction_gain fraction_loss q05 q25 q75 q95")
 plan("O132_descriptors_by_window", "SELECT w.name, e.descriptor, count(*) AS n FROM {events} e JOIN {windows} w ON e.t BETWEEN w.lo AND w.hi WHERE e.classification = 'character_swap_with_projected_fragment_change' GROUP BY w.name, e.descriptor")
 plan("O140_shared_grid", "SELECT a.label, count(*) AS n, max(abs(a.f - b.f)) <= 1e-6 AS shared FROM {spectrum} a JOIN {spectrum} b ON a.f = b.f WHERE b.label = 0 GROUP BY a.label")
 plan("O162_shared_groups", "SELECT state FROM {runs} WHERE run = 'A' INTERSECT SELECT state FROM {runs} WHERE run = 'B'")

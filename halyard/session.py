@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import zipfile
@@ -12,14 +14,33 @@ from pyspark.sql import SparkSession
 _ROOT = Path(__file__).resolve().parent
 
 
+def _code() -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for path in sorted(_ROOT.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(path.relative_to(_ROOT.parent))), path.read_bytes())
+    return out.getvalue()
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
+    """Send this package to the executors, once for each Spark context, through the shared
+    folder of spark.checkpoint.dir; a local folder serves only where that is unset."""
     sc = spark.sparkContext
     if getattr(sc, "_halyard_shipped", False):
         return
-    name = os.path.join(tempfile.mkdtemp(prefix="halyard-"), "halyard_code.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for path in sorted(_ROOT.rglob("*.py")):
-            z.writestr(zipfile.ZipInfo(str(path.relative_to(_ROOT.parent))), path.read_bytes())
-    sc.addPyFile(name)
+    code = _code()
+    name = f"halyard_{hashlib.sha256(code).hexdigest()[:16]}.zip"
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if shared:
+        path = sc._jvm.org.apache.hadoop.fs.Path(shared, name)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            stream = files.create(path)
+            stream.write(bytearray(code))
+            stream.close()
+        where = path.toString()
+    else:
+        where = os.path.join(tempfile.mkdtemp(prefix="halyard-"), name)
+        Path(where).write_bytes(code)
+    sc.addPyFile(where)
     sc._halyard_shipped = True

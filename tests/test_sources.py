@@ -170,3 +170,26 @@ def test_stream_equals_batch(spark, tmp_path, sf_dir):
     for r in batch.collect():
         s = got[r["t"], r["state"]]
         assert s["complete"] and s["mean"] == pytest.approx(r["mean"], abs=1e-12) and s["sem"] == pytest.approx(r["sem"], abs=1e-12)
+
+
+def test_streamed_threshold_events_equal_batch(spark, tmp_path):
+    from halyard.operators.transfer import threshold_events
+    from halyard.streaming.events import running_threshold_events
+
+    donor = ([0.95] * 4 + [0.05] * 3 + [0.5] * 2) * 3
+    rows = [(h, t, d if h else 0.5, 1 - d if h else 0.5) for h in range(2) for t, d in enumerate(donor)]
+    table = spark.createDataFrame(rows, "h int, t int, d double, a double")
+    folder = str(tmp_path / "rows")
+    query = None
+    for k in range(3):
+        table.filter(f"t div 9 = {k}").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(table.schema).parquet(folder)
+        counted = running_threshold_events(stream, 0.9, 0.1)
+        query = counted.writeStream.outputMode("update").format("memory").queryName(f"events{k}").option("checkpointLocation", str(tmp_path / f"c{k}")).start()
+        query.processAllAvailable()
+        query.stop()
+    last = {r["h"]: r["n_events"] for r in spark.table("events2").orderBy("t").collect()}
+    batch = {r["h"]: r["n_events"] for r in threshold_events(table, spark.createDataFrame([(0.9, 0.1)], "high double, low double")).collect()}
+    assert last == batch == {0: 0, 1: 3}
+    with pytest.raises(ValueError):
+        running_threshold_events(table, 0.1, 0.9)
