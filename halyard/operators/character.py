@@ -175,16 +175,23 @@ def packed(pop: DataFrame) -> DataFrame:
     return pop.groupBy("h", "t").agg(F.array_sort(F.collect_list(F.struct("band", "p"))).alias("x")).select("h", "t", F.col("x.p").alias("p"))
 
 
+#: Weights of at most so many cells (frames by bands by groups) are broadcast: 32 MB of doubles.
+BROADCAST_CELLS = 4_000_000
+
+
 def split_blocks(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, block_rows: int = 65_536) -> DataFrame:
     """The same split for long histories: h, t, grp, pg, occ, chr.
 
-    rows: h, t, p (packed), with its frame where rows_frames is None. A row's shares are one array, and its frame's weights one array for
-    each group, so nothing is multiplied out before the arithmetic. A history is dealt in
-    blocks of rows; a block's last row goes along to the next block, so no task holds a history.
+    rows: h, t, p (packed), with its frame where rows_frames is None. A row's shares are one
+    array and its frame's weights one array for each group, so rows are not multiplied before the
+    arithmetic: occ and chr are half sums and differences of four products of shares and weights
+    of this row and the one before. A history is dealt in blocks of rows; a block's last row goes
+    along to the next block, so no task holds a history. The driver counts frames only.
     """
-    # one row a frame: groups by bands; its size is that of the projection table
     table = weights.groupBy("frame", "grp").agg(F.array_sort(F.collect_list(F.struct("band", "w"))).alias("x"))
     table = table.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("grp", F.col("x.w").alias("w")))).alias("g"))
+    if weights.count() <= BROADCAST_CELLS:
+        table = F.broadcast(table)
     block = F.floor(F.col("t") / block_rows)
     own = F.struct(block.alias("block"), F.lit(False).alias("lent"))
     lent = F.struct((block + 1).alias("block"), F.lit(True).alias("lent"))
@@ -196,16 +203,15 @@ def split_blocks(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFr
     )
     order = Window.partitionBy("h", "block").orderBy("t")
     moved = dealt.withColumn("p0", F.lag("p").over(order)).withColumn("frame0", F.lag("frame").over(order)).filter("not lent")
-    before = table.select(F.col("frame").alias("frame0"), F.col("g").alias("g0"))
+    before = table.withColumnsRenamed({"frame": "frame0", "g": "g0"})
     placed = moved.join(table, "frame").join(before, "frame0", "left")
 
-    def dot(left: str, right: str) -> str:
+    def product(left: str, right: str) -> str:
         return f"aggregate(zip_with({left}, {right}, (a, b) -> a * b), 0D, (s, v) -> s + v)"
 
-    mean_w, step_w = "zip_with(x.w, g0[k].w, (a, b) -> 0.5D * (a + b))", "zip_with(x.w, g0[k].w, (a, b) -> a - b)"
-    mean_p, step_p = "zip_with(p, p0, (a, b) -> 0.5D * (a + b))", "zip_with(p, p0, (a, b) -> a - b)"
-    sums = F.expr(
-        f"""transform(g, (x, k) -> struct(x.grp AS grp, {dot("p", "x.w")} AS pg,
-            CASE WHEN p0 IS NULL THEN 0D ELSE {dot(step_p, mean_w)} END AS occ, CASE WHEN p0 IS NULL THEN 0D ELSE {dot(mean_p, step_w)} END AS chr))"""
+    each = f"""transform(g, (x, k) -> struct(x.grp AS grp, {product("p", "x.w")} AS now,
+        {product("p", "g0[k].w")} AS ahead, {product("p0", "x.w")} AS behind, {product("p0", "g0[k].w")} AS then))"""
+    out = placed.selectExpr("h", "t", f"inline({each})")
+    return out.selectExpr(
+        "h", "t", "grp", "now AS pg", "coalesce(0.5D * ((now - behind) + (ahead - then)), 0D) AS occ", "coalesce(0.5D * ((now - ahead) + (behind - then)), 0D) AS chr"
     )
-    return placed.select("h", "t", F.explode(sums).alias("s")).select("h", "t", "s.grp", "s.pg", "s.occ", "s.chr")
