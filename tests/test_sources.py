@@ -64,7 +64,7 @@ def test_matrices(spark, tmp_path):
 
 
 def test_namelist(spark, tmp_path):
-    path = write(tmp_path, "inp", "&NAMDPARA\n BMIN = 1, BMAX=4 ! basis\n LHOLE = .TRUE.\n POTIM = 1.0\n/\n")
+    path = write(tmp_path, "inp", "&RUN\n BMIN = 1, BMAX=4 ! basis\n LHOLE = .TRUE.\n POTIM = 1.0\n/\n")
     found = {r["key"]: (r["value"], r["kind"]) for r in tables.namelist(spark, path).collect()}
     assert found == {"BMIN": ("1", "int"), "BMAX": ("4", "int"), "LHOLE": (".TRUE.", "bool"), "POTIM": ("1.0", "float")}
 
