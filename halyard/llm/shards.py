@@ -7,7 +7,7 @@ halves of the shards ask for, until each leaf is one shard of the target bytes.
 found by counting bytes over a grid of the dimension's order and narrowing the grid
 around the cut, for all nodes of a level at once; the driver sees grid counts only.
 
-A group of more than an eighth of the target (there are fewer than 8 times the shards of them)
+A group of more than a LARGE-th of the target (there are fewer than LARGE times the shards of them)
 does not go through the tree. Up to the target it is placed whole, into the least full
 shard; a larger one, such as a third of all rows, can't be in one shard under this law and
 is cut row by row into pieces of a sixteenth of the target. The tree then fills what each shard
@@ -29,6 +29,9 @@ from ._blocks import partitions, settle
 SHARDS = 24
 OVERHEAD = 8
 GRID = 4096
+#: Groups above this part of a shard's target are placed one by one; the cuts of the tree can
+#: then be off by no more than such a group.
+LARGE = 32
 #: Bits of a dimension's order that its value takes; the rest tell equal values apart.
 VALUE_BITS = 30
 
@@ -171,14 +174,14 @@ def shard_documents(
     groups = settle(groups)
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     target = total / shards
-    # at most 8 * shards groups can be above an eighth of the target
-    large = [(r["group"], int(r["bytes"])) for r in groups.filter(F.col("bytes") > max(1.0, target / 8)).select("group", "bytes").collect()]
+    # at most LARGE * shards groups can be above that part of the target
+    large = [(r["group"], int(r["bytes"])) for r in groups.filter(F.col("bytes") > max(1.0, target / LARGE)).select("group", "bytes").collect()]
     whole = [x for x in large if x[1] <= target]
     torn = {g: max(2, int(-(-b * 16 // max(1, target)))) for g, b in large if b > target}
     pieces = [(f"{g}/{k}", b // torn[g]) for g, b in large if g in torn for k in range(torn[g])]
     placed, filled = _greedy(whole + pieces, shards, target)
     room = [max(target - f, 0.0) for f in filled]
-    small = _dimensions(groups.filter(F.col("bytes") <= max(1.0, target / 8))).select("group", "bytes", "d0", "d1", "d2")
+    small = _dimensions(groups.filter(F.col("bytes") <= max(1.0, target / LARGE))).select("group", "bytes", "d0", "d1", "d2")
     in_tree = tree(settle(small), room)
     known = spark.createDataFrame([(g, s) for g, s in placed.items()], "group string, shard int")
     place = in_tree.union(known).withColumnRenamed("group", "unit")
