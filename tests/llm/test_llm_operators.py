@@ -281,6 +281,35 @@ def test_near_copies(spark, monkeypatch, block):
     assert near_copies.keep_one(table.limit(0)).count() == 0
 
 
+def five(text):
+    parts = lowered(text).split()
+    return {tuple(parts[k : k + 5]) for k in range(len(parts) - 4)}
+
+
+def passages(rnd, count):
+    """Pairs of texts alike by 0.80 to 0.83: one passage replaced, cut at an end, or extended."""
+    for g in range(count):
+        base = ["".join(rnd.choices("abcdefgh", k=7)) for _ in range(rnd.randint(300, 1000))]
+        n = len(base)
+        if g % 3 == 0:
+            at, m = rnd.randint(5, n // 2), int((n - 4) * 0.105) - 4
+            other = base[:at] + ["".join(rnd.choices("ijkl", k=7)) for _ in range(m)] + base[at + m :]
+        elif g % 3 == 1:
+            other = base[: n - int((n - 4) * 0.19)]
+        else:
+            other = base + ["".join(rnd.choices("ijkl", k=7)) for _ in range(int((n - 4) * 0.23))]
+        yield " ".join(base), " ".join(other)
+
+
+def test_near_copies_of_any_edit_meet(spark):
+    pairs = list(passages(random.Random(3), 90))
+    for a, b in pairs:
+        assert 0.8 <= len(five(a) & five(b)) / len(five(a) | five(b)) <= 0.83
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(x for pair in pairs for x in pair)], "doc_id long, text string")
+    # at a lower bound the estimate's error can't part them: who is left had no band in common
+    assert near_copies.keep_one(table, similarity=0.7).count() == len(pairs)
+
+
 def test_shards(docs, nothing, spark):
     found = shards.shard_documents(docs, shards=4).collect()
     same([(r["doc_id"], r["size"], r["text_crc32"]) for r in found], [(i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in TEXTS])
