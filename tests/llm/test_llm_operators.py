@@ -310,6 +310,25 @@ def test_near_copies_of_any_edit_meet(spark):
     assert near_copies.keep_one(table, similarity=0.7).count() == len(pairs)
 
 
+def test_near_copies_are_exact(spark):
+    rnd = random.Random(4)
+    # 16 pages around one text, each with another 16 words replaced: pairwise alike by 0.795, none a near copy
+    base = ["".join(rnd.choices("abcdefgh", k=7)) for _ in range(354)]
+    family = []
+    for g in range(16):
+        page = list(base)
+        page[5 + 21 * g : 21 + 21 * g] = ["".join(rnd.choices("ijkl", k=7)) for _ in range(16)]
+        family.append(" ".join(page))
+    sets = [five(t) for t in family]
+    assert all(0.79 < len(a & b) / len(a | b) < 0.8 for k, a in enumerate(sets) for b in sets[:k])
+    # alike by 0.8 exactly: 16 of 20 shingles
+    pair = [" ".join(f"w{k}" for k in range(n)) for n in (24, 20)]
+    # texts of one shingle have the same byte of MinHash in one of 256 cases
+    rows = list(enumerate(family)) + [(50, pair[0]), (51, pair[1])] + [(100 + k, f"word{k}") for k in range(600)]
+    found = {r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k for k, _ in rows} - {51}
+
+
 def test_shards(docs, nothing, spark):
     found = shards.shard_documents(docs, shards=4).collect()
     same([(r["doc_id"], r["size"], r["text_crc32"]) for r in found], [(i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in TEXTS])
