@@ -329,6 +329,17 @@ def test_near_copies_are_exact(spark):
     assert found == {k for k, _ in rows} - {51}
 
 
+def test_near_copies_with_shared_ids(spark):
+    rows = [(None, f"text {k} of no id") for k in range(9)] + [(None, "text 0 of no id")]
+    rows += [(7, "one text of seven"), (7, "another text of it"), (7, "one text of seven")]
+    # the representative of this group is the row of id 7, whose other texts stay too
+    rows += [(8, "a text that eight and seven share"), (7, "a text that eight and seven share"), (None, "a text that eight and seven share")]
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    expected = {*rows[:9], (7, "one text of seven"), (7, "another text of it"), (7, "a text that eight and seven share")}
+    assert found == sorted(expected, key=repr)
+
+
 def test_shards(docs, nothing, spark):
     found = shards.shard_documents(docs, shards=4).collect()
     same([(r["doc_id"], r["size"], r["text_crc32"]) for r in found], [(i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in TEXTS])
