@@ -78,9 +78,16 @@ def independent_residuals(observed: np.ndarray) -> int:
     return (len(observed) - 1) * (observed.shape[1] - (1 if conserved else 0))
 
 
+def initial_columns(k: np.ndarray, time: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """How the residuals of all rows follow the initial populations along e_j - e_0, which keep
+    their total. The model is linear in them, so these are its propagated directions."""
+    directions = np.eye(len(k))[1:] - np.eye(len(k))[0]
+    return np.stack([(propagate(k, d, time) * scale).ravel() for d in directions], 1) if len(k) > 1 else np.zeros((scale.size, 0))
+
+
 def fit_rates(time: np.ndarray, observed: np.ndarray, groups: list[str], edges, n_starts: int = 5, weights=None) -> Fit:
     """Rates of the edges from populations on a uniform grid, in logarithms, from several
-    starts; the first row is the initial state."""
+    starts; the first row is the initial state. Its noise is marginalised out of the covariance."""
     span = time[-1] - time[0]
     centre = np.log(1.0 / span)
     low, high = np.full(len(edges), centre - DECADES * np.log(10)), np.full(len(edges), centre + DECADES * np.log(10))
@@ -95,8 +102,11 @@ def fit_rates(time: np.ndarray, observed: np.ndarray, groups: list[str], edges,
         if best is None or found[1] < best[1]:
             best = found
     x, cost, j, _ = best
-    dof = max(1, independent_residuals(observed) - len(edges))
-    covariance = np.linalg.pinv(j.T @ j) * 2 * cost / dof
+    # the first row does not move with the rates
+    nuisance = initial_columns(rate_matrix(np.exp(x), edges, len(groups)), time, scale)
+    augmented = np.hstack([np.vstack([np.zeros((len(groups), len(edges))), j]), nuisance])
+    dof = max(1, independent_residuals(observed) - augmented.shape[1])
+    covariance = np.linalg.pinv(augmented.T @ augmented)[: len(edges), : len(edges)] * 2 * cost / dof
     error = np.sqrt(np.clip(np.diag(covariance), 0, None))
     with np.errstate(invalid="ignore", divide="ignore"):
         correlation = np.nan_to_num(covariance / np.outer(error, error))
@@ -115,7 +125,8 @@ def fit_rates(time: np.ndarray, observed: np.ndarray, groups: list[str], edges,
             status.append("null_space")
         elif error[i] > PRECISE:
             status.append("imprecise")
-        elif any(abs(correlation[i, o]) >= CORRELATED for o in range(len(edges)) if o != i):
+        # the pseudo-inverse leaves correlations with a direction it dropped to chance
+        elif any(abs(correlation[i, o]) >= CORRELATED for o in range(len(edges)) if o != i and not blind[o] and share[o] <= NULL_SHARE):
             status.append("correlated")
         else:
             status.append("identified")
