@@ -294,7 +294,7 @@ def picks(n_histories: int, n_resamples: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, n_histories, (n_resamples, n_histories))
 
 
-def bootstrap_rates(per_history: DataFrame, groups: list[str], scheme: str, n_resamples: int = 40, seed: int = 0) -> DataFrame:
+def bootstrap_rates(per_history: DataFrame, groups: list[str], scheme: str, n_resamples: int = 200, seed: int = 0) -> DataFrame:
     """Whole histories are drawn with replacement and averaged; each resample is refit.
 
     per_history(h, t, grp, value). The draw is a small table of (resample, h, times); the mean

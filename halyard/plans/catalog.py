@@ -360,7 +360,7 @@ DERIVED["file_groups"] = P.FILE_GROUPS
 def _bootstrap(views: Views):
     from ..functions.kinetics import bootstrap_rates, interval
 
-    return interval(bootstrap_rates(_per_history(views), _GROUPS, "donor->acceptor,acceptor->donor", n_resamples=24))
+    return interval(bootstrap_rates(_per_history(views), _GROUPS, "donor->acceptor,acceptor->donor"))
 
 
 registry.register("O175_rate_bootstrap", _bootstrap)

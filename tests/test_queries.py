@@ -43,3 +43,7 @@ def test_query(spark, sf_dir, duck, name):
 def test_only_needed_columns_are_read(spark, sf_dir):
     plan = REGISTRY["O096_ensemble_mean_sem"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan.split("ReadSchema")[1].split(">")[0]
+
+
+def test_rate_intervals_rest_on_200_resamples(spark, sf_dir):
+    assert {r["n"] for r in REGISTRY["O175_rate_bootstrap"](spark, sf_dir).collect()} == {200}
