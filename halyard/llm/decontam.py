@@ -1,21 +1,24 @@
 """Benchmark decontamination with training suffix arrays.
 
-Every worker cuts its documents into shards of about SHARD_BYTES, numbers the shard's
-words and sorts all its word suffixes (three words to a sort key; suffixes that agree
-there are sorted on by the next three, to the depth a window needs). Each test suffix is
+Every worker cuts its documents into shards of about SHARD_BYTES, numbers the words that
+the benchmark has (all others are 0, which matches nothing) and sorts the shard's word
+suffixes that begin with a numbered word, two words to a sort key; suffixes that agree
+there are sorted on by the next two, to the depth a window needs. Each test suffix is
 then found in the array by binary search: its interval holds all places in the shard
 where the window occurs word for word. Matches are compared with the window's own bytes.
 
 A window is `window` consecutive words of an item; an item of fewer words, but not none,
-is one window. The benchmark reaches the workers in blocks of a fixed size.
-
-Null texts have no words; an empty benchmark hits nothing; items that share an item_id
-count once; a null item_id counts as the string "null". An empty table gives no rows.
+is one window. The benchmark is cut into blocks of BENCHMARK_BYTES of text. A block is held as
+flat arrays of a few times its text; the driver holds one at a time, and so does a worker,
+which takes the blocks in turn for some megabytes of documents.
+
+Null and empty texts have no words; a text longer than a shard is a shard of its own, of
+any number of distinct words. An empty benchmark hits nothing; items that share an item_id
+count once; a null item_id counts as the string "null". Ties don't arise: all occurrences
+count. Repeated rows repeat their results; further columns are ignored by `scan` and kept by
+`keep_clean`, whatever their names. An empty table gives no rows.
 """
 
-from __future__ import annotations
-
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,54 +31,72 @@ from ._blocks import blocks, lower_bytes, span_hashes, text_buffers, through, wo
 WINDOW = 10
 #: Bytes of document text whose suffixes are sorted together.
 SHARD_BYTES = 2 << 20
-#: Bytes of benchmark text sent to the workers at a time.
+#: Bytes of documents that a worker takes through all blocks of the benchmark.
+GROUP_BYTES = 8 << 20
+#: Bytes of benchmark text in one block.
 BENCHMARK_BYTES = 16 << 20
 #: Digits, letters and all bytes of other code points; A-Z are lowered before.
 _INSIDE = word_table(words=bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
-_BITS = 21
+#: Bits of a word's number, and words in a 64-bit sort key.
+_BITS = 32
+_PER_KEY = 2
 _FIELDS = ("item", "item_word", "doc_word", "words")
 _MATCHES = "array<struct<item:string,item_word:int,doc_word:int,words:int>>"
 _MATCH_TYPE = pa.list_(pa.struct([(n, pa.string() if n == "item" else pa.int32()) for n in _FIELDS]))
 
 
 class Tests:
-    """The windows of a block of benchmark items: their words and word hashes."""
+    """The windows of a block of benchmark items, as flat arrays over its words.
+
+    Window w begins with word at[w]; its item and its length follow from the items' bounds."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.window = window
-        self.words: list[list[bytes]] = []
-        hashes, at, length, owner, place = [], [], [], [], []
-        total = 0
         self.items = [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            raw = lower_bytes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
-            starts, stops, _ = word_spans(raw, np.array([0, len(raw)]), _INSIDE)
-            if not len(starts):
-                continue
-            n = min(window, len(starts))
-            hashes.append(span_hashes(raw, starts, stops))
-            joined = raw.tobytes()
-            own = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
-            for p in range(len(starts) - n + 1):
-                at.append(total + p)
-                length.append(n)
-                owner.append(k)
-                place.append(p)
-                self.words.append(own[p : p + n])
-            total += len(starts)
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.at, self.length, self.owner, self.place = (np.array(x, np.int64) for x in (at, length, owner, place))
-        self.vocabulary, self.number = np.unique(self.hashes, return_inverse=True)
+        texts = [(t or "").encode("utf-8", "surrogatepass") for _, t in items]
+        ends = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+        raw = lower_bytes(np.frombuffer(b"".join(texts), np.uint8))
+        starts, stops, bounds = word_spans(raw, ends, _INSIDE)
+        self.raw = raw.tobytes()
+        self.starts, self.stops = starts.astype(np.int32), stops.astype(np.int32)
+        self.bounds = bounds
+        self.vocabulary, number = np.unique(span_hashes(raw, starts, stops), return_inverse=True)
+        self.number = (number + 1).astype(np.uint32)
+        counts = np.diff(bounds)
+        first = np.repeat(bounds[:-1], counts)
+        last = np.repeat(np.maximum(bounds[1:] - window, bounds[:-1]), counts)
+        place = np.arange(len(starts))
+        self.at = place[(place >= first) & (place <= last)].astype(np.int32)
+
+    def owner(self, at):
+        """The item of the word `at`."""
+        return np.searchsorted(self.bounds, at, "right") - 1
+
+    def length(self, at):
+        """Words of the windows that begin at the words `at`."""
+        return np.minimum(self.window, self.bounds[self.owner(at) + 1] - at)
+
+    def numbered(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, 0 for those that no item has."""
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), np.uint64)
+        there = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[there] == hashes, there + 1, 0).astype(np.uint64)
+
+    def word(self, k: int) -> bytes:
+        return self.raw[self.starts[k] : self.stops[k]]
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places sorted by the `depth` words from each on, and the three-word keys by place."""
+    """Places of the numbered words, sorted by the `depth` words from each on, and the keys by place."""
     n = len(ids)
-    padded = np.zeros(n + depth + 6, np.uint64)
+    padded = np.zeros(n + depth + 2 * _PER_KEY, np.uint64)
     padded[:n] = ids
-    keys = padded[:-2] << np.uint64(2 * _BITS) | padded[1:-1] << np.uint64(_BITS) | padded[2:]
-    order = np.argsort(keys[:n])
-    done = 3
+    keys = padded[:-1] << np.uint64(_BITS) | padded[1:]
+    places = np.flatnonzero(ids)
+    order = places[np.argsort(keys[places])]
+    n = len(order)
+    done = _PER_KEY
     group = np.zeros(n, np.int64)
     if n:
         np.cumsum(np.diff(keys[order]) != 0, out=group[1:])
@@ -96,7 +117,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         split = np.zeros(n, bool)
         split[open_[1:]] = (sorted_keys[1:] != sorted_keys[:-1]) & (own[1:] == own[:-1])
         group = np.cumsum(new | split) - 1
-        done += 3
+        done += _PER_KEY
     return order, keys
 
 
@@ -114,48 +135,49 @@ def _bound(keys, order, lo, hi, want, offset, shift, right):
         hi = np.where(active & ~below, mid, hi)
 
 
-def occurrences(ids, vocabulary, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-    """(place, window number) of every occurrence of a test window in the shard.
+def occurrences(ids: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+    """(place, first word of the window) of every occurrence of a test window in the shard.
 
-    ids: word numbers from 1, with 0 between texts; vocabulary: sorted hashes of 1, 2, ...
+    ids: the tests' numbers of the shard's words, with 0 between texts.
     """
     none = np.zeros(0, np.int64)
-    if not len(ids) or not len(tests.at) or not len(vocabulary):
+    if not len(tests.at) or not ids.any():
         return none, none
-    there = np.searchsorted(vocabulary, tests.vocabulary)
-    known = (there < len(vocabulary)) & (vocabulary[np.minimum(there, len(vocabulary) - 1)] == tests.vocabulary)
-    words = np.where(known, there + 1, 0)[tests.number].astype(np.uint64)
-    missing = np.r_[0, np.cumsum(words == 0)]
-    live = np.flatnonzero(missing[tests.at + tests.length] == missing[tests.at])
+    # a window can occur only if the shard has all its words
+    there = np.zeros(len(tests.vocabulary) + 1, bool)
+    there[ids.astype(np.int64)] = True
+    missing = np.r_[0, np.cumsum(~there[tests.number])]
+    at, length = tests.at.astype(np.int64), tests.length(tests.at)
+    live = missing[at + length] == missing[at]
+    at, length = at[live], length[live]
     order, keys = suffix_array(ids, tests.window)
-    lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(order), np.int64)
-    padded = np.r_[words, np.zeros(3, np.uint64)]
-    for offset in range(0, tests.window, 3):
-        left = tests.length[live] - offset
-        at = tests.at[live] + offset
-        for take in (1, 2, 3):
-            pick = np.flatnonzero((np.minimum(left, 3) == take) & (lo < hi))
+    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
+    words = np.r_[tests.number, np.zeros(_PER_KEY, np.uint32)].astype(np.uint64)
+    for offset in range(0, tests.window, _PER_KEY):
+        for take in range(1, _PER_KEY + 1):
+            pick = np.flatnonzero((np.minimum(length - offset, _PER_KEY) == take) & (lo < hi))
             if not len(pick):
                 continue
             want = np.zeros(len(pick), np.uint64)
             for k in range(take):
-                want = want << np.uint64(_BITS) | padded[at[pick] + k]
-            shift = np.uint64(_BITS * (3 - take))
+                want = want << np.uint64(_BITS) | words[at[pick] + offset + k]
+            shift = np.uint64(_BITS * (_PER_KEY - take))
             a = _bound(keys, order, lo[pick], hi[pick], want, offset, shift, False)
             b = _bound(keys, order, a, hi[pick], want, offset, shift, True)
             lo[pick], hi[pick] = a, b
     found = np.flatnonzero(lo < hi)
-    counts = (hi - lo)[found]
     if not len(found):
         return none, none
+    counts = (hi - lo)[found]
     start = np.repeat(lo[found] - np.r_[0, np.cumsum(counts)[:-1]], counts)
-    return order[start + np.arange(counts.sum())], np.repeat(live[found], counts)
+    return order[start + np.arange(counts.sum())], np.repeat(at[found], counts)
 
 
 def longest(hits: list[tuple[int, int, int]], tests: Tests) -> list[tuple[str, int, int, int]]:
     """(item, its first word, the document's first word, words) of the longest verbatim
     matches: windows that follow each other in both texts are one match."""
-    rows = sorted((int(tests.owner[t]), w - int(tests.place[t]), w, n) for w, n, t in hits)
+    owners = tests.owner(np.array([t for _, _, t in hits], np.int64)).tolist()
+    rows = sorted((o, w - (t - int(tests.bounds[o])), w, n) for o, (w, n, t) in zip(owners, hits))
     out: list[list] = []
     for owner, shift, w, n in rows:
         if out and out[-1][0] == owner and out[-1][1] == shift and w == out[-1][3] + 1:
@@ -165,22 +187,17 @@ def longest(hits: list[tuple[int, int, int]], tests: Tests) -> list[tuple[str, i
     return [(tests.items[o], first - shift, first, end - first) for o, shift, first, _, end in out]
 
 
-def scan_shard(ids: pa.Array, texts: pa.Array, tests: Tests) -> list[tuple[int, list, list, list]]:
+def scan_shard(texts: pa.Array, tests: Tests) -> list[tuple[int, list, list, list]]:
     """Per document: n_words, hit spans [(first word, end)], items, longest matches."""
     raw, ends = text_buffers(texts)
     raw = lower_bytes(raw)
     starts, stops, bounds = word_spans(raw, ends, _INSIDE)
     n = len(bounds) - 1
-    hashes = span_hashes(raw, starts, stops)
-    vocabulary, number = np.unique(hashes, return_inverse=True)
-    if len(vocabulary) >= 1 << _BITS:
-        raise ValueError("a shard has too many distinct words; lower SHARD_BYTES")
     counts = np.diff(bounds)
-    doc_of = np.repeat(np.arange(n), counts)
     # a 0 after each text keeps windows inside it
     numbered = np.zeros(len(starts) + n, np.uint64)
-    numbered[np.arange(len(starts)) + doc_of] = number + 1
-    place, window = occurrences(numbered, vocabulary, tests)
+    numbered[np.arange(len(starts)) + np.repeat(np.arange(n), counts)] = tests.numbered(span_hashes(raw, starts, stops))
+    place, window = occurrences(numbered, tests)
     hits: dict[int, list] = {}
     if len(place):
         first = np.cumsum(counts + 1) - (counts + 1)
@@ -188,20 +205,15 @@ def scan_shard(ids: pa.Array, texts: pa.Array, tests: Tests) -> list[tuple[int,
         word = place - text_no
         joined = raw.tobytes()
         order = np.lexsort((place, text_no))
-        for d, w, t in zip(text_no[order].tolist(), word[order].tolist(), window[order].tolist()):
-            own = tests.words[t]
-            if all(joined[starts[w + k] : stops[w + k]] == x for k, x in enumerate(own)):
-                hits.setdefault(d, []).append((w - int(bounds[d]), len(own), t))
+        length = tests.length(window)
+        for d, w, t, size in zip(*(x[order].tolist() for x in (text_no, word, window, length))):
+            if all(joined[starts[w + k] : stops[w + k]] == tests.word(t + k) for k in range(size)):
+                hits.setdefault(d, []).append((w - int(bounds[d]), size, t))
     out = []
     for d in range(n):
-        spans: list[list[int]] = []
-        for w, length, _ in hits.get(d, ()):
-            if spans and w <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], w + length)
-            else:
-                spans.append([w, w + length])
-        items = sorted({tests.items[tests.owner[t]] for _, _, t in hits.get(d, ())})
-        out.append((int(counts[d]), spans, items, longest(hits[d], tests) if d in hits else []))
+        own = hits.get(d, [])
+        items = {tests.items[o] for o in tests.owner(np.array([t for _, _, t in own], np.int64)).tolist()} if own else ()
+        out.append((int(counts[d]), _merged([[w, w + size] for w, size, _ in own]), sorted(items), longest(own, tests) if own else []))
     return out
 
 
@@ -210,7 +222,7 @@ def _test_blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Ite
     held, size = [], 0
     for r in rows.toLocalIterator():
         held.append((r[0], r[1]))
-        size += len(r[1] or "") + 64
+        size += len((r[1] or "").encode("utf-8", "surrogatepass")) + 64
         if size >= BENCHMARK_BYTES:
             yield Tests(held, window)
             held, size = [], 0
@@ -228,54 +240,64 @@ def _merged(spans: list) -> list[list[int]]:
     return out
 
 
+def _sent(docs: DataFrame, benchmark: DataFrame, item: str, text: str, window: int) -> list:
+    """Each block of the benchmark as a broadcast; the driver keeps none of them in memory."""
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(tests) for tests in _test_blocks(benchmark, item, text, window)]
+
+
+def _through_blocks(shards: list[pa.Array], sent: list, window: int) -> list[list[tuple[int, list, list, list]]]:
+    """What scan_shard gives for each shard with all blocks together."""
+    found: list = []
+    for block in sent or [None]:
+        tests = block.value if block else Tests([], window)
+        new = [scan_shard(texts, tests) for texts in shards]
+        found = [[(n, _merged(a + b), sorted({*i, *j}), m + k) for (n, a, i, m), (_, b, j, k) in zip(x, y)] for x, y in zip(found, new)] if found else new
+        if len(sent) > 1:
+            # held again when its turn comes: a worker has one block in memory
+            del tests
+            block.__dict__.pop("_value", None)
+    return found
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of shards of about GROUP_BYTES of text."""
+    held, size = [], 0
+    for shard in blocks(batches, column, SHARD_BYTES):
+        held.append(shard)
+        size += shard.column(shard.schema.get_field_index(column)).nbytes
+        if size >= GROUP_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def scan(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", *, window: int = WINDOW, id_column: str = "doc_id",
     item_column: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """doc_id, n_words, spans (word ranges inside some occurrence), items, matches (the
-    longest verbatim matches and where they are), one row per row of docs.
-
-    A benchmark of several blocks makes a chain of passes, each of which adds what its
-    block hits; rows stay where they are, so no key is needed to bring the hits together.
-    """
-    spark = docs.sparkSession
-    names = ["doc_id", "text", "n_words", "spans", "items", "matches"]
-    rows = docs.select(
-        docs[id_column].cast("long").alias("doc_id"),
-        docs[text].cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<array<int>>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-        F.array().cast(_MATCHES).alias("matches"),
-    )
-    tests = [*_test_blocks(benchmark, item_column, item_text, window)] or [Tests([], window)]
-    for k, block in enumerate(tests):
-        sent, last = spark.sparkContext.broadcast(block), k == len(tests) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, first=k == 0) -> Iterator[pa.RecordBatch]:
-            for shard in blocks(batches, "text", SHARD_BYTES):
-                found = scan_shard(shard.column(0), shard.column(1), sent.value)
-                spans, items, matches = ([r[k] for r in found] for k in (1, 2, 3))
-                if not first:
-                    spans = [_merged(a + b) for a, b in zip(spans, shard.column(3).to_pylist())]
-                    items = [sorted({*a, *b}) for a, b in zip(items, shard.column(4).to_pylist())]
-                    matches = [[tuple(x.values()) for x in b] + a for a, b in zip(matches, shard.column(5).to_pylist())]
-                columns = [
-                    shard.column(0),
-                    shard.column(1),
-                    pa.array([r[0] for r in found], pa.int64()),
-                    pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array([[dict(zip(_FIELDS, m)) for m in x] for x in matches], _MATCH_TYPE),
-                ]
-                if last:
-                    yield pa.RecordBatch.from_arrays(columns[:1] + columns[2:], names[:1] + names[2:])
-                else:
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-        schema = f"doc_id long, text string, n_words long, spans array<array<int>>, items array<string>, matches {_MATCHES}"
-        rows = rows.transform(through, run, schema.replace(" text string,", "") if last else schema)
-    return rows
+    longest verbatim matches and where they are), one row per row of docs: one pass, no shuffle."""
+    names = ["doc_id", "n_words", "spans", "items", "matches"]
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    sent = _sent(docs, benchmark, item_column, item_text, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shards in _grouped(batches, "text"):
+            for shard, found in zip(shards, _through_blocks([s.column(1) for s in shards], sent, window)):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        shard.column(0),
+                        pa.array([r[0] for r in found], pa.int64()),
+                        pa.array([r[1] for r in found], pa.list_(pa.list_(pa.int32()))),
+                        pa.array([r[2] for r in found], pa.list_(pa.string())),
+                        pa.array([[dict(zip(_FIELDS, m)) for m in r[3]] for r in found], _MATCH_TYPE),
+                    ],
+                    names,
+                )
+
+    return rows.transform(through, run, f"doc_id long, n_words long, spans array<array<int>>, items array<string>, matches {_MATCHES}")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -293,17 +315,13 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, window: int = WINDOW, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that a window occurs in: one pass for each benchmark block,
-    whole rows, no join."""
-    out = docs
-    for tests in _test_blocks(benchmark, item_column, item_text, window):
-        sent = docs.sparkSession.sparkContext.broadcast(tests)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for shard in blocks(batches, text, SHARD_BYTES):
-                column = shard.column(shard.schema.get_field_index(text))
-                found = scan_shard(pa.array(range(shard.num_rows)), column, sent.value)
+    """docs without the rows that a window occurs in: one pass over whole rows, no join."""
+    sent = _sent(docs, benchmark, item_column, item_text, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shards in _grouped(batches, text):
+            columns = [s.column(s.schema.get_field_index(text)) for s in shards]
+            for shard, found in zip(shards, _through_blocks(columns, sent, window)):
                 yield shard.filter(pa.array([not r[1] for r in found], pa.bool_()))
 
-        out = out.transform(through, run, docs.schema)
-    return out
+    return docs.transform(through, run, docs.schema)
