@@ -2,7 +2,7 @@
 
 Every worker cuts its documents into shards of about SHARD_BYTES, numbers the words that
 the benchmark has (all others are 0, which matches nothing) and sorts the shard's word
-suffixes that begin with a numbered word, two words to a sort key; suffixes that agree
+suffixes that begin with as many numbered words as the shortest window, two words to a sort key; suffixes that agree
 there are sorted on by the next two, to the depth a window needs. Each test suffix is
 then found in the array by binary search: its interval holds all places in the shard
 where the window occurs word for word. Matches are compared with the window's own bytes.
@@ -67,6 +67,10 @@ class Tests:
         last = np.repeat(np.maximum(bounds[1:] - window, bounds[:-1]), counts)
         place = np.arange(len(starts))
         self.at = place[(place >= first) & (place <= last)].astype(np.int32)
+        #: words of the shortest window
+        self.least = int(min(window, counts[counts > 0].min(initial=window)))
+        self.known = np.zeros(1 << 20, bool)
+        self.known[self._low(self.vocabulary)] = True
 
     def owner(self, at):
         """The item of the word `at`."""
@@ -76,30 +80,46 @@ class Tests:
         """Words of the windows that begin at the words `at`."""
         return np.minimum(self.window, self.bounds[self.owner(at) + 1] - at)
 
+    @staticmethod
+    def _low(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << 20) - 1)).astype(np.int64)
+
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, 0 for those that no item has."""
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.uint64)
-        there = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[there] == hashes, there + 1, 0).astype(np.uint64)
+        out = np.zeros(len(hashes), np.uint64)
+        # most words of no item are told by the low bits of their hashes
+        maybe = np.flatnonzero(self.known[self._low(hashes)])
+        if len(maybe):
+            wanted = hashes[maybe]
+            there = np.minimum(np.searchsorted(self.vocabulary, wanted), len(self.vocabulary) - 1)
+            out[maybe] = np.where(self.vocabulary[there] == wanted, there + 1, 0)
+        return out
 
     def word(self, k: int) -> bytes:
         return self.raw[self.starts[k] : self.stops[k]]
 
 
-def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the numbered words, sorted by the `depth` words from each on, and the keys by place."""
-    n = len(ids)
-    padded = np.zeros(n + depth + 2 * _PER_KEY, np.uint64)
-    padded[:n] = ids
-    keys = padded[:-1] << np.uint64(_BITS) | padded[1:]
-    places = np.flatnonzero(ids)
-    order = places[np.argsort(keys[places])]
+def _keys(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sort keys of the words from each place on; ids has zeros enough at its end."""
+    return ids[places] << np.uint64(_BITS) | ids[places + 1]
+
+
+def suffix_array(ids: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Places that begin with `least` numbered words, sorted by the `depth` words from each on,
+    and ids with zeros at its end."""
+    padded = np.r_[ids, np.zeros(depth + 2 * _PER_KEY, np.uint64)]
+    # the next 0 at or after each place
+    zeros = np.flatnonzero(padded == 0)
+    runs = np.diff(zeros, prepend=-1) - 1
+    long = np.flatnonzero(runs >= least)
+    sizes = runs[long] - least + 1
+    places = np.repeat(zeros[long] - runs[long] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(long) else np.zeros(0, np.int64)
+    order = places[np.argsort(_keys(padded, places))]
     n = len(order)
     done = _PER_KEY
     group = np.zeros(n, np.int64)
     if n:
-        np.cumsum(np.diff(keys[order]) != 0, out=group[1:])
+        np.cumsum(np.diff(_keys(padded, order)) != 0, out=group[1:])
     while done < depth and n:
         new = np.empty(n, bool)
         new[0] = True
@@ -110,7 +130,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(open_):
             break
         places = order[open_]
-        next_keys = keys[np.minimum(places + done, len(keys) - 1)]
+        next_keys = _keys(padded, places + done)
         inner = np.lexsort((next_keys, group[open_]))
         order[open_] = places[inner]
         sorted_keys, own = next_keys[inner], group[open_]
@@ -118,10 +138,10 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         split[open_[1:]] = (sorted_keys[1:] != sorted_keys[:-1]) & (own[1:] == own[:-1])
         group = np.cumsum(new | split) - 1
         done += _PER_KEY
-    return order, keys
+    return order, padded
 
 
-def _bound(keys, order, lo, hi, want, offset, shift, right):
+def _bound(ids, order, lo, hi, want, offset, shift, right):
     """Binary search in [lo, hi) of each query: where key >> shift reaches (passes) `want`."""
     lo, hi = lo.copy(), hi.copy()
     while True:
@@ -129,7 +149,7 @@ def _bound(keys, order, lo, hi, want, offset, shift, right):
         if not active.any():
             return lo
         mid = (lo + hi) >> 1
-        got = keys[np.minimum(order[np.minimum(mid, len(order) - 1)] + offset, len(keys) - 1)] >> shift
+        got = _keys(ids, order[np.minimum(mid, len(order) - 1)] + offset) >> shift
         below = (got <= want) if right else (got < want)
         lo = np.where(active & below, mid + 1, lo)
         hi = np.where(active & ~below, mid, hi)
@@ -150,7 +170,9 @@ def occurrences(ids: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
     at, length = tests.at.astype(np.int64), tests.length(tests.at)
     live = missing[at + length] == missing[at]
     at, length = at[live], length[live]
-    order, keys = suffix_array(ids, tests.window)
+    order, padded = suffix_array(ids, tests.window, tests.least)
+    if not len(order):
+        return none, none
     lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
     words = np.r_[tests.number, np.zeros(_PER_KEY, np.uint32)].astype(np.uint64)
     for offset in range(0, tests.window, _PER_KEY):
@@ -162,8 +184,8 @@ def occurrences(ids: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
             for k in range(take):
                 want = want << np.uint64(_BITS) | words[at[pick] + offset + k]
             shift = np.uint64(_BITS * (_PER_KEY - take))
-            a = _bound(keys, order, lo[pick], hi[pick], want, offset, shift, False)
-            b = _bound(keys, order, a, hi[pick], want, offset, shift, True)
+            a = _bound(padded, order, lo[pick], hi[pick], want, offset, shift, False)
+            b = _bound(padded, order, a, hi[pick], want, offset, shift, True)
             lo[pick], hi[pick] = a, b
     found = np.flatnonzero(lo < hi)
     if not len(found):

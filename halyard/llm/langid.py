@@ -6,12 +6,15 @@ all languages that contain it. A text's votes are, for each language, the number
 n-grams found, corrected for the filter's false positives (its fill to the power of the
 number of hashes). The most votes decide; ties go to the first language by name.
 
-Learned from labelled rows only: at most SAMPLE_ROWS rows of each language, drawn by a hash.
+Learned from labelled rows only: SAMPLE_ROWS rows of each language, or all if there are fewer,
+those whose hash of id and text is least.
 An n-gram is typical of a language if it is among its KEPT most frequent and at least half as
 frequent there as in the language where it is most frequent.
 
-Null texts and texts without letters are `und` with score 0. With nothing learned all are
-`und`. Ties, repeated rows and further columns change nothing; an empty table gives no rows.
+Null and empty texts and texts without letters are `und` with score 0; very long texts are
+read whole. With nothing learned all are `und`. Ties go to the first language by name;
+repeated rows repeat their results; further columns are ignored by `identify` and kept by
+`keep_known`, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._blocks import blocks, mix, through
+from ._blocks import blocks, mix, partitions, through
 
 ORDERS = (3, 4)
 SAMPLE_ROWS = 4_000
+#: So many times the wanted rows (and a hundred more) are drawn first.
+DRAWN = 1.5
 KEPT = 20_000
 HASHES = 3
 SLOT_BITS = 20
@@ -126,11 +131,16 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", id_column
     languages = sorted(sizes)
     if not languages:
         return Filter([], {})
-    draw = F.pmod(F.xxhash64(F.col(id_column), F.lit(11)), F.lit(1_000_000))
-    share = F.lit(0)
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(id_column), F.col(text), F.lit(11)).alias("draw"))
+    # a threshold on the draw, as a double between 0 and 1, lets through a little more than is wanted ...
+    share = F.lit(0.0)
     for name in languages:
-        share = F.when(F.col(lang) == name, F.lit(int(1_000_000 * min(1.0, sample_rows / sizes[name])))).otherwise(share)
-    sample = labelled.filter(draw < share).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, (DRAWN * sample_rows + 100) / sizes[name]))).otherwise(share)
+    drawn = rows.filter(F.col("draw").cast("double") / 2.0**64 + 0.5 <= share)
+    # ... and the rows of the least draws stay, each partition's first ones alone being moved
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    sample = drawn.withColumn("place", place).filter(F.col("place") <= sample_rows).select("lang", "text")
+    sample = sample.repartition(partitions(labelled.sparkSession))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 1 << 20):
