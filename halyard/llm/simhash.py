@@ -1,24 +1,30 @@
 """SimHash near-duplicates found by pigeonring filtering.
 
 A fingerprint is cut into `segments` on a ring. If two fingerprints differ in at most t
-bits then some segment starts a chain in which, for every l, the first l segments differ
-in at most floor(l * t / segments) bits. With more segments than t the chain's first
-segment is equal, so equal (segment number, segment value) keys bring all candidates
-together; the chain test prunes them before the full Hamming test.
-
-Work is on distinct fingerprints, so copies cost one row. A key shared by more than
-`group_limit` fingerprints is not paired off: its members are linked through the points
-within half the radius of each (every pair at distance 2 or less meets in such a point,
-and no other pair does), which costs a fixed number of rows for each member. Both ways
-are exact, so the limit changes cost and never the result.
+bits then at least segments - t segments are equal, and some segment starts a chain in
+which, for every l, the first l segments differ in at most floor(l * t / segments) bits.
+Candidates meet in the keys of all choices of segments - t segments (with five segments and
+two bits: ten keys of 38 or 39 bits, which two unrelated fingerprints among ten billion
+rarely share); the chain test prunes them before the full Hamming test, which each pair
+takes once, in the first key that it shares.
+
+Work is on distinct fingerprints, so copies cost one row. A key is large only where so many
+fingerprints truly lie together. One shared by more than `group_limit` is not paired off:
+its members are linked through the points within half the radius of each (every pair at
+distance 2 or less meets in such a point, and no other pair does), which costs a fixed
+number of rows for each member. Both ways are exact, so the limit changes cost and never
+the result.
 
 Null and empty texts, and texts without words, have fingerprint 0 and link like any
-other. Repeated rows and equal texts have one fingerprint. An empty table gives none.
+other; very long texts are read whole. Repeated rows and equal texts have one fingerprint
+and each row its result; ties of the component are settled by the least id. Further columns
+are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +37,9 @@ from .components import components
 
 SEED = 42
 BITS = 64
+SEGMENTS = 5
 #: Largest key group that is paired off member by member.
-GROUP_LIMIT = 48
+GROUP_LIMIT = 256
 
 
 def text_fingerprint(text: str | None, words: int = 3) -> int:
@@ -80,54 +87,61 @@ def ring(segments: int, bits: int = BITS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _segment(fp, shift: int, width: int):
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
+def _mask(parts: list[tuple[int, int]]) -> int:
+    """The bits of the segments, as a signed 64-bit number."""
+    bits = sum(((1 << width) - 1) << shift for shift, width in parts)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _differing(difference, parts: list[tuple[int, int]]):
+    return F.bit_count(difference.bitwiseAND(F.lit(_mask(parts)).cast("long")))
 
 
-def _chain(difference, start: int, segments: int, radius: int):
-    """The chain that starts at `start` keeps within its budget at every length."""
+def chain(difference, segments: int, radius: int):
+    """Some segment starts a chain that keeps within its budget at every length."""
     parts = ring(segments)
-    total, test = F.lit(0), F.lit(True)
-    for length in range(1, segments):
-        shift, width = parts[(start + length - 1) % segments]
-        total = total + F.bit_count(_segment(difference, shift, width))
-        test = test & (total <= F.lit(length * radius // segments))
+    own = [_differing(difference, [p]) for p in parts]
+    test = F.lit(False)
+    for start in range(segments):
+        total, kept = F.lit(0), F.lit(True)
+        for length in range(1, segments):
+            total = total + own[(start + length - 1) % segments]
+            kept = kept & (total <= F.lit(length * radius // segments))
+        test = test | kept
     return test
 
 
-def links(points: DataFrame, radius: int = 2, segments: int = 3, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def links(points: DataFrame, radius: int = 2, segments: int = SEGMENTS, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Edges u, v between distinct fingerprints (column fp) whose connected components
     are those of all pairs at distance `radius` or less."""
     if not 0 < radius <= 2:
         raise ValueError("the exact way for large groups holds for radius 1 and 2")
     if segments <= radius:
         raise ValueError("more segments than differing bits are needed")
-    parts = ring(segments)
-    keys = settle(
-        points.select(
-            "fp",
-            F.explode(
-                F.array(*[F.struct(F.lit(k).alias("k"), _segment(F.col("fp"), *p).alias("part")) for k, p in enumerate(parts)])
-            ).alias("key"),
-        ).select("fp", "key.k", "key.part")
-    )
+    chosen = [_mask(list(c)) for c in combinations(ring(segments), segments - radius)]
+    key = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("part")) for k, m in enumerate(chosen)]
+    keys = settle(points.select("fp", F.explode(F.array(*key)).alias("key")).select("fp", "key.k", "key.part"))
     sizes = keys.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = settle(keys.join(sizes, ["k", "part"]))
     few = shared.filter(F.col("n") <= group_limit).select("k", "part", "fp")
     difference = F.col("u").bitwiseXOR(F.col("v"))
-    chain = F.lit(False)
-    for k in range(segments):
-        chain = chain | ((F.col("k") == k) & _chain(difference, k, segments, radius))
+    first = F.lit(len(chosen))
+    for k, m in reversed(list(enumerate(chosen))):
+        first = F.when(difference.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(k)).otherwise(first)
     pairs = (
         few.withColumnRenamed("fp", "u")
         .join(few.withColumnRenamed("fp", "v"), ["k", "part"])
         .filter("u > v")
-        .filter(chain)
+        # if the first key is a large one, the points below link both
+        .filter(F.col("k") == first)
+        .filter(chain(difference, segments, radius))
         .filter(F.bit_count(difference) <= radius)
         .select("u", "v")
     )
     # members of large groups: themselves and all points one bit away
     many = shared.filter(F.col("n") > group_limit).select("fp").distinct()
+    if many.isEmpty():
+        return pairs
     near = [F.col("fp")]
     if radius == 2:
         near += [F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), b)) for b in range(BITS)]
@@ -148,7 +162,7 @@ def links(points: DataFrame, radius: int = 2, segments: int = 3, group_limit: in
 
 
 def simhash_components(
-    docs: DataFrame, text: str = "text", *, words: int = 3, radius: int = 2, segments: int = 3,
+    docs: DataFrame, text: str = "text", *, words: int = 3, radius: int = 2, segments: int = SEGMENTS,
     group_limit: int = GROUP_LIMIT, id_column: str = "doc_id",
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least reachable doc_id)."""

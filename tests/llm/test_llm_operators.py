@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from halyard.llm import bpe, chat, components, decontam, fingerprints, langid, near_copies, pii, secret_scan, shards, simhash, token_counts
@@ -219,7 +220,7 @@ def test_simhash(docs, limit):
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in found} == {(k, f"{prints[k]:016x}", groups[k]) for k in prints}
 
 
-@pytest.mark.parametrize("limit,radius,segments", [(0, 2, 3), (5, 2, 4), (1000, 2, 3), (0, 1, 2), (1000, 1, 2), (1000, 2, 5)])
+@pytest.mark.parametrize("limit,radius,segments", [(0, 2, 3), (5, 2, 4), (1000, 2, 3), (0, 1, 2), (1000, 1, 2), (1000, 2, 5), (4, 2, 5), (3, 1, 4), (1000, 2, 8)])
 def test_links_of_close_points(spark, limit, radius, segments):
     rnd = random.Random(limit + radius)
     points, base = {}, [rnd.getrandbits(64) for _ in range(4)]
@@ -242,6 +243,29 @@ def test_links_of_close_points(spark, limit, radius, segments):
     assert len({v for v in named.values()}) == sum(len(m) > 1 for m in own.values())
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4), st.sampled_from([(2, 3), (2, 5), (1, 2), (2, 8)]))
+def test_chains_keep_every_close_pair(fp, flips, shape):
+    radius, segments = shape
+    other = fp
+    for b in flips:
+        other ^= 1 << b
+    widths = simhash.ring(segments)
+    own = [((fp ^ other) >> s & ((1 << w) - 1)).bit_count() for s, w in widths]
+    held = any(all(sum(own[(start + k) % segments] for k in range(n)) <= n * radius // segments for n in range(1, segments)) for start in range(segments))
+    if (fp ^ other).bit_count() <= radius:
+        assert held and sum(x == 0 for x in own) >= segments - radius
+
+
+def test_chain_expression(spark):
+    rnd = random.Random(2)
+    rows = [sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 5))) for _ in range(300)]
+    found = spark.createDataFrame([(x,) for x in rows], "d long").select("d", simhash.chain(F.col("d"), 5, 2).alias("held")).collect()
+    for r in found:
+        own = [(r["d"] >> s & ((1 << w) - 1)).bit_count() for s, w in simhash.ring(5)]
+        assert r["held"] == any(all(sum(own[(start + k) % 5] for k in range(n)) <= n * 2 // 5 for n in range(1, 5)) for start in range(5))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     found = {r["node"]: r["component"] for r in components.components(edges).collect()}
