@@ -3,23 +3,31 @@
 Copies of a text form one group; a group is the unit that is placed. Starting with all
 groups and all shards, a node is cut along its widest metadata dimension (range of the
 node over the range of the table) at the weighted median, or at the share that its
-halves of the shards ask for, until each leaf is one shard of the target bytes. The cut is
-found by counting bytes over a grid of the dimension's order and narrowing the grid
-around the cut, for all nodes of a level at once; the driver sees grid counts only.
-
-A group of more than a LARGE-th of the target (there are fewer than LARGE times the shards of them)
-does not go through the tree. Up to the target it is placed whole, into the least full
-shard; a larger one, such as a third of all rows, can't be in one shard under this law and
-is cut row by row into pieces of a sixteenth of the target. The tree then fills what each shard
-has left.
-
-Null and empty texts have size 8 and are one group. A null in a dimension comes first.
-Repeated rows count and are placed as rows. An empty table gives no rows.
+halves of the shards ask for, until each leaf is one shard of the target bytes. The
+dimensions are length, source and language; the last two are ranks among the distinct
+values. The cut is found by counting bytes over a grid of the dimension's order and narrowing
+the grid around the cut, for all nodes of a level at once; the driver sees grid counts only.
+
+A cut can't go through a group, so a leaf is off by up to half the size of the groups where
+its cuts fell. Leaves that are off are repaired: groups above a LARGE-th of the target
+(fewer than LARGE times the shards) move or change places one by one where a leaf has more of
+them than it can hold, and ranges of the smaller ones go from leaves that have too much to leaves that have too
+little. Where no group is that large, the leaves are the tree's own.
+
+A group larger than a whole shard, such as a third of all rows, can't be in one shard under
+this law; it is cut row by row into pieces of a sixteenth of the target, which are placed
+before the tree fills what each shard has left.
+
+Null and empty texts have size 8 and are one group; a very long text is one row like others.
+A null in a dimension comes first. Ties in a dimension are parted by a hash of the text.
+Repeated rows count and are placed as rows. Further columns are ignored, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,11 +37,31 @@ from ._blocks import partitions, settle
 SHARDS = 24
 OVERHEAD = 8
 GRID = 4096
-#: Groups above this part of a shard's target are placed one by one; the cuts of the tree can
-#: then be off by no more than such a group.
-LARGE = 32
+#: Groups above this part of a shard's target are repaired one by one.
+LARGE = 256
+#: Leaves off by no more than this part of the target are not repaired.
+TOLERANCE = 500
 #: Bits of a dimension's order that its value takes; the rest tell equal values apart.
 VALUE_BITS = 30
+#: Ranks of a dimension are broadcast up to so many distinct values.
+BROADCAST_RANKS = 200_000
+
+
+def _ranked(groups: DataFrame, column: str, rank: str) -> DataFrame:
+    """groups with the dense rank of the column's value: 0 for null, 1 for the least.
+
+    Distinct values are dealt into ranges and numbered there; one row for each range tells
+    how many come before."""
+    parts = partitions(groups.sparkSession)
+    values = groups.select(F.col(column).alias("value")).filter("value is not null").distinct()
+    values = settle(values.repartitionByRange(parts, "value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = values.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("part").orderBy("value")
+    ranks = values.join(first, "part").select(F.col("value").alias(column), (F.col("first") + F.row_number().over(inside)).alias(rank))
+    if values.count() <= BROADCAST_RANKS:
+        ranks = F.broadcast(ranks)
+    return groups.join(ranks, column, "left")
 
 
 def _dimensions(groups: DataFrame) -> DataFrame:
@@ -45,19 +73,15 @@ def _dimensions(groups: DataFrame) -> DataFrame:
         value = F.least(F.greatest(F.coalesce(value.cast("long"), F.lit(0)), F.lit(0)), F.lit(top))
         return F.shiftleft(value, low).bitwiseOR(F.shiftrightunsigned(F.xxhash64("group", F.lit(salt)), 64 - low))
 
-    def name(column):  # the first letters, in order
-        raw = F.rpad(F.substring(F.coalesce(column, F.lit("")), 1, 3), 3, " ").cast("binary")
-        return F.conv(F.substring(F.hex(raw), 1, 6), 16, 10).cast("long") * 64
-
-    return (
-        groups.withColumn("d0", key(F.col("n_chars"), 0))
-        .withColumn("d1", key(name(F.col("source")), 1))
-        .withColumn("d2", key(name(F.col("lang")), 2))
+    ranked = _ranked(_ranked(groups, "source", "source_rank"), "lang", "lang_rank")
+    return ranked.select(
+        "group", "bytes", key(F.col("n_chars"), 0).alias("d0"), key(F.col("source_rank"), 1).alias("d1"), key(F.col("lang_rank"), 2).alias("d2"),
+        F.shiftrightunsigned(F.xxhash64("group", F.lit(7)), 2).alias("h"),
     )
 
 
-def _greedy(sizes: list[tuple[str, int]], shards: int, target: float) -> tuple[dict, list[int]]:
-    """Large groups, largest first, each into the least full shard."""
+def _greedy(sizes: list[tuple[str, int]], shards: int) -> tuple[dict, list[int]]:
+    """Pieces, largest first, each into the least full shard."""
     room = [(0, s) for s in range(shards)]
     heapq.heapify(room)
     place = {}
@@ -106,12 +130,12 @@ def _cuts(table: DataFrame, nodes: dict[int, tuple[str, float]], lows: dict, hig
     return done
 
 
-def tree(groups: DataFrame, room: list[float]) -> DataFrame:
-    """group, shard for the groups (columns group, bytes, d0, d1, d2); room: bytes that each shard has left.
+def tree(groups: DataFrame, room: list[float], close: float | None = None) -> DataFrame:
+    """groups (columns bytes, d0, d1, d2) with the shard of each; room: bytes that each shard has left.
 
     The tree itself, a cut for each inner node, is an expression over the dimensions."""
     dims = ["d0", "d1", "d2"]
-    close = sum(room) / len(room) / 4000
+    close = sum(room) / len(room) / 4000 if close is None else close
     spread: dict[str, int] = {}
     cuts: dict[int, tuple[str, int]] = {}  # by node; node n's children are 2n and 2n + 1
     shards_of = {1: list(range(len(room)))}
@@ -145,7 +169,86 @@ def tree(groups: DataFrame, room: list[float]) -> DataFrame:
         cuts |= {n: (d, found[n]) for n, (d, _) in asked.items()}
         level = [c for n in level for c in (2 * n, 2 * n + 1)]
     # a node without groups was not cut; it has no rows either
-    return groups.select("group", F.expr(expression(1, lambda n: shards_of[n][0])).cast("int").alias("shard"))
+    return groups.withColumn("shard", F.expr(expression(1, lambda n: shards_of[n][0])).cast("int"))
+
+
+def _exchange(full: set, empty: set, apart: float) -> tuple | None:
+    """The group that goes over, and the one that comes back (or none), that bring two shards closest together."""
+    given, best = sorted(empty), None
+    for g in full:
+        # the partners whose size is next to what would make both shards alike, or none
+        k = bisect_left(given, (g[0] - apart / 2,))
+        for h in (None, *given[max(0, k - 1) : k + 1]):
+            gain = g[0] - (h[0] if h else 0)
+            if 0 < gain < apart and (best is None or (abs(gain - apart / 2), g) < best[:2]):
+                best = abs(gain - apart / 2), g, h
+    return best and best[1:]
+
+
+def _spread_large(large: dict[str, tuple[int, int]], room: list[float]) -> dict[str, int]:
+    """Moves of large groups (bytes, shard) out of shards that can't hold all of theirs: the
+    fullest shard gives one, or changes one for a smaller one, with the emptiest shard that this
+    brings closer to it, as long as there is one."""
+    over = [-r for r in room]
+    held: list[set[tuple[int, str]]] = [set() for _ in room]
+    for group, (size, shard) in large.items():
+        over[shard] += size
+        held[shard].add((size, group))
+    moves: dict[str, int] = {}
+    while True:
+        order = sorted(range(len(room)), key=lambda s: (over[s], s))
+        full = order.pop()
+        found = ((_exchange(held[full], held[s], over[full] - over[s]), s) for s in order if over[s] < over[full])
+        found = next((x for x in found if x[0]), None) if over[full] > 0 else None
+        if not found:
+            return moves
+        (g, h), other = found
+        for item, a, b in ((g, full, other), (h, other, full)):
+            if item:
+                held[a].remove(item)
+                held[b].add(item)
+                over[a] -= item[0]
+                over[b] += item[0]
+                moves[item[1]] = b
+
+
+def repair(placed: DataFrame, room: list[float], target: float) -> DataFrame:
+    """group, shard: the tree's placement with the leaves that are off put right."""
+    limit, close = max(1.0, target / LARGE), target / 4000
+    large = {r["group"]: (int(r["bytes"]), r["shard"]) for r in placed.filter(F.col("bytes") > limit).select("group", "bytes", "shard").collect()}
+    moves = _spread_large(large, room)
+    want = list(room)
+    for group, (size, shard) in large.items():
+        want[moves.get(group, shard)] -= size
+    want = [max(0.0, w) for w in want]
+    small = placed.filter(F.col("bytes") <= limit).select(F.col("shard").alias("node"), "bytes", "h")
+    have = [0.0] * len(room)
+    for r in small.groupBy("node").agg(F.sum("bytes").alias("b")).collect():
+        have[r["node"]] = float(r["b"])
+    scale = sum(have) / (sum(want) or 1)
+    excess = [a - w * scale for a, w in zip(have, want)]
+    above = {s: 1 << 62 for s in range(len(room))}
+    ranges: list[tuple[int, int, int, int]] = []
+    for _ in range(len(room)):
+        givers = sorted((s for s in above if excess[s] > target / TOLERANCE), key=lambda s: (-excess[s], s))
+        takers = sorted((s for s in above if excess[s] < 0), key=lambda s: (excess[s], s))
+        pairs = list(zip(givers, takers))
+        if not pairs:
+            break
+        amount = {a: min(excess[a], -excess[b]) for a, b in pairs}
+        nodes = {a: ("h", have[a] - amount[a]) for a, _ in pairs}
+        cuts = _cuts(small, nodes, dict.fromkeys(nodes, 0), {a: above[a] - 1 for a in nodes}, close)
+        for a, b in pairs:
+            ranges.append((a, cuts[a], above[a], b))
+            above[a] = cuts[a]
+            have[a] -= amount[a]
+            excess[a] -= amount[a]
+            excess[b] += amount[a]
+    to = "CASE " + " ".join(f"WHEN shard = {a} AND h >= {lo}L AND h < {hi}L THEN {b}" for a, lo, hi, b in ranges) + " ELSE shard END" if ranges else "shard"
+    moved = placed.sparkSession.createDataFrame(sorted(moves.items()), "group string, moved int")
+    return placed.join(F.broadcast(moved), "group", "left").select(
+        "group", F.coalesce("moved", F.when(F.col("bytes") <= limit, F.expr(to)).otherwise(F.col("shard"))).cast("int").alias("shard")
+    )
 
 
 def shard_documents(
@@ -174,15 +277,14 @@ def shard_documents(
     groups = settle(groups)
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     target = total / shards
-    # at most LARGE * shards groups can be above that part of the target
-    large = [(r["group"], int(r["bytes"])) for r in groups.filter(F.col("bytes") > max(1.0, target / LARGE)).select("group", "bytes").collect()]
-    whole = [x for x in large if x[1] <= target]
-    torn = {g: max(2, int(-(-b * 16 // max(1, target)))) for g, b in large if b > target}
-    pieces = [(f"{g}/{k}", b // torn[g]) for g, b in large if g in torn for k in range(torn[g])]
-    placed, filled = _greedy(whole + pieces, shards, target)
+    # at most `shards` groups can be above the target
+    torn = {r["group"]: int(r["bytes"]) for r in groups.filter(F.col("bytes") > max(1.0, target)).select("group", "bytes").collect()}
+    cuts = {g: max(2, int(-(-b * 16 // max(1, target)))) for g, b in torn.items()}
+    placed, filled = _greedy([(f"{g}/{k}", b // cuts[g]) for g, b in torn.items() for k in range(cuts[g])], shards)
+    torn = cuts
     room = [max(target - f, 0.0) for f in filled]
-    small = _dimensions(groups.filter(F.col("bytes") <= max(1.0, target / LARGE))).select("group", "bytes", "d0", "d1", "d2")
-    in_tree = tree(settle(small), room)
+    leaves = settle(tree(settle(_dimensions(groups.filter(F.col("bytes") <= max(1.0, target)))), room))
+    in_tree = repair(leaves, room, target)
     known = spark.createDataFrame([(g, s) for g, s in placed.items()], "group string, shard int")
     place = in_tree.union(known).withColumnRenamed("group", "unit")
     named = rows.withColumn("unit", F.col("group"))

@@ -384,6 +384,52 @@ def test_shards(docs, nothing, spark):
     assert sum(len(v) > 1 for v in homes.values()) == 1
 
 
+def brute_tree(rows, shards, spread, out):
+    """The plain k-d tree over (group, bytes, d0, d1, d2)."""
+    if len(shards) == 1 or not rows:
+        out.update({r[0]: shards[0] for r in rows})
+        return out
+    widest = max(range(3), key=lambda d: ((max(r[2 + d] for r in rows) - min(r[2 + d] for r in rows)) / spread[d], d))
+    half = len(shards) // 2
+    left = sum(r[1] for r in rows) * half / len(shards)
+    rows = sorted(rows, key=lambda r: r[2 + widest])
+    n = 0
+    while n < len(rows) and left > 0:
+        if left < rows[n][1] and left <= rows[n][1] / 2:
+            break
+        left -= rows[n][1]
+        n += 1
+    brute_tree(rows[:n], shards[:half], spread, out)
+    return brute_tree(rows[n:], shards[half:], spread, out)
+
+
+@pytest.mark.parametrize("n_shards", [2, 5, 8])
+def test_tree_cuts(spark, n_shards):
+    rnd = random.Random(n_shards)
+    rows = [(f"g{k}", rnd.randint(1, 90), rnd.randint(0, 300), f"src{rnd.randint(0, 9)}" if k % 7 else None, rnd.choice(["en", "fr", None])) for k in range(400)]
+    groups = shards._dimensions(spark.createDataFrame(rows, "group string, bytes long, n_chars long, source string, lang string")).cache()
+    plain = [(r["group"], r["bytes"], r["d0"], r["d1"], r["d2"]) for r in groups.collect()]
+    # sources and languages are in their order: null, src0, src1, ...
+    assert {r[0]: r[3] >> 32 for r in plain} == {r[0]: 0 if r[3] is None else 1 + int(r[3][3:]) for r in rows}
+    spread = [max(r[2 + d] for r in plain) - min(r[2 + d] for r in plain) for d in range(3)]
+    found = {r["group"]: r["shard"] for r in shards.tree(groups, [1.0] * n_shards, close=0).collect()}
+    assert found == brute_tree(plain, list(range(n_shards)), spread, {})
+
+
+def test_repaired_leaves(spark):
+    rnd = random.Random(8)
+    # groups from a fifth to nearly all of a shard among small ones
+    rows = [(f"g{k}", rnd.randint(1, 40), rnd.randint(0, 300), f"src{k % 5}", "en") for k in range(3000)]
+    rows += [(f"b{k}", rnd.randint(2_000, 9_000), rnd.randint(0, 300), f"src{k % 3}", "en") for k in range(8)]
+    groups = shards._dimensions(spark.createDataFrame(rows, "group string, bytes long, n_chars long, source string, lang string")).cache()
+    target = sum(r[1] for r in rows) / 10
+    home = {r["group"]: r["shard"] for r in shards.repair(shards.tree(groups, [target] * 10), [target] * 10, target).collect()}
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[home[r[0]]] += r[1]
+    assert len(home) == len(rows) and max(sizes.values()) < 1.01 * target and min(sizes.values()) > 0.99 * target
+
+
 def test_language(docs, nothing, spark):
     found = langid.identify(docs).collect()
     assert len(found) == len(ROWS)
