@@ -33,13 +33,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder of spark.checkpoint.dir; a local one only where that is unset, on a local master."""
     sc = spark.sparkContext
     there = sc.getCheckpointDir()
     if there is None:
-        there = sc.getConf().get("spark.checkpoint.dir") or os.path.join(
-            tempfile.gettempdir(), "halyard-checkpoints"
-        )
+        there = sc.getConf().get("spark.checkpoint.dir")
+        if there is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        there = there or os.path.join(tempfile.gettempdir(), "halyard-checkpoints")
         sc.setCheckpointDir(there)
     return there
 
@@ -52,17 +53,42 @@ def settle(df: DataFrame) -> DataFrame:
 
 def through(df: DataFrame, run, schema) -> DataFrame:
     """df through an Arrow function of this package. Batches are smaller than Spark's default:
-    each is held by the JVM and by Python at once, for every task of an executor."""
+    each is held by the JVM and by Python at once, for every task of an executor.
+
+    The size is a setting of the session, read when the plan runs, so it stays; where the
+    session has a size of its own, that one is used."""
     ship_code(df.sparkSession)
     if df.sparkSession.conf.get(_BATCH) == _BATCH_DEFAULT:
         df.sparkSession.conf.set(_BATCH, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 
 
+#: Node numbers are broadcast up to so many rows (16 MB).
+BROADCAST_NODES = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_NODES) -> DataFrame:
+    """df, settled, to be broadcast in a join if it has no more rows than that."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where a column of df has them already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(column: str = "doc_id"):
     return F.col(column).cast("long")
 

@@ -8,18 +8,24 @@ paths that hold them, and then joins findings back to all paths.
 Positions come from the gaps between a pattern's matches (split) and the matches
 themselves (regexp_extract_all): lengths in code points, summed in order.
 
-Null and empty texts are one blob without findings. Repeated rows give repeated results.
-An empty table gives no rows; further columns are ignored.
+A blob that a thousandth of the paths or more share is a hot key. There are fewer than a
+thousand such blobs, so their findings reach their paths by a broadcast; all others are joined
+by their address.
+
+Null and empty texts are one blob without findings; very long texts are scanned whole. Spans
+that tie are sorted by start, kind, end. Repeated rows give repeated results. An empty table
+gives no rows. Further columns are ignored by `findings` and kept by `redact`, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._blocks import settle
-
-RULE_VERSION = "rules-1"
+from ._blocks import fresh, settle
 
 #: name, pattern, group whose length counts, least length. The first three are the base kinds.
 RULES = [
@@ -31,6 +37,10 @@ RULES = [
     ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
 ]
 BASE = 3
+#: Follows the rules, so that an edited rule makes every blob unseen.
+RULE_VERSION = f"rules-{hashlib.sha256(repr(RULES).encode()).hexdigest()[:12]}"
+#: Blobs that more than one path in HOT holds reach their paths by a broadcast.
+HOT = 1_000
 #: Plain strings without which a pattern cannot match: a cheap test before the pattern.
 NEEDED = {"access": "AKIA", "jwt": "eyJ", "pem": "PRIVATE KEY-----"}
 
@@ -101,12 +111,8 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return found.groupBy("blob_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
-def extend_ledger(versions: DataFrame, ledger: DataFrame | None = None, *, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(path, blob_id) of all versions, and the ledger with the blobs scanned now.
-
-    The ledger's columns: blob_id, rule_version, spans. Append its new rows to a stored
-    one (`ledger.write.partitionBy("rule_version")`) to have later runs skip them.
-    """
+def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, *, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(path, blob_id) of all versions, and the ledger's rows (blob_id, rule_version, spans) of the blobs scanned now."""
     held = addresses(versions, path, text)
     known = settle(held.select("path", "blob_id"))
     new = settle(unseen(known, ledger, rule_version))
@@ -120,16 +126,44 @@ def extend_ledger(versions: DataFrame, ledger: DataFrame | None = None, *, path:
     rows = new.join(found, "blob_id", "left").select(
         "blob_id", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", empty).alias("spans")
     )
-    rows = settle(rows)
+    return known, settle(rows)
+
+
+def extend_ledger(versions: DataFrame, ledger: DataFrame | None = None, *, rule_version: str = RULE_VERSION, **more) -> tuple[DataFrame, DataFrame]:
+    """(path, blob_id) of all versions, and the ledger with the blobs scanned now."""
+    known, rows = scan_unseen(versions, ledger, rule_version=rule_version, **more)
     if ledger is not None:
         rows = ledger.filter(F.col("rule_version") == rule_version).select("blob_id", "rule_version", "spans").union(rows)
     return known, rows
 
 
+def _to_paths(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """path, blob_id, spans for every path."""
+    spans = rows.select("blob_id", "spans")
+    sizes = known.groupBy("blob_id").agg(F.count(F.lit(1)).alias("n"))
+    hot = settle(sizes.filter(F.col("n") * HOT > known.count()).select("blob_id"))  # fewer than HOT rows
+    few = known.join(F.broadcast(hot), "blob_id", "left_anti").join(spans, "blob_id")
+    many = known.join(F.broadcast(settle(spans.join(F.broadcast(hot), "blob_id", "left_semi"))), "blob_id")
+    return few.unionByName(many).select("path", "blob_id", "spans")
+
+
 def findings(versions: DataFrame, ledger: DataFrame | None = None, **more) -> DataFrame:
     """path, blob_id, spans for every path."""
-    known, rows = extend_ledger(versions, ledger, **more)
-    return known.join(rows.select("blob_id", "spans"), "blob_id")
+    return _to_paths(*extend_ledger(versions, ledger, **more))
+
+
+def scan_with_stored(versions: DataFrame, folder: str, *, rule_version: str = RULE_VERSION, **more) -> DataFrame:
+    """As findings, with the ledger kept as Parquet in a folder: blobs that it has for this rule
+    version are not scanned again, and those scanned now are appended."""
+    spark = versions.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    ledger = settle(spark.read.parquet(folder).select("blob_id", "rule_version", "spans")) if there else None
+    known, new = scan_unseen(versions, ledger, rule_version=rule_version, **more)
+    new.write.mode("append").partitionBy("rule_version").parquet(folder)
+    if ledger is not None:
+        new = ledger.filter(F.col("rule_version") == rule_version).unionByName(new)
+    return _to_paths(known, new)
 
 
 def _listed(spans: Column) -> Column:
@@ -151,13 +185,12 @@ def redact(docs: DataFrame, text: str = "text", id_column: str = "doc_id", marke
 
     A null text stays null.
     """
+    path, blob, own, spans = fresh(docs, "path", "blob", "own", "spans")
     found = findings(docs, path=id_column, text=text)
-    hits = found.filter(F.size("spans") > 0).select(
-        F.col("path").alias("__path"), F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans")
-    ).dropDuplicates(["__path", "__blob"])
-    key = F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256)
-    joined = docs.withColumn("__key", key).join(
-        hits, (F.col(id_column).eqNullSafe(F.col("__path"))) & (F.col("__key") == F.col("__blob")), "left"
+    hits = found.filter(F.size("spans") > 0).select(F.col("path").alias(path), F.col("blob_id").alias(blob), F.col("spans").alias(spans))
+    hits = hits.dropDuplicates([path, blob])
+    joined = docs.withColumn(own, F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256)).join(
+        hits, (F.col(id_column).eqNullSafe(F.col(path))) & (F.col(own) == F.col(blob)), "left"
     )
 
     def step(a: Column, s: Column) -> Column:
@@ -168,12 +201,10 @@ def redact(docs: DataFrame, text: str = "text", id_column: str = "doc_id", marke
         )
 
     changed = F.aggregate(
-        "__spans",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         step,
         lambda a: F.concat(a["out"], F.substr(F.col(text), (a["at"] + 1).cast("int"))),
     )
-    out = [
-        F.when(F.col("__spans").isNull(), F.col(c)).otherwise(changed).alias(c) if c == text else F.col(c) for c in docs.columns
-    ]
+    out = [F.when(F.col(spans).isNull(), F.col(c)).otherwise(changed).alias(c) if c == text else F.col(c) for c in docs.columns]
     return joined.select(*out)

@@ -354,6 +354,34 @@ def test_near_copies_are_exact(spark):
     assert found == {k for k, _ in rows} - {51}
 
 
+@pytest.mark.parametrize("block,n_words,edits", [(64, 150, 3), (1024, 700, 9)])
+def test_large_family_around_the_bound(spark, monkeypatch, block, n_words, edits):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rnd = random.Random(n_words)
+    base = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(n_words)]
+    texts = [edited(rnd, base, rnd.randint(edits - 1, edits + 3)) for _ in range(150)]
+    sets = [five(t) for t in texts]
+    group = list(range(len(texts)))
+    for k, a in enumerate(sets):
+        for i, b in enumerate(sets[:k]):
+            if len(a & b) / len(a | b) >= 0.8 and group[k] != group[i]:
+                group = [min(group[k], group[i]) if g in (group[k], group[i]) else g for g in group]
+    # some are near copies, some are not
+    assert 5 < len(set(group)) < 145
+    kept = near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group))
+
+
+def test_whole_rows_with_clashing_names(spark):
+    names = ["node", "key", "none", "row", "content", "path", "blob", "own", "spans", "Node_"]
+    rows = [(1, "one text here", *names), (2, "One  text here", *names), (3, "token=abcdefghijklmnop", *names)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = near_copies.keep_one(table)
+    assert kept.columns == table.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+    redacted = secret_scan.redact(table)
+    assert redacted.columns == table.columns and sorted(tuple(r) for r in redacted.collect()) == [*rows[:2], (3, "[SECRET]", *names)]
+
+
 def test_near_copies_with_shared_ids(spark):
     rows = [(None, f"text {k} of no id") for k in range(9)] + [(None, "text 0 of no id")]
     rows += [(7, "one text of seven"), (7, "another text of it"), (7, "one text of seven")]
@@ -570,6 +598,26 @@ def test_secrets(docs, nothing, spark):
     assert secret_scan.unseen(held.select("path", "blob_id"), ledger, "rules-2").count() > 50
 
 
+def test_stored_ledger(docs, spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    first = secret_scan.report(secret_scan.scan_with_stored(docs, folder)).collect()
+    same([tuple(r) for r in first], [tuple(r) for r in secret_scan.report(secret_scan.findings(docs)).collect()])
+    stored = spark.read.parquet(folder).count()
+    again = docs.union(docs.filter("doc_id = 3").selectExpr("doc_id + 1000", "concat(text, ' token=abcdefghijklmnop')", *docs.columns[2:]))
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.report(secret_scan.scan_with_stored(again, folder)).collect()}
+    assert found[1003].startswith("assign:") and len(found) == len({r["doc_id"] for r in first}) + 1
+    # one blob more, all others were not scanned again; another rule version scans all
+    assert spark.read.parquet(folder).count() == stored + 1
+    secret_scan.scan_with_stored(docs, folder, rule_version="rules-x").count()
+    assert spark.read.parquet(folder).count() == 2 * stored + 1
+
+
+def test_blob_of_a_third_of_all_paths(spark):
+    rows = spark.range(9000).selectExpr("id as doc_id", "if(id % 3 = 0, 'token=abcdefghijklmnop', if(id % 3 = 1, '', concat('text ', id))) as text")
+    found = secret_scan.report(secret_scan.findings(rows)).groupBy("n_assign", "spans").count().collect()
+    assert sorted(tuple(r) for r in found) == [(0, "", 6000), (1, "assign:0:22", 3000)]
+
+
 def test_redaction(docs):
     out = {(r["doc_id"], r["text"]) for r in secret_scan.redact(docs.filter("doc_id > 12")).collect()}
     for r in docs.filter("doc_id > 12").collect():
