@@ -24,7 +24,7 @@ def _code() -> bytes:
 
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors, once for each Spark context, through the shared
-    folder of spark.checkpoint.dir; a local folder serves only where that is unset."""
+    folder of spark.checkpoint.dir; a local folder serves only a local master."""
     sc = spark.sparkContext
     if getattr(sc, "_halyard_shipped", False):
         return
@@ -39,6 +39,8 @@ def ship_code(spark: SparkSession) -> None:
             stream.write(bytearray(code))
             stream.close()
         where = path.toString()
+    elif not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         where = os.path.join(tempfile.mkdtemp(prefix="halyard-"), name)
         Path(where).write_bytes(code)
