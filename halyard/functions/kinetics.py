@@ -113,6 +113,8 @@ def fit_rates(time: np.ndarray, observed: np.ndarray, groups: list[str], edges,
     _, share = null_space(j)
     norms = np.linalg.norm(j, axis=0)
     blind = norms <= 1e-10 * max(norms.max() if len(norms) else 0.0, 1.0)
+    # the pseudo-inverse gives no variance to a direction that it dropped: nothing is known of such a rate
+    error[blind | (share > NULL_SHARE)] = np.inf
     status = []
     for i in range(len(edges)):
         if not np.isfinite(covariance).all():

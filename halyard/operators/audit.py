@@ -31,11 +31,14 @@ CEILING = """
 SELECT m.most, count(*) AS n_shared, count(*) > 2 AS engineered
 FROM {nac} n CROSS JOIN (SELECT max(abs(v)) AS most FROM {nac} WHERE i <> j) m WHERE n.i <> n.j AND abs(n.v) = m.most GROUP BY m.most"""
 
-REPEATED = """
-SELECT magnitude, n, n > greatest(10, 0.001 * total) AS is_ceiling
-FROM (SELECT magnitude, n, total, row_number() OVER (ORDER BY n DESC, magnitude) AS place
-      FROM (SELECT magnitude, count(*) AS n, sum(count(*)) OVER () AS total FROM (SELECT round(abs(v), 2) AS magnitude FROM {nac} WHERE i <> j) a
-            WHERE magnitude > 0 GROUP BY magnitude) b) c WHERE place = 1"""
+#: Decimals at which two magnitudes are the same, samples beyond which a magnitude is a ceiling.
+SAME_PLACES, SHARED_BY, SHARED_PART = 12, 10, 0.001
+
+# each pair counts once; of equally common magnitudes the least
+REPEATED = f"""
+WITH m AS (SELECT magnitude, count(*) AS n FROM (SELECT round(abs(v), {SAME_PLACES}) AS magnitude FROM {{nac}} WHERE i < j) a WHERE magnitude > 0 GROUP BY magnitude)
+SELECT min(m.magnitude) AS magnitude, m.n, m.n > greatest({SHARED_BY}, {SHARED_PART} * t.total) AS is_ceiling
+FROM m CROSS JOIN (SELECT max(n) AS most FROM m) x CROSS JOIN (SELECT count(v) AS total FROM {{nac}} WHERE i < j) t WHERE m.n = x.most GROUP BY m.n, t.total"""
 
 CHECKS = """
 SELECT max(CASE WHEN a.i = a.j THEN abs(a.v) ELSE 0 END) AS diagonal, max(abs(a.v + b.v)) AS asymmetry, max(abs(a.v)) AS largest,

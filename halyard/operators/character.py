@@ -177,6 +177,8 @@ def packed(pop: DataFrame) -> DataFrame:
 
 #: Weights of at most so many cells (frames by bands by groups) are broadcast: 32 MB of doubles.
 BROADCAST_CELLS = 4_000_000
+#: Ends of blocks are broadcast up to so many: those of six billion rows.
+BROADCAST_BLOCKS = 100_000
 
 
 def split_blocks(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, block_rows: int = 65_536) -> DataFrame:
@@ -186,19 +188,26 @@ def split_blocks(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFr
     array and its frame's weights one array for each group, so rows are not multiplied before the
     arithmetic: occ and chr are half sums and differences of four products of shares and weights
     of this row and the one before. A history is dealt in blocks of rows; a block's last row goes
-    along to the next block, so no task holds a history. The driver counts frames only.
+    along to the next block that has rows, however far the grid's gap, so no task holds a
+    history. The driver counts the cells of the weights and holds the end of each block.
     """
     table = weights.groupBy("frame", "grp").agg(F.array_sort(F.collect_list(F.struct("band", "w"))).alias("x"))
     table = table.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("grp", F.col("x.w").alias("w")))).alias("g"))
     if weights.count() <= BROADCAST_CELLS:
         table = F.broadcast(table)
-    block = F.floor(F.col("t") / block_rows)
-    own = F.struct(block.alias("block"), F.lit(False).alias("lent"))
-    lent = F.struct((block + 1).alias("block"), F.lit(True).alias("lent"))
-    last = F.col("t") % block_rows == block_rows - 1
-    walked = rows if rows_frames is None else rows.join(rows_frames, ["h", "t"])
+    walked = (rows if rows_frames is None else rows.join(rows_frames, ["h", "t"])).withColumn("block", F.floor(F.col("t") / block_rows))
+    # a block's last row, whatever its t, is lent to the next block that has rows; one row a block
+    following = F.lead("block").over(Window.partitionBy("h").orderBy("block"))
+    ends = (rows if rows_frames is None else rows_frames).groupBy("h", F.floor(F.col("t") / block_rows).alias("block")).agg(F.max("t").alias("t"))
+    ends = ends.select("h", "t", following.alias("following"))
+    held = ends.limit(BROADCAST_BLOCKS + 1).collect()
+    if len(held) <= BROADCAST_BLOCKS:
+        ends = F.broadcast(rows.sparkSession.createDataFrame(held, ends.schema))
+    own = F.struct(F.col("block"), F.lit(False).alias("lent"))
+    lent = F.struct(F.col("following").alias("block"), F.lit(True).alias("lent"))
     dealt = (
-        walked.select("h", "t", "p", "frame", F.explode(F.when(last, F.array(own, lent)).otherwise(F.array(own))).alias("to"))
+        walked.join(ends, ["h", "t"], "left")
+        .select("h", "t", "p", "frame", F.explode(F.when(F.col("following").isNotNull(), F.array(own, lent)).otherwise(F.array(own))).alias("to"))
         .select("h", "t", "p", "frame", "to.block", "to.lent")
     )
     order = Window.partitionBy("h", "block").orderBy("t")

@@ -15,9 +15,11 @@ SELECT grp, quantity, count(value) AS n, avg(value) AS mean, PCT(value, 0.5) AS
        count_if(value > :sign) AS n_gain, count_if(value < -:sign) AS n_loss, count_if(abs(value) <= :sign) AS n_flat,
        count_if(value > :sign) / CAST(count(value) AS DOUBLE) AS fraction_gain, count_if(value < -:sign) / CAST(count(value) AS DOUBLE) AS fraction_loss,
        PCT(value, 0.05) AS q05, PCT(value, 0.25) AS q25, PCT(value, 0.75) AS q75, PCT(value, 0.95) AS q95
-FROM (SELECT grp, 'net_full' AS quantity, net_full AS value FROM {histories} UNION ALL SELECT grp, 'net_late', net_late FROM {histories}
-      UNION ALL SELECT grp, 'range_late', range_late FROM {histories} UNION ALL SELECT grp, 'occ', occ FROM {histories} UNION ALL SELECT grp, 'chr', chr FROM {histories}) x
-GROUP BY grp, quantity"""
+FROM {quantities} GROUP BY grp, quantity"""
+
+# one pass over the histories, five rows of each
+QUANTITIES = """
+SELECT grp, stack(5, 'net_full', net_full, 'net_late', net_late, 'range_late', range_late, 'occ', occ, 'chr', chr) AS (quantity, value) FROM {histories}"""
 
 DOMINANT_TERM = """
 SELECT grp, CASE WHEN abs(o) + abs(c) = 0 THEN 'none' WHEN abs(o) / (abs(o) + abs(c)) >= :mostly THEN 'occupation' WHEN abs(o) / (abs(o) + abs(c)) <= :hardly THEN 'character' ELSE 'mixed' END AS term
@@ -26,6 +28,11 @@ FROM (SELECT grp, PCT(occ, 0.5) AS o, PCT(chr, 0.5) AS c FROM {histories} GROUP
 CURVE = """
 SELECT t, grp, PCT(pg, 0.5) AS median, PCT(pg, 0.25) AS q25, PCT(pg, 0.75) AS q75, min(pg) AS least, max(pg) AS most FROM {split} GROUP BY t, grp"""
 
+# the rows of each history whose frame lies in a window of frames
+EPISODE_ROWS = """
+SELECT f.h, w.name, count(*) AS n_rows, count(DISTINCT f.frame) AS n_frames, min(f.t) AS first_t, max(f.t) AS last_t
+FROM {rows_frames} f JOIN {frame_windows} w ON f.frame BETWEEN w.lo AND w.hi GROUP BY f.h, w.name"""
+
 # passes of one period; passes without a step in the window count up to the last pass that has one
 PER_PASS = """
 SELECT x.h, x.name, x.grp, sum(x.occ) / (max(x.pass) + 1) AS occ, sum(x.chr) / (max(x.pass) + 1) AS chr, (sum(x.occ) + sum(x.chr)) / (max(x.pass) + 1) AS net,

@@ -20,11 +20,14 @@ GROUP BY episode"""
 EPISODES = f"""
 SELECT CAST(x.episode AS INT) AS episode, CAST(x.first_frame AS INT) AS first_frame, CAST(x.last_frame AS INT) AS last_frame, x.n_marks, min(abs(a.e - b.e)) AS min_gap, max(abs(n.v)) AS max_nac,
        min_by(d.dominant, d.frame) AS before, max_by(d.dominant, d.frame) AS after, min_by(o.dominant, o.frame) AS before_b, max_by(o.dominant, o.frame) AS after_b
-FROM ({ISLANDS}) x JOIN {{energies}} a ON a.state = :band_a AND a.frame BETWEEN x.first_frame AND x.last_frame JOIN {{energies}} b ON b.state = :band_b AND b.frame = a.frame
+FROM {{spread}} x JOIN {{energies}} a ON a.state = :band_a AND a.frame = x.frame JOIN {{energies}} b ON b.state = :band_b AND b.frame = a.frame
 JOIN {{nac}} n ON n.i = :band_a AND n.j = :band_b AND n.frame = a.frame JOIN ({DOMINANT}) d ON d.band = :band_a AND d.frame = a.frame
 JOIN ({DOMINANT}) o ON o.band = :band_b AND o.frame = a.frame
 GROUP BY x.episode, x.first_frame, x.last_frame, x.n_marks"""
 
+# each episode once for each of its frames: all joins are on the frame
+SPREAD = f"SELECT *, explode(sequence(first_frame, last_frame)) AS frame FROM ({ISLANDS}) i"
+
 # the donor gives, the acceptor takes
 VERDICT = """
 SELECT h, name, d_occ + d_chr AS donor_net, a_occ + a_chr AS acceptor_net,
@@ -86,4 +89,5 @@ WHERE a.frame BETWEEN :first AND :last AND a.state <= 2 AND b.state <= 2 GROUP B
 
 
 def episodes(weights, energies, nac, **params):
-    return bind(EPISODES, params=params, weights=weights, energies=energies, nac=nac)
+    spread = bind(SPREAD, params=params, weights=weights)
+    return bind(EPISODES, params=params, spread=spread, weights=weights, energies=energies, nac=nac)

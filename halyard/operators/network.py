@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 #: Edges of a small directed network with rates, from how often one event type follows another.
 EDGES = """
 SELECT src, dst, n / CAST(sum(n) OVER (PARTITION BY src) AS DOUBLE) AS k
@@ -14,15 +16,37 @@ NAMES = "SELECT src, dst, concat(CAST(src AS VARCHAR(9)), '->', CAST(dst AS VARC
 MATRIX = """
 SELECT i, j, sum(v) AS v FROM (SELECT dst AS i, src AS j, k AS v FROM {edges} UNION ALL SELECT src, src, -k FROM {edges}) a GROUP BY i, j"""
 
-# states with a path into state 3
+# states with a path into the target, and states that the source reaches without it, for the independent engine
 BACKWARD = """
 WITH RECURSIVE r(s) AS (SELECT :target AS s UNION SELECT e.src FROM {edges} e JOIN r ON e.dst = r.s) SELECT DISTINCT s AS state FROM r"""
-BACKWARD_SPARK = """
-WITH RECURSIVE r(s, hops) AS (SELECT :target AS s, 0 AS hops UNION ALL SELECT e.src, r.hops + 1 FROM {edges} e JOIN r ON e.dst = r.s WHERE r.hops < :n_bands - 1) SELECT DISTINCT s AS state FROM r"""
 FORWARD = """
 WITH RECURSIVE r(s) AS (SELECT :source AS s UNION SELECT e.dst FROM {edges} e JOIN r ON e.src = r.s WHERE e.src <> :target) SELECT DISTINCT s AS state FROM r WHERE s <> :target"""
-FORWARD_SPARK = """
-WITH RECURSIVE r(s, hops) AS (SELECT :source AS s, 0 AS hops UNION ALL SELECT e.dst, r.hops + 1 FROM {edges} e JOIN r ON e.src = r.s WHERE e.src <> :target AND r.hops < :n_bands - 1) SELECT DISTINCT s AS state FROM r WHERE s <> :target"""
+
+#: A network's distinct edges are searched on the driver up to so many.
+MOST_EDGES = 1_000_000
+
+
+def reachable(edges: DataFrame, start: int, *, backward: bool = False, blocked: int | None = None) -> DataFrame:
+    """state: all states that start reaches along the edges (src, dst), or that reach it if
+    backward, start itself included; a path ends at `blocked`, which is left out.
+
+    A network's states are declared, so its distinct edges are few; each is looked at once,
+    whatever the number of paths and hops."""
+    pairs = [(r["src"], r["dst"]) for r in edges.select("src", "dst").distinct().limit(MOST_EDGES + 1).collect()]
+    if len(pairs) > MOST_EDGES:
+        raise ValueError(f"a network of over {MOST_EDGES} edges")
+    after: dict[int, list[int]] = {}
+    for a, b in pairs:
+        after.setdefault(b if backward else a, []).append(a if backward else b)
+    seen, left = {start}, [start]
+    while left:
+        here = left.pop()
+        if here != blocked:
+            new = [x for x in after.get(here, []) if x not in seen]
+            seen.update(new)
+            left += new
+    return edges.sparkSession.createDataFrame([(x,) for x in sorted(seen - {blocked})], "state int")
+
 
 LOCAL_RATIO = """
 SELECT src, CASE WHEN sum(CASE WHEN dst IN (:target, :other) THEN 0 ELSE k END) > 0 THEN NULL ELSE sum(CASE WHEN dst = :target THEN k ELSE 0 END) / sum(k) END AS ratio,

@@ -25,14 +25,17 @@ FROM (SELECT v.*, a.mass AS m FROM {velocities} v JOIN {atoms} a ON a.atom = v.a
 
 VACF = """
 SELECT CAST(lag AS INT) AS lag, sum(m * c) / sum(m) AS vacf
-FROM (SELECT a.atom, max(a.m) AS m, b.frame - a.frame AS lag, avg(a.vx * b.vx + a.vy * b.vy + a.vz * b.vz) AS c
-      FROM {moving} a JOIN {moving} b ON a.atom = b.atom AND b.frame BETWEEN a.frame AND a.frame + :max_lag GROUP BY a.atom, b.frame - a.frame) x GROUP BY lag"""
+FROM (SELECT a.atom, max(a.m) AS m, b.lag, avg(a.vx * b.vx + a.vy * b.vy + a.vz * b.vz) AS c
+      FROM {moving} a JOIN {shifted} b ON a.atom = b.atom AND a.frame = b.frame0 GROUP BY a.atom, b.lag) x GROUP BY lag"""
+
+# each row once for each lag, at the frame that many before its own: the join is on atom and frame
+SHIFTED = "SELECT atom, frame, vx, vy, vz, lag, frame - lag AS frame0 FROM {moving} LATERAL VIEW explode(sequence(0, :max_lag)) AS lag"
 
 SEGMENTED = """
 SELECT lag, avg(c) AS vacf, count(*) AS n_segments
 FROM (SELECT segment, CAST(b_frame - a_frame AS INT) AS lag, avg(c) AS c
       FROM (SELECT CAST(floor((a.frame - 1) / :segment) AS INT) AS segment, a.frame AS a_frame, b.frame AS b_frame, a.vx * b.vx + a.vy * b.vy + a.vz * b.vz AS c
-            FROM {moving} a JOIN {moving} b ON a.atom = b.atom AND b.frame BETWEEN a.frame AND a.frame + :max_lag AND floor((a.frame - 1) / :segment) = floor((b.frame - 1) / :segment)) y
+            FROM {moving} a JOIN {shifted} b ON a.atom = b.atom AND a.frame = b.frame0 AND floor((a.frame - 1) / :segment) = floor((b.frame - 1) / :segment)) y
       GROUP BY segment, b_frame - a_frame) z GROUP BY lag"""
 
 TAPERED = """
@@ -79,7 +82,8 @@ def moving(traj: DataFrame, atoms: DataFrame, **params) -> DataFrame:
 
 def vacf(moved: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     """Mass-weighted velocity autocorrelation by a lag join on the atom."""
-    return bind(VACF, params={"max_lag": max_lag - 1}, moving=moved)
+    params = {"max_lag": max_lag - 1}
+    return bind(VACF, moving=moved, shifted=bind(SHIFTED, params=params, moving=moved))
 
 
 def vacf_fft(moved: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:

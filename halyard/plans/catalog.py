@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..adapters import Views
 from ..operators import audit, character, ensemble, episodes, events, network, populations, spectra, transfer
-from . import registry
+from . import oracles, registry
 from .template import bind, with_literals
 
 #: Inputs that are themselves plans over the adapter views, as SQL for both engines.
@@ -13,7 +13,7 @@ DERIVED = {
     "series": populations.GROUP_SERIES,
     "mean_series": populations.ENSEMBLE,
     "metrics": populations.WINDOW_METRICS,
-    "split": character.SPLIT,
+    "split": None,  # built by the block-wise split
     "projected": character.PROJECTED_MEAN,
     "fixed": character.FIXED,
     "steps": events.HISTORY_STEPS,
@@ -37,7 +37,11 @@ DERIVED = {
     "second_run": "SELECT DISTINCT t FROM {runs} WHERE run = 'B' AND t >= 3",
     "velocities": spectra.VELOCITIES,
     "moving": spectra.COM_REMOVED,
+    "shifted": spectra.SHIFTED,
     "vacf": spectra.VACF,
+    "spread": episodes.SPREAD,
+    "quantities": ensemble.QUANTITIES,
+    "nets": "SELECT run AS grp, state AS quantity, max_by(p, t) - min_by(p, t) AS value FROM {runs} GROUP BY run, h, state",
     "spectrum": "SELECT CAST(band AS INT) AS label, CAST(ion AS DOUBLE) AS f, tot AS y FROM {ions} WHERE frame = 1",
     "indexed": "SELECT CAST(band AS INT) AS label, ion - 1 AS idx, tot AS y FROM {ions} WHERE frame = 1",
     "kernel": "SELECT ion - 9 AS offset, exp(-0.5 * (ion - 9) * (ion - 9) / 4.0) AS weight FROM {ion_groups} WHERE ion <= 17",
@@ -63,7 +67,10 @@ class _Plans:
 
     def get(self, name: str):
         if name not in self.built:
-            if name in DERIVED:
+            if name == "split":
+                views = self.views
+                self.built[name] = character.split_blocks(character.packed(views.pop), views.rows_frames, views.weights)
+            elif name in DERIVED:
                 sql = DERIVED[name]
                 self.built[name] = bind(sql, self.views.spark, **{k: self.get(k) for k in _inputs(sql)})
             else:
@@ -78,17 +85,18 @@ def _duck(sql: str) -> tuple[str, list[str]]:
 
     def need(text: str) -> None:
         for name in _inputs(text):
-            if name in DERIVED:
+            own = oracles.INPUTS.get(name) or DERIVED.get(name)
+            if own:
                 if name not in ctes:
-                    need(DERIVED[name])
-                    ctes[name] = DERIVED[name]
+                    need(own)
+                    ctes[name] = own
             elif name not in bases:
                 bases.append(name)
 
     need(sql)
     body = sql
     if ctes:
-        body = "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in ctes.items()) + "\n" + sql
+        body = "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in ctes.items()) + "\nSELECT * FROM (" + sql + ") z"
     return with_literals(body), bases
 
 
@@ -145,7 +153,7 @@ plan("O067_linear_frames", C.LINEAR)
 plan("O068_grid_uniformity", P.UNIFORMITY, "mean_step least_step most_step spread")
 plan("O071_step_verdict", N.STEP_VERDICT)
 plan("O072_descriptor_counts", E.DESCRIPTORS)
-plan("O073_classified_events", E.CLASSIFIED, "occ chr dp change gap nac")
+plan("O073_classified_events", E.CLASSIFIED, "occ chr dp change gap nac", oracles.CLASSIFIED)
 plan("O075_direction", E.DIRECTION)
 plan("O076_quality_flags", C.FLAGGED, "captured")
 plan("O079_projected_populations", C.PROJECTED, "pg")
@@ -156,10 +164,10 @@ plan("O083_file_groups", P.FILE_GROUPS, "value")
 plan("O084_event_flags", E.FLAGS, "change gap nac factor")
 plan("O085_history_steps", E.HISTORY_STEPS, "occ chr dp")
 plan("O086_first_window", P.FIRST_WINDOW.replace("{windows}", "{two_windows}"))
-plan("O087_episode_response", N.PER_PASS, "occ chr net")
+plan("O087_episode_rows", N.EPISODE_ROWS)
 plan("O088_shared_times", N.SHARED_TIMES)
 plan("O089_alignment_scan", X.ALIGNMENT, "score")
-plan("O090_vacf_lag_join", S.VACF, "vacf")
+plan("O090_vacf_lag_join", S.VACF, "vacf", oracles.VACF)
 plan("O091_fixed_vs_projected", C.FIXED_VS_PROJECTED, "most rms mean_d integral projected_there fixed_there")
 plan("O092_runs_side_by_side", N.RUN_TABLE, "net_a net_b net_c")
 plan("O093_episodes_side_by_side", N.EPISODE_TABLE, "net")
@@ -169,14 +177,14 @@ plan("O100_coverage", P.COVERAGE)
 plan("O101_group_series", P.GROUP_SERIES, "mean sem")
 plan("O102_survival", P.SURVIVAL, "survival sem")
 plan("O103_trapezoid", P.TRAPEZOID, "integral")
-plan("O105_window_metrics", P.WINDOW_METRICS, "initial final peak least net integral mean")
+plan("O105_window_metrics", P.WINDOW_METRICS, "initial final peak least net integral mean", oracles.WINDOW_METRICS)
 plan("O108_regimes", P.REGIMES, "early_mean late_mean early_peak late_peak peak_ratio early_net late_net")
 plan("O109_master_average", P.MASTER, "value spread")
 plan("O110_conservation", P.CONSERVATION, "least most mean deviation")
 plan("O111_conservation_tally", P.TALLY, "least most least_total most_total")
-plan("O112_pair_audit", A.PAIRS, "mean_gap rms_gap mean_nac rms_nac p95_nac max_nac max_over_scale above_80 above_90 total integral")
+plan("O112_pair_audit", A.PAIRS, "mean_gap rms_gap mean_nac rms_nac p95_nac max_nac max_over_scale above_80 above_90 total integral", oracles.PAIRS)
 plan("O113_nac_ceiling", A.CEILING, "most")
-plan("O114_repeated_magnitude", A.REPEATED, "magnitude")
+plan("O114_repeated_magnitude", A.REPEATED, "magnitude", oracles.REPEATED)
 plan("O115_quality", C.QUALITY, "least median fraction_below")
 plan("O115_quality_total", C.QUALITY_TOTAL, "least p01 p05 median p95 most")
 plan("O115_worst_frames", C.WORST_FRAMES, "least")
@@ -187,12 +195,12 @@ plan("O118_fixed_vs_dynamic", C.FIXED_VS_DYNAMIC, "dynamic_net fixed_net dynamic
 plan("O119_isolation", X.ISOLATION, "min_gap median_gap separation median_separation ratio")
 plan("O120_raw_weight", X.RAW_WEIGHT, "excursion captured_least captured_most captured_range")
 plan("O121_participation", X.PARTICIPATION, "separation pair_gap")
-plan("O122_run_summary", N.STATS, "mean median std least most fraction_gain fraction_loss q05 q25 q75 q95")
+plan("O122_run_summary", N.STATS, "mean median std least most fraction_gain fraction_loss q05 q25 q75 q95", oracles.RUN_SUMMARY)
 plan("O124_episode_summary", N.EPISODE_SUMMARY, "mean median std")
 plan("O125_reviewer_table", N.REVIEWER, "median")
 plan("O126_dominant_term", N.DOMINANT_TERM)
 plan("O127_ensemble_curve", N.CURVE, "median q25 q75 least most")
-plan("O128_per_pass", "SELECT h, name, grp, n_covering, net FROM {passes}", "net")
+plan("O128_per_pass", N.PER_PASS, "occ chr net")
 plan("O129_history_net", N.HISTORY, "net_full net_late range_late occ chr")
 plan("O130_aggregate_histories", E.TOTALS)
 plan("O131_history_counts", E.COUNTS)
@@ -205,15 +213,15 @@ plan("O142_continuous_change", T.CONTINUOUS, "donor_net acceptor_net max_step co
 plan("O143_consumption", C.CONSUMPTION)
 plan("O144_wrapped_histories", C.WRAPPED)
 plan("O145_alignment_record", C.ALIGNMENT)
-plan("O146_midpoint_split", C.SPLIT, "pg occ chr")
+plan("O146_midpoint_split", "SELECT h, t, grp, pg, occ, chr FROM {split}", "pg occ chr", oracles.SPLIT)
 plan("O146_split_residual", "SELECT h, residual < 1e-12 AS exact FROM (" + C.RESIDUAL + ") r")
 plan("O147_dominant", C.DOMINANT, "dominant_w captured")
 plan("O148_transitions", C.TRANSITIONS)
 plan("O149_swap_events", C.SWAPS, "before_w after_w")
 plan("O150_cycle_wrap_status", C.WRAP_STATUS)
-plan("O151_episodes", X.EPISODES, "min_gap max_nac")
+plan("O151_episodes", X.EPISODES, "min_gap max_nac", oracles.EPISODES)
 plan("O152_cumulative", C.CUMULATIVE, "driven")
-plan("O153_threshold_events", T.THRESHOLDS, "high low")
+plan("O153_threshold_events", T.THRESHOLDS, "high low", oracles.THRESHOLDS)
 plan("O154_strict_increase", P.INCREASING)
 plan("O154_same_grid", P.SAME_GRID)
 plan("O156_local_table", X.LOCAL_TABLE, "gap nac a_ga a_gb b_ga b_gb")
@@ -228,7 +236,7 @@ plan("O026_couplings", A.COUPLINGS, "e nac_ev")
 plan("O112_nac_checks", A.CHECKS, "diagonal asymmetry largest")
 plan("O112_energy_stats", A.ENERGY_STATS, "mean std least most")
 plan("O112_dephasing", A.DEPHASING, "least median most")
-plan("O207_projected_mean", C.PROJECTED_MEAN, "mean sem occ chr")
+plan("O207_projected_mean", C.PROJECTED_MEAN, "mean sem occ chr", oracles.PROJECTED_MEAN)
 plan("O208_frame_events", E.FRAME_EVENTS, "change gap nac")
 plan("O210_episode_verdict", X.VERDICT, "donor_net acceptor_net")
 plan("O221_velocities", S.VELOCITIES, "vx vy vz")
@@ -241,8 +249,13 @@ W = network
 
 plan("O167_edge_names", W.NAMES)
 plan("O168_rate_matrix", W.MATRIX, "v")
-plan("O189_reverse_reach", W.BACKWARD_SPARK, duck=f"SELECT state FROM ({W.BACKWARD}) x")
-plan("O190_forward_reach", W.FORWARD_SPARK, duck=f"SELECT state FROM ({W.FORWARD}) x")
+
+for _name, _options, _duck_text in (
+    ("O189_reverse_reach", {"start": 3, "backward": True}, W.BACKWARD),
+    ("O190_forward_reach", {"start": 0, "blocked": 3}, W.FORWARD),
+):
+    _text, _bases = _duck(f"SELECT state FROM ({_duck_text}) x")
+    registry.register(_name, lambda views, own=_options: W.reachable(_Plans(views).get("edges"), **own), " ".join(_bases), _for_duck(_text))
 plan("O193_local_ratio", W.LOCAL_RATIO, "ratio")
 plan("O173_independent_residuals", W.RESIDUAL_COUNT)
 plan("O184_contrast_rss", W.CONTRAST_RSS, "rss plain")
@@ -431,7 +444,7 @@ plan(
 )
 plan("O031_atom_expansion", "SELECT grp, count(*) AS n_ions, min(ion) AS first_ion, max(ion) AS last_ion FROM {ion_groups} GROUP BY grp")
 plan("O074_swap_moves", "SELECT frame, band, before AS from_group, after AS to_group FROM (" + C.SWAPS + ") s WHERE resolution = 'adjacent'")
-plan("O123_statistics", N.STATS, "mean median std least most fraction_gain fraction_loss q05 q25 q75 q95")
+plan("O123_statistics", N.STATS.replace("{quantities}", "{nets}"), "mean median std least most fraction_gain fraction_loss q05 q25 q75 q95")
 plan("O132_descriptors_by_window", "SELECT w.name, e.descriptor, count(*) AS n FROM {events} e JOIN {windows} w ON e.t BETWEEN w.lo AND w.hi WHERE e.classification = 'character_swap_with_projected_fragment_change' GROUP BY w.name, e.descriptor")
 plan("O140_shared_grid", "SELECT a.label, count(*) AS n, max(abs(a.f - b.f)) <= 1e-6 AS shared FROM {spectrum} a JOIN {spectrum} b ON a.f = b.f WHERE b.label = 0 GROUP BY a.label")
 plan("O162_shared_groups", "SELECT state FROM {runs} WHERE run = 'A' INTERSECT SELECT state FROM {runs} WHERE run = 'B'")
@@ -526,5 +539,5 @@ def _split_blocks(views: Views):
     return C.split_blocks(C.packed(views.pop), views.rows_frames, views.weights, block_rows=8)
 
 
-_text, _bases = _duck(C.SPLIT)
+_text, _bases = _duck(oracles.SPLIT)
 registry.register("O097_streamed_split", _split_blocks, " ".join(_bases), _for_duck(_text), "pg occ chr")

@@ -26,7 +26,7 @@ DEFAULTS: dict[str, str | int | float] = {
     "nac_threshold": 0.5, "dt": 1.0, "jump": 0.3, "common_shift": 0.1, "common_share": 0.8, "grid": 1e-6,
     # sizes
     "worst": 10, "top": 4, "buckets": 7, "points": 30, "stride": 4, "max_lag": 9, "segment": 100, "low": 5, "high": 40, "rel_height": 0.1,
-    "max_peaks": 8, "length": 64, "low_rate": 0.01, "high_rate": 100.0, "n_rates": 4, "target": 3, "other": 4, "source": 0, "n_bands": 5,
+    "max_peaks": 8, "length": 64, "low_rate": 0.01, "high_rate": 100.0, "n_rates": 4, "target": 3, "other": 4, "source": 0,
 }
 _PERCENTILE = re.compile(r"\bPCT\(")
 _PARAMETER = re.compile(r"(?<![:\w]):([a-z_]+)\b")

@@ -1,12 +1,13 @@
 """Known answers of the operators, on literals small enough to check by hand."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halyard.operators import audit, character, ensemble, episodes, events, populations, spectra, transfer
+from halyard.operators import audit, character, ensemble, episodes, events, network, populations, spectra, transfer
 from halyard.plans.template import bind
 
 
@@ -21,10 +22,10 @@ def campaign(spark):
     pop = [(h, t, f"s{b}", b, float(p if b == 10 else 1 - p)) for h, ps in p10.items() for t, p in enumerate(ps) for b in (10, 11)]
     weights = []
     for frame in (1, 2, 3, 4):
-        first = "BCF" if frame <= 2 else "PCBM"
+        first = "alpha" if frame <= 2 else "beta"
         for band in (10, 11):
-            own = first if band == 10 else ("PCBM" if first == "BCF" else "BCF")
-            weights += [(frame, band, g, k, 1.0 if g == own else 0.0, 1.0, 1.0) for k, g in enumerate(("BCF", "PCBM"))]
+            own = first if band == 10 else ("beta" if first == "alpha" else "alpha")
+            weights += [(frame, band, g, k, 1.0 if g == own else 0.0, 1.0, 1.0) for k, g in enumerate(("alpha", "beta"))]
     visits = [(h, t, (t + h) % 4 or 4) for h in p10 for t in range(4)]
     return (
         spark.createDataFrame(pop, "h int, t int, state string, band int, p double"),
@@ -36,10 +37,10 @@ def campaign(spark):
 def test_project_then_average(campaign):
     pop, visits, weights = campaign
     parts = character.split(pop, visits, weights)
-    found = {(r["h"], r["t"]): r["pg"] for r in parts.filter("grp = 'BCF'").collect()}
+    found = {(r["h"], r["t"]): r["pg"] for r in parts.filter("grp = 'alpha'").collect()}
     assert [found[1, t] for t in range(4)] == pytest.approx([0.9, 0.633333, 0.633333, 0.9], abs=1e-5)
     assert [found[3, t] for t in range(4)] == pytest.approx([0.8, 0.6, 0.6, 0.8], abs=1e-5)
-    mean = {r["t"]: r for r in character.projected_mean(parts).filter("grp = 'BCF'").collect()}
+    mean = {r["t"]: r for r in character.projected_mean(parts).filter("grp = 'alpha'").collect()}
     assert [mean[t]["mean"] for t in range(4)] == pytest.approx([0.85, 0.616667, 0.616667, 0.85], abs=1e-5)
     assert [mean[t]["sem"] for t in range(4)] == pytest.approx([0.05, 0.016667, 0.016667, 0.05], abs=1e-5)
 
