@@ -2,6 +2,9 @@
 
 Each command runs a template of registered queries over a folder of Parquet tables and writes
 one CSV folder for each, a Markdown report and a record of the environment.
+
+`character-populations --histories FILES --state-map FILE --atom-groups FILE --manifest FILE`
+runs over a campaign's own files.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from . import campaign
+from .config import AtomGroups, StateMap
 from .plans import catalog  # noqa: F401  registers the queries
 from .plans.registry import REGISTRY
 from .provenance import environment
@@ -41,17 +46,33 @@ COMMANDS = {
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="halyard", description=__doc__)
     parser.add_argument("command", choices=sorted(COMMANDS))
-    parser.add_argument("--data", required=True)
+    parser.add_argument("--data")
+    parser.add_argument("--histories", nargs="+")
+    parser.add_argument("--state-map")
+    parser.add_argument("--atom-groups")
+    parser.add_argument("--manifest")
+    parser.add_argument("--mode", choices=["cyclic", "linear"], default="cyclic")
+    parser.add_argument("--period", type=int)
     parser.add_argument("--out", required=True)
     parser.add_argument("--overwrite", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"halyard {args.command}").getOrCreate()
     out = prepare_output(args.out, args.overwrite)
+    if args.histories:
+        if args.command != "character-populations":
+            parser.error(f"{args.command} reads --data only")
+        results = campaign.character_populations(
+            spark, args.histories, StateMap.from_json(args.state_map), AtomGroups.from_json(args.atom_groups), args.manifest, mode=args.mode, period=args.period
+        )
+    elif args.data:
+        results = {name: REGISTRY[name](spark, args.data) for name in COMMANDS[args.command]}
+    else:
+        parser.error("--data or --histories is needed")
     tables = {}
-    for name in COMMANDS[args.command]:
-        df = REGISTRY[name](spark, args.data)
+    for name, df in results.items():
         write_csv(df, os.path.join(out, name), args.overwrite)
-        tables[name] = df
+        # the report reads what was written, so that nothing is computed twice
+        tables[name] = spark.read.csv(os.path.join(out, name), header=True, schema=df.schema)
     with open(os.path.join(out, "report.md"), "w", encoding="utf-8") as f:
         f.write(markdown(args.command, tables))
     with open(os.path.join(out, "environment.json"), "w", encoding="utf-8") as f:

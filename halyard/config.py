@@ -104,6 +104,11 @@ class AtomGroups:
             _need(not d.get("complete_atoms") or len(every) == n_ions, "a complete map names every ion")
         return cls(groups, bool(d.get("complete_atoms", False)), float(d.get("min_projection_weight", 0.0)))
 
+    @classmethod
+    def from_json(cls, path: str, n_ions: int | None = None) -> AtomGroups:
+        with open(path, encoding="utf-8") as f:
+            return cls.from_dict(json.load(f), n_ions)
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
             [(i, g, k) for k, (g, ions) in enumerate(self.groups.items()) for i in ions], "ion int, grp string, ord int"

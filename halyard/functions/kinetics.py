@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ..session import ship_code
 from .numerics import bisect, least_squares, null_space, propagate
 
-#: Rates may lie so many decades around one event in the observed span.
+#: Decades around one event in the observed span in which rates may lie; the
+#: correlation, the error of a logarithm and the share in the null space beyond which a rate is
+#: not identified; successes and the share of identified resamples that an interval needs.
 DECADES = 9.0
 CORRELATED, PRECISE, NULL_SHARE = 0.95, 0.1, 0.1
 LEAST_SUCCESSES, LEAST_SHARE = 20, 0.8

@@ -27,26 +27,33 @@ def header_value(text: Column) -> Column:
     )
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, line_no (from 0), value of all lines."""
-    lines = spark.read.text(paths).select(
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
     )
+
+
+def _numbered(lines: DataFrame, number: str) -> DataFrame:
+    """The lines numbered from 0 in each file: the counts of the file's blocks before, and the
+    place in the block, so that no task sorts a file."""
     per_block = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = per_block.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("path", "block").orderBy("at")
-    return lines.withColumn("place", F.row_number().over(inside)).join(F.broadcast(first), ["path", "block"]).select(
-        "path", (F.col("first") + F.col("place") - 1).alias("line_no"), "value"
-    )
+    placed = lines.withColumn("place", F.row_number().over(inside)).join(first, ["path", "block"])
+    return placed.withColumn(number, (F.col("first") + F.col("place") - 1).cast("long")).drop("block", "at", "place", "first")
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, line_no (from 0), value of all lines."""
+    return _numbered(_lines(spark, paths), "line_no").select("path", "line_no", "value")
 
 
 def numeric_table(spark: SparkSession, paths: str | list[str], expect_columns: int | None = None) -> DataFrame:
     """path, row_idx, cols of every data row. Ragged rows, words, infinities and files without
     rows are errors."""
-    lines = numbered_lines(spark, paths)
-    rows = lines.withColumn("clean", clean_line(F.col("value")))
-    data = rows.filter("clean <> ''").select("path", "line_no", F.transform(F.split("clean", r"\s+"), lambda x: x.try_cast("double")).alias("cols"))
+    rows = _lines(spark, paths).withColumn("clean", clean_line(F.col("value")))
+    data = rows.filter("clean <> ''").select("path", "block", "at", F.transform(F.split("clean", r"\s+"), lambda x: x.try_cast("double")).alias("cols"))
     check = data.groupBy("path").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.size("cols")).alias("least"),
@@ -62,8 +69,7 @@ def numeric_table(spark: SparkSession, paths: str | list[str], expect_columns: i
     empty = [r["path"] for r in rows.select("path").distinct().collect() if r["path"] not in seen]
     if empty or not seen:
         raise ValueError(f"no data rows in {empty or paths}")
-    order = Window.partitionBy("path").orderBy("line_no")
-    return data.select("path", (F.row_number().over(order) - 1).cast("long").alias("row_idx"), "cols")
+    return _numbered(data, "row_idx").select("path", "row_idx", "cols")
 
 
 def table_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -139,7 +145,7 @@ def spectrum(spark: SparkSession, path: str, label: str) -> DataFrame:
     back = out.withColumn("f0", F.lag("f").over(Window.partitionBy("label").orderBy("line_no"))).filter("f <= f0").count()
     if back:
         raise ValueError(f"{path}: frequencies do not increase")
-    return out.drop("line_no")
+    return out.orderBy("line_no").drop("line_no")
 
 
 def projection_character(spark: SparkSession, path: str) -> DataFrame:
