@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.template import bind
 
 #: Reduced Planck constant in eV fs, wave numbers per inverse femtosecond.
@@ -60,6 +62,16 @@ def pair_statistics(nac, energies, **params):
     return bind(PAIRS, params=params, nac=nac, energies=energies)
 
 
+def ceiling_claim(nac, policy=None, **params):
+    """The largest coupling and what it says: a magnitude that over two samples share is an imposed
+    ceiling. Statistics are lower bounds only where the declared policy clips valid values; without a
+    policy nothing is claimed of how they were changed."""
+    found = bind(CEILING, params=params, nac=nac)
+    imposed = "ceiling_without_policy" if policy is None else "ceiling_clipped" if policy.action == "clip" else "ceiling_not_clipped"
+    claim = F.when(F.col("engineered"), F.lit(imposed)).otherwise("no_ceiling")
+    return found.withColumn("claim", claim).withColumn("lower_bound", F.col("claim") == "ceiling_clipped")
+
+
 def checked(nac, **params):
     """nac, or an error when it is not antisymmetric."""
     row = bind(CHECKS, params=params, nac=nac).first()

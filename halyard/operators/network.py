@@ -74,10 +74,11 @@ SELECT grp, early_net, late_net, early_peak, CASE WHEN abs(early_net) + abs(late
        early_peak > late_peak AS overshoots
 FROM {regimes}"""
 
+# the tests that come before a decay is fitted, in their order
 FIT_STATUS = """
-SELECT h, CASE WHEN n_points < 5 THEN 'too_few_points' WHEN spread < 1e-6 THEN 'flat' WHEN last_fifth >= first_fifth THEN 'refused_rise' ELSE 'fit' END AS status
-FROM (SELECT h, count(*) AS n_points, max(p) - min(p) AS spread, avg(CASE WHEN t >= 24 THEN p END) AS last_fifth, avg(CASE WHEN t < 6 THEN p END) AS first_fifth
-      FROM {pop} WHERE state = :target_state GROUP BY h) a"""
+SELECT h, CASE WHEN max(CASE WHEN k = 1 THEN p END) <= 0 THEN 'not_positive' WHEN max(n) < 5 THEN 'too_few_points'
+       WHEN avg(CASE WHEN k > n - floor(n / 5.0D) THEN p END) >= avg(CASE WHEN k <= floor(n / 5.0D) THEN p END) THEN 'refused_rise' ELSE 'fit' END AS status
+FROM (SELECT h, p, row_number() OVER (PARTITION BY h ORDER BY t) AS k, count(*) OVER (PARTITION BY h) AS n FROM {pop} WHERE state = :target_state) a GROUP BY h"""
 
 # preparation -------------------------------------------------------------------------------
 
@@ -96,33 +97,11 @@ SURVEY = """
 SELECT count(DISTINCT n_rows) = 1 AND count(DISTINCT n_states) = 1 AS alike, min(n_rows) AS n_rows, min(n_states) AS n_states, count(*) AS n_histories
 FROM (SELECT h, count(DISTINCT t) AS n_rows, count(DISTINCT state) AS n_states FROM {pop} GROUP BY h) a"""
 
-CYCLE = """
-SELECT covered, declared, CASE WHEN covered = declared THEN 'agreed' WHEN covered < declared THEN 'not_covered' ELSE 'ambiguous' END AS proposal
-FROM (SELECT max(frame) AS covered FROM {weights} WHERE frame <= :period) a CROSS JOIN (SELECT max(frame) AS declared FROM {rows_frames}) b"""
-
-ATOM_CHECK = """
-SELECT i.ion, count(g.grp) AS n_groups, CASE count(g.grp) WHEN 1 THEN 'ok' WHEN 0 THEN 'missing' ELSE 'shared' END AS verdict
-FROM (SELECT DISTINCT ion FROM {ions}) i LEFT JOIN (SELECT ion, grp FROM {ion_groups} WHERE ion <> 13 UNION ALL SELECT ion, 'gx' FROM {ion_groups} WHERE ion = 7) g ON g.ion = i.ion GROUP BY i.ion"""
-
-START = """
-SELECT h, coalesce(meta, suffix) AS start, meta IS NULL OR meta = suffix AS agree
-FROM (SELECT DISTINCT h, CASE WHEN h % 2 = 0 THEN 1 + 7 * h END AS meta, CAST(regexp_extract(concat('SHPROP.', CAST(1 + 7 * h AS VARCHAR(9))), 'SHPROP[.]([0-9]+)$', 1) AS INT) AS suffix FROM {pop}) a"""
-
-BAND_CONFLICTS = """
-SELECT r.h, r.bmin, r.bmax, count(b.band) AS n_bands, count(b.band) < 5 AS conflicts
-FROM (SELECT DISTINCT h, h % 2 AS bmin, 4 AS bmax FROM {pop}) r LEFT JOIN (SELECT DISTINCT band FROM {weights}) b ON b.band BETWEEN r.bmin AND r.bmax GROUP BY r.h, r.bmin, r.bmax"""
-
-BAND_WINDOWS = "SELECT bmin, bmax, count(*) AS n_files FROM (SELECT DISTINCT h, h % 2 AS bmin, 4 AS bmax FROM {pop}) a GROUP BY bmin, bmax"
-BASIS = "SELECT DISTINCT h, CASE WHEN h < 3 THEN 4 - h % 2 + 1 END AS basis_size FROM {pop}"
 
 # text ------------------------------------------------------------------------------------------
 
 LINES = "SELECT event_id, concat('  ', CAST(event_id AS VARCHAR(20)), '.5D-0', CAST(user_id % 7 AS VARCHAR(2)), '  1d+2 ! ', event_type, ' # x') AS line, concat(' ', CASE WHEN user_id % 4 = 0 THEN 'T' WHEN user_id % 4 = 1 THEN '42' WHEN user_id % 4 = 2 THEN '1.5D-3' ELSE event_type END, ' ') AS raw FROM {events_table}"
 
-LATTICE = """
-SELECT frame, scale, CASE WHEN scale > 0 THEN scale ELSE pow(-scale / volume, 1.0D / 3.0D) END AS factor
-FROM (SELECT DISTINCT frame, CASE WHEN frame % 2 = 0 THEN 1.5D ELSE -8.0D END AS scale, 1.0D + frame AS volume FROM {weights}) a"""
-
 MASS = f"""
 SELECT atom, CASE WHEN atom % 3 = 0 THEN 'C' WHEN atom % 3 = 1 THEN 'H' ELSE 'O' END AS symbol, CASE WHEN atom % 3 = 0 THEN 12.011D WHEN atom % 3 = 1 THEN 1.008D ELSE 15.999D END AS mass
 FROM (SELECT DISTINCT atom FROM {{traj}}) a"""

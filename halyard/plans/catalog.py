@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..adapters import Views
-from ..operators import audit, character, ensemble, episodes, events, network, populations, spectra, transfer
+from ..operators import audit, character, ensemble, episodes, events, network, populations, preparation, spectra, transfer
 from . import oracles, registry
 from .template import bind, with_literals
 
@@ -261,17 +261,8 @@ plan("O173_independent_residuals", W.RESIDUAL_COUNT)
 plan("O184_contrast_rss", W.CONTRAST_RSS, "rss plain")
 plan("O183_criteria", W.CRITERIA, "aic bic aicc")
 plan("O187_early_narrative", W.NARRATIVE, "early_net late_net early_peak early_share")
-plan("O188_fit_status", W.FIT_STATUS)
 plan("O215_column_inference", W.COLUMN_BLOCKS)
 plan("O214_survey", W.SURVEY)
-plan("O216_cycle_proposal", W.CYCLE)
-plan("O218_atom_groups", W.ATOM_CHECK)
-plan("O204_start_frame", W.START)
-plan("O095_band_conflicts", W.BAND_CONFLICTS)
-plan("O165_band_windows", W.BAND_WINDOWS)
-plan("O018_basis_size", W.BASIS)
-plan("O024_lattice_scale", W.LATTICE, "scale factor")
-plan("O220_masses", W.MASS, "mass")
 plan("X05_fragment_rule", W.FRAGMENT_RULE)
 plan("X07_neighbourhood", W.NEIGHBOURHOOD, "w")
 plan("X08_jumps", W.JUMPS, "de")
@@ -281,6 +272,87 @@ plan("X13_common_mode", W.COMMON_MODE, "median_shift same_sign")
 plan("X15_gap_summary", W.GAP_SUMMARY, "gap_mev")
 
 
+plan(
+    "O188_fit_status", W.FIT_STATUS,
+    duck="SELECT h, CASE WHEN l[1] <= 0 THEN 'not_positive' WHEN len(l) < 5 THEN 'too_few_points' WHEN list_avg(l[len(l) - len(l) // 5 + 1:]) >= list_avg(l[1:len(l) // 5]) THEN 'refused_rise' ELSE 'fit' END AS status "
+    "FROM (SELECT h, list(p ORDER BY t) AS l FROM {pop} WHERE state = :target_state GROUP BY h) a",
+)
+
+
+# preparation: what parts declare in their names, sizes and types stands for headers and file names ----
+
+#: Spark and the independent engine spell the number of a brand differently.
+_BRAND = "cast(substr(p_brand, 7) as int)"
+
+
+def _parts(views: Views, *columns: str):
+    return views.table("part").selectExpr(*columns)
+
+
+def _sizes(views: Views):
+    from ..sources.tables import namelist_pairs
+
+    line = f"concat('&RUN BMIN = ', p_size, ', BMAX=', if(p_type = 'PROMO', cast(p_retailprice as string), cast(p_size + {_BRAND} as string)), ' / ! made of a part') as line"
+    return preparation.basis_sizes(namelist_pairs(_parts(views, "p_partkey", line)), "p_partkey")
+
+
+_SIZES = f"(SELECT p_partkey, p_size AS bmin, CASE WHEN p_type <> 'PROMO' THEN p_size + {_BRAND} END AS bmax FROM part)"
+registry.register("O018_basis_size", _sizes, "", f"SELECT p_partkey, bmin, bmax, bmax - bmin + 1 AS basis_size FROM {_SIZES} s")
+registry.register("O165_band_windows", lambda v: preparation.band_windows(_sizes(v)), "", f"SELECT bmin, bmax, count(*) AS n_files FROM {_SIZES} s GROUP BY ALL")
+registry.register(
+    "O095_band_conflicts", lambda v: preparation.band_conflicts(_sizes(v), 10, 20), "",
+    f"SELECT p_partkey, bmin, bmax, bmax - bmin + 1 AS basis_size FROM {_SIZES} s WHERE bmax IS NOT NULL AND NOT (bmin = 10 AND bmax = 20)",
+)
+registry.register(
+    "O204_start_frame",
+    lambda v: preparation.start_frames(_parts(v, "p_partkey", "concat('run/SHPROP.', substr(p_brand, 7)) as name", "if(p_type = 'PROMO', null, p_size) as meta")).drop("name", "meta"), "",
+    f"SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN {_BRAND} ELSE p_size END AS start, CASE WHEN p_type = 'PROMO' THEN 'name' ELSE 'metadata' END AS source, p_type = 'PROMO' OR p_size = {_BRAND} AS agree FROM part",
+)
+registry.register(
+    "O031_atom_expansion",
+    lambda v: preparation.expanded(_parts(v, "p_partkey", f"if(p_type = 'ECONOMY', concat(p_size, '-', p_size + {_BRAND} - 5), cast(p_size as string)) as spec")).select("p_partkey", "ion"), "",
+    f"SELECT p_partkey, unnest(CASE WHEN p_type = 'ECONOMY' THEN generate_series(CAST(p_size AS INT), CAST(p_size AS INT) + {_BRAND} - 5) ELSE [CAST(p_size AS INT)] END) AS ion FROM part",
+)
+registry.register(
+    "O218_atom_groups",
+    lambda v: preparation.group_check(_parts(v, "cast(p_size as int) as ion", "p_type as grp", "p_name").filter("p_name = 'cold widget'"), 45), "",
+    """SELECT ion, count(grp) AS n_groups, CASE WHEN ion > 45 THEN 'beyond' WHEN count(grp) = 0 THEN 'missing' WHEN count(grp) = 1 THEN 'ok' ELSE 'shared' END AS verdict
+FROM (SELECT CAST(i AS INT) AS ion, NULL AS grp FROM generate_series(1, 45) g(i) UNION SELECT CAST(p_size AS INT), p_type FROM part WHERE p_name = 'cold widget') x GROUP BY ion""",
+)
+registry.register(
+    "O216_cycle_proposal",
+    lambda v: preparation.cycle_proposals(
+        _parts(v, "p_brand", "cast(p_size % 16 + 1 as int) as frame"), _parts(v, "p_brand", "p_type", f"{_BRAND} % 3 + 16 as nsw").filter("p_type = 'PROMO'"), "p_brand"
+    ), "",
+    f"""SELECT f.p_brand, f.covered, CASE WHEN NOT whole THEN 'not_covered' WHEN d.nsw IS NULL THEN 'unknown' WHEN d.nsw = f.covered + 1 THEN 'agreed' ELSE 'ambiguous' END AS proposal,
+       CASE WHEN whole AND d.nsw = f.covered + 1 THEN f.covered END AS cycle
+FROM (SELECT p_brand, CAST(max(p_size % 16 + 1) AS INT) AS covered, list_sort(list_distinct(list(p_size % 16 + 1))) = range(1, max(p_size % 16 + 1) + 1) AS whole FROM part GROUP BY p_brand) f
+LEFT JOIN (SELECT DISTINCT p_brand, {_BRAND} % 3 + 16 AS nsw FROM part WHERE p_type = 'PROMO') d ON d.p_brand = f.p_brand""",
+)
+registry.register(
+    "O220_masses", lambda v: preparation.masses(_parts(v, "p_partkey", "upper(substr(p_name, 1, 1)) as symbol"), refuse=False).select("p_partkey", "symbol", "mass"), "",
+    """SELECT p_partkey, upper(substr(p_name, 1, 1)) AS symbol, CAST(CASE upper(substr(p_name, 1, 1)) WHEN 'H' THEN 1.008 WHEN 'D' THEN 2.014 WHEN 'B' THEN 10.81 WHEN 'C' THEN 12.011 WHEN 'N' THEN 14.007
+ WHEN 'O' THEN 15.999 WHEN 'F' THEN 18.998 WHEN 'P' THEN 30.974 WHEN 'S' THEN 32.06 WHEN 'K' THEN 39.098 WHEN 'Y' THEN 88.906 WHEN 'I' THEN 126.904 WHEN 'W' THEN 183.84 END AS DOUBLE) AS mass FROM part""",
+    "mass",
+)
+
+
+def _scales(views: Views):
+    from pyspark.sql import functions as F
+
+    cells = views.table("embeddings").selectExpr("vec_id", "transform(slice(embedding, 1, 9), x -> cast(x as double)) as cell", "cast(embedding[9] as double) as scale")
+    return cells.select("vec_id", "scale", preparation.scale_factor(F.col("scale"), F.col("cell")).alias("factor"))
+
+
+registry.register(
+    "O024_lattice_scale", _scales, "",
+    """SELECT vec_id, scale, CASE WHEN scale = 0 OR volume < 1e-12 THEN NULL WHEN scale > 0 THEN scale ELSE pow(abs(scale) / volume, CAST(1 AS DOUBLE) / 3) END AS factor
+FROM (SELECT vec_id, CAST(embedding[10] AS DOUBLE) AS scale, abs(c[1] * c[5] * c[9] + c[2] * c[6] * c[7] + c[3] * c[4] * c[8] - c[3] * c[5] * c[7] - c[2] * c[4] * c[9] - c[1] * c[6] * c[8]) AS volume
+      FROM (SELECT vec_id, embedding, CAST(embedding[1:9] AS DOUBLE[]) AS c FROM embeddings) x) y""",
+    "scale factor",
+)
+
+
 # operators of the DataFrame API, with independent SQL where it can say the same ---------------
 
 
@@ -442,7 +514,6 @@ plan(
     "O209_history_event_windows",
     "SELECT e.h, w.name, e.descriptor, count(*) AS n FROM {events} e JOIN {windows} w ON e.t BETWEEN w.lo AND w.hi GROUP BY e.h, w.name, e.descriptor",
 )
-plan("O031_atom_expansion", "SELECT grp, count(*) AS n_ions, min(ion) AS first_ion, max(ion) AS last_ion FROM {ion_groups} GROUP BY grp")
 plan("O074_swap_moves", "SELECT frame, band, before AS from_group, after AS to_group FROM (" + C.SWAPS + ") s WHERE resolution = 'adjacent'")
 plan("O123_statistics", N.STATS.replace("{quantities}", "{nets}"), "mean median std least most fraction_gain fraction_loss q05 q25 q75 q95")
 plan("O132_descriptors_by_window", "SELECT w.name, e.descriptor, count(*) AS n FROM {events} e JOIN {windows} w ON e.t BETWEEN w.lo AND w.hi WHERE e.classification = 'character_swap_with_projected_fragment_change' GROUP BY w.name, e.descriptor")

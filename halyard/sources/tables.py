@@ -124,16 +124,21 @@ def couplings(spark: SparkSession, path: str, n_states: int | None = None) -> Da
     )
 
 
-def namelist(spark: SparkSession, path: str) -> DataFrame:
-    """key, value, kind of a Fortran namelist."""
-    pairs = spark.read.text(path).select(F.regexp_replace("value", r"!.*$", "").alias("line")).select(
-        F.explode(F.regexp_extract_all("line", F.lit(r"(\w+\s*=\s*[^,=/&]+)"), F.lit(1))).alias("pair")
-    )
+def namelist_pairs(lines: DataFrame, line: str = "line") -> DataFrame:
+    """lines' other columns with key, value, kind of each assignment in a Fortran namelist."""
+    others = [c for c in lines.columns if c != line]
+    plain = F.regexp_replace(line, r"!.*$", "")
+    pairs = lines.select(*others, F.explode(F.regexp_extract_all(plain, F.lit(r"(\w+\s*=\s*(?:(?!\w+\s*=)[^,=/&])+)"), F.lit(1))).alias("pair"))
     return pairs.select(
-        F.upper(F.regexp_extract("pair", r"^(\w+)", 1)).alias("key"), F.trim(F.regexp_extract("pair", r"=\s*(.*?)\s*$", 1)).alias("value")
+        *others, F.upper(F.regexp_extract("pair", r"^(\w+)", 1)).alias("key"), F.trim(F.regexp_extract("pair", r"=\s*(.*?)\s*$", 1)).alias("value")
     ).withColumn("kind", header_value(F.col("value")))
 
 
+def namelist(spark: SparkSession, path: str) -> DataFrame:
+    """key, value, kind of a Fortran namelist."""
+    return namelist_pairs(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
 def spectrum(spark: SparkSession, path: str, label: str) -> DataFrame:
     """label, f, y with an optional header line; frequencies must increase."""
     data = (
