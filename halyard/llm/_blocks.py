@@ -73,6 +73,22 @@ def bounded(df: DataFrame, rows: int = BROADCAST_NODES) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: A key that more than one row in HOT has is hot; there are fewer than HOT such keys.
+HOT = 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """left (settled by the caller) joined with right, which has one row for each key: rows of hot
+    keys meet theirs by a broadcast of fewer than HOT rows and are not moved, all others are joined."""
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = settle(sizes.filter(F.col("n") * HOT > left.count()).select(*keys))
+    if hot.isEmpty():
+        return left.join(right, list(keys))
+    few = left.join(F.broadcast(hot), list(keys), "left_anti").join(right, list(keys))
+    theirs = settle(right.join(F.broadcast(hot), list(keys), "left_semi"))
+    return few.unionByName(left.join(F.broadcast(theirs), list(keys)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

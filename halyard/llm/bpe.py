@@ -9,8 +9,10 @@ Merging by the vocabulary's pair list (not by ranks of concatenations) gives wha
 tokenizers library gives, and each distinct word is encoded once per worker until the
 bounded cache lets it go.
 
-Nulls and empty texts encode to no ids; the string of an added token becomes its id.
-Repeated rows give repeated results, and further columns are ignored.
+Null and empty texts encode to no ids; very long texts are encoded whole, in time near to
+linear. The string of an added token becomes its id; of overlapping ones the longest at the first
+place counts. Repeated rows give repeated results; further columns are ignored, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations

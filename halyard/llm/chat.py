@@ -7,7 +7,8 @@ its ancestors and itself, which is what each of its turns may attend to.
 
 A node belongs to the least conversation id that passes through it, so a conversation
 owns the end of its own path (or nothing, if all its turns are shared) and its path
-is a list of (owner, run of turns). Sorted by [owner, -run, owner, -run, ...] the owners come
+is a list of (owner, run of turns). A node, or an owner, that many conversations share is a hot
+key; the few such keys are broadcast (`join_hot`), so their conversations stay where they are. Sorted by [owner, -run, owner, -run, ...] the owners come
 in depth-first order; emission offsets are sums over that sort. No tree is gathered:
 a first turn that all conversations share makes one node and many short rows.
 
@@ -15,8 +16,10 @@ Template: `<turn>` role, newline, text, `</turn>`, newline. Inside roles and tex
 backslash is put before each backslash and before each control string, and before a
 newline inside a role, so reading back is exact.
 
-Null roles and texts count as empty. Turns are ordered by turn, then role, then text.
-Repeated rows are turns of their own. An empty table gives no rows.
+Null roles and texts count as empty; a null conversation id is a conversation; very long texts
+are formatted whole. Turns are ordered by turn, then role, then text, which settles ties.
+Repeated rows are turns of their own. Further columns are ignored, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._blocks import partitions, settle, through
+from ._blocks import join_hot, partitions, settle, through
 
 OPEN, CLOSE = "<turn>", "</turn>"
 _CONTROL = re.compile(r"\\|(?=</?turn>)")
@@ -114,7 +117,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("piece").alias("piece"),
     )
     nodes = settle(nodes)
-    owned = turns.select("conv_id", "node").join(nodes.select("node", "owner", "depth", "at", "size"), "node")
+    owned = join_hot(turns.select("conv_id", "node"), nodes.select("node", "owner", "depth", "at", "size"), "node")
     runs = settle(
         owned.groupBy("conv_id", "owner").agg(
             F.min("depth").alias("from_depth"), (F.max("depth") + 1).alias("to_depth"), F.min("at").alias("at"), F.sum("size").alias("size")
@@ -141,11 +144,11 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         "owner", "own_at", (F.col("first") + F.col("sum") - F.col("own_size")).alias("chunk_at")
     )
     starts = settle(starts)
-    placed = nodes.join(starts, "owner").select(
+    placed = join_hot(nodes, starts, "owner").select(
         "node", "owner", "depth", "piece", "loss_at", "loss_size", "size",
         (F.col("chunk_at") + F.col("at") - F.col("own_at")).alias("emitted_at"), F.col("at").alias("position"),
     )
-    lined = runs.join(starts, "owner").select(
+    lined = join_hot(runs, starts, "owner").select(
         "conv_id", "owner", "from_depth", "to_depth",
         (F.col("chunk_at") + F.col("at") - F.col("own_at")).alias("start"),
         (F.col("chunk_at") + F.col("at") - F.col("own_at") + F.col("size")).alias("end"),
@@ -194,7 +197,7 @@ def read_back(nodes: DataFrame, runs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, kinds)], names)
 
     spread = runs.select("conv_id", "owner", F.explode(F.sequence("from_depth", F.col("to_depth") - 1)).alias("depth"))
-    rows = spread.join(nodes, ["owner", "depth"]).select("conv_id", "depth", "piece", "loss_at", "loss_size", F.col("emitted_at").alias("start"))
+    rows = join_hot(spread, nodes, "owner", "depth").select("conv_id", "depth", "piece", "loss_at", "loss_size", F.col("emitted_at").alias("start"))
     ordered = rows.repartition(partitions(nodes.sparkSession), "conv_id").sortWithinPartitions("conv_id", "depth")
     out = ordered.select("conv_id", "piece", "loss_at", "loss_size", "start").transform(through, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, intervals string"
     )

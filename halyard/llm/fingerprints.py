@@ -8,8 +8,10 @@ their bins; the likeness corrects for that: (agreement - c) / (1 - c), at least
 
 Null and empty texts, and texts without words, have the fingerprint of zeros; their
 likeness is 1 to each other and 0 to all others. Equal texts have equal fingerprints.
-Fewer words than a shingle takes make one shingle of all. Repeated ids follow each other
-in the order of their texts. An empty table gives no rows.
+Fewer words than a shingle takes make one shingle of all; very long texts are read whole. Rows
+of one id, and rows without an id, which come first, tie and follow each other in the order of
+their texts' hashes; repeated rows each have a result. Further columns are ignored, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._blocks import fresh, settle
+from ._blocks import fresh, join_hot, settle
 
 #: name, pattern, group whose length counts, least length. The first three are the base kinds.
 RULES = [
@@ -39,8 +39,6 @@ RULES = [
 BASE = 3
 #: Follows the rules, so that an edited rule makes every blob unseen.
 RULE_VERSION = f"rules-{hashlib.sha256(repr(RULES).encode()).hexdigest()[:12]}"
-#: Blobs that more than one path in HOT holds reach their paths by a broadcast.
-HOT = 1_000
 #: Plain strings without which a pattern cannot match: a cheap test before the pattern.
 NEEDED = {"access": "AKIA", "jwt": "eyJ", "pem": "PRIVATE KEY-----"}
 
@@ -139,12 +137,7 @@ def extend_ledger(versions: DataFrame, ledger: DataFrame | None = None, *, rule_
 
 def _to_paths(known: DataFrame, rows: DataFrame) -> DataFrame:
     """path, blob_id, spans for every path."""
-    spans = rows.select("blob_id", "spans")
-    sizes = known.groupBy("blob_id").agg(F.count(F.lit(1)).alias("n"))
-    hot = settle(sizes.filter(F.col("n") * HOT > known.count()).select("blob_id"))  # fewer than HOT rows
-    few = known.join(F.broadcast(hot), "blob_id", "left_anti").join(spans, "blob_id")
-    many = known.join(F.broadcast(settle(spans.join(F.broadcast(hot), "blob_id", "left_semi"))), "blob_id")
-    return few.unionByName(many).select("path", "blob_id", "spans")
+    return join_hot(known, rows.select("blob_id", "spans"), "blob_id").select("path", "blob_id", "spans")
 
 
 def findings(versions: DataFrame, ledger: DataFrame | None = None, **more) -> DataFrame:

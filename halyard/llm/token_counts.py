@@ -5,7 +5,9 @@ the distinct lengths, not the documents) answer, for every context limit, how ma
 documents reach it, how many tokens fit when each document is cut there, how many chunks
 of that size the corpus makes, and any quantile of the lengths.
 
-A null or empty text has length 0. An empty table gives no rows. Ties share one row.
+A null or empty text has length 0; very long texts are counted whole. Ties share one row;
+repeated rows count as often as they come; further columns are ignored, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
