@@ -60,7 +60,7 @@ def plan(
             problems.append(str(e))
             return default
 
-    table = numeric_table(spark, paths)
+    table = numeric_table(spark, paths, keep=True)
     shapes = table.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cols")).alias("width")).collect()
     if len({(r["n"], r["width"]) for r in shapes}) > 1:
         problems.append(f"histories differ in shape: {sorted({(r['n'], r['width']) for r in shapes})}")

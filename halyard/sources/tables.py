@@ -6,14 +6,22 @@ numbers come from the counts of each file block and never from one sort.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def clean_line(line: Column) -> Column:
     """Without comment, exponents spelt with E, trimmed."""
-    cut = F.regexp_replace(line, r"[#!].*$", "")
-    return F.trim(F.regexp_replace(cut, r"(?<=[0-9.])[dD](?=[-+]?[0-9])", "E"))
+    # most lines have neither a comment nor a Fortran exponent: the patterns run on those that may
+    cut = F.when(line.contains("#") | line.contains("!"), F.regexp_replace(line, r"[#!].*$", "")).otherwise(line)
+    spelt = F.regexp_replace(cut, r"(?<=[0-9.])[dD](?=[-+]?[0-9])", "E")
+    return F.trim(F.when(cut.contains("D") | cut.contains("d"), spelt).otherwise(cut))
+
+
+def has_data(line: Column) -> Column:
+    """Not empty before its comment."""
+    return ~line.rlike(r"^\s*([#!]|$)")
 
 
 def header_value(text: Column) -> Column:
@@ -49,11 +57,14 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _numbered(_lines(spark, paths), "line_no").select("path", "line_no", "value")
 
 
-def numeric_table(spark: SparkSession, paths: str | list[str], expect_columns: int | None = None) -> DataFrame:
+def numeric_table(spark: SparkSession, paths: str | list[str], expect_columns: int | None = None, *, keep: bool = False) -> DataFrame:
     """path, row_idx, cols of every data row. Ragged rows, words, infinities and files without
-    rows are errors."""
-    rows = _lines(spark, paths).withColumn("clean", clean_line(F.col("value")))
-    data = rows.filter("clean <> ''").select("path", "block", "at", F.transform(F.split("clean", r"\s+"), lambda x: x.try_cast("double")).alias("cols"))
+    rows are errors. With keep the parsed rows stay on the executors' disks, so that the text is
+    parsed once however often the table is used; a lost executor's part is parsed again."""
+    rows = _lines(spark, paths)
+    words = F.split(clean_line(F.col("value")), r"\s+")
+    data = rows.filter(has_data(F.col("value"))).select("path", "block", "at", F.transform(words, lambda x: x.try_cast("double")).alias("cols"))
+    data = data.persist(StorageLevel.DISK_ONLY) if keep else data
     check = data.groupBy("path").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.size("cols")).alias("least"),
@@ -75,11 +86,12 @@ def numeric_table(spark: SparkSession, paths: str | list[str], expect_columns: i
 def table_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, key, value, kind of `# KEY = VALUE` lines above the first data row; a key with two
     values is an error."""
-    lines = numbered_lines(spark, paths)
-    first = lines.filter(clean_line(F.col("value")) != "").groupBy("path").agg(F.min("line_no").alias("first"))
+    lines = _lines(spark, paths).withColumn("place", F.struct("block", "at"))
+    first = lines.filter(has_data(F.col("value"))).groupBy("path").agg(F.min("place").alias("first"))
     found = (
-        lines.join(first, "path", "left")
-        .filter((F.col("line_no") < F.coalesce("first", F.lit(1 << 60))) & F.col("value").rlike(r"^\s*#\s*\w+\s*="))
+        lines.filter(F.col("value").rlike(r"^\s*#\s*\w+\s*="))
+        .join(first, "path", "left")
+        .filter(F.col("first").isNull() | (F.col("place") < F.col("first")))
         .select("path", F.upper(F.regexp_extract("value", r"^\s*#\s*(\w+)\s*=", 1)).alias("key"), F.trim(F.regexp_extract("value", r"=\s*(.*?)\s*$", 1)).alias("value"))
         .distinct()
     )
