@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, fingerprints, langid, pii, secret_scan, shards, simhash, token_counts
+from . import bpe, chat, decontam, filter_audit, fingerprints, langid, pii, secret_scan, shards, simhash, token_counts
 from ._blocks import read
 
 
@@ -54,11 +54,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(read(spark, sf_dir, "documents")))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_bpe, op3_chat_format, op4_simhash, op5_shards, op6_language, op7_decontaminate, op8_secrets,
-        op9_fingerprints, op10_pii,
+        op9_fingerprints, op10_pii, op13_filter_audit,
     )
 }
 
@@ -126,4 +130,28 @@ SELECT d.doc_id, count(*) FILTER (s.kind = 0) AS n_assign, count(*) FILTER (s.ki
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
 
 
-ORACLES: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op7_decontaminate": LEAK_SQL, "op8_secrets": _secret_sql()}
+# a permutation of the letters by joining them; each document meets each order and step once
+AUDIT_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+ m AS (SELECT w.doc_id, part,
+        (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+        || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails,
+        EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS bad FROM w),
+ g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS ng, count(*) FILTER (bad) AS nb FROM m GROUP BY part, fails),
+ f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+ o AS (SELECT a.c || b.c || x.c || y.c || z.c AS filter_order FROM f a JOIN f b ON b.c <> a.c JOIN f x ON x.c NOT IN (a.c, b.c)
+       JOIN f y ON y.c NOT IN (a.c, b.c, x.c) JOIN f z ON z.c NOT IN (a.c, b.c, x.c, y.c)),
+ s AS (SELECT filter_order, step, filter_order[step] AS c, filter_order[1:step - 1] AS earlier FROM o, generate_series(1, 5) q(step)),
+ r AS (SELECT g.part, s.filter_order, s.step, s.c, g.*, s.earlier, contains(g.fails, s.c) AS hit,
+              len(translate(g.fails, s.earlier, '')) < len(g.fails) AS gone FROM g CROSS JOIN s),
+ a AS (SELECT part, filter_order, step, c, sum(n) FILTER (NOT hit AND NOT gone) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant,
+              sum(n) FILTER (fails = c) AS unique_fails, sum(ng) FILTER (hit AND NOT gone) AS good_lost, sum(nb) FILTER (hit AND NOT gone) AS toxic_lost
+       FROM r GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM a"""
+
+ORACLES: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op7_decontaminate": LEAK_SQL, "op8_secrets": _secret_sql(), "op13_filter_audit": AUDIT_SQL}
