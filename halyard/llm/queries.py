@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, filter_audit, fingerprints, langid, pii, secret_scan, shards, simhash, token_counts
+from . import bpe, chat, decontam, filter_audit, fingerprints, langid, pii, secret_scan, shards, simhash, spelling, token_counts
 from ._blocks import read
 
 
@@ -54,6 +54,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(read(spark, sf_dir, "documents")))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -62,7 +66,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_bpe, op3_chat_format, op4_simhash, op5_shards, op6_language, op7_decontaminate, op8_secrets,
-        op9_fingerprints, op10_pii, op13_filter_audit,
+        op9_fingerprints, op10_pii, op12_spelling, op13_filter_audit,
     )
 }
 
