@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, filter_audit, fingerprints, langid, pii, secret_scan, shards, simhash, spelling, token_counts
+from . import bpe, chat, decontam, filter_audit, fingerprints, langid, pii, secret_scan, shards, simhash, spelling, substring_dedup, token_counts
 from ._blocks import read
 
 
@@ -54,6 +54,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(read(spark, sf_dir, "documents")))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(substring_dedup.remove_repeats(read(spark, sf_dir, "documents")))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_bpe, op3_chat_format, op4_simhash, op5_shards, op6_language, op7_decontaminate, op8_secrets,
-        op9_fingerprints, op10_pii, op12_spelling, op13_filter_audit,
+        op9_fingerprints, op10_pii, op11_substring_dedup, op12_spelling, op13_filter_audit,
     )
 }
 
@@ -134,6 +138,17 @@ SELECT d.doc_id, count(*) FILTER (s.kind = 0) AS n_assign, count(*) FILTER (s.ki
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
 
 
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+ w AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 19], ' ')) AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM d WHERE len(ws) >= 20) x),
+ r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS k FROM (SELECT doc_id, p, rank() OVER (PARTITION BY win ORDER BY doc_id, p) AS place FROM w) x WHERE place > 1),
+ k AS (SELECT doc_id, list(k) AS gone, count(*) AS n FROM r GROUP BY doc_id),
+ u AS (SELECT d.doc_id, string_agg(u.w, ' ' ORDER BY u.p) AS kept
+       FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d) u JOIN d ON d.doc_id = u.doc_id
+       LEFT JOIN r ON r.doc_id = u.doc_id AND r.k = u.p WHERE r.k IS NULL GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(u.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id"""
+
 # a permutation of the letters by joining them; each document meets each order and step once
 AUDIT_SQL = """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
@@ -158,4 +173,4 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS
        CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
 FROM a"""
 
-ORACLES: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op7_decontaminate": LEAK_SQL, "op8_secrets": _secret_sql(), "op13_filter_audit": AUDIT_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op7_decontaminate": LEAK_SQL, "op8_secrets": _secret_sql(), "op11_substring_dedup": REPEATS_SQL, "op13_filter_audit": AUDIT_SQL}

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from halyard.llm import filter_audit, spelling
+from halyard.llm import filter_audit, spelling, substring_dedup
 
 from test_llm_operators import ROWS, docs, nothing, same  # noqa: F401  fixtures
 
@@ -166,3 +166,77 @@ def test_long_text_is_compared_whole(spark):
     rows = {r.doc_id: r["mask"] for r in filter_audit.audited_rows(table).collect()}
     assert [rows[k] & 16 for k in (1, 2, 3)] == [0, 0, 16]
     assert hashlib.sha256(text.encode()).hexdigest() and rows[1] & 2
+
+
+# substring dedup --------------------------------------------------------------------------------
+
+
+def brute_repeats(rows, window=20):
+    first, texts = {}, [(d, re.findall("[^\x20\x09-\x0d]+", t or "")) for d, t in rows]
+    order = lambda d, p: (d is None, d or 0, p)
+    for d, words in texts:
+        for p in range(len(words) - window + 1):
+            key = tuple(words[p : p + window])
+            first[key] = min(first.get(key, order(d, p)), order(d, p))
+    out = []
+    for d, words in texts:
+        gone = set()
+        for p in range(len(words) - window + 1):
+            if first[tuple(words[p : p + window])] < order(d, p):
+                gone.update(range(p, p + window))
+        out.append((d, len(words), len(gone), hashlib.sha256(" ".join(w for k, w in enumerate(words) if k not in gone).encode()).hexdigest()))
+    return out
+
+
+def passage_rows():
+    rnd = random.Random(11)
+    passages = [[f"{rnd.choice('abcdéß')}{rnd.randrange(400)}" for _ in range(rnd.choice((19, 20, 21, 25, 60)))] for _ in range(12)]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rnd.randrange(5)):
+            words += rnd.choice(passages) if rnd.random() < 0.7 else [rnd.choice("xyz") for _ in range(rnd.randrange(40))]
+            words += [f"own{i}{rnd.randrange(9)}" for _ in range(rnd.randrange(8))]
+        rows.append((rnd.randrange(90) if i % 10 else None, "".join(w + rnd.choice((" ", "\n", " \t ")) for w in words)))
+    rows += [(500, " ".join(["same"] * 100)), (501, None), (502, ""), (503, " \t"), (3, rows[0][1]), (400, " ".join(passages[4] * 30)), (-5, " ".join(passages[4]))]
+    return rows + [rows[1]] * 9 + [(None, rows[2][1])] * 9
+
+
+@pytest.mark.parametrize("blocks, period, cover", [(None, 13, (0, 1, 3, 9)), (40, 13, (0, 1, 3, 9)), (7, 7, (0, 1, 3)), (5, 20, tuple(range(20)))])
+def test_repeats_equal_brute_force(spark, blocks, period, cover):
+    rows = passage_rows()
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, block int, kept string").repartition(6)
+    found = substring_dedup.remove_repeats(table, blocks=blocks, buckets=blocks and 5, period=period, cover=cover)
+    wanted = brute_repeats(rows)
+    assert sum(n for *_, n, _ in wanted) > 500
+    same([tuple(r) for r in substring_dedup.report(found).collect()], wanted)
+    for r in found.collect():
+        assert sum(b - a for a, b in r.removed) == r.n_removed
+
+
+def test_repeats_of_the_common_table_and_of_nothing(docs, nothing):  # noqa: F811
+    same([tuple(r) for r in substring_dedup.report(substring_dedup.remove_repeats(docs)).collect()], brute_repeats([(r[0], r[1]) for r in ROWS]))
+    assert substring_dedup.remove_repeats(nothing).collect() == []
+
+
+def test_windows_that_share_their_first_hash_are_told_by_the_second():
+    import numpy as np
+
+    known = np.zeros(4, substring_dedup._RECORD)
+    known["a"], known["b"] = [1, 5, 5, 5], [9, 2, 4, 7]
+    second = np.array([9, 7, 3, 2, 8, 4], np.uint64)
+    here, at = substring_dedup._found(known, np.array([1, 5, 5, 5, 6, 5], np.uint64), lambda k: second[k])
+    assert here.tolist() == [0, 1, 3, 5] and at.tolist() == [0, 3, 1, 2]
+
+
+def test_cover_must_be_a_difference_cover(docs):  # noqa: F811
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(docs, cover=(0, 1, 2, 3))
+
+
+def test_texts_are_dealt_once(docs):  # noqa: F811
+    found = substring_dedup.remove_repeats(docs)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("ReusedExchange") >= 2
