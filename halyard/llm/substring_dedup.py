@@ -10,15 +10,16 @@ both to places whose remainder is in COVER. So two equal windows share an anchor
 
 1. Each block sends its distinct anchors to buckets by hash; a bucket tells each block which
    of its anchors another block has too.
-2. The windows around shared anchors are extended to full length: each block sends those windows' 128-bit hashes,
+2. The windows around shared anchors are extended to full length: each block sends those windows' 96-bit hashes,
    one for each distinct window, with the least (doc_id, start) it has. Buckets find the least of all
    blocks and tell each block that has a later one.
 3. A window that starts later than the least start of its words is a repeat; covered words go.
 
 A passage that a third of all documents share is one hash in each block, so no bucket gets a
 row for each copy, and no pairs are formed. Blocks hold about BLOCK_BYTES of text, buckets the hashes of about
-BUCKET_BYTES of it; both are counted from the bytes of the table. Windows are told by two 64-bit hashes over
-64-bit hashes of their words.
+BUCKET_BYTES of it; both are counted from the bytes of the table. Windows are told by a
+64-bit and a 32-bit hash over 64-bit hashes of their words. What is sent is laid out byte plane by byte plane, so that the
+zeros of small numbers and the equal first bytes of a bucket's hashes take no room once it is compressed.
 
 A null or empty text has no words and stays empty; a very long text is read whole, as a block of its own.
 Rows that share a doc_id tie where they start windows at the same place: neither is earlier, both stay;
@@ -49,7 +50,9 @@ BUCKET_BYTES = 256 << 20
 _INSIDE = word_table(spaces=SPACES)
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 #: A window of a block: two hashes, its least start, flags (1: the doc_id is null; 2: the block has it again).
-_RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("at", "<u4"), ("flags", "u1")])
+_RECORD = np.dtype([("a", "<u8"), ("b", "<u4"), ("id", "<i8"), ("at", "<u4"), ("flags", "u1")])
+#: Bits of the second hash that are left out.
+_SECOND_SHIFT = np.uint64(32)
 _NO_ID, _AGAIN = 1, 2
 
 
@@ -96,8 +99,21 @@ class Words:
         np.add.at(change, anchors + 1, -1)
         return np.flatnonzero((np.cumsum(change[:-1]) > 0) & (self.left >= self.window))
 
-    def windows(self, base: int) -> np.ndarray:
-        return sequence_hashes(self.hashes, self.window, base)
+    def windows(self) -> np.ndarray:
+        return sequence_hashes(self.hashes, self.window, _BASES[0])
+
+    def second(self) -> np.ndarray:
+        return (sequence_hashes(self.hashes, self.window, _BASES[1]) >> _SECOND_SHIFT).astype(np.uint32)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """All first bytes, all second bytes, and so on."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -126,7 +142,7 @@ _TOLD_SQL = "block int, data binary"
 
 def _held(table: pa.Table, kind) -> np.ndarray:
     """All values of a table's packed column."""
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for c in table.column("data").chunks for x in c.to_pylist())])
+    return np.concatenate([np.zeros(0, kind), *(unpack(x, kind) for c in table.column("data").chunks for x in c.to_pylist())])
 
 
 def _told(blocks: np.ndarray, values: np.ndarray) -> pa.Table:
@@ -135,7 +151,7 @@ def _told(blocks: np.ndarray, values: np.ndarray) -> pa.Table:
     blocks, values = blocks[order], values[order]
     at = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(blocks) else np.zeros(0, np.int64)
     ends = np.r_[at[1:], len(blocks)]
-    return pa.Table.from_arrays([pa.array(blocks[at], pa.int32()), pa.array([values[a:b].tobytes() for a, b in zip(at, ends)] if len(at) else [], pa.binary())], schema=_TOLD)
+    return pa.Table.from_arrays([pa.array(blocks[at], pa.int32()), pa.array([pack(values[a:b]) for a, b in zip(at, ends)] if len(at) else [], pa.binary())], schema=_TOLD)
 
 
 def _senders(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +167,7 @@ def _anchors_of(period: int, cover: tuple[int, ...], window: int, buckets: int):
         kept = np.unique(words.anchors(period, cover)[1])
         rows = list(_by_bucket(kept, buckets))
         block = _block_of(table)
-        return pa.Table.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([kept[s].tobytes() for _, s in rows], pa.binary())], schema=_SENT)
+        return pa.Table.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([pack(kept[s]) for _, s in rows], pa.binary())], schema=_SENT)
 
     return run
 
@@ -179,13 +195,13 @@ def _windows_of(period: int, cover: tuple[int, ...], window: int, buckets: int):
         ids, missing = _ids(table)
         text = words.text[first]
         records = np.empty(len(first), _RECORD)
-        for name, base in zip("ab", _BASES):
-            records[name] = words.windows(base)[first] if len(first) else 0
+        if len(first):
+            records["a"], records["b"] = words.windows()[first], words.second()[first]
         records["id"], records["at"], records["flags"] = ids[text], words.place[first], missing[text]
         records = _least(records)[0]
         rows = list(_by_bucket(records["a"], buckets))
         block = _block_of(table)
-        return pa.Table.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([records[s].tobytes() for _, s in rows], pa.binary())], schema=_SENT)
+        return pa.Table.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([pack(records[s]) for _, s in rows], pa.binary())], schema=_SENT)
 
     return run
 
@@ -257,8 +273,8 @@ def _kept_of(window: int):
         gone = np.zeros(len(words.hashes), bool)
         if len(known):
             whole = np.flatnonzero(words.left >= window)
-            second = words.windows(_BASES[1])
-            here, at = _found(known, words.windows(_BASES[0])[whole], lambda k: second[whole[k]])
+            second = words.second()
+            here, at = _found(known, words.windows()[whole], lambda k: second[whole[k]])
             first = whole[here]
             ids, missing = _ids(table)
             own = np.empty(len(first), _RECORD)

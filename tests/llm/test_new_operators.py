@@ -224,11 +224,20 @@ def test_windows_that_share_their_first_hash_are_told_by_the_second():
 
     known = np.zeros(4, substring_dedup._RECORD)
     known["a"], known["b"] = [1, 5, 5, 5], [9, 2, 4, 7]
-    second = np.array([9, 7, 3, 2, 8, 4], np.uint64)
+    second = np.array([9, 7, 3, 2, 8, 4], np.uint32)
     here, at = substring_dedup._found(known, np.array([1, 5, 5, 5, 6, 5], np.uint64), lambda k: second[k])
     assert here.tolist() == [0, 1, 3, 5] and at.tolist() == [0, 3, 1, 2]
 
 
+def test_packed_values_come_back():
+    import numpy as np
+
+    records = np.zeros(5, substring_dedup._RECORD)
+    records["a"], records["id"], records["flags"] = [1 << 63, 5, 0, 7, 9], [-1, -(1 << 63), 3, 0, 8], [0, 1, 2, 3, 0]
+    for values in (records, records[:0], records["a"].copy()):
+        assert (substring_dedup.unpack(substring_dedup.pack(values), values.dtype) == values).all()
+
+
 def test_cover_must_be_a_difference_cover(docs):  # noqa: F811
     with pytest.raises(ValueError):
         substring_dedup.remove_repeats(docs, cover=(0, 1, 2, 3))
