@@ -67,6 +67,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Conversations inside the tree: wide enough for a null's number below all of 64 bits.
+_KEY, _NULL = "decimal(20,0)", str(-(1 << 63) - 1)
+
+
 def paths(conversations: DataFrame) -> DataFrame:
     """conv_id, depth, node, at, size, piece, loss_at, loss_size: a row for each turn.
 
@@ -109,8 +113,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs: conv_id, owner, from_depth, to_depth, start, end, position: the intervals of
     the emission that make up each conversation, ancestors first.
     """
-    null_id = -(1 << 63)
-    turns = settle(paths(conversations).withColumn("conv_id", F.coalesce("conv_id", F.lit(null_id))))
+    turns = settle(paths(conversations).withColumn("conv_id", F.coalesce(F.col("conv_id").cast(_KEY), F.lit(_NULL).cast(_KEY))))
     nodes = turns.groupBy("node").agg(
         F.min("conv_id").alias("owner"),
         *[F.min(c).alias(c) for c in ("depth", "at", "size", "loss_at", "loss_size")],
@@ -127,7 +130,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.flatten(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("from_depth", "to_depth", "owner"))),
-                lambda r: F.array(r["owner"], r["from_depth"] - r["to_depth"]),
+                lambda r: F.array(r["owner"], (r["from_depth"] - r["to_depth"]).cast(_KEY)),
             )
         ).alias("key")
     )
@@ -199,6 +202,6 @@ def read_back(nodes: DataFrame, runs: DataFrame) -> DataFrame:
     spread = runs.select("conv_id", "owner", F.explode(F.sequence("from_depth", F.col("to_depth") - 1)).alias("depth"))
     rows = join_hot(spread, nodes, "owner", "depth").select("conv_id", "depth", "piece", "loss_at", "loss_size", F.col("emitted_at").alias("start"))
     ordered = rows.repartition(partitions(nodes.sparkSession), "conv_id").sortWithinPartitions("conv_id", "depth")
-    out = ordered.select("conv_id", "piece", "loss_at", "loss_size", "start").transform(through, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, intervals string"
+    given = F.when(F.col("conv_id") > F.lit(_NULL).cast(_KEY), F.col("conv_id")).cast("long").alias("conv_id")
+    return ordered.select(given, "piece", "loss_at", "loss_size", "start").transform(through, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, intervals string"
     )
-    return out.withColumn("conv_id", F.when(F.col("conv_id") == -(1 << 63), F.lit(None)).otherwise(F.col("conv_id")).cast("long"))

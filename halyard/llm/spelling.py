@@ -5,7 +5,8 @@ rest) go into automata; of two words one edit apart, one keeps a half of the oth
 very start or its very end. An automaton shard holds the halves of up to about OWNERS words that
 begin (left halves) or end (right halves) with the same two code points, and every word is run
 through the shards of its own first and last two: no other can match. There are at most 90 * 90 such
-pairs on each side, so their table of sizes is broadcast; a common pair is cut into more shards. Of the
+pairs on each side, so their table of sizes is broadcast; a common pair is cut into more shards, and the
+words run through one shard into parts of about SCANNED, so no task grows with a pair. Of the
 halves that the automaton reports those count that stand at the word's edge and whose owners' length is
 within one. What is left beside the half is then verified to be exactly one inserted, deleted or
 replaced code point away, by looking up what remains with one place open among the owners of that
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from ._blocks import blocks, settle, span_hashes, text_buffers, through, word_spans
 
 #: About so many words' halves in one automaton.
-OWNERS = 16_384
+OWNERS = 8_192
+#: About so many words are run through a copy of it.
+SCANNED = 16_384
 #: Distinct words that a task holds before it passes their counts on.
 HELD_WORDS = 200_000
 #: Code points of the shortest word.
@@ -208,21 +211,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(near, pa.int64()), pa.array(best_n, pa.int64()), pa.array(best, pa.string())], ["word", "n_near", "best_n", "best"])
 
 
-def near_words(words: DataFrame, owners: int = OWNERS) -> DataFrame:
+def near_words(words: DataFrame, owners: int = OWNERS, scanned: int = SCANNED) -> DataFrame:
     """word, n_near, best_n, best: for each word with a near word their number and the near word of
     largest n, the smallest of those in code-point order. words: word, n, each word once."""
     ends = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.substring("word", 1, 2).alias("pair")), F.struct(F.lit(False).alias("left"), F.expr("right(word, 2)").alias("pair"))))
     sided = words.select("word", "n", ends.alias("end")).select("word", "n", "end.*")
     # at most 2 * 90 * 90 rows: the alphabet is fixed
-    sizes = sided.groupBy("left", "pair").agg(F.ceil(F.count(F.lit(1)) / owners).cast("int").alias("shards"))
+    count = F.count(F.lit(1))
+    sizes = sided.groupBy("left", "pair").agg(F.ceil(count / owners).cast("int").alias("shards"), F.ceil(count / scanned).cast("int").alias("parts"))
     placed = sided.join(F.broadcast(sizes), ["left", "pair"])
-    own = F.pmod(F.xxhash64("word"), F.col("shards")).cast("int")
-    roles = F.concat(
-        F.array(F.struct(own.alias("shard"), F.lit(True).alias("owner"))),
-        F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.struct(s.alias("shard"), F.lit(False).alias("owner"))),
-    )
-    rows = placed.select("left", "pair", "word", "n", F.explode(roles).alias("role"))
-    rows = rows.select(F.concat_ws("/", "left", "pair", "role.shard").alias("at"), "left", "role.owner", "word", "n")
+
+    def cells(number: str, held: str, owner: bool):
+        """A word's own shard (part) with every part (shard) of its pair."""
+        own = F.pmod(F.xxhash64("word"), F.col(number)).cast("int").alias(number)
+        return F.transform(F.sequence(F.lit(0), F.col(held) - 1), lambda k: F.struct(own, k.alias(held), F.lit(owner).alias("owner")).alias("c"))
+
+    # each word owns a shard, in all its copies, and is run through all shards, in its own part
+    named = [F.transform(cells(*x), lambda c: F.struct(c["shards"].alias("shard"), c["parts"].alias("part"), c["owner"].alias("owner"))) for x in (("shards", "parts", True), ("parts", "shards", False))]
+    rows = placed.select("left", "pair", "word", "n", F.explode(F.concat(*named)).alias("role"))
+    rows = rows.select(F.concat_ws("/", "left", "pair", "role.shard", "role.part").alias("at"), "left", "role.owner", "word", "n")
     sorted_rows = rows.repartition("at").sortWithinPartitions("at", F.col("owner").desc())
     found = sorted_rows.transform(through, _scan, "word string, n_near long, best_n long, best string")
     top = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
@@ -241,10 +248,10 @@ def follow(links: DataFrame) -> DataFrame:
         reached = settle(step.select("word", F.coalesce("next", "root").alias("root")))
 
 
-def variants(docs: DataFrame, *, owners: int = OWNERS, times: int = 2, **options) -> DataFrame:
+def variants(docs: DataFrame, *, owners: int = OWNERS, scanned: int = SCANNED, times: int = 2, **options) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word."""
     words = settle(count_words(docs, **options))
-    joined = settle(words.join(near_words(words, owners), "word", "left"))
+    joined = settle(words.join(near_words(words, owners, scanned), "word", "left"))
     better = F.col("best_n") >= times * F.col("n")
     formed = joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(better, F.col("best")).alias("form"), F.when(better, F.col("best_n")).alias("form_n"))
     roots = follow(formed.filter("form is not null"))

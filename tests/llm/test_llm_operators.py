@@ -138,6 +138,7 @@ CONVERSATIONS = [
     (5, 0, "ro\nle\\", "\\"), (5, 0, "ro\nle\\", "\\"), (5, 3, None, "x"),
     (6, 0, "system", "be kind"), (6, 1, "user", "hello"), (6, 2, "assistant", "other"), (6, 3, "user", None),
     (None, 0, "user", "who"), (None, 1, "assistant", "é" * 5000),
+    (-(1 << 63), 0, "user", "who"), (-(1 << 63), 1, "assistant", "least id, not null"), ((1 << 63) - 1, 0, "user", "who"),
 ]
 
 
