@@ -14,7 +14,7 @@ SCALES = f"""
 SELECT DISTINCT state, {HBAR}D / (state + 1) AS ev, 1000.0D * {HBAR}D / (state + 1) AS mev, (state + 1) * {INV_FS_TO_CM1}D AS cm1 FROM {{energies}}"""
 
 TO_MEV = f"""
-SELECT frame, i, j, CASE WHEN (i + j) % 3 = 0 THEN v * 1000.0D WHEN (i + j) % 3 = 1 THEN v ELSE v * {HBAR}D * 1000.0D END AS mev FROM {{nac}} WHERE frame <= :last"""
+SELECT frame, i, j, CASE WHEN (i + j) % 3 = 0 THEN v * 1000.0D WHEN (i + j) % 3 = 1 THEN v ELSE v * {HBAR}D * 1000.0D END AS mev FROM {{nac}}"""
 
 PAIRS = f"""
 SELECT a.i, a.j, avg(abs(a.gap)) AS mean_gap, sqrt(avg(a.gap * a.gap)) AS rms_gap, avg(a.v) AS mean_nac, sqrt(avg(a.v * a.v)) AS rms_nac,

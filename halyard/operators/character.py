@@ -3,10 +3,12 @@ fragments before they are averaged."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.template import bind
+from ..session import settle
+from . import ordered
 
 # partial sums per group leave the map side; the windows then see one row for each group
 WEIGHTS = """
@@ -22,7 +24,8 @@ SELECT p.h, p.t, w.grp, sum(p.p * w.w) AS pg
 FROM {pop} p JOIN {rows_frames} f ON p.h = f.h AND p.t = f.t JOIN {weights} w ON w.frame = f.frame AND w.band = p.band
 GROUP BY p.h, p.t, w.grp"""
 
-# the midpoint split: what moved between states at fixed character, and the reverse
+# the midpoint split: what moved between states at fixed character, and the reverse; as windows over
+# whole histories, which split_blocks must equal
 SPLIT = """
 SELECT h, t, grp, sum(p * w) AS pg,
        sum(coalesce((p - p0) * 0.5 * (w + w0), 0)) AS occ, sum(coalesce(0.5 * (p + p0) * (w - w0), 0)) AS chr
@@ -35,13 +38,7 @@ PROJECTED_MEAN = """
 SELECT t, grp, avg(pg) AS mean, stddev_samp(pg) / sqrt(count(*)) AS sem, avg(occ) AS occ, avg(chr) AS chr
 FROM {split} GROUP BY t, grp"""
 
-RESIDUAL = """
-SELECT h, max(abs((pg - pg0) - (occ + chr))) AS residual
-FROM (SELECT h, t, grp, pg, occ, chr, lag(pg) OVER (PARTITION BY h, grp ORDER BY t) AS pg0 FROM {split}) a WHERE pg0 IS NOT NULL GROUP BY h"""
-
-CUMULATIVE = """
-SELECT h, t, grp, first_value(pg) OVER (PARTITION BY h, grp ORDER BY t) + sum(occ) OVER (PARTITION BY h, grp ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS driven
-FROM {split}"""
+RESIDUAL = "SELECT h, max(abs((pg - pg0) - (occ + chr))) AS residual FROM {split} WHERE pg0 IS NOT NULL GROUP BY h"
 
 DOMINANT = """
 SELECT frame, band, grp AS dominant, w AS dominant_w, captured
@@ -115,21 +112,20 @@ CYCLIC = """
 SELECT g.h, g.t, CASE WHEN (g.t + s.start) % :period = 0 THEN :period ELSE (g.t + s.start) % :period END AS frame
 FROM (SELECT DISTINCT h, t FROM {pop}) g JOIN {starts} s ON s.h = g.h"""
 
+# walk(h, t, frame, frame0): the rows of each history with the frame of the row before
 ALIGNMENT = """
 SELECT h, min_by(frame, t) AS first_frame, max_by(frame, t) AS last_frame, count(DISTINCT frame) AS n_frames,
        count_if(frame - frame0 <> 1) AS n_wraps
-FROM (SELECT h, t, frame, lag(frame) OVER (PARTITION BY h ORDER BY t) AS frame0 FROM {rows_frames}) a GROUP BY h"""
+FROM {walk} GROUP BY h"""
 
-WRAPPED = """
-SELECT count(DISTINCT h) AS n_histories, count(*) AS n_steps
-FROM (SELECT h, frame, lag(frame) OVER (PARTITION BY h ORDER BY t) AS frame0 FROM {rows_frames}) a WHERE frame0 = :period AND frame = 1"""
+WRAPPED = "SELECT count(DISTINCT h) AS n_histories, count(*) AS n_steps FROM {walk} WHERE frame0 = :period AND frame = 1"
 
 WRAP_STATUS = """
 SELECT h, CASE WHEN n_frames < 2 THEN 'degenerate_period' WHEN n_wraps = 0 THEN 'not_traversed' WHEN NOT loaded THEN 'frames_not_loaded' ELSE 'examined' END AS status
 FROM (SELECT a.h, count(DISTINCT a.frame) AS n_frames, count_if(a.frame0 = :period AND a.frame = 1) AS n_wraps, max(l.n) = 2 AS loaded
-      FROM (SELECT h, frame, lag(frame) OVER (PARTITION BY h ORDER BY t) AS frame0 FROM {rows_frames}) a
-      CROSS JOIN (SELECT count(DISTINCT frame) AS n FROM {weights} WHERE frame IN (1, :period)) l GROUP BY a.h) s"""
+      FROM {walk} a CROSS JOIN (SELECT count(DISTINCT frame) AS n FROM {weights} WHERE frame IN (1, :period)) l GROUP BY a.h) s"""
 
+# as windows over whole groups: what fixed_vs_projected must equal
 FIXED_VS_PROJECTED = """
 SELECT grp, max(abs(d)) AS most, max(CASE WHEN place = 1 THEN t END) AS most_time, sqrt(avg(d * d)) AS rms, avg(d) AS mean_d,
        sum(coalesce(0.5 * (abs(d) + abs(d0)) * (t - t0), 0)) AS integral,
@@ -156,9 +152,35 @@ def fragment_weights(ions: DataFrame, ion_groups: DataFrame, **params) -> DataFr
     return bind(WEIGHTS, params=params, ions=ions, ion_groups=F.broadcast(ion_groups))
 
 
-def split(pop: DataFrame, rows_frames: DataFrame, weights: DataFrame, **params) -> DataFrame:
-    """h, t, grp, pg, occ, chr: the exact split of each change; 0 at a history's first row."""
-    return bind(SPLIT, params=params, pop=pop, rows_frames=rows_frames, weights=weights)
+def split(pop: DataFrame, rows_frames: DataFrame, weights: DataFrame) -> DataFrame:
+    """The split of shares that come a row each."""
+    return split_blocks(packed(pop), rows_frames, weights)
+
+
+def walk(rows_frames: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
+    """h, t, frame, frame0: the frame of each row and of the one before."""
+    blocks = ordered.dealt(rows_frames.select("h", "t", "frame"), ["h"], "t", width)
+    return ordered.with_previous(blocks, ["h"], "t", ["frame"]).select("h", "t", "frame", F.col("previous.frame").alias("frame0"))
+
+
+def driven(parts: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
+    """h, t, grp, driven: where occupation alone would have taken each group from its first value."""
+    start = F.when(F.col("pg0").isNull(), F.col("pg")).otherwise(F.lit(0.0))
+    rows = parts.select("h", "grp", "t", (start + F.col("occ")).alias("step"))
+    return ordered.running_sum(ordered.dealt(rows, ["h", "grp"], "t", width), ["h", "grp"], "t", "step", "driven").select("h", "t", "grp", "driven")
+
+
+def fixed_vs_projected(projected: DataFrame, fixed: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
+    """How far two series of means are apart, by group: the largest distance and where, rms, mean, and
+    the distance integrated over time."""
+    both = projected.select("t", "grp", F.col("mean").alias("projected")).join(fixed.select("t", "grp", F.col("mean").alias("fixed")), ["t", "grp"])
+    both = both.withColumn("d", F.col("projected") - F.col("fixed")).withColumn("apart", F.abs("d"))
+    blocks = ordered.dealt(both, ["grp"], "t", width)
+    state = ordered.summary(blocks, ["grp"], "t", "apart", carry=["projected", "fixed"], sums={"squares": F.col("d") * F.col("d"), "signed": F.col("d")})
+    return state.select(
+        "grp", F.col("peak.y").alias("most"), F.col("peak.at").cast(projected.schema["t"].dataType).alias("most_time"), F.sqrt(F.col("squares") / F.col("n")).alias("rms"),
+        (F.col("signed") / F.col("n")).alias("mean_d"), "integral", F.col("peak.projected").alias("projected_there"), F.col("peak.fixed").alias("fixed_there"),
+    )
 
 
 def projected_mean(parts: DataFrame, **params) -> DataFrame:
@@ -171,56 +193,71 @@ def flagship(pop: DataFrame, rows_frames: DataFrame, weights: DataFrame) -> Data
 
 
 def packed(pop: DataFrame) -> DataFrame:
-    """h, t, p: one row of the grid with all shares, in order of the bands."""
-    return pop.groupBy("h", "t").agg(F.array_sort(F.collect_list(F.struct("band", "p"))).alias("x")).select("h", "t", F.col("x.p").alias("p"))
+    """h, t, p, bands: one row of the grid with all shares, and the bands that they belong to, in order."""
+    listed = pop.groupBy("h", "t").agg(F.array_sort(F.collect_list(F.struct("band", "p"))).alias("x"))
+    return listed.select("h", "t", F.col("x.p").alias("p"), F.col("x.band").alias("bands"))
 
 
 #: Weights of at most so many cells (frames by bands by groups) are broadcast: 32 MB of doubles.
 BROADCAST_CELLS = 4_000_000
-#: Ends of blocks are broadcast up to so many: those of six billion rows.
-BROADCAST_BLOCKS = 100_000
 
 
-def split_blocks(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, block_rows: int = 65_536) -> DataFrame:
-    """The same split for long histories: h, t, grp, pg, occ, chr.
+def weight_arrays(weights: DataFrame) -> DataFrame:
+    """frame, groups, bands, ws: all weights of a frame, an array over the bands for each group.
+    Reading a frame whose groups don't all have the same bands is an error."""
+    each = weights.groupBy("frame", "grp").agg(F.array_sort(F.collect_list(F.struct("band", "w"))).alias("x"))
+    frames = each.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("grp", F.col("x.band").alias("bands"), F.col("x.w").alias("w")))).alias("g"))
+    even = F.forall("g", lambda x: x["bands"] == F.col("g")[0]["bands"])
+    told = F.raise_error(F.concat(F.lit("the groups of frame "), F.col("frame").cast("string"), F.lit(" have weights of different bands")))
+    return frames.select("frame", F.col("g.grp").alias("groups"), F.when(even, F.col("g")[0]["bands"]).otherwise(told).alias("bands"), F.col("g.w").alias("ws"))
 
-    rows: h, t, p (packed), with its frame where rows_frames is None. A row's shares are one
-    array and its frame's weights one array for each group, so rows are not multiplied before the
-    arithmetic: occ and chr are half sums and differences of four products of shares and weights
-    of this row and the one before. A history is dealt in blocks of rows; a block's last row goes
-    along to the next block that has rows, however far the grid's gap, so no task holds a
-    history. The driver counts the cells of the weights and holds the end of each block.
+
+def split_arrays(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
+    """h, t, frame, frame0, parts: the split of each row, an array of (grp, pg, occ, chr, pg0) in order of the groups.
+
+    rows: h, t, p and, where known, bands (as `packed` gives them), with their frame where rows_frames is None. A row's
+    shares are one array and its frame's weights one array for each group, so rows are not multiplied before
+    the arithmetic: occ and chr are half sums and differences of four products of shares and weights
+    of this row and the one before; they are 0 at a history's first row. A history is dealt in blocks of rows
+    (`ordered`), so no task holds a history.
+
+    A row whose frame has no weights, whose bands are not those of its frame's weights, or whose frame has
+    other groups than the one before is an error, as is a null share: nothing is paired by position alone and nothing unknown
+    becomes 0. Rows without `bands` must have as many shares as their frame has bands.
+
+    The weights are settled once; they are broadcast if they have no more than BROADCAST_CELLS cells.
     """
-    table = weights.groupBy("frame", "grp").agg(F.array_sort(F.collect_list(F.struct("band", "w"))).alias("x"))
-    table = table.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("grp", F.col("x.w").alias("w")))).alias("g"))
-    if weights.count() <= BROADCAST_CELLS:
+    table = settle(weight_arrays(weights))
+    if (table.agg(F.sum(F.size("bands") * F.size("groups"))).first()[0] or 0) <= BROADCAST_CELLS:
         table = F.broadcast(table)
-    walked = (rows if rows_frames is None else rows.join(rows_frames, ["h", "t"])).withColumn("block", F.floor(F.col("t") / block_rows))
-    # a block's last row, whatever its t, is lent to the next block that has rows; one row a block
-    following = F.lead("block").over(Window.partitionBy("h").orderBy("block"))
-    ends = (rows if rows_frames is None else rows_frames).groupBy("h", F.floor(F.col("t") / block_rows).alias("block")).agg(F.max("t").alias("t"))
-    ends = ends.select("h", "t", following.alias("following"))
-    held = ends.limit(BROADCAST_BLOCKS + 1).collect()
-    if len(held) <= BROADCAST_BLOCKS:
-        ends = F.broadcast(rows.sparkSession.createDataFrame(held, ends.schema))
-    own = F.struct(F.col("block"), F.lit(False).alias("lent"))
-    lent = F.struct(F.col("following").alias("block"), F.lit(True).alias("lent"))
-    dealt = (
-        walked.join(ends, ["h", "t"], "left")
-        .select("h", "t", "p", "frame", F.explode(F.when(F.col("following").isNotNull(), F.array(own, lent)).otherwise(F.array(own))).alias("to"))
-        .select("h", "t", "p", "frame", "to.block", "to.lent")
-    )
-    order = Window.partitionBy("h", "block").orderBy("t")
-    moved = dealt.withColumn("p0", F.lag("p").over(order)).withColumn("frame0", F.lag("frame").over(order)).filter("not lent")
-    before = table.withColumnsRenamed({"frame": "frame0", "g": "g0"})
-    placed = moved.join(table, "frame").join(before, "frame0", "left")
+    walked = rows if rows_frames is None else rows.join(rows_frames.select("h", "t", "frame"), ["h", "t"])
+    known = ["bands"] if "bands" in rows.columns else []
+    blocks = ordered.dealt(walked.select("h", "t", "p", "frame", *known), ["h"], "t", width)
+    moved = ordered.with_previous(blocks, ["h"], "t", ["p", "frame"])
+    moved = moved.select("h", "t", "p", "frame", *(F.col(c).alias("own_bands") for c in known), F.col("previous.p").alias("p0"), F.col("previous.frame").alias("frame0"))
+    before = table.select(F.col("frame").alias("frame0"), F.col("groups").alias("groups0"), F.col("bands").alias("bands0"), F.col("ws").alias("ws0"))
+    placed = moved.join(table, "frame", "left").join(before, "frame0", "left")
+    same = "own_bands = bands" if known else "size(p) = size(bands)"
+    checked = f"""CASE WHEN ws IS NULL THEN raise_error(concat('frame ', frame, ' has no weights'))
+        WHEN NOT ({same}) THEN raise_error(concat('history ', h, ', row ', t, ': its bands are not those of frame ', frame))
+        WHEN exists(p, x -> x IS NULL) THEN raise_error(concat('history ', h, ', row ', t, ': a share is missing'))
+        WHEN frame0 IS NOT NULL AND NOT (groups = groups0 AND bands = bands0) THEN raise_error(concat('frames ', frame0, ' and ', frame, ' have other bands or groups'))
+        ELSE groups END"""
 
     def product(left: str, right: str) -> str:
         return f"aggregate(zip_with({left}, {right}, (a, b) -> a * b), 0D, (s, v) -> s + v)"
 
-    each = f"""transform(g, (x, k) -> struct(x.grp AS grp, {product("p", "x.w")} AS now,
-        {product("p", "g0[k].w")} AS ahead, {product("p0", "x.w")} AS behind, {product("p0", "g0[k].w")} AS then))"""
-    out = placed.selectExpr("h", "t", f"inline({each})")
-    return out.selectExpr(
-        "h", "t", "grp", "now AS pg", "coalesce(0.5D * ((now - behind) + (ahead - then)), 0D) AS occ", "coalesce(0.5D * ((now - ahead) + (behind - then)), 0D) AS chr"
-    )
+    each = f"""transform(groups, (x, k) -> struct(x AS grp, {product("p", "ws[k]")} AS now,
+        {product("p", "ws0[k]")} AS ahead, {product("p0", "ws[k]")} AS behind, {product("p0", "ws0[k]")} AS then))"""
+    parts = """transform(each, x -> struct(x.grp AS grp, x.now AS pg,
+        if(frame0 IS NULL, 0D, 0.5D * ((x.now - x.behind) + (x.ahead - x.then))) AS occ,
+        if(frame0 IS NULL, 0D, 0.5D * ((x.now - x.ahead) + (x.behind - x.then))) AS chr, x.then AS pg0))"""
+    out = placed.withColumn("groups", F.expr(checked)).withColumn("each", F.expr(each))
+    return out.selectExpr("h", "t", "frame", "frame0", f"{parts} AS parts")
+
+
+def split_blocks(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, block_rows: float = ordered.WIDTH) -> DataFrame:
+    """h, t, grp, pg, occ, chr, frame, frame0, pg0: `split_arrays`, a row for each group; frame0 and pg0 are
+    the frame and the projected share of the row before."""
+    arrays = split_arrays(rows, rows_frames, weights, block_rows)
+    return arrays.selectExpr("h", "t", "frame", "frame0", "inline(parts)").select("h", "t", "grp", "pg", "occ", "chr", "frame", "frame0", "pg0")

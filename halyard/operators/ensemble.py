@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.template import bind
+from . import ordered
 
 HISTORY = """
 SELECT s.h, s.grp, max_by(s.pg, s.t) - min_by(s.pg, s.t) AS net_full,
@@ -66,6 +69,7 @@ FROM (SELECT run, h, max_by(p, t) - min_by(p, t) AS net FROM {runs} WHERE state
 # exact times that every run has, by set intersection over two runs at a time
 SHARED_TIMES = "SELECT t FROM {first_run} INTERSECT SELECT t FROM {second_run}"
 
+# as windows over whole series: what differences must equal
 DIFFERENCES = """
 SELECT run, state, min_by(d, t) AS initial, max_by(d, t) AS final, max(abs(d)) AS largest, sum(coalesce(0.5 * (d + d0) * (t - t0), 0)) AS integral
 FROM (SELECT run, state, t, d, lag(d) OVER (PARTITION BY run, state ORDER BY t) AS d0, lag(t) OVER (PARTITION BY run, state ORDER BY t) AS t0
@@ -80,3 +84,15 @@ THINNED = "SELECT t, state, mean FROM {series} WHERE t % :stride = 0"
 
 def histories(parts, **params):
     return bind(HISTORY, params=params, split=parts)
+
+
+def differences(runs, reference: str, width: float = ordered.WIDTH):
+    """run, state, initial, final, largest, integral: each run's mean series less that of the reference run."""
+    means = runs.groupBy("run", "state", "t").agg(F.avg("p").alias("p"))
+    other = runs.filter(F.col("run") == reference).groupBy("state", "t").agg(F.avg("p").alias("p_ref"))
+    rows = means.filter(F.col("run") != reference).join(other, ["state", "t"]).select("run", "state", "t", (F.col("p") - F.col("p_ref")).alias("d"))
+    keys = ["run", "state"]
+    state = ordered.summary(ordered.dealt(rows, keys, "t", width), keys, "t", "d")
+    return state.select(
+        *keys, F.col("first.y").alias("initial"), F.col("last.y").alias("final"), F.greatest(F.abs("peak.y"), F.abs("least.y")).alias("largest"), "integral"
+    )

@@ -35,12 +35,9 @@ FROM ({FLAGS}) f WHERE swap OR small_gap OR strong_nac"""
 
 # a history's steps: the split of the group that moves most decides what the event means
 HISTORY_STEPS = """
-SELECT h, t, frame, frame0, grp, occ, chr, dp
-FROM (SELECT s.h, s.t, f.frame, lag(f.frame) OVER (PARTITION BY s.h, s.grp ORDER BY s.t) AS frame0, s.grp, s.occ, s.chr,
-             s.pg - lag(s.pg) OVER (PARTITION BY s.h, s.grp ORDER BY s.t) AS dp,
-             row_number() OVER (PARTITION BY s.h, s.t ORDER BY abs(s.occ + s.chr) DESC, s.grp) AS place
-      FROM {split} s JOIN {rows_frames} f ON s.h = f.h AND s.t = f.t) x
-WHERE place = 1 AND frame0 IS NOT NULL AND frame <> frame0"""
+SELECT h, t, frame, frame0, m.grp, m.occ, m.chr, m.pg - m.pg0 AS dp
+FROM (SELECT h, t, frame, frame0, array_max(transform(parts, (x, k) -> struct(abs(x.occ + x.chr) AS size, -k AS place, x AS m))).m AS m FROM {arrays})
+WHERE frame0 IS NOT NULL AND frame <> frame0"""
 
 CLASSIFIED = f"""
 SELECT h, t, a, b, frame, grp, occ, chr, dp, change, gap, nac, swap, coalesce(small_gap, false) AS small_gap, coalesce(strong_nac, false) AS strong_nac,
@@ -87,7 +84,7 @@ SENSITIVITY = (
     + ") f WHERE swap OR small_gap OR strong_nac GROUP BY factor"
 )
 
-DELTAS = "SELECT h, t, grp, pg - lag(pg) OVER (PARTITION BY h, grp ORDER BY t) AS dp FROM {split}"
+DELTAS = "SELECT h, t, grp, pg - pg0 AS dp FROM {split}"
 
 # Does the population move as the characters do? Undecided where no dominant changes, where both
 # bands move to different fragments, and where one band's target is the other's source.
@@ -113,8 +110,9 @@ def frame_events(weights, energies, nac, **params):
     return bind(FRAME_EVENTS, params=params, weights=weights, energies=energies, nac=nac)
 
 
-def history_events(parts, rows_frames, weights, energies, nac, **params):
-    """Events of each history's own walk over the frames; a step that stays on its frame is none."""
-    steps = bind(HISTORY_STEPS, params=params, split=parts, rows_frames=rows_frames)
+def history_events(arrays, weights, energies, nac, **params):
+    """Events of each history's own walk over the frames; a step that stays on its frame is none.
+    arrays: of character.split_arrays."""
+    steps = bind(HISTORY_STEPS, params=params, arrays=arrays)
     moves = bind(MOVES, params=params, steps=steps, weights=weights)
     return bind(CLASSIFIED, params=params, steps=steps, moves=moves, weights=weights, energies=energies, nac=nac)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.template import bind
+from . import ordered
 
 ENSEMBLE = """
 SELECT t, state, avg(p) AS mean, stddev_samp(p) / sqrt(count(*)) AS sem, count(*) AS n
@@ -85,6 +86,12 @@ INCREASING = """
 SELECT h, count_if(t <= t0) AS n_not_increasing, count(*) AS n_rows
 FROM (SELECT h, t, lag(t) OVER (PARTITION BY h ORDER BY t) AS t0 FROM (SELECT DISTINCT h, t FROM {pop}) g) a GROUP BY h"""
 
+UNIFORM_STEPS = """
+SELECT h, avg(step) AS mean_step, min(step) AS least_step, max(step) AS most_step, (max(step) - min(step)) / avg(step) AS spread, (max(step) - min(step)) / avg(step) <= :uniform AS is_uniform
+FROM (SELECT h, CAST(t - t0 AS DOUBLE) AS step FROM {steps}) a GROUP BY h"""
+
+NOT_INCREASING = "SELECT h, count_if(t <= t0) AS n_not_increasing, count(*) AS n_rows FROM {steps} GROUP BY h"
+
 SAME_GRID = """
 SELECT t, count(DISTINCT h) AS n_histories, count(DISTINCT h) = (SELECT count(DISTINCT h) FROM {pop}) AS shared FROM {pop} GROUP BY t"""
 
@@ -124,13 +131,43 @@ def group_series(pop: DataFrame, state_groups: DataFrame, **params) -> DataFrame
     return bind(GROUP_SERIES, params=params, pop=pop, state_groups=F.broadcast(state_groups))
 
 
-def trapezoid(series: DataFrame, **params) -> DataFrame:
-    return bind(TRAPEZOID, params=params, series=series)
+def trapezoid(series: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
+    """grp, integral of series(grp, t, mean)."""
+    out = ordered.summary(ordered.dealt(series.select("grp", "t", "mean"), ["grp"], "t", width), ["grp"], "t", "mean")
+    # as a sum over steps: null where there is none
+    return out.select("grp", F.when(F.col("n") > 1, F.col("integral")).alias("integral"))
+
+
+def window_metrics(series: DataFrame, windows: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
+    """Nine metrics of each group in each window; the window is cut before any difference.
+
+    windows is a list of a few ranges and is broadcast."""
+    cut = series.select("grp", "t", "mean").join(F.broadcast(windows.select("name", "lo", "hi")), F.col("t").between(F.col("lo"), F.col("hi"))).select("grp", "name", "t", "mean")
+    keys = ["grp", "name"]
+    state = ordered.summary(ordered.dealt(cut, keys, "t", width), keys, "t", "mean").filter("n >= 2")
+    time = series.schema["t"].dataType
+    return state.select(
+        *keys,
+        F.col("first.y").alias("initial"), F.col("last.y").alias("final"),
+        F.col("peak.y").alias("peak"), F.col("peak.at").cast(time).alias("peak_time"), F.col("least.y").alias("least"), F.col("least.at").cast(time).alias("least_time"),
+        (F.col("last.y") - F.col("first.y")).alias("net"), "integral", (F.col("integral") / (F.col("last.at") - F.col("first.at"))).alias("mean"),
+    )
+
+
+def uniformity(pop: DataFrame, width: float = ordered.WIDTH, **params) -> DataFrame:
+    """Of each history's grid: h, mean_step, least_step, most_step, spread, is_uniform."""
+    return bind(UNIFORM_STEPS, params=params, steps=_steps(pop, width))
+
+
+def strict_increase(pop: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
+    """h, n_not_increasing, n_rows of each history's grid."""
+    return bind(NOT_INCREASING, steps=_steps(pop, width))
 
 
-def window_metrics(series: DataFrame, windows: DataFrame, **params) -> DataFrame:
-    """Nine metrics of each group in each window; the window is cut before any difference."""
-    return bind(WINDOW_METRICS, params=params, series=series, windows=F.broadcast(windows))
+def _steps(pop: DataFrame, width: float) -> DataFrame:
+    """h, t, t0: each point of a history's grid and the one before."""
+    blocks = ordered.dealt(pop.select("h", "t"), ["h"], "t", width).distinct()
+    return ordered.with_previous(blocks, ["h"], "t", ["t"]).select("h", "t", F.col("previous.t").alias("t0"))
 
 
 def flat_metrics(metrics: DataFrame, groups: list[str], fields: list[str]) -> DataFrame:

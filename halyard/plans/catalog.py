@@ -13,13 +13,13 @@ DERIVED = {
     "series": populations.GROUP_SERIES,
     "mean_series": populations.ENSEMBLE,
     "metrics": populations.WINDOW_METRICS,
-    "split": None,  # built by the block-wise split
     "projected": character.PROJECTED_MEAN,
     "fixed": character.FIXED,
-    "steps": events.HISTORY_STEPS,
+    "steps": oracles.STEPS,
     "moves": events.MOVES,
     "events": events.CLASSIFIED,
-    "deltas": events.DELTAS,
+    "deltas": "SELECT h, t, grp, pg - lag(pg) OVER (PARTITION BY h, grp ORDER BY t) AS dp FROM {split}",
+    "walk": "SELECT h, t, frame, lag(frame) OVER (PARTITION BY h ORDER BY t) AS frame0 FROM {rows_frames}",
     "histories": ensemble.HISTORY,
     "passes": ensemble.PER_PASS,
     "pairs": "SELECT h, t, sum(CASE WHEN state IN ('view', 'signup') THEN p ELSE 0 END) AS d, sum(CASE WHEN state IN ('click', 'purchase') THEN p ELSE 0 END) AS a FROM {pop} GROUP BY h, t",
@@ -53,6 +53,20 @@ DERIVED = {
 }
 
 
+#: Rows of a block over the adapter tables: their grids have 30 points, and should be cut.
+BLOCK_ROWS = 7
+
+#: What Spark builds another way than the SQL of DERIVED says.
+BUILT = {
+    "arrays": lambda p: character.split_arrays(character.packed(p.views.pop), p.views.rows_frames, p.views.weights, BLOCK_ROWS),
+    "split": lambda p: p.get("arrays").selectExpr("h", "t", "frame", "frame0", "inline(parts)"),
+    "steps": lambda p: p.bound(events.HISTORY_STEPS),
+    "deltas": lambda p: p.bound(events.DELTAS),
+    "walk": lambda p: character.walk(p.views.rows_frames, BLOCK_ROWS),
+    "metrics": lambda p: populations.window_metrics(p.get("series"), p.views.windows, BLOCK_ROWS),
+}
+
+
 def _inputs(sql: str) -> list[str]:
     import re
 
@@ -67,16 +81,17 @@ class _Plans:
 
     def get(self, name: str):
         if name not in self.built:
-            if name == "split":
-                views = self.views
-                self.built[name] = character.split_blocks(character.packed(views.pop), views.rows_frames, views.weights)
+            if name in BUILT:
+                self.built[name] = BUILT[name](self)
             elif name in DERIVED:
-                sql = DERIVED[name]
-                self.built[name] = bind(sql, self.views.spark, **{k: self.get(k) for k in _inputs(sql)})
+                self.built[name] = self.bound(DERIVED[name])
             else:
                 self.built[name] = getattr(self.views, name)
         return self.built[name]
 
+    def bound(self, sql: str):
+        return bind(sql, self.views.spark, **{k: self.get(k) for k in _inputs(sql)})
+
 
 def _duck(sql: str) -> tuple[str, list[str]]:
     """The text with derived inputs as further common table expressions, and the base views."""
@@ -104,11 +119,13 @@ def plan(name: str, sql: str, doubles: str = "", duck: str | None = None) -> Non
     """Register one SQL plan; duck: the independent engine's text where it has to differ."""
     text, bases = _duck(duck or sql)
 
-    def run(views: Views):
-        plans = _Plans(views)
-        return bind(sql, views.spark, **{k: plans.get(k) for k in _inputs(sql)})
+    registry.register(name, lambda views: _Plans(views).bound(sql), " ".join(bases), _for_duck(text), doubles)
+
 
-    registry.register(name, run, " ".join(bases), _for_duck(text), doubles)
+def built(name: str, run, duck: str, doubles: str = "") -> None:
+    """Register an operator of the DataFrame API over the plans of a folder, with the independent engine's text."""
+    text, bases = _duck(duck)
+    registry.register(name, lambda views: run(_Plans(views)), " ".join(bases), _for_duck(text), doubles)
 
 
 def _whole_counts(text: str) -> str:
@@ -150,7 +167,7 @@ plan("O065_band_pairs", E.BAND_PAIRS)
 plan("O066_ungrouped_states", P.UNGROUPED.replace("{state_groups}", "{some_groups}"))
 plan("O067_cyclic_frames", C.CYCLIC)
 plan("O067_linear_frames", C.LINEAR)
-plan("O068_grid_uniformity", P.UNIFORMITY, "mean_step least_step most_step spread")
+built("O068_grid_uniformity", lambda p: P.uniformity(p.views.pop, BLOCK_ROWS), P.UNIFORMITY, "mean_step least_step most_step spread")
 plan("O071_step_verdict", N.STEP_VERDICT)
 plan("O072_descriptor_counts", E.DESCRIPTORS)
 plan("O073_classified_events", E.CLASSIFIED, "occ chr dp change gap nac", oracles.CLASSIFIED)
@@ -162,13 +179,13 @@ plan("O081_missing_frames", C.MISSING)
 plan("O082_fragment_weights", "SELECT frame, band, grp, w, captured, total FROM {weights}", "w captured total")
 plan("O083_file_groups", P.FILE_GROUPS, "value")
 plan("O084_event_flags", E.FLAGS, "change gap nac factor")
-plan("O085_history_steps", E.HISTORY_STEPS, "occ chr dp")
+plan("O085_history_steps", "SELECT * FROM {steps}", "occ chr dp")
 plan("O086_first_window", P.FIRST_WINDOW.replace("{windows}", "{two_windows}"))
 plan("O087_episode_rows", N.EPISODE_ROWS)
 plan("O088_shared_times", N.SHARED_TIMES)
 plan("O089_alignment_scan", X.ALIGNMENT, "score")
 plan("O090_vacf_lag_join", S.VACF, "vacf", oracles.VACF)
-plan("O091_fixed_vs_projected", C.FIXED_VS_PROJECTED, "most rms mean_d integral projected_there fixed_there")
+built("O091_fixed_vs_projected", lambda p: C.fixed_vs_projected(p.get("projected"), p.get("fixed"), BLOCK_ROWS), C.FIXED_VS_PROJECTED, "most rms mean_d integral projected_there fixed_there")
 plan("O092_runs_side_by_side", N.RUN_TABLE, "net_a net_b net_c")
 plan("O093_episodes_side_by_side", N.EPISODE_TABLE, "net")
 plan("O094_early_vs_late", E.EARLY_LATE)
@@ -176,8 +193,8 @@ plan("O096_ensemble_mean_sem", P.ENSEMBLE, "mean sem")
 plan("O100_coverage", P.COVERAGE)
 plan("O101_group_series", P.GROUP_SERIES, "mean sem")
 plan("O102_survival", P.SURVIVAL, "survival sem")
-plan("O103_trapezoid", P.TRAPEZOID, "integral")
-plan("O105_window_metrics", P.WINDOW_METRICS, "initial final peak least net integral mean", oracles.WINDOW_METRICS)
+built("O103_trapezoid", lambda p: P.trapezoid(p.get("series"), BLOCK_ROWS), P.TRAPEZOID, "integral")
+plan("O105_window_metrics", "SELECT * FROM {metrics}", "initial final peak least net integral mean", oracles.WINDOW_METRICS)
 plan("O108_regimes", P.REGIMES, "early_mean late_mean early_peak late_peak peak_ratio early_net late_net")
 plan("O109_master_average", P.MASTER, "value spread")
 plan("O110_conservation", P.CONSERVATION, "least most mean deviation")
@@ -205,24 +222,24 @@ plan("O129_history_net", N.HISTORY, "net_full net_late range_late occ chr")
 plan("O130_aggregate_histories", E.TOTALS)
 plan("O131_history_counts", E.COUNTS)
 plan("O133_sensitivity", E.SENSITIVITY, "factor spread")
-plan("O135_differences", N.DIFFERENCES, "initial final largest integral")
+built("O135_differences", lambda p: N.differences(p.views.runs, "A", BLOCK_ROWS), N.DIFFERENCES, "initial final largest integral")
 plan("O136_band_integral", S.BAND_INTEGRAL, "integral centroid")
 plan("O139_spectra_compare", S.COMPARED, "grid_difference ratio difference")
 plan("O141_vacf_diagnostics", S.DIAGNOSTICS, "correlation_time")
-plan("O142_continuous_change", T.CONTINUOUS, "donor_net acceptor_net max_step concomitant")
+built("O142_continuous_change", lambda p: T.continuous_change(p.get("pairs"), BLOCK_ROWS), T.CONTINUOUS, "donor_net acceptor_net max_step concomitant")
 plan("O143_consumption", C.CONSUMPTION)
 plan("O144_wrapped_histories", C.WRAPPED)
 plan("O145_alignment_record", C.ALIGNMENT)
 plan("O146_midpoint_split", "SELECT h, t, grp, pg, occ, chr FROM {split}", "pg occ chr", oracles.SPLIT)
-plan("O146_split_residual", "SELECT h, residual < 1e-12 AS exact FROM (" + C.RESIDUAL + ") r")
+plan("O146_split_residual", "SELECT h, residual < 1e-12 AS exact FROM (" + C.RESIDUAL + ") r", duck="SELECT h, residual < 1e-12 AS exact FROM (" + oracles.RESIDUAL + ") r")
 plan("O147_dominant", C.DOMINANT, "dominant_w captured")
 plan("O148_transitions", C.TRANSITIONS)
 plan("O149_swap_events", C.SWAPS, "before_w after_w")
 plan("O150_cycle_wrap_status", C.WRAP_STATUS)
 plan("O151_episodes", X.EPISODES, "min_gap max_nac", oracles.EPISODES)
-plan("O152_cumulative", C.CUMULATIVE, "driven")
-plan("O153_threshold_events", T.THRESHOLDS, "high low", oracles.THRESHOLDS)
-plan("O154_strict_increase", P.INCREASING)
+built("O152_cumulative", lambda p: C.driven(p.get("split"), BLOCK_ROWS), oracles.CUMULATIVE, "driven")
+built("O153_threshold_events", lambda p: T.threshold_events(p.get("pairs"), p.get("levels"), BLOCK_ROWS), oracles.THRESHOLDS, "high low")
+built("O154_strict_increase", lambda p: P.strict_increase(p.views.pop, BLOCK_ROWS), P.INCREASING)
 plan("O154_same_grid", P.SAME_GRID)
 plan("O156_local_table", X.LOCAL_TABLE, "gap nac a_ga a_gb b_ga b_gb")
 plan("O157_manifold", X.MANIFOLD, "e0 e1 e2 gap01 gap02 gap12 nac01")
@@ -607,7 +624,7 @@ registry.register("O186_piecewise", _piecewise)
 
 
 def _split_blocks(views: Views):
-    return C.split_blocks(C.packed(views.pop), views.rows_frames, views.weights, block_rows=8)
+    return C.split_blocks(C.packed(views.pop), views.rows_frames, views.weights, block_rows=8).select("h", "t", "grp", "pg", "occ", "chr")
 
 
 _text, _bases = _duck(oracles.SPLIT)

@@ -39,6 +39,25 @@ SELECT a.h, a.t, a.frame, b.frame AS frame0, b.t AS t0 FROM {numbered} a JOIN {n
 
 SPLIT = "SELECT * FROM {split}"
 
+# as windows over whole histories
+STEPS = """
+SELECT h, t, frame, frame0, grp, occ, chr, dp
+FROM (SELECT s.h, s.t, f.frame, lag(f.frame) OVER (PARTITION BY s.h, s.grp ORDER BY s.t) AS frame0, s.grp, s.occ, s.chr,
+             s.pg - lag(s.pg) OVER (PARTITION BY s.h, s.grp ORDER BY s.t) AS dp,
+             row_number() OVER (PARTITION BY s.h, s.t ORDER BY abs(s.occ + s.chr) DESC, s.grp) AS place
+      FROM {split} s JOIN {rows_frames} f ON s.h = f.h AND s.t = f.t) x
+WHERE place = 1 AND frame0 IS NOT NULL AND frame <> frame0"""
+
+RESIDUAL = """
+SELECT h, max(abs((pg - pg0) - (occ + chr))) AS residual
+FROM (SELECT h, t, grp, pg, occ, chr, lag(pg) OVER (PARTITION BY h, grp ORDER BY t) AS pg0 FROM {split}) a WHERE pg0 IS NOT NULL GROUP BY h"""
+
+# lists: the first value and all steps up to each row
+CUMULATIVE = """
+SELECT h, ts[k] AS t, grp, pgs[1] + list_sum(occs[1:k]) AS driven
+FROM (SELECT h, grp, ts, pgs, occs, unnest(range(1, len(ts) + 1)) AS k
+      FROM (SELECT h, grp, list(t ORDER BY t) AS ts, list(pg ORDER BY t) AS pgs, list(occ ORDER BY t) AS occs FROM {split} GROUP BY h, grp) a) b"""
+
 PROJECTED_MEAN = """
 SELECT s.t, s.grp, m.mean, sqrt(sum(pow(s.pg - m.mean, 2)) / nullif(m.n - 1, 0) / m.n) AS sem, sum(s.occ) / m.n AS occ, sum(s.chr) / m.n AS chr
 FROM {split} s JOIN (SELECT t, grp, sum(pg) / count(*) AS mean, count(*) AS n FROM {split} GROUP BY t, grp) m ON m.t = s.t AND m.grp = s.grp GROUP BY s.t, s.grp, m.mean, m.n"""

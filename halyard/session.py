@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -46,3 +46,14 @@ def ship_code(spark: SparkSession) -> None:
         Path(where).write_bytes(code)
     sc.addPyFile(where)
     sc._halyard_shipped = True
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df, written to the folder of spark.checkpoint.dir and read from there; a local folder serves only a local master."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        there = sc.getConf().get("spark.checkpoint.dir")
+        if there is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="halyard-"))
+    return df.checkpoint(eager=True)
