@@ -55,9 +55,42 @@ SELECT label, CASE WHEN count(*) < 2 THEN NULL ELSE sum(coalesce(0.5 * (y + y0)
        count_if(y < 0) AS n_negative
 FROM (SELECT label, f, y, lag(y) OVER (PARTITION BY label ORDER BY f) AS y0, lag(f) OVER (PARTITION BY label ORDER BY f) AS f0 FROM {spectrum} WHERE f BETWEEN :low AND :high) a GROUP BY label"""
 
+# trapezoids between neighbouring points that both lie in a range; a range with fewer than two points has none.
+# A range is a row of ranges(low, high), so the join is on ranges; they are a few and broadcast
+RANGE_INTEGRALS = """
+SELECT label, low, high, CASE WHEN count(*) >= 2 THEN sum(coalesce(0.5 * (y + y0) * (f - f0), 0)) END AS integral,
+       CASE WHEN count(*) >= 2 AND min(y) >= 0 AND sum(coalesce(0.5 * (y + y0) * (f - f0), 0)) > 0
+            THEN sum(coalesce(0.5 * (y * f + y0 * f0) * (f - f0), 0)) / sum(coalesce(0.5 * (y + y0) * (f - f0), 0)) END AS centroid,
+       count_if(y < 0) AS n_negative
+FROM (SELECT s.label, r.low, r.high, s.f, s.y, CASE WHEN s.f0 >= r.low THEN s.f0 END AS f0, CASE WHEN s.f0 >= r.low THEN s.y0 END AS y0
+      FROM (SELECT label, f, y, lag(f) OVER (PARTITION BY label ORDER BY f) AS f0, lag(y) OVER (PARTITION BY label ORDER BY f) AS y0 FROM {spectrum}) s
+      JOIN {ranges} r ON s.f BETWEEN r.low AND r.high) a GROUP BY label, low, high"""
+
+SHAPE = """
+SELECT label, count(*) AS n_points, min(f) AS f_least, max(f) AS f_most, max(CASE WHEN place = 2 THEN f END) - min(f) AS resolution
+FROM (SELECT label, f, row_number() OVER (PARTITION BY label ORDER BY f) AS place FROM {spectrum}) a GROUP BY label"""
+
+DESCRIBED = """
+SELECT s.label, s.n_points, s.f_least, s.f_most, s.resolution, w.integral AS range_integral, coalesce(w.n_negative, 0) AS n_negative, w.centroid
+FROM {shape} s LEFT JOIN {whole} w ON w.label = s.label"""
+
+BANDS = """
+SELECT s.label, b.low, b.high, i.integral, i.integral / nullif(w.integral, 0) AS fraction
+FROM {shape} s CROSS JOIN {bands} b LEFT JOIN {inside} i ON i.label = s.label AND i.low = b.low AND i.high = b.high LEFT JOIN {whole} w ON w.label = s.label"""
+
+# points meet by their place in their own spectrum, not by frequency: a shifted grid must show
+SHARED_GRID = """
+SELECT p.label, max(p.n) AS n_points, max(r.n) AS n_reference, max(abs(p.f - r.f)) AS grid_difference, max(p.n) = max(r.n) AND max(abs(p.f - r.f)) <= :grid AS shared
+FROM (SELECT label, f, row_number() OVER (PARTITION BY label ORDER BY f) AS place, count(*) OVER (PARTITION BY label) AS n FROM {spectrum}) p
+LEFT JOIN (SELECT f, row_number() OVER (ORDER BY f) AS place, count(*) OVER () AS n FROM {spectrum} WHERE label = :reference_label) r ON r.place = p.place GROUP BY p.label"""
+
+# nothing is compared unless all spectra share one grid
 COMPARED = """
-SELECT a.label, max(abs(a.f - b.f)) AS grid_difference, max(abs(a.f - b.f)) <= :grid AS shared, sum(a.y) / sum(b.y) AS ratio, sum(a.y - b.y) AS difference
-FROM {spectrum} a JOIN {spectrum} b ON a.f = b.f WHERE b.label = :reference_label GROUP BY a.label"""
+SELECT d.label, b.low, b.high, b.fraction - rb.fraction AS delta_fraction, b.integral / nullif(rb.integral, 0) AS ratio_of_integral,
+       d.centroid - rd.centroid AS delta_centroid, d.range_integral / nullif(rd.range_integral, 0) AS ratio_range_integral
+FROM {described} d JOIN {band_rows} b ON b.label = d.label JOIN {band_rows} rb ON rb.low = b.low AND rb.high = b.high AND rb.label = :reference_label
+JOIN {described} rd ON rd.label = :reference_label CROSS JOIN (SELECT min(CASE WHEN shared THEN 1 ELSE 0 END) AS every FROM {grids}) g
+WHERE d.label <> :reference_label AND g.every = 1"""
 
 PEAKS = """
 SELECT label, f, y FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY y DESC, f) AS place
@@ -71,6 +104,44 @@ JOIN {indexed} r ON r.label = s.label AND r.idx = CASE WHEN s.idx + k.offset < 0
 GROUP BY s.label, s.idx"""
 
 
+#: Ranges of the default report in wave numbers: fixed values.
+DEFAULT_BANDS = [(0.0, 50.0), (50.0, 100.0), (100.0, 200.0), (200.0, 400.0), (400.0, 800.0)]
+DEFAULT_RANGE = (0.0, 800.0)
+
+
+def ranges(spark, bands: list[tuple[float, float]]) -> DataFrame:
+    """low, high: a few ranges, broadcast."""
+    return F.broadcast(spark.createDataFrame([(float(a), float(b)) for a, b in bands], "low double, high double"))
+
+
+def band_rows(spectrum: DataFrame, bands: list[tuple[float, float]] = DEFAULT_BANDS, span: tuple[float, float] = DEFAULT_RANGE) -> DataFrame:
+    """label, low, high, integral, fraction (of the integral over span) for each spectrum and band."""
+    spark = spectrum.sparkSession
+    inside = bind(RANGE_INTEGRALS, spectrum=spectrum, ranges=ranges(spark, bands))
+    whole = bind(RANGE_INTEGRALS, spectrum=spectrum, ranges=ranges(spark, [span]))
+    return bind(BANDS, shape=bind(SHAPE, spectrum=spectrum), bands=ranges(spark, bands), inside=inside, whole=whole)
+
+
+def described(spectrum: DataFrame, span: tuple[float, float] = DEFAULT_RANGE) -> DataFrame:
+    """label, n_points, f_least, f_most, resolution, range_integral, n_negative, centroid of each spectrum."""
+    whole = bind(RANGE_INTEGRALS, spectrum=spectrum, ranges=ranges(spectrum.sparkSession, [span]))
+    return bind(DESCRIBED, shape=bind(SHAPE, spectrum=spectrum), whole=whole)
+
+
+def shared_grid(spectrum: DataFrame, **params) -> DataFrame:
+    """label, n_points, n_reference, grid_difference, shared: is each spectrum on the reference's grid?
+    It is if it has as many points and each lies within :grid of the reference's at the same place."""
+    return bind(SHARED_GRID, params=params, spectrum=spectrum)
+
+
+def compare(spectrum: DataFrame, bands: list[tuple[float, float]] = DEFAULT_BANDS, span: tuple[float, float] = DEFAULT_RANGE, **params) -> DataFrame:
+    """Each spectrum's bands against the reference's; no rows unless all spectra share its grid."""
+    reference = {k: v for k, v in params.items() if k == "reference_label"}
+    return bind(
+        COMPARED, params=reference, described=described(spectrum, span), band_rows=band_rows(spectrum, bands, span), grids=shared_grid(spectrum, **params)
+    )
+
+
 def velocities(traj: DataFrame, **params) -> DataFrame:
     return bind(VELOCITIES, params=params, traj=traj)
 

@@ -42,8 +42,9 @@ DERIVED = {
     "spread": episodes.SPREAD,
     "quantities": ensemble.QUANTITIES,
     "nets": "SELECT run AS grp, state AS quantity, max_by(p, t) - min_by(p, t) AS value FROM {runs} GROUP BY run, h, state",
-    "spectrum": "SELECT CAST(band AS INT) AS label, CAST(ion AS DOUBLE) AS f, tot AS y FROM {ions} WHERE frame = 1",
-    "indexed": "SELECT CAST(band AS INT) AS label, ion - 1 AS idx, tot AS y FROM {ions} WHERE frame = 1",
+    "spectrum": "SELECT CAST((frame - 1) * 5 + band AS INT) AS label, CAST(ion AS DOUBLE) AS f, tot AS y FROM {ions}",
+    "uneven": "SELECT label, f + CASE WHEN label % 7 = 5 THEN 0.25D ELSE 0.0D END AS f, y FROM {spectrum} WHERE NOT (label % 7 = 3 AND f = 64)",
+    "indexed": "SELECT CAST((frame - 1) * 5 + band AS INT) AS label, ion - 1 AS idx, tot AS y FROM {ions}",
     "kernel": "SELECT ion - 9 AS offset, exp(-0.5 * (ion - 9) * (ion - 9) / 4.0) AS weight FROM {ion_groups} WHERE ion <= 17",
     "edges": network.EDGES,
     "regimes": populations.REGIMES,
@@ -153,6 +154,9 @@ def _for_duck(text: str) -> str:
     return text.replace("FROM {weights} w LEFT SEMI JOIN", "FROM {weights} w SEMI JOIN")
 
 
+#: The adapter spectra have 64 points at 1 to 64.
+SPECTRUM_BANDS, SPECTRUM_RANGE = [(0, 8), (8, 16), (16, 32), (32.5, 33.2), (33, 80)], (0, 64)
+
 P, C, A, E, X, T, N, S = populations, character, audit, events, episodes, transfer, ensemble, spectra
 
 plan("O046_projection_table", C.TABLE_ROWS, "w captured total dominant_w")
@@ -224,7 +228,10 @@ plan("O131_history_counts", E.COUNTS)
 plan("O133_sensitivity", E.SENSITIVITY, "factor spread")
 built("O135_differences", lambda p: N.differences(p.views.runs, "A", BLOCK_ROWS), N.DIFFERENCES, "initial final largest integral")
 plan("O136_band_integral", S.BAND_INTEGRAL, "integral centroid")
-plan("O139_spectra_compare", S.COMPARED, "grid_difference ratio difference")
+built("O139_spectra_compare", lambda p: S.compare(p.get("spectrum"), SPECTRUM_BANDS, SPECTRUM_RANGE), oracles.COMPARED, "delta_fraction ratio_of_integral delta_centroid ratio_range_integral")
+built("O140_shared_grid", lambda p: S.shared_grid(p.get("uneven")), oracles.SHARED_GRID, "grid_difference")
+built("O138_spectrum_report", lambda p: S.described(p.get("spectrum"), SPECTRUM_RANGE), oracles.DESCRIBED, "f_least f_most resolution range_integral centroid")
+built("O138_spectrum_bands", lambda p: S.band_rows(p.get("uneven"), SPECTRUM_BANDS, SPECTRUM_RANGE), oracles.BANDS, "integral fraction")
 plan("O141_vacf_diagnostics", S.DIAGNOSTICS, "correlation_time")
 built("O142_continuous_change", lambda p: T.continuous_change(p.get("pairs"), BLOCK_ROWS), T.CONTINUOUS, "donor_net acceptor_net max_step concomitant")
 plan("O143_consumption", C.CONSUMPTION)
@@ -515,12 +522,6 @@ registry.register("O179_exponential_fits", _decays)
 
 
 plan("O104_group_summary", "SELECT grp, initial, final, net, peak, peak_time, least, integral FROM {metrics} WHERE name = 'all'", "initial final net peak least integral")
-plan(
-    "O138_spectrum_report",
-    "SELECT s.label, count(*) AS n, sum(s.y) AS total, sum(CASE WHEN s.f BETWEEN 5 AND 40 THEN s.y ELSE 0 END) / sum(s.y) AS in_range, count_if(s.y < 0) AS n_negative, max(s.y) AS top "
-    "FROM {spectrum} s GROUP BY s.label",
-    "total in_range top",
-)
 plan(
     "O226_power_density",
     f"SELECT k, k * {audit.INV_FS_TO_CM1}D / 10.0 AS f_cm1, pow(sum(vacf * cos(2 * pi() * k * lag / 10.0)), 2) + pow(sum(vacf * sin(2 * pi() * k * lag / 10.0)), 2) AS power "
@@ -534,7 +535,6 @@ plan(
 plan("O074_swap_moves", "SELECT frame, band, before AS from_group, after AS to_group FROM (" + C.SWAPS + ") s WHERE resolution = 'adjacent'")
 plan("O123_statistics", N.STATS.replace("{quantities}", "{nets}"), "mean median std least most fraction_gain fraction_loss q05 q25 q75 q95")
 plan("O132_descriptors_by_window", "SELECT w.name, e.descriptor, count(*) AS n FROM {events} e JOIN {windows} w ON e.t BETWEEN w.lo AND w.hi WHERE e.classification = 'character_swap_with_projected_fragment_change' GROUP BY w.name, e.descriptor")
-plan("O140_shared_grid", "SELECT a.label, count(*) AS n, max(abs(a.f - b.f)) <= 1e-6 AS shared FROM {spectrum} a JOIN {spectrum} b ON a.f = b.f WHERE b.label = 0 GROUP BY a.label")
 plan("O162_shared_groups", "SELECT state FROM {runs} WHERE run = 'A' INTERSECT SELECT state FROM {runs} WHERE run = 'B'")
 
 

@@ -133,3 +133,41 @@ SELECT grp, name, l[1] AS initial, l[-1] AS final, list_max(l) AS peak, ts[list_
        l[-1] - l[1] AS net, area AS integral, area / (ts[-1] - ts[1]) AS mean
 FROM (SELECT *, list_sum([(l[i] + l[i + 1]) / 2 * (ts[i + 1] - ts[i]) FOR i IN range(1, len(l))]) AS area
       FROM (SELECT s.grp, w.name, list(s.mean ORDER BY s.t) AS l, list(s.t ORDER BY s.t) AS ts FROM {series} s, {windows} w WHERE s.t >= w.lo AND s.t <= w.hi GROUP BY s.grp, w.name) a) b"""
+
+# lists of a spectrum's points, cut to a range, and summed over their neighbours
+_POINTS = "SELECT label, list(f ORDER BY f) AS fs, list(y ORDER BY f) AS ys FROM {spectrum} GROUP BY label"
+_AREA = "CASE WHEN len(fs) > 1 THEN list_sum([(ys[i] + ys[i + 1]) / 2 * (fs[i + 1] - fs[i]) FOR i IN range(1, len(fs))]) END"
+_MOMENT = "list_sum([(ys[i] * fs[i] + ys[i + 1] * fs[i + 1]) / 2 * (fs[i + 1] - fs[i]) FOR i IN range(1, len(fs))])"
+
+
+def _cut(low: str, high: str, points: str, ranges: str = "") -> str:
+    return f"""SELECT label, fs AS every, {low} AS low, {high} AS high, [f FOR f IN fs IF f >= {low} AND f <= {high}] AS fs, [ys[i] FOR i IN range(1, len(fs) + 1) IF fs[i] >= {low} AND fs[i] <= {high}] AS ys
+FROM ({points}) points{ranges}"""
+
+
+DESCRIBED = f"""
+SELECT label, CAST(len(every) AS BIGINT) AS n_points, every[1] AS f_least, every[-1] AS f_most, every[2] - every[1] AS resolution, {_AREA} AS range_integral,
+       CAST(len([y FOR y IN ys IF y < 0]) AS BIGINT) AS n_negative, CASE WHEN list_min(ys) >= 0 AND {_AREA} > 0 THEN {_MOMENT} / {_AREA} END AS centroid
+FROM ({_cut("0", "64", _POINTS)}) a"""
+
+_RANGES = ", (VALUES (0.0, 8.0), (8.0, 16.0), (16.0, 32.0), (32.5, 33.2), (33.0, 80.0)) r(a, b)"
+
+
+def _bands(points: str) -> str:
+    return f"""SELECT x.label, CAST(x.low AS DOUBLE) AS low, CAST(x.high AS DOUBLE) AS high, x.integral, x.integral / nullif(w.integral, 0) AS fraction
+FROM (SELECT label, low, high, {_AREA} AS integral FROM ({_cut("a", "b", points, _RANGES)}) a) x
+JOIN (SELECT label, {_AREA} AS integral FROM ({_cut("0", "64", points)}) b) w ON w.label = x.label"""
+
+
+BANDS = _bands(_POINTS.replace("{spectrum}", "{uneven}"))
+
+COMPARED = f"""
+WITH bands AS ({_bands(_POINTS)}), whole AS ({DESCRIBED})
+SELECT b.label, b.low, b.high, b.fraction - r.fraction AS delta_fraction, b.integral / nullif(r.integral, 0) AS ratio_of_integral, w.centroid - v.centroid AS delta_centroid, w.range_integral / nullif(v.range_integral, 0) AS ratio_range_integral
+FROM bands b JOIN bands r ON r.label = 0 AND r.low = b.low JOIN whole w ON w.label = b.label JOIN whole v ON v.label = 0
+WHERE b.label <> 0 AND (SELECT count(DISTINCT fs) FROM ({_POINTS}) g) = 1"""
+
+SHARED_GRID = """
+SELECT s.label, CAST(len(s.fs) AS BIGINT) AS n_points, CAST(len(r.fs) AS BIGINT) AS n_reference, list_max([abs(s.fs[i] - r.fs[i]) FOR i IN range(1, least(len(s.fs), len(r.fs)) + 1)]) AS grid_difference,
+       len(s.fs) = len(r.fs) AND coalesce(list_max([abs(s.fs[i] - r.fs[i]) FOR i IN range(1, least(len(s.fs), len(r.fs)) + 1)]) <= :grid, false) AS shared
+FROM (SELECT label, list(f ORDER BY f) AS fs FROM {uneven} GROUP BY label) s JOIN (SELECT label, list(f ORDER BY f) AS fs FROM {uneven} GROUP BY label) r ON r.label = 0"""
