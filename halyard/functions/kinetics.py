@@ -298,48 +298,7 @@ def picks(n_histories: int, n_resamples: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, n_histories, (n_resamples, n_histories))
 
 
-def bootstrap_rates(per_history: DataFrame, groups: list[str], scheme: str, n_resamples: int = 200, seed: int = 0) -> DataFrame:
-    """Whole histories are drawn with replacement and averaged; each resample is refit.
-
-    per_history(h, t, grp, value). The draw is a small table of (resample, h, times); the mean
-    of a resample is a weighted average, so rows are not copied for repeated picks."""
-    spark = per_history.sparkSession
-    ship_code(spark)
-    ids = sorted(r[0] for r in per_history.select("h").distinct().collect())
-    drawn = picks(len(ids), n_resamples, seed)
-    table = [(int(b), int(ids[h]), int((row == h).sum())) for b, row in enumerate(drawn) for h in sorted(set(row.tolist()))]
-    weights = spark.createDataFrame(table, "resample int, h int, times int")
-    means = (
-        per_history.join(F.broadcast(weights), "h")
-        .groupBy("resample", "t", "grp")
-        .agg((F.sum(F.col("value") * F.col("times")) / F.lit(len(ids))).alias("value"))
-    )
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        time, observed = _wide(pdf, groups)
-        edges = parse_edges(scheme, groups)
-        fit = fit_rates(time, observed, groups, edges, n_starts=2)
-        return pd.DataFrame({"resample": key[0], "edge": edge_names(edges, groups), "rate": fit.rates, "identified": [s == "identified" for s in fit.status]})
-
-    return means.groupBy("resample").applyInPandas(one, "resample int, edge string, rate double, identified boolean")
-
-
-def interval(samples: DataFrame) -> DataFrame:
-    """edge, low, high, n, status: an interval only if enough resamples identify the rate."""
-    enough = (F.col("n_identified") >= LEAST_SUCCESSES) & (F.col("n_identified") >= LEAST_SHARE * F.col("n"))
-    return (
-        samples.groupBy("edge")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if("identified").alias("n_identified"),
-            F.expr("percentile(rate, 0.025) filter (where identified)").alias("low"),
-            F.expr("percentile(rate, 0.975) filter (where identified)").alias("high"),
-        )
-        .select("edge", "n", "n_identified", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"), F.when(enough, "interval").otherwise("suppressed").alias("status"))
-    )
-
-
-# sweeps, regimes, resampled branches ---------------------------------------------------------
+# sweeps, regimes, branches ---------------------------------------------------------
 
 
 def sink_sweep(fit: Fit, sink: int, rates: np.ndarray, time: np.ndarray, p0: np.ndarray) -> list[dict]:
@@ -367,31 +326,6 @@ def branch(fit: Fit, source: int, success: set[int], failure: set[int]) -> dict:
     return {"value": value, "complement": 1 - value, "grade": grade}
 
 
-def resampled(per_history: np.ndarray, measure, n_resamples: int = 200, seed: int = 0, low: float = 2.5, high: float = 97.5) -> dict:
-    """Percentiles of measure(mean of drawn histories); suppressed when too few succeed.
-
-    per_history: histories by rows by groups. measure gives a number, or None where it fails."""
-    values = [measure(per_history[p].mean(0)) for p in picks(len(per_history), n_resamples, seed)]
-    good = [v for v in values if v is not None and np.isfinite(v)]
-    enough = len(good) >= max(LEAST_SUCCESSES, LEAST_SHARE * n_resamples)
-    a, b = np.percentile(good, [low, high]) if enough else (None, None)
-    return {"n": len(good), "low": None if a is None else float(a), "high": None if b is None else float(b), "status": "interval" if enough else "suppressed"}
-
-
-def bootstrap_exponential(time: np.ndarray, per_history: np.ndarray, n_resamples: int = 200, seed: int = 0) -> dict:
-    if n_resamples < 20:
-        raise ValueError("at least 20 resamples")
-    return resampled(per_history, lambda y: fit_exponential(time, y)["tau"], n_resamples, seed)
-
-
-def bootstrap_branch(time, per_history, groups, edges, source, success, failure, n_resamples: int = 200, seed: int = 0) -> dict:
-    def measure(observed):
-        b = branch(fit_rates(time, observed, groups, edges, n_starts=2), source, success, failure)
-        return b["value"] if b["grade"] != "not_identifiable" else None
-
-    return resampled(per_history, measure, n_resamples, seed)
-
-
 def fit_regime(name: str, time, observed, groups, edges, low: float, high: float) -> dict:
     """A window's own fit; what goes wrong is recorded."""
     inside = (time >= low) & (time <= high)

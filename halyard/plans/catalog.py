@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..adapters import Views
-from ..operators import audit, character, ensemble, episodes, events, network, populations, preparation, spectra, transfer
+from ..operators import audit, character, ensemble, episodes, events, network, populations, preparation, resampling, spectra, transfer
 from . import oracles, registry
 from .template import bind, with_literals
 
@@ -466,13 +466,29 @@ def _per_history(views: Views):
 DERIVED["file_groups"] = P.FILE_GROUPS
 
 
-def _bootstrap(views: Views):
-    from ..functions.kinetics import bootstrap_rates, interval
+_DIRECT = "donor->acceptor,acceptor->donor"
 
-    return interval(bootstrap_rates(_per_history(views), _GROUPS, "donor->acceptor,acceptor->donor"))
 
+def _draws() -> str:
+    """The draws of the 200 resamples of the adapters' histories, as rows."""
+    import numpy as np
+
+    from ..adapters import HISTORIES
+    from ..functions.kinetics import picks
+
+    rows = [(b, h, int((drawn == h).sum())) for b, drawn in enumerate(picks(HISTORIES, 200)) for h in np.unique(drawn).tolist()]
+    return ", ".join(map(str, rows))
 
-registry.register("O175_rate_bootstrap", _bootstrap)
+
+registry.register("O175_rate_bootstrap", lambda v: resampling.interval(resampling.bootstrap_rates(_per_history(v), _GROUPS, _DIRECT)))
+registry.register("O180_exponential_bootstrap", lambda v: resampling.bootstrap_lifetimes(_per_history(v), _GROUPS))
+registry.register("O196_branch_bootstrap", lambda v: resampling.bootstrap_branch(_per_history(v), _GROUPS, "middle->acceptor,acceptor->middle,middle->donor,donor->acceptor", "middle", ["donor"], ["acceptor"]))
+built(
+    "O175_resampled_means",
+    lambda p: resampling.resampled_means(resampling.resampled_series(_per_history(p.views), _GROUPS, width=BLOCK_ROWS), _GROUPS),
+    "SELECT CAST(w.b AS INT) AS resample, CAST(f.t AS DOUBLE) AS t, f.grp, sum(f.value * w.n) / 4 AS value FROM {file_groups} f JOIN (VALUES " + _draws() + ") w(b, h, n) ON w.h = f.h GROUP BY w.b, f.t, f.grp",
+    "value",
+)
 
 
 def _competition(views: Views):

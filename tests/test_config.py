@@ -158,13 +158,6 @@ def test_sweeps_and_regimes():
     late = K.propagate(K.rate_matrix([0.05], edges, 2), observed[20], time[20:] - 2)
     two[20:] = late
     assert K.compare_piecewise(time, two, ["a", "b"], edges, 2.0)["preferred"] == "piecewise"
-    histories = np.stack([observed * 0 + observed] * 5)
-    b = K.bootstrap_branch(time, histories, ["a", "b"], edges, 0, {1}, set(), n_resamples=20)
-    assert b["status"] == "interval" and b["low"] == pytest.approx(1)
-    e = K.bootstrap_exponential(time, histories[:, :, 0], n_resamples=20)
-    assert e["low"] == pytest.approx(1.0, rel=1e-5)
-    with pytest.raises(ValueError):
-        K.bootstrap_exponential(time, histories[:, :, 0], n_resamples=5)
 
 
 def test_logs(spark, tmp_path):
