@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.template import bind
+from ..session import ship_code
+from . import ordered
 from .audit import INV_FS_TO_CM1
 
 MAX_LAG = 10
 
-# minimum image: the step minus its nearest whole cell, halves to even
+# minimum image: the step minus its nearest whole cell, halves to even; as windows over whole
+# trajectories, which velocities must equal
 VELOCITIES = """
 SELECT frame, atom, dx - EVEN(dx) AS vx, dy - EVEN(dy) AS vy, dz - EVEN(dz) AS vz
 FROM (SELECT frame, atom, lead(x) OVER (PARTITION BY atom ORDER BY frame) - x AS dx, lead(y) OVER (PARTITION BY atom ORDER BY frame) - y AS dy,
@@ -142,13 +145,33 @@ def compare(spectrum: DataFrame, bands: list[tuple[float, float]] = DEFAULT_BAND
     )
 
 
-def velocities(traj: DataFrame, **params) -> DataFrame:
-    return bind(VELOCITIES, params=params, traj=traj)
+def velocities(traj: DataFrame, *, dt: float = 1.0, unwrap: bool = True, cells: DataFrame | None = None, width: float = ordered.WIDTH) -> DataFrame:
+    """frame, atom, vx, vy, vz of traj(frame, atom, x, y, z): each frame's step to the next, over dt.
 
+    Positions are fractional; unwrap takes the step's minimum image. cells(frame, cell), nine numbers row by row, makes the
+    velocities Cartesian."""
+    if dt <= 0:
+        raise ValueError("a time step is above 0")
+    axes = ["x", "y", "z"]
+    # the row before is the frame a step starts from
+    blocks = ordered.dealt(traj.select("frame", "atom", *axes), ["atom"], "frame", width)
+    steps = ordered.with_previous(blocks, ["atom"], "frame", ["frame", *axes]).filter("previous IS NOT NULL")
+    moved = [F.col(c) - F.col(f"previous.{c}") for c in axes]
+    moved = [d - F.bround(d) for d in moved] if unwrap else moved
+    out = steps.select(F.col("previous.frame").alias("frame"), "atom", *(d.alias(c) for d, c in zip(moved, axes)))
+    if cells is not None:
+        out = out.join(cells.select("frame", "cell"), "frame")
+        turned = [sum((F.col(c) * F.col("cell")[3 * i + j] for i, c in enumerate(axes)), F.lit(0.0)) for j in range(3)]
+        out = out.select("frame", "atom", *(v.alias(c) for v, c in zip(turned, axes)))
+    return out.select("frame", "atom", *((F.col(c) / dt).alias(f"v{c}") for c in axes))
 
-def moving(traj: DataFrame, atoms: DataFrame, **params) -> DataFrame:
-    """Velocities without the centre of mass; atoms(atom, mass), one row each, is broadcast."""
-    return bind(COM_REMOVED, params=params, velocities=velocities(traj), atoms=F.broadcast(atoms))
+
+def moving(traj: DataFrame, atoms: DataFrame, *, remove_com: bool = True, **options) -> DataFrame:
+    """Velocities with each atom's mass, without the centre of mass; atoms(atom, mass), one row each, is broadcast."""
+    moved = velocities(traj, **options)
+    if not remove_com:
+        return moved.join(F.broadcast(atoms), "atom").select("frame", "atom", F.col("mass").alias("m"), "vx", "vy", "vz")
+    return bind(COM_REMOVED, velocities=moved, atoms=F.broadcast(atoms))
 
 
 def vacf(moved: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
@@ -157,21 +180,72 @@ def vacf(moved: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     return bind(VACF, moving=moved, shifted=bind(SHIFTED, params=params, moving=moved))
 
 
-def vacf_fft(moved: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
-    """The same by one FFT for each atom: n log n in the frames, one group an atom."""
+#: Frames of a block of a correlation, unless max_lag asks for more.
+CORRELATED = 8_192
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        v = pdf[["vx", "vy", "vz"]].to_numpy()
-        n = len(v)
-        size = 1 << (2 * n - 1).bit_length()
-        spectrum = np.fft.rfft(v, size, axis=0)
-        c = np.fft.irfft(spectrum * spectrum.conj(), size, axis=0).sum(1)[: min(max_lag, n)]
-        lag = np.arange(len(c))
-        return pd.DataFrame({"lag": lag, "m": pdf["m"].iloc[0], "c": c / (n - lag)})
 
-    from ..session import ship_code
+def vacf_fft(moved: DataFrame, max_lag: int = MAX_LAG, width: int | None = None) -> DataFrame:
+    """The same by overlap-save blocks: lag, vacf.
 
+    An atom's frames are dealt in blocks of `width`; a block takes along the max_lag - 1 frames after it, so that its
+    rows meet all they must. Two transforms give a block's sums of products for all lags at once, and sums of blocks
+    add up; two more count the pairs, so frames that are missing are left out of both. No task holds a trajectory."""
+    if max_lag < 1:
+        raise ValueError("at least lag 0")
+    width = int(width or max(CORRELATED, 4 * max_lag))
     ship_code(moved.sparkSession)
-    each = moved.groupBy("atom").applyInPandas(one, "lag int, m double, c double")
-    return each.groupBy("lag").agg((F.sum(F.col("m") * F.col("c")) / F.sum("m")).alias("vacf"))
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[1]) * width
+        at = pdf["frame"].to_numpy() - first
+        v = np.zeros((width + max_lag - 1, 4))
+        v[at, :3] = pdf[["vx", "vy", "vz"]].to_numpy()
+        # the fourth column counts
+        v[at, 3] = 1
+        size = 1 << (len(v) + max_lag - 1).bit_length()
+        own = np.fft.rfft(v[:width], size, axis=0)
+        found = np.fft.irfft(own.conj() * np.fft.rfft(v, size, axis=0), size, axis=0)[:max_lag]
+        return pd.DataFrame({"atom": key[0], "m": pdf["m"].iloc[0], "lag": np.arange(max_lag), "s": found[:, :3].sum(1), "n": np.rint(found[:, 3]).astype(int)})
+
+    block = F.floor(F.col("frame") / width).cast("long")
+    into = F.sequence(F.floor((F.col("frame") - (max_lag - 1)) / width).cast("long"), block)
+    rows = moved.select("atom", "m", "frame", "vx", "vy", "vz", F.explode(into).alias("block"))
+    # a block before the first has overlap rows only; it counts no pairs
+    sums = rows.groupBy("atom", "block").applyInPandas(one, "atom int, m double, lag int, s double, n long")
+    each = sums.groupBy("atom", "lag").agg(F.max("m").alias("m"), F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0")
+    return each.groupBy("lag").agg((F.sum(F.col("m") * F.col("s") / F.col("n")) / F.sum("m")).alias("vacf"))
+
+
+def density(correlation: DataFrame, max_lag: int, *, dt: float = 1.0, convention: str = "cosine", window: str = "hann", sigma: float = 0.0) -> DataFrame:
+    """k, f, y of vacf(lag, vacf): its transform on wave numbers above 0, `cosine` (2 dt Re) or `power` (|dt ...|^2),
+    under a taper, smoothed by a Gaussian of sigma bins. The input has max_lag rows, one task's work."""
+    if convention not in ("cosine", "power") or window not in ("hann", "hamming", "none"):
+        raise ValueError(f"no convention {convention!r} or window {window!r}")
+    ship_code(correlation.sparkSession)
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros(max_lag)
+        values[pdf["lag"]] = pdf["vacf"]
+        taper = {"hann": np.hanning, "hamming": np.hamming, "none": np.ones}[window](max_lag)
+        transform = np.fft.rfft(values * taper)
+        y = 2 * dt * transform.real if convention == "cosine" else np.abs(dt * transform) ** 2
+        if sigma > 0:
+            reach = int(4 * sigma + 0.5)
+            kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+            y = np.convolve(np.pad(y, reach, mode="symmetric"), kernel / kernel.sum(), mode="valid")
+        k = np.arange(1, len(y))
+        return pd.DataFrame({"k": k, "f": k * INV_FS_TO_CM1 / (max_lag * dt), "y": y[1:]})
+
+    return correlation.groupBy(F.lit(0).alias("all")).applyInPandas(one, "k int, f double, y double")
+
+
+def trajectory_spectrum(
+    traj: DataFrame, atoms: DataFrame, max_lag: int = MAX_LAG, *, dt: float = 1.0, convention: str = "cosine", window: str = "hann", sigma: float = 0.0,
+    remove_com: bool = True, unwrap: bool = True, cells: DataFrame | None = None, width: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(lag, vacf) and (k, f, y): from positions to the spectral density in one call.
+
+    atoms(atom, mass): equal masses leave the correlation unweighted."""
+    moved = moving(traj, atoms, remove_com=remove_com, dt=dt, unwrap=unwrap, cells=cells, width=width or ordered.WIDTH)
+    correlation = vacf_fft(moved, max_lag, width)
+    return correlation, density(correlation, max_lag, dt=dt, convention=convention, window=window, sigma=sigma)

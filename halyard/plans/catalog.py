@@ -64,6 +64,7 @@ BUILT = {
     "steps": lambda p: p.bound(events.HISTORY_STEPS),
     "deltas": lambda p: p.bound(events.DELTAS),
     "walk": lambda p: character.walk(p.views.rows_frames, BLOCK_ROWS),
+    "velocities": lambda p: spectra.velocities(p.views.traj, width=BLOCK_ROWS),
     "metrics": lambda p: populations.window_metrics(p.get("series"), p.views.windows, BLOCK_ROWS),
 }
 
@@ -420,7 +421,16 @@ registry.register("O107_flat_metrics", _flat, " ".join(_bases), _for_duck(_text)
 
 
 def _vacf_fft(views: Views):
-    return S.vacf_fft(_Plans(views).get("moving"))
+    return S.vacf_fft(_Plans(views).get("moving"), width=5 * BLOCK_ROWS)
+
+
+built(
+    "O227_trajectory_spectrum",
+    lambda p: S.trajectory_spectrum(p.views.traj, p.get("atoms"), S.MAX_LAG, width=5 * BLOCK_ROWS)[1],
+    f"SELECT CAST(k AS INT) AS k, k * {audit.INV_FS_TO_CM1}D / 10 AS f, list_sum([2 * l[i] * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 9)) * cos(2 * pi() * k * (i - 1) / 10) FOR i IN range(1, 11)]) AS y "
+    "FROM (SELECT list(vacf ORDER BY lag) AS l FROM (" + oracles.VACF + ") v) w, generate_series(1, 5) g(k)",
+    "f y",
+)
 
 
 _text, _bases = _duck(S.VACF)
@@ -482,7 +492,7 @@ def _draws() -> str:
 
 registry.register("O175_rate_bootstrap", lambda v: resampling.interval(resampling.bootstrap_rates(_per_history(v), _GROUPS, _DIRECT)))
 registry.register("O180_exponential_bootstrap", lambda v: resampling.bootstrap_lifetimes(_per_history(v), _GROUPS))
-registry.register("O196_branch_bootstrap", lambda v: resampling.bootstrap_branch(_per_history(v), _GROUPS, "middle->acceptor,acceptor->middle,middle->donor,donor->acceptor", "middle", ["donor"], ["acceptor"]))
+registry.register("O196_branch_bootstrap", lambda v: resampling.bootstrap_branch(_per_history(v), _GROUPS, "middle->acceptor,middle->donor", "middle", ["donor"], ["acceptor"]))
 built(
     "O175_resampled_means",
     lambda p: resampling.resampled_means(resampling.resampled_series(_per_history(p.views), _GROUPS, width=BLOCK_ROWS), _GROUPS),
