@@ -46,6 +46,16 @@ def with_previous(blocks: DataFrame, keys: list[str], order: str, columns: list[
     return blocks.join(edges, [*keys, BLOCK]).withColumn(name, F.coalesce(inside, "edge")).drop("edge")
 
 
+def last_seen(blocks: DataFrame, keys: list[str], order: str, column: str, name: str) -> DataFrame:
+    """blocks with the column's last value that isn't null, of this row or one before."""
+    known = F.when(F.col(column).isNotNull(), F.col(order))
+    edges = blocks.groupBy(*keys, BLOCK).agg(F.max_by(column, known).alias("last"))
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*keys, BLOCK, F.last("last", ignorenulls=True).over(before).alias("carried"))
+    inside = F.last(column, ignorenulls=True).over(_inside(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    return blocks.join(edges, [*keys, BLOCK]).withColumn(name, F.coalesce(inside, "carried")).drop("carried")
+
+
 def running_sum(blocks: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
     """blocks with the sum of value from the series' first row to this one: the sum inside the
     block on top of the sums of the blocks before."""

@@ -1,6 +1,6 @@
 """Block formats, one file a frame or a trajectory: projections by ion, positions.
 
-Files are dealt to the executors whole; each parser keeps one file's state.
+A projection file is one frame and is parsed whole; a trajectory file is read in splits, however large.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ordered
 from ..session import ship_code
+from .tables import _lines, _numbered
 
 _COUNTS = re.compile(r"#\s*of\s*k-points:\s*(\d+)\s*#\s*of\s*bands:\s*(\d+)\s*#\s*of\s*ions:\s*(\d+)")
 _BAND = re.compile(r"^\s*band\s+(\d+)\s*#\s*energy\s+(\S+)")
@@ -121,19 +123,84 @@ def parse_trajectory(text: str) -> list[tuple[int, int, str, float, float, float
     return out
 
 
-def trajectory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    ship_code(spark)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = parse_trajectory(bytes(content).decode())
-                yield pd.DataFrame([(path, *r) for r in rows], columns=["path", "frame", "atom", "symbol", "x", "y", "z", "cell", "direct"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(
-        run, "path string, frame int, atom int, symbol string, x double, y double, z double, cell array<double>, direct boolean"
-    )
-
+_FRAME_LINE = r"(?i)^\s*(Direct|Cartesian)\s+configuration"
+#: Lines of a header: title, scale, three cell vectors, symbols, counts.
+_HEADER = 7
+
+
+def _numbers(line: str) -> str:
+    """The first three words of a line as numbers, null where one is none."""
+    return f"transform(slice(split(trim({line}), '\\\\s+'), 1, 3), x -> try_cast(x AS DOUBLE))"
+
+
+def trajectory(spark: SparkSession, paths: str | list[str], width: int = ordered.WIDTH) -> DataFrame:
+    """path, frame, atom, symbol, x, y, z, cell, direct of multi-frame files of any size.
+
+    Lines are read as splittable text, so one file is many tasks' work. A line knows its frame by the last frame line
+    before it, which is carried over the edges of the file's blocks; a frame knows its cell by the last
+    header before it. Files whose frames are cut, whose atoms or kind of coordinates change, whose cell is degenerate or
+    that hold no frame are errors, told by file."""
+    lines = _lines(spark, paths).filter(~F.col("value").rlike(r"^\s*$"))
+    numbered = _numbered(lines, "line_no", keep=["block"])
+    starts = F.when(F.col("value").rlike(_FRAME_LINE), F.col("line_no"))
+    # the file's own blocks are the blocks of the scan
+    placed = ordered.last_seen(numbered.withColumn("start", starts), ["path"], "line_no", "start", "of_frame")
+    placed = placed.select("path", "line_no", F.coalesce("of_frame", F.lit(-1)).alias("of_frame"), "value")
+    first = placed.filter((F.col("of_frame") < 0) & (F.col("line_no") < _HEADER)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("h"))
+    atoms = first.filter(F.size("h") == _HEADER).select("path", F.expr("split(trim(h[5].value), '\\\\s+')").alias("symbols"), F.expr("transform(split(trim(h[6].value), '\\\\s+'), x -> try_cast(x AS INT))").alias("counts"))
+    atoms = atoms.withColumn("names", F.expr("flatten(transform(arrays_zip(symbols, counts), x -> array_repeat(x.symbols, coalesce(x.counts, 0))))"))
+    # one row a file, and as many names as a frame has atoms
+    told = placed.join(atoms, "path").withColumn("k", (F.col("line_no") - F.col("of_frame") - 1).cast("int"))
+    inside = (F.col("of_frame") >= 0) & (F.col("k") < F.size("names"))
+    rows = told.filter(inside & (F.col("k") >= 0)).select("path", "of_frame", F.col("k").alias("atom"), F.col("names")[F.col("k")].alias("symbol"), F.expr(_numbers("value")).alias("at"))
+    # a header stands before the first frame, or after the atoms of one
+    held = told.filter(~inside).groupBy("path", "of_frame").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("h"))
+    held = held.select(
+        "path", "of_frame", (F.size("h") == _HEADER).alias("whole"),
+        F.expr("try_cast(split(trim(h[1].value), '\\\\s+')[0] AS DOUBLE)").alias("scale"), F.expr(f"flatten(transform(slice(h, 3, 3), x -> {_numbers('x.value')}))").alias("vectors"),
+        F.sha2(F.concat_ws(" ", F.expr("split(trim(h[5].value), '\\\\s+')"), F.expr("split(trim(h[6].value), '\\\\s+')")), 256).alias("atoms_as"),
+    )
+    held = held.select("path", "of_frame", "whole", "atoms_as", F.when(F.size("vectors") == 9, scaled("scale", "vectors")).alias("cell"))
+    marks = placed.filter(F.col("of_frame") == F.col("line_no")).select("path", F.col("of_frame"), F.lower(F.trim("value")).startswith("direct").alias("direct"))
+    blocks = ordered.dealt(marks, ["path"], "of_frame", width)
+    counted = ordered.running_sum(blocks.withColumn("one", F.lit(1)), ["path"], "of_frame", "one", "frame")
+    ahead = ordered.with_previous(counted, ["path"], "of_frame", ["of_frame"]).withColumn("header", F.coalesce("previous.of_frame", F.lit(-1)))
+    headed = ahead.drop("previous").join(held.select("path", F.col("of_frame").alias("header"), F.col("cell").alias("own_cell")), ["path", "header"], "left")
+    frames = ordered.last_seen(headed, ["path"], "of_frame", "own_cell", "cell").select("path", "of_frame", F.col("frame").cast("int").alias("frame"), "direct", "cell")
+    _check_trajectory(placed, atoms, rows, held, frames)
+    return rows.join(frames, ["path", "of_frame"]).select("path", "frame", "atom", "symbol", F.col("at")[0].alias("x"), F.col("at")[1].alias("y"), F.col("at")[2].alias("z"), "cell", "direct")
+
+
+def scaled(scale: str, vectors: str):
+    """The cell's nine numbers, scaled: a positive scale multiplies, a negative one names the volume; null where the
+    cell is degenerate."""
+    v = [F.col(vectors)[k] for k in range(9)]
+    volume = F.abs(v[0] * (v[4] * v[8] - v[5] * v[7]) - v[1] * (v[3] * v[8] - v[5] * v[6]) + v[2] * (v[3] * v[7] - v[4] * v[6]))
+    factor = F.when(F.col(scale) > 0, F.col(scale)).otherwise(F.pow(-F.col(scale) / volume, F.lit(1 / 3)))
+    return F.when((F.col(scale) != 0) & (volume >= 1e-12), F.transform(vectors, lambda x: x * factor))
+
+
+def _check_trajectory(placed: DataFrame, atoms: DataFrame, rows: DataFrame, held: DataFrame, frames: DataFrame) -> None:
+    """One pass of counts, a row for each file."""
+    size = F.count(F.lit(1))
+    bad = F.exists("at", lambda x: x.isNull()) | (F.size("at") < 3)
+    per_frame = rows.groupBy("path", "of_frame").agg(size.alias("n"), F.count_if(bad).alias("bad"))
+    per_frame = frames.join(per_frame, ["path", "of_frame"], "left").join(atoms.select("path", F.size("names").alias("n_atoms"), F.exists("counts", lambda x: x.isNull()).alias("odd")), "path")
+    a = per_frame.groupBy("path").agg(
+        size.alias("frames"), F.count_if(F.coalesce("n", F.lit(0)) < F.col("n_atoms")).alias("cut"), F.sum("bad").alias("bad"), F.count_distinct("direct").alias("kinds"),
+        F.count_if(F.col("cell").isNull()).alias("cells"), F.max((F.col("n_atoms") < 1) | F.col("odd")).alias("none"),
+    )
+    b = held.groupBy("path").agg(F.count_if(~F.col("whole")).alias("headers"), F.count_distinct("atoms_as").alias("atoms"), F.count_if(F.col("cell").isNull()).alias("flat"))
+    found = {r["path"]: r for r in a.join(b, "path", "left").collect()}
+    for path in sorted(r["path"] for r in placed.select("path").distinct().collect()):
+        r = found.get(path)
+        if r is None or r["none"]:
+            raise ValueError(f"{path}: no header with symbols and counts, or no frame")
+        for name, message in (("headers", "a header is cut or a line stands between frames"), ("cut", "frames are cut off"), ("bad", "lines hold no coordinates"), ("cells", "a cell is degenerate"), ("flat", "a cell is degenerate")):
+            if r[name]:
+                raise ValueError(f"{path}: {message} ({r[name]})")
+        if r["kinds"] > 1 or r["atoms"] > 1:
+            raise ValueError(f"{path}: the kind of coordinates or the atoms change")
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """One row for each folder with run files: its known files and whether it is a run."""

@@ -41,15 +41,15 @@ def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def _numbered(lines: DataFrame, number: str) -> DataFrame:
+def _numbered(lines: DataFrame, number: str, keep: list[str] | None = None) -> DataFrame:
     """The lines numbered from 0 in each file: the counts of the file's blocks before, and the
-    place in the block, so that no task sorts a file."""
+    place in the block, so that no task sorts a file. keep: helper columns that stay."""
     per_block = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = per_block.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("path", "block").orderBy("at")
     placed = lines.withColumn("place", F.row_number().over(inside)).join(first, ["path", "block"])
-    return placed.withColumn(number, (F.col("first") + F.col("place") - 1).cast("long")).drop("block", "at", "place", "first")
+    return placed.withColumn(number, (F.col("first") + F.col("place") - 1).cast("long")).drop(*({"block", "at", "place", "first"} - set(keep or [])))
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

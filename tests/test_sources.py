@@ -1,6 +1,7 @@
 """Readers, sinks and the stream, with what each must refuse."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,44 @@ def test_trajectory(spark, tmp_path):
             blocks.parse_trajectory(bad)
 
 
+def long_trajectory(frames, variable, seed=0):
+    rnd = random.Random(seed)
+    header = lambda k: f"title {k}\n {1 + k * variable / 10}\n 4.0 0 0\n 0 5.{k % 10 * variable} 0\n 0 0 6\n C H\n 3 2\n"
+    out = header(0)
+    for k in range(frames):
+        if k and (variable and rnd.random() < 0.4):
+            out += header(k)
+        out += f"Direct configuration= {k + 1:5d}\n" + "".join("  ".join(f"{rnd.random():.6f}" for _ in range(3)) + "\n" for _ in range(5)) + "\n" * rnd.choice((0, 0, 1))
+    return out
+
+
+@pytest.mark.parametrize("size, variable", [(100, 0), (250, 1), (1 << 20, 1)])
+def test_a_trajectory_file_is_read_in_splits(spark, tmp_path, size, variable):
+    texts = {"A": long_trajectory(40, variable, 1), "B": long_trajectory(3, variable, 2)}
+    paths = [write(tmp_path, n, t) for n, t in texts.items()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        found = blocks.trajectory(spark, paths, width=7)
+        plain = [(r["path"][-1], *tuple(r)[1:]) for r in found.collect()]
+        splits = spark.read.text(paths).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert splits >= sum(map(len, texts.values())) / max(size, 2000)
+    wanted = [(n, *r[:6], [pytest.approx(x) for x in r[6]], r[7]) for n, t in texts.items() for r in blocks.parse_trajectory(t)]
+    assert sorted(plain, key=lambda r: r[:3]) == sorted(wanted, key=lambda r: r[:3])
+
+
+def test_bad_trajectory_files_are_refused(spark, tmp_path):
+    good = long_trajectory(4, 1)
+    for k, (bad, told) in enumerate((
+        (good.rstrip()[:-40], "cut|no coordinates"), (good.replace("Direct configuration=     2", "Cartesian configuration=     2"), "kind of coordinates"), (good + long_trajectory(1, 0).replace("C H", "C O"), "atoms change"),
+        (good.replace(" 4.0 0 0", " 0 0 0", 1), "degenerate"), (good.split("Direct")[0], "no frame"), ("Direct configuration= 1\n0 0 0\n", "no header"), (good.replace("Direct configuration=     3", "stray\nDirect configuration=     3"), "between frames"),
+        (good.replace("0.", "x.", 3), "no coordinates"),
+    )):
+        with pytest.raises(ValueError, match=told):
+            blocks.trajectory(spark, write(tmp_path, f"bad{k}", bad))
+
+
 def test_inventory(spark, tmp_path):
     for d, names in (("a", ["EIGTXT"]), ("b", ["inp", "NATXT"]), ("c", ["inp"]), ("d", ["other"])):
         (tmp_path / d).mkdir()
