@@ -87,38 +87,21 @@ def initial_columns(k: np.ndarray, time: np.ndarray, scale: np.ndarray) -> np.nd
     return np.stack([(propagate(k, d, time) * scale).ravel() for d in directions], 1) if len(k) > 1 else np.zeros((scale.size, 0))
 
 
-def fit_rates(time: np.ndarray, observed: np.ndarray, groups: list[str], edges, n_starts: int = 5, weights=None) -> Fit:
-    """Rates of the edges from populations on a uniform grid, in logarithms, from several
-    starts; the first row is the initial state. Its noise is marginalised out of the covariance."""
-    span = time[-1] - time[0]
-    centre = np.log(1.0 / span)
-    low, high = np.full(len(edges), centre - DECADES * np.log(10)), np.full(len(edges), centre + DECADES * np.log(10))
-    scale = np.ones_like(observed) if weights is None else weights
-
-    def residual(x):
-        return ((propagate(rate_matrix(np.exp(x), edges, len(groups)), observed[0], time) - observed) * scale)[1:].ravel()
-
-    best = None
-    for factor in np.geomspace(0.05, 20, n_starts) if n_starts > 1 else [1.0]:
-        found = least_squares(residual, np.full(len(edges), centre + np.log(factor)), low, high)
-        if best is None or found[1] < best[1]:
-            best = found
-    x, cost, j, _ = best
-    # the first row does not move with the rates
-    nuisance = initial_columns(rate_matrix(np.exp(x), edges, len(groups)), time, scale)
-    augmented = np.hstack([np.vstack([np.zeros((len(groups), len(edges))), j]), nuisance])
-    dof = max(1, independent_residuals(observed) - augmented.shape[1])
-    covariance = np.linalg.pinv(augmented.T @ augmented)[: len(edges), : len(edges)] * 2 * cost / dof
+def graded(x, low, high, j, augmented, cost: float, dof: int, rows: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The errors of the logarithms, what each rate's status is, and their correlations. j and augmented are the
+    Jacobians without and with the initial populations, or triangular factors of such of `rows` rows."""
+    n = len(x)
+    covariance = np.linalg.pinv(augmented.T @ augmented)[: n, : n] * 2 * cost / dof
     error = np.sqrt(np.clip(np.diag(covariance), 0, None))
     with np.errstate(invalid="ignore", divide="ignore"):
         correlation = np.nan_to_num(covariance / np.outer(error, error))
-    _, share = null_space(j)
+    _, share = null_space(j, rows)
     norms = np.linalg.norm(j, axis=0)
     blind = norms <= 1e-10 * max(norms.max() if len(norms) else 0.0, 1.0)
     # the pseudo-inverse gives no variance to a direction that it dropped: nothing is known of such a rate
     error[blind | (share > NULL_SHARE)] = np.inf
     status = []
-    for i in range(len(edges)):
+    for i in range(n):
         if not np.isfinite(covariance).all():
             status.append("no_covariance")
         elif blind[i]:
@@ -130,10 +113,40 @@ def fit_rates(time: np.ndarray, observed: np.ndarray, groups: list[str], edges,
         elif error[i] > PRECISE:
             status.append("imprecise")
         # the pseudo-inverse leaves correlations with a direction it dropped to chance
-        elif any(abs(correlation[i, o]) >= CORRELATED for o in range(len(edges)) if o != i and not blind[o] and share[o] <= NULL_SHARE):
+        elif any(abs(correlation[i, o]) >= CORRELATED for o in range(n) if o != i and not blind[o] and share[o] <= NULL_SHARE):
             status.append("correlated")
         else:
             status.append("identified")
+    return error, status, correlation
+
+
+def rate_bounds(span: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    centre = np.log(1.0 / span)
+    return np.full(n, centre - DECADES * np.log(10)), np.full(n, centre + DECADES * np.log(10))
+
+
+def fit_rates(time: np.ndarray, observed: np.ndarray, groups: list[str], edges, n_starts: int = 5, weights=None) -> Fit:
+    """Rates of the edges from populations on a uniform grid, in logarithms, from several
+    starts; the first row is the initial state. Its noise is marginalised out of the covariance."""
+    span = time[-1] - time[0]
+    centre = np.log(1.0 / span)
+    low, high = rate_bounds(span, len(edges))
+    scale = np.ones_like(observed) if weights is None else weights
+
+    def residual(x):
+        return ((propagate(rate_matrix(np.exp(x), edges, len(groups)), observed[0], time) - observed) * scale)[1:].ravel()
+
+    best = None
+    for factor in np.geomspace(0.05, 20, n_starts) if n_starts > 1 else [1.0]:
+        found = least_squares(residual, np.full(len(edges), centre + np.log(factor)), low, high)
+        if best is None or found[1] < best[1]:
+            best = found
+    x, cost, j, _ = best
+    # the first row does not move with the rates
+    nuisance = initial_columns(rate_matrix(np.exp(x), edges, len(groups)), time, scale)
+    augmented = np.hstack([np.vstack([np.zeros((len(groups), len(edges))), j]), nuisance])
+    dof = max(1, independent_residuals(observed) - augmented.shape[1])
+    error, status, correlation = graded(x, low, high, j, augmented, cost, dof, len(j))
     model = propagate(rate_matrix(np.exp(x), edges, len(groups)), observed[0], time)
     spread = ((observed - observed.mean(0)) ** 2).sum()
     r_squared = 1 - ((model - observed) ** 2).sum() / spread if spread > 0 else float("nan")

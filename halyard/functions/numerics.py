@@ -93,11 +93,20 @@ def bisect(f: Callable[[float], float], a: float, b: float, tolerance: float = 1
     return 0.5 * (a + b)
 
 
-def null_space(j: np.ndarray) -> tuple[int, np.ndarray]:
-    """Rank, and how far each column takes part in the null space."""
+def propagated(step: np.ndarray, p0: np.ndarray, n: int) -> np.ndarray:
+    """n rows from p0 on, each the step's product with the one before; twice as many in each round."""
+    out = p0[None]
+    while len(out) < n:
+        out, step = np.vstack([out, out @ step.T]), step @ step
+    return out[:n]
+
+
+def null_space(j: np.ndarray, rows: int | None = None) -> tuple[int, np.ndarray]:
+    """Rank, and how far each column takes part in the null space. rows: those of the matrix that j is a
+    triangular factor of."""
     if not j.size:
         return 0, np.zeros(j.shape[1])
     _, s, vt = np.linalg.svd(j, full_matrices=True)
-    limit = (s.max() if len(s) else 0.0) * max(j.shape) * np.sqrt(np.finfo(float).eps)
+    limit = (s.max() if len(s) else 0.0) * max(rows or 0, *j.shape) * np.sqrt(np.finfo(float).eps)
     rank = int((s > limit).sum())
     return rank, np.linalg.norm(vt[rank:], axis=0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..adapters import Views
-from ..operators import audit, character, ensemble, episodes, events, network, populations, preparation, resampling, spectra, transfer
+from ..operators import audit, character, ensemble, episodes, events, longfit, network, populations, preparation, resampling, spectra, transfer
 from . import oracles, registry
 from .template import bind, with_literals
 
@@ -466,6 +466,15 @@ def _ranked(views: Views):
     )
 
 
+def _block_fit(views: Views):
+    edges = [(1, 0), (0, 1)]
+    fit = longfit.fit_series(bind("SELECT t, grp, mean AS value FROM {series}", views.spark, series=_Plans(views).get("series")), _GROUPS, edges, width=BLOCK_ROWS)
+    return views.spark.createDataFrame(longfit.rate_rows(fit), "edge string, rate double, std double, status string, r_squared double")
+
+
+registry.register("O170_block_fit", _block_fit)
+
+
 registry.register("O155_scheme_ranking", _ranked)
 
 
