@@ -3,8 +3,8 @@
 Each command runs a template of registered queries over a folder of Parquet tables and writes
 one CSV folder for each, a Markdown report and a record of the environment.
 
-`character-populations --histories FILES --state-map FILE --atom-groups FILE --manifest FILE`
-runs over a campaign's own files.
+`character-populations`, `character-crossings` and `character-ensemble` run over a campaign's own files with `--histories FILES
+--state-map FILE --atom-groups FILE --manifest FILE` (crossings: `--energies FILE --couplings FILE`), `spectra` with `--spectra FILES`.
 """
 
 from __future__ import annotations
@@ -12,16 +12,20 @@ from __future__ import annotations
 import argparse
 import json
 import os
+from functools import reduce
 
 from pyspark.sql import SparkSession
 
 from . import campaign
 from .config import AtomGroups, StateMap
+from .operators import spectra
 from .plans import catalog  # noqa: F401  registers the queries
 from .plans.registry import REGISTRY
+from .plans.template import DEFAULTS, bind
 from .provenance import environment
 from .report import markdown, prepare_output
 from .sources.sinks import write_csv
+from .sources.tables import spectrum
 
 COMMANDS = {
     "audit": ["O112_pair_audit", "O112_nac_checks", "O112_energy_stats", "O113_nac_ceiling", "O159_top_pairs"],
@@ -34,7 +38,7 @@ COMMANDS = {
     "branching": ["O170_master_fit", "O193_local_ratio"],
     "extraction-competition": ["O199_extraction_competition"],
     "reviewer-summary": ["O125_reviewer_table"],
-    "spectra": ["O136_band_integral", "O139_spectra_compare", "O161_peaks"],
+    "spectra": ["O138_spectrum_report", "O138_spectrum_bands", "O139_spectra_compare", "O140_shared_grid", "O161_peaks"],
     "trajectory": ["O223_vacf_fft", "O141_vacf_diagnostics", "O225_tapers", "O226_cosine_density"],
     "character-populations": ["O207_projected_mean", "O115_quality", "O116_dominance", "O149_swap_events", "O091_fixed_vs_projected", "O143_consumption", "O145_alignment_record"],
     "character-crossings": ["O208_frame_events", "O073_classified_events", "O130_aggregate_histories", "O133_sensitivity"],
@@ -43,6 +47,50 @@ COMMANDS = {
 }
 
 
+def _windows(spark: SparkSession, given: list[str] | None):
+    """name:lo:hi as rows, or nothing."""
+    if not given:
+        return None
+    rows = [(n, int(lo), int(hi)) for n, lo, hi in (w.split(":") for w in given)]
+    return spark.createDataFrame(rows, "name string, lo int, hi int")
+
+
+def _parameters(given: list[str] | None) -> dict:
+    """NAME=VALUE, as the type of the default that it replaces."""
+    out = {}
+    for name, _, value in (x.partition("=") for x in given or []):
+        if name not in DEFAULTS:
+            raise ValueError(f"no parameter {name!r}; there are {', '.join(sorted(DEFAULTS))}")
+        out[name] = type(DEFAULTS[name])(value)
+    return out
+
+
+def _from_files(spark: SparkSession, args, parser) -> dict:
+    """The results of a command over a campaign's own files."""
+    if args.spectra:
+        labels = [os.path.basename(p).removesuffix(".txt").removeprefix("spectral_density_") for p in args.spectra]
+        table = reduce(lambda a, b: a.unionAll(b), (spectrum(spark, p, n) for p, n in zip(args.spectra, labels)))
+        params = {"reference_label": args.reference or labels[0]}
+        if params["reference_label"] not in labels:
+            raise ValueError(f"{params['reference_label']!r} is not among {labels}")
+        own = {k: v for k, v in _parameters(args.set).items() if k in ("rel_height", "max_peaks")}
+        return {
+            "report": spectra.described(table), "bands": spectra.band_rows(table), "shared_grid": spectra.shared_grid(table, **params),
+            "differences": spectra.compare(table, **params), "peaks": bind(spectra.PEAKS, params=own, spectrum=table),
+        }
+    files = (spark, args.histories, StateMap.from_json(args.state_map), AtomGroups.from_json(args.atom_groups), args.manifest)
+    walk = {"mode": args.mode, "period": args.period}
+    if args.command == "character-populations":
+        return campaign.character_populations(*files, **walk)
+    if args.command == "character-crossings":
+        if not (args.energies and args.couplings):
+            parser.error("--energies and --couplings are needed")
+        return campaign.character_crossings(*files, args.energies, args.couplings, windows=_windows(spark, args.window), **walk, **_parameters(args.set))
+    if args.command == "character-ensemble":
+        return campaign.character_ensemble(*files, frame_windows=_windows(spark, args.frame_window), **walk, **_parameters(args.set))
+    parser.error(f"{args.command} reads --data only")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="halyard", description=__doc__)
     parser.add_argument("command", choices=sorted(COMMANDS))
@@ -53,17 +101,20 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--manifest")
     parser.add_argument("--mode", choices=["cyclic", "linear"], default="cyclic")
     parser.add_argument("--period", type=int)
+    parser.add_argument("--energies", help="text table of state energies, a row for each frame")
+    parser.add_argument("--couplings", help="text table of flattened coupling matrices, a row for each frame")
+    parser.add_argument("--window", action="append", metavar="NAME:LO:HI", help="rows of the grid whose events are counted together")
+    parser.add_argument("--frame-window", action="append", metavar="NAME:LO:HI", help="frames whose passes are summed")
+    parser.add_argument("--set", action="append", metavar="NAME=VALUE", help="a threshold or another parameter of the plans")
+    parser.add_argument("--spectra", nargs="+", help="files of frequency and intensity, for the command spectra")
+    parser.add_argument("--reference", help="label of the spectrum that the others are compared with")
     parser.add_argument("--out", required=True)
     parser.add_argument("--overwrite", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"halyard {args.command}").getOrCreate()
     out = prepare_output(args.out, args.overwrite)
-    if args.histories:
-        if args.command != "character-populations":
-            parser.error(f"{args.command} reads --data only")
-        results = campaign.character_populations(
-            spark, args.histories, StateMap.from_json(args.state_map), AtomGroups.from_json(args.atom_groups), args.manifest, mode=args.mode, period=args.period
-        )
+    if args.histories or (args.command == "spectra" and args.spectra):
+        results = _from_files(spark, args, parser)
     elif args.data:
         results = {name: REGISTRY[name](spark, args.data) for name in COMMANDS[args.command]}
     else:

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import AtomGroups, StateMap, resolve_bands, resolve_period, resolve_start
-from .operators import character
+from .operators import character, ensemble, events
+from .plans.template import bind
 from .prepare import load_manifest
 from .sources.blocks import projections
-from .sources.tables import numeric_table, table_metadata
+from .sources.tables import couplings, numeric_table, state_energies, table_metadata
 
 #: How far a share may lie outside [0, 1] and a total from 1, and the least captured weight.
 SHARE_TOLERANCE, LEAST_CAPTURED = 1e-5, 1e-14
@@ -35,7 +36,8 @@ class Plan:
     period: int | None
     manifest: DataFrame
     n_rows: int
-    frames: list[int]
+    #: frame: the frames that some history visits
+    frames: DataFrame
     problems: list[str] = field(default_factory=list)
 
 
@@ -79,14 +81,17 @@ def plan(
     if len(bands) != len(columns):
         problems.append(f"{len(bands)} bands for {len(columns)} population columns")
     rows_of = attempt(lambda: load_manifest(spark, manifest), spark.createDataFrame([], "frame int, path string"))
-    listed = {r["frame"] for r in rows_of.select("frame").collect()}
     if mode == "cyclic" and period is None:
         nsw = [number(f, "NSW") for f in files]
-        period = attempt(lambda: resolve_period(mode, None, nsw), None) if any(nsw) else max(listed, default=None)
-    frames = sorted({(s + t - 1) % period + 1 if period else s + t for s in set(starts.values()) for t in range(min(n_rows, period or n_rows))})
-    missing = [f for f in frames if f not in listed]
-    if missing:
-        problems.append(f"{len(missing)} required frames are not in the manifest, the first {missing[:5]}")
+        period = attempt(lambda: resolve_period(mode, None, nsw), None) if any(nsw) else rows_of.agg(F.max("frame")).first()[0]
+    # the steps of one cycle, or all rows, from each start: as many as that, however many histories there are
+    steps = spark.range(min(n_rows, period or n_rows)).withColumn("start", F.explode(F.array(*(F.lit(s) for s in sorted(set(starts.values()))))))
+    at = F.col("start") + F.col("id")
+    frames = steps.select((F.pmod(at - 1, F.lit(period)) + 1 if period else at).cast("int").alias("frame")).distinct()
+    missing = frames.join(rows_of.select("frame"), "frame", "left_anti")
+    n_missing = missing.count()
+    if n_missing:
+        problems.append(f"{n_missing} required frames are not in the manifest, the first {[r[0] for r in missing.orderBy('frame').limit(5).collect()]}")
     # shares in order of the bands, as the weights will be
     order = [c for _, c in sorted(zip(bands, columns))]
     # one row for each file
@@ -117,7 +122,7 @@ def checked(rows: DataFrame, complete: bool) -> list[str]:
 
 def weights(spark: SparkSession, made: Plan, atoms: AtomGroups) -> DataFrame:
     """Normalised fragment weights of the required frames and bands."""
-    needed = made.manifest.join(F.broadcast(spark.createDataFrame([(f,) for f in made.frames], "frame int")), "frame", "left_semi")
+    needed = made.manifest.join(made.frames, "frame", "left_semi")
     out = character.fragment_weights(projections(spark, needed, made.bands), atoms.frame(spark)).persist()
     low = out.filter(F.col("captured") <= max(LEAST_CAPTURED, atoms.min_projection_weight)).select("frame", "band").distinct().limit(5).collect()
     if low:
@@ -125,17 +130,79 @@ def weights(spark: SparkSession, made: Plan, atoms: AtomGroups) -> DataFrame:
     return out
 
 
-def character_populations(
-    spark: SparkSession, paths, state_map: StateMap, atoms: AtomGroups, manifest: str, *, mode: str = "cyclic", period: int | None = None,
-) -> dict[str, DataFrame]:
-    """weights, split and mean (t, time_ns, grp, mean, sem, occ, chr) of a campaign's files; all
-    problems are raised together."""
+def _prepared(spark: SparkSession, paths, state_map: StateMap, atoms: AtomGroups, manifest: str, mode: str, period: int | None) -> tuple[Plan, DataFrame, DataFrame]:
+    """The plan, the weights and the split's arrays of a campaign's files; all problems are raised together."""
     made = plan(spark, paths, state_map, manifest, mode=mode, period=period)
     problems = made.problems or checked(made.rows, state_map.complete_population)
     if problems:
         raise ValueError("; ".join(problems))
     table = weights(spark, made, atoms)
-    parts = character.split_blocks(made.rows.select("h", "t", "p", "frame"), None, table)
+    return made, table, character.split_arrays(made.rows.select("h", "t", "p", "frame"), None, table)
+
+
+def _rows(arrays: DataFrame) -> DataFrame:
+    return arrays.selectExpr("h", "t", "frame", "frame0", "inline(parts)")
+
+
+def character_populations(
+    spark: SparkSession, paths, state_map: StateMap, atoms: AtomGroups, manifest: str, *, mode: str = "cyclic", period: int | None = None,
+) -> dict[str, DataFrame]:
+    """weights, split and mean (t, time_ns, grp, mean, sem, occ, chr) of a campaign's files."""
+    made, table, arrays = _prepared(spark, paths, state_map, atoms, manifest, mode, period)
+    parts = _rows(arrays)
     times = made.rows.filter(F.col("h") == min(made.starts)).select("t", "time_ns")
     mean = character.projected_mean(parts).join(times, "t").select("t", "time_ns", "grp", "mean", "sem", "occ", "chr")
     return {"weights": table, "split": parts, "mean": mean}
+
+
+def _of_bands(table: DataFrame, bands: list[int], *columns: str) -> DataFrame:
+    """The columns' places as band numbers; places beyond the bands are left out."""
+    listed = F.array(*(F.lit(b) for b in sorted(bands)))
+    for c in columns:
+        table = table.filter(F.col(c) < len(bands)).withColumn(c, listed[F.col(c)])
+    return table
+
+
+def character_crossings(
+    spark: SparkSession, paths, state_map: StateMap, atoms: AtomGroups, manifest: str, energies: str, nac: str, *, mode: str = "cyclic", period: int | None = None, windows: DataFrame | None = None,
+    **params,
+) -> dict[str, DataFrame]:
+    """Crossing events of the frames and of each history's own walk, their counts by history and by
+    window of rows (windows: name, lo, hi), descriptors, swaps and the sensitivity to the thresholds.
+
+    energies and nac: text tables of a row for each frame, columns in order of the bands. params: thresholds, as in
+    plans/template.py."""
+    made, table, arrays = _prepared(spark, paths, state_map, atoms, manifest, mode, period)
+    e = _of_bands(state_energies(spark, energies), made.bands, "state")
+    v = _of_bands(couplings(spark, nac), made.bands, "i", "j")
+    found = events.history_events(arrays, table, e, v, **params).persist()
+    out = {
+        "frame_events": events.frame_events(table, e, v, **params), "history_events": found, "counts": bind(events.COUNTS, params=params, events=found),
+        "descriptors": bind(events.DESCRIPTORS, params=params, events=found), "sensitivity": bind(events.SENSITIVITY, params=params, weights=table, energies=e, nac=v),
+        "swaps": bind(character.SWAPS, params={"period": made.period or 0} | params, weights=table),
+    }
+    if windows is not None:
+        out["window_counts"] = found.join(F.broadcast(windows), found["t"].between(windows["lo"], windows["hi"])).groupBy("name", "classification").agg(F.count(F.lit(1)).alias("n"))
+    return out
+
+
+def character_ensemble(
+    spark: SparkSession, paths, state_map: StateMap, atoms: AtomGroups, manifest: str, *, mode: str = "cyclic", period: int | None = None, frame_windows: DataFrame | None = None, **params,
+) -> dict[str, DataFrame]:
+    """What each history does and what they do together: net and late changes, their statistics,
+    the term that dominates, curves of quantiles and, with frame_windows(name, lo, hi), the
+    response of each pass through them, its verdict and summary."""
+    made, table, arrays = _prepared(spark, paths, state_map, atoms, manifest, mode, period)
+    parts = _rows(arrays)
+    each = ensemble.histories(parts, **params).persist()
+    out = {
+        "histories": each, "summary": bind(ensemble.STATS, params=params, quantities=bind(ensemble.QUANTITIES, histories=each)),
+        "dominant_term": bind(ensemble.DOMINANT_TERM, params=params, histories=each), "curve": bind(ensemble.CURVE, params=params, split=parts),
+    }
+    if frame_windows is not None:
+        if made.period is None:
+            raise ValueError("passes need a period")
+        walk = made.rows.select("h", "t", "frame")
+        passes = bind(ensemble.PER_PASS, params=params | {"period": made.period}, split=parts.select("h", "t", "grp", "occ", "chr"), rows_frames=walk, frame_windows=F.broadcast(frame_windows)).persist()
+        out |= {"passes": passes, "verdicts": bind(ensemble.STEP_VERDICT, params=params, passes=passes), "episodes": bind(ensemble.EPISODE_SUMMARY, params=params, passes=passes)}
+    return out
