@@ -56,6 +56,8 @@ DERIVED = {
 
 #: Rows of a block over the adapter tables: their grids have 30 points, and should be cut.
 BLOCK_ROWS = 7
+#: Frames of a block of their trajectories, which have hundreds.
+BLOCK_FRAMES = 200
 
 #: What Spark builds another way than the SQL of DERIVED says.
 BUILT = {
@@ -64,7 +66,7 @@ BUILT = {
     "steps": lambda p: p.bound(events.HISTORY_STEPS),
     "deltas": lambda p: p.bound(events.DELTAS),
     "walk": lambda p: character.walk(p.views.rows_frames, BLOCK_ROWS),
-    "velocities": lambda p: spectra.velocities(p.views.traj, width=BLOCK_ROWS),
+    "velocities": lambda p: spectra.velocities(p.views.traj, width=BLOCK_FRAMES),
     "metrics": lambda p: populations.window_metrics(p.get("series"), p.views.windows, BLOCK_ROWS),
 }
 
@@ -421,12 +423,12 @@ registry.register("O107_flat_metrics", _flat, " ".join(_bases), _for_duck(_text)
 
 
 def _vacf_fft(views: Views):
-    return S.vacf_fft(_Plans(views).get("moving"), width=5 * BLOCK_ROWS)
+    return S.vacf_fft(_Plans(views).get("moving"), width=BLOCK_FRAMES)
 
 
 built(
     "O227_trajectory_spectrum",
-    lambda p: S.trajectory_spectrum(p.views.traj, p.get("atoms"), S.MAX_LAG, width=5 * BLOCK_ROWS)[1],
+    lambda p: S.trajectory_spectrum(p.views.traj, p.get("atoms"), S.MAX_LAG, width=BLOCK_FRAMES)[1],
     f"SELECT CAST(k AS INT) AS k, k * {audit.INV_FS_TO_CM1}D / 10 AS f, list_sum([2 * l[i] * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 9)) * cos(2 * pi() * k * (i - 1) / 10) FOR i IN range(1, 11)]) AS y "
     "FROM (SELECT list(vacf ORDER BY lag) AS l FROM (" + oracles.VACF + ") v) w, generate_series(1, 5) g(k)",
     "f y",
