@@ -212,13 +212,13 @@ def weight_arrays(weights: DataFrame) -> DataFrame:
     return frames.select("frame", F.col("g.grp").alias("groups"), F.when(even, F.col("g")[0]["bands"]).otherwise(told).alias("bands"), F.col("g.w").alias("ws"))
 
 
-def split_arrays(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
-    """h, t, frame, frame0, parts: the split of each row, an array of (grp, pg, occ, chr, pg0) in order of the groups.
+def _products(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, width: float) -> DataFrame:
+    """h, t, frame, frame0, each: for each group the products of shares and weights of a row and of the one before.
 
     rows: h, t, p and, where known, bands (as `packed` gives them), with their frame where rows_frames is None. A row's
     shares are one array and its frame's weights one array for each group, so rows are not multiplied before
     the arithmetic: occ and chr are half sums and differences of four products of shares and weights
-    of this row and the one before; they are 0 at a history's first row. A history is dealt in blocks of rows
+    of this row and the one before. A history is dealt in blocks of rows
     (`ordered`), so no task holds a history.
 
     A row whose frame has no weights, whose bands are not those of its frame's weights, or whose frame has
@@ -249,15 +249,24 @@ def split_arrays(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFr
 
     each = f"""transform(groups, (x, k) -> struct(x AS grp, {product("p", "ws[k]")} AS now,
         {product("p", "ws0[k]")} AS ahead, {product("p0", "ws[k]")} AS behind, {product("p0", "ws0[k]")} AS then))"""
-    parts = """transform(each, x -> struct(x.grp AS grp, x.now AS pg,
-        if(frame0 IS NULL, 0D, 0.5D * ((x.now - x.behind) + (x.ahead - x.then))) AS occ,
-        if(frame0 IS NULL, 0D, 0.5D * ((x.now - x.ahead) + (x.behind - x.then))) AS chr, x.then AS pg0))"""
-    out = placed.withColumn("groups", F.expr(checked)).withColumn("each", F.expr(each))
-    return out.selectExpr("h", "t", "frame", "frame0", f"{parts} AS parts")
+    return placed.withColumn("groups", F.expr(checked)).select("h", "t", "frame", "frame0", F.expr(each).alias("each"))
+
+
+#: The halves of a change, from the four products of shares and weights of a row and the one before.
+_OCC, _CHR = "0.5D * (({x}now - {x}behind) + ({x}ahead - {x}then))", "0.5D * (({x}now - {x}ahead) + ({x}behind - {x}then))"
+
+
+def split_arrays(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
+    """h, t, frame, frame0, parts: the split of each row (see `_products`), an array of (grp, pg, occ, chr, pg0) in order of
+    the groups; occ and chr are 0 at a history's first row."""
+    parts = f"""transform(each, x -> struct(x.grp AS grp, x.now AS pg, if(frame0 IS NULL, 0D, {_OCC.format(x="x.")}) AS occ, if(frame0 IS NULL, 0D, {_CHR.format(x="x.")}) AS chr, x.then AS pg0))"""
+    return _products(rows, rows_frames, weights, width).selectExpr("h", "t", "frame", "frame0", f"{parts} AS parts")
 
 
 def split_blocks(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, block_rows: float = ordered.WIDTH) -> DataFrame:
-    """h, t, grp, pg, occ, chr, frame, frame0, pg0: `split_arrays`, a row for each group; frame0 and pg0 are
-    the frame and the projected share of the row before."""
-    arrays = split_arrays(rows, rows_frames, weights, block_rows)
-    return arrays.selectExpr("h", "t", "frame", "frame0", "inline(parts)").select("h", "t", "grp", "pg", "occ", "chr", "frame", "frame0", "pg0")
+    """h, t, grp, pg, occ, chr, frame, frame0, pg0: the split (see `_products`), a row for each group; frame0 and pg0 are
+    the frame and the projected share of the row before, occ and chr are 0 at a history's first row."""
+    each = _products(rows, rows_frames, weights, block_rows).selectExpr("h", "t", "frame", "frame0", "inline(each)")
+    return each.selectExpr(
+        "h", "t", "grp", "now AS pg", f"if(frame0 IS NULL, 0D, {_OCC.format(x='')}) AS occ", f"if(frame0 IS NULL, 0D, {_CHR.format(x='')}) AS chr", "frame", "frame0", "then AS pg0"
+    )
