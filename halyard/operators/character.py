@@ -212,8 +212,13 @@ def weight_arrays(weights: DataFrame) -> DataFrame:
     return frames.select("frame", F.col("g.grp").alias("groups"), F.when(even, F.col("g")[0]["bands"]).otherwise(told).alias("bands"), F.col("g.w").alias("ws"))
 
 
-def _products(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, width: float) -> DataFrame:
-    """h, t, frame, frame0, each: for each group the products of shares and weights of a row and of the one before.
+#: Up to so many products a frame (groups by bands), the sums of a split are written out, so that they stay in generated code.
+WRITTEN_OUT = 64
+
+
+def _products(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, width: float) -> tuple[DataFrame, str]:
+    """Rows h, t, frame, frame0, and the expression over them that gives each group's products of shares and weights of a
+    row and of the one before: an array of (grp, now, ahead, behind, then).
 
     rows: h, t, p and, where known, bands (as `packed` gives them), with their frame where rows_frames is None. A row's
     shares are one array and its frame's weights one array for each group, so rows are not multiplied before
@@ -225,31 +230,53 @@ def _products(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame
     other groups than the one before is an error, as is a null share: nothing is paired by position alone and nothing unknown
     becomes 0. Rows without `bands` must have as many shares as their frame has bands.
 
-    The weights are settled once; they are broadcast if they have no more than BROADCAST_CELLS cells.
+    The weights are settled once; they are broadcast if they have no more than BROADCAST_CELLS cells. Where all frames have the
+    same groups and bands, no more than WRITTEN_OUT pairs of them, the sums are written out term by term; otherwise they are
+    sums over arrays. The expression is handed on unevaluated, because Spark would evaluate a column of it again in a filter of
+    empty arrays.
     """
     table = settle(weight_arrays(weights))
-    if (table.agg(F.sum(F.size("bands") * F.size("groups"))).first()[0] or 0) <= BROADCAST_CELLS:
+    shape = F.struct("groups", "bands")
+    cells, least, most = table.agg(F.sum(F.size("bands") * F.size("groups")), F.min(shape), F.max(shape)).first()
+    alike = least is not None and least == most and len(least["groups"]) * len(least["bands"]) <= WRITTEN_OUT
+    if (cells or 0) <= BROADCAST_CELLS:
         table = F.broadcast(table)
     walked = rows if rows_frames is None else rows.join(rows_frames.select("h", "t", "frame"), ["h", "t"])
     known = ["bands"] if "bands" in rows.columns else []
     blocks = ordered.dealt(walked.select("h", "t", "p", "frame", *known), ["h"], "t", width)
     moved = ordered.with_previous(blocks, ["h"], "t", ["p", "frame"])
     moved = moved.select("h", "t", "p", "frame", *(F.col(c).alias("own_bands") for c in known), F.col("previous.p").alias("p0"), F.col("previous.frame").alias("frame0"))
-    before = table.select(F.col("frame").alias("frame0"), F.col("groups").alias("groups0"), F.col("bands").alias("bands0"), F.col("ws").alias("ws0"))
-    placed = moved.join(table, "frame", "left").join(before, "frame0", "left")
     same = "own_bands = bands" if known else "size(p) = size(bands)"
-    checked = f"""CASE WHEN ws IS NULL THEN raise_error(concat('frame ', frame, ' has no weights'))
+
+    def checked(null_share: str, like_before: str) -> str:
+        return f"""CASE WHEN ws IS NULL THEN raise_error(concat('frame ', frame, ' has no weights'))
         WHEN NOT ({same}) THEN raise_error(concat('history ', h, ', row ', t, ': its bands are not those of frame ', frame))
-        WHEN exists(p, x -> x IS NULL) THEN raise_error(concat('history ', h, ', row ', t, ': a share is missing'))
-        WHEN frame0 IS NOT NULL AND NOT (groups = groups0 AND bands = bands0) THEN raise_error(concat('frames ', frame0, ' and ', frame, ' have other bands or groups'))
+        WHEN {null_share} THEN raise_error(concat('history ', h, ', row ', t, ': a share is missing'))
+        WHEN frame0 IS NOT NULL AND NOT ({like_before}) THEN raise_error(concat('frames ', frame0, ' and ', frame, ' have other bands or groups'))
         ELSE groups END"""
 
+    if alike:
+        n_groups, n_bands = len(least["groups"]), len(least["bands"])
+        before = table.select(F.col("frame").alias("frame0"), F.col("ws").alias("ws0"))
+        placed = moved.join(table, "frame", "left").join(before, "frame0", "left")
+        shares = [f"get({x}, {j}) AS {x}_{j}" for x in ("p", "p0") for j in range(n_bands)]
+        cells = [f"get(get({x}, {k}), {j}) AS {x}_{k}_{j}" for x in ("ws", "ws0") for k in range(n_groups) for j in range(n_bands)]
+        told = checked(" OR ".join(f"get(p, {j}) IS NULL" for j in range(n_bands)), "ws0 IS NOT NULL")
+        terms = placed.selectExpr("h", "t", "frame", "frame0", f"{told} AS groups", *shares, *cells)
+        pairs = {"now": ("p", "ws"), "ahead": ("p", "ws0"), "behind": ("p0", "ws"), "then": ("p0", "ws0")}
+        sums = [f"0D + {' + '.join(f'{p}_{j} * {w}_{k}_{j}' for j in range(n_bands))} AS {name}_{k}" for k in range(n_groups) for name, (p, w) in pairs.items()]
+        out = terms.selectExpr("h", "t", "frame", "frame0", "groups", *sums)
+        # asking for groups keeps the checks in every plan, whatever columns are read
+        return out, "CASE WHEN groups IS NOT NULL THEN array({}) END".format(", ".join(f"struct(get(groups, {k}) AS grp, {', '.join(f'{name}_{k} AS {name}' for name in pairs)})" for k in range(n_groups)))
+
+    before = table.select(F.col("frame").alias("frame0"), F.col("groups").alias("groups0"), F.col("bands").alias("bands0"), F.col("ws").alias("ws0"))
+    placed = moved.join(table, "frame", "left").join(before, "frame0", "left")
+
     def product(left: str, right: str) -> str:
         return f"aggregate(zip_with({left}, {right}, (a, b) -> a * b), 0D, (s, v) -> s + v)"
 
-    each = f"""transform(groups, (x, k) -> struct(x AS grp, {product("p", "ws[k]")} AS now,
+    return placed, f"""transform({checked("exists(p, x -> x IS NULL)", "groups = groups0 AND bands = bands0")}, (x, k) -> struct(x AS grp, {product("p", "ws[k]")} AS now,
         {product("p", "ws0[k]")} AS ahead, {product("p0", "ws[k]")} AS behind, {product("p0", "ws0[k]")} AS then))"""
-    return placed.withColumn("groups", F.expr(checked)).select("h", "t", "frame", "frame0", F.expr(each).alias("each"))
 
 
 #: The halves of a change, from the four products of shares and weights of a row and the one before.
@@ -259,14 +286,16 @@ _OCC, _CHR = "0.5D * (({x}now - {x}behind) + ({x}ahead - {x}then))", "0.5D * (({
 def split_arrays(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, width: float = ordered.WIDTH) -> DataFrame:
     """h, t, frame, frame0, parts: the split of each row (see `_products`), an array of (grp, pg, occ, chr, pg0) in order of
     the groups; occ and chr are 0 at a history's first row."""
-    parts = f"""transform(each, x -> struct(x.grp AS grp, x.now AS pg, if(frame0 IS NULL, 0D, {_OCC.format(x="x.")}) AS occ, if(frame0 IS NULL, 0D, {_CHR.format(x="x.")}) AS chr, x.then AS pg0))"""
-    return _products(rows, rows_frames, weights, width).selectExpr("h", "t", "frame", "frame0", f"{parts} AS parts")
+    placed, each = _products(rows, rows_frames, weights, width)
+    parts = f"""transform({each}, x -> struct(x.grp AS grp, x.now AS pg, if(frame0 IS NULL, 0D, {_OCC.format(x="x.")}) AS occ, if(frame0 IS NULL, 0D, {_CHR.format(x="x.")}) AS chr, x.then AS pg0))"""
+    return placed.selectExpr("h", "t", "frame", "frame0", f"{parts} AS parts")
 
 
 def split_blocks(rows: DataFrame, rows_frames: DataFrame | None, weights: DataFrame, block_rows: float = ordered.WIDTH) -> DataFrame:
     """h, t, grp, pg, occ, chr, frame, frame0, pg0: the split (see `_products`), a row for each group; frame0 and pg0 are
     the frame and the projected share of the row before, occ and chr are 0 at a history's first row."""
-    each = _products(rows, rows_frames, weights, block_rows).selectExpr("h", "t", "frame", "frame0", "inline(each)")
+    placed, products = _products(rows, rows_frames, weights, block_rows)
+    each = placed.selectExpr("h", "t", "frame", "frame0", f"inline({products})")
     return each.selectExpr(
         "h", "t", "grp", "now AS pg", f"if(frame0 IS NULL, 0D, {_OCC.format(x='')}) AS occ", f"if(frame0 IS NULL, 0D, {_CHR.format(x='')}) AS chr", "frame", "frame0", "then AS pg0"
     )
