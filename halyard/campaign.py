@@ -131,25 +131,21 @@ def weights(spark: SparkSession, made: Plan, atoms: AtomGroups) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, paths, state_map: StateMap, atoms: AtomGroups, manifest: str, mode: str, period: int | None) -> tuple[Plan, DataFrame, DataFrame]:
-    """The plan, the weights and the split's arrays of a campaign's files; all problems are raised together."""
+    """The plan, the weights and the rows with their frames of a campaign's files; all problems are raised together."""
     made = plan(spark, paths, state_map, manifest, mode=mode, period=period)
     problems = made.problems or checked(made.rows, state_map.complete_population)
     if problems:
         raise ValueError("; ".join(problems))
     table = weights(spark, made, atoms)
-    return made, table, character.split_arrays(made.rows.select("h", "t", "p", "frame"), None, table)
-
-
-def _rows(arrays: DataFrame) -> DataFrame:
-    return arrays.selectExpr("h", "t", "frame", "frame0", "inline(parts)")
+    return made, table, made.rows.select("h", "t", "p", "frame")
 
 
 def character_populations(
     spark: SparkSession, paths, state_map: StateMap, atoms: AtomGroups, manifest: str, *, mode: str = "cyclic", period: int | None = None,
 ) -> dict[str, DataFrame]:
     """weights, split and mean (t, time_ns, grp, mean, sem, occ, chr) of a campaign's files."""
-    made, table, arrays = _prepared(spark, paths, state_map, atoms, manifest, mode, period)
-    parts = _rows(arrays)
+    made, table, rows = _prepared(spark, paths, state_map, atoms, manifest, mode, period)
+    parts = character.split_blocks(rows, None, table)
     times = made.rows.filter(F.col("h") == min(made.starts)).select("t", "time_ns")
     mean = character.projected_mean(parts).join(times, "t").select("t", "time_ns", "grp", "mean", "sem", "occ", "chr")
     return {"weights": table, "split": parts, "mean": mean}
@@ -172,10 +168,10 @@ def character_crossings(
 
     energies and nac: text tables of a row for each frame, columns in order of the bands. params: thresholds, as in
     plans/template.py."""
-    made, table, arrays = _prepared(spark, paths, state_map, atoms, manifest, mode, period)
+    made, table, rows = _prepared(spark, paths, state_map, atoms, manifest, mode, period)
     e = _of_bands(state_energies(spark, energies), made.bands, "state")
     v = _of_bands(couplings(spark, nac), made.bands, "i", "j")
-    found = events.history_events(arrays, table, e, v, **params).persist()
+    found = events.history_events(character.split_arrays(rows, None, table), table, e, v, **params).persist()
     out = {
         "frame_events": events.frame_events(table, e, v, **params), "history_events": found, "counts": bind(events.COUNTS, params=params, events=found),
         "descriptors": bind(events.DESCRIPTORS, params=params, events=found), "sensitivity": bind(events.SENSITIVITY, params=params, weights=table, energies=e, nac=v),
@@ -192,8 +188,8 @@ def character_ensemble(
     """What each history does and what they do together: net and late changes, their statistics,
     the term that dominates, curves of quantiles and, with frame_windows(name, lo, hi), the
     response of each pass through them, its verdict and summary."""
-    made, table, arrays = _prepared(spark, paths, state_map, atoms, manifest, mode, period)
-    parts = _rows(arrays)
+    made, table, rows = _prepared(spark, paths, state_map, atoms, manifest, mode, period)
+    parts = character.split_blocks(rows, None, table)
     each = ensemble.histories(parts, **params).persist()
     out = {
         "histories": each, "summary": bind(ensemble.STATS, params=params, quantities=bind(ensemble.QUANTITIES, histories=each)),

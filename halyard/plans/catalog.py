@@ -62,7 +62,7 @@ BLOCK_FRAMES = 200
 #: What Spark builds another way than the SQL of DERIVED says.
 BUILT = {
     "arrays": lambda p: character.split_arrays(character.packed(p.views.pop), p.views.rows_frames, p.views.weights, BLOCK_ROWS),
-    "split": lambda p: p.get("arrays").selectExpr("h", "t", "frame", "frame0", "inline(parts)"),
+    "split": lambda p: character.split_blocks(character.packed(p.views.pop), p.views.rows_frames, p.views.weights, BLOCK_ROWS),
     "steps": lambda p: p.bound(events.HISTORY_STEPS),
     "deltas": lambda p: p.bound(events.DELTAS),
     "walk": lambda p: character.walk(p.views.rows_frames, BLOCK_ROWS),
@@ -666,3 +666,26 @@ def _split_blocks(views: Views):
 
 _text, _bases = _duck(oracles.SPLIT)
 registry.register("O097_streamed_split", _split_blocks, " ".join(_bases), _for_duck(_text), "pg occ chr")
+
+
+def _checked_ensemble(views: Views):
+    """Histories in two batches; the second also brings the first history of all again, under another name, and each
+    history stretched in time and with a share too much: all of these are refused."""
+    from uuid import uuid4
+
+    from pyspark.sql import functions as F
+
+    from ..session import shared_folder
+    from ..streaming.checked import EnsembleStore
+
+    spark, rows = views.spark, views.pop.selectExpr("CAST(h AS LONG) AS h", "t", "CAST(t AS DOUBLE) AS time", "state", "p")
+    store = EnsembleStore(spark, f"{shared_folder(spark)}/ensemble-{uuid4().hex}")
+    store.fold(rows.filter("h % 2 = 0"), 0)
+    again = rows.filter("h = 0").withColumn("h", F.lit(1_000_000).cast("long"))
+    stretched = rows.selectExpr("h + 2000000 AS h", "t", "time * 2 AS time", "state", "p")
+    heavy = rows.selectExpr("h + 3000000 AS h", "t", "time", "state", "p * 1.5 AS p")
+    store.fold(rows.filter("h % 2 = 1").unionByName(again).unionByName(stretched).unionByName(heavy), 1)
+    return store.result()
+
+
+registry.register("O097_checked_ensemble", _checked_ensemble, "pop", P.ENSEMBLE, "mean sem")

@@ -48,12 +48,18 @@ def ship_code(spark: SparkSession) -> None:
     sc._halyard_shipped = True
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir and read from there; a local folder serves only a local master."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local folder serves only a local master."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         there = sc.getConf().get("spark.checkpoint.dir")
         if there is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="halyard-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
