@@ -75,18 +75,28 @@ def bounded(df: DataFrame, rows: int = BROADCAST_NODES) -> DataFrame:
 
 #: A key that more than one row in HOT has is hot; there are fewer than HOT such keys.
 HOT = 1_000
+#: Their rows are broadcast up to so many bytes; larger ones are repeated for each of SALTS parts of a hot key.
+HOT_BYTES = 64 << 20
+SALTS = 64
 
 
-def join_hot(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, *keys: str, most: int = HOT_BYTES) -> DataFrame:
     """left (settled by the caller) joined with right, which has one row for each key: rows of hot
-    keys meet theirs by a broadcast of fewer than HOT rows and are not moved, all others are joined."""
+    keys meet theirs by a broadcast of fewer than HOT rows and no more than `most` bytes and are not moved; beyond
+    that a hot key's rows are spread over SALTS parts by their hash. All others are joined."""
     sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     hot = settle(sizes.filter(F.col("n") * HOT > left.count()).select(*keys))
     if hot.isEmpty():
         return left.join(right, list(keys))
     few = left.join(F.broadcast(hot), list(keys), "left_anti").join(right, list(keys))
     theirs = settle(right.join(F.broadcast(hot), list(keys), "left_semi"))
-    return few.unionByName(left.join(F.broadcast(theirs), list(keys)))
+    size = theirs.agg(F.sum(F.octet_length(F.to_json(F.struct(*theirs.columns))))).first()[0] or 0
+    if size <= most:
+        return few.unionByName(left.join(F.broadcast(theirs), list(keys)))
+    (part,) = fresh(left.join(right, list(keys)), "part")
+    parted = left.join(F.broadcast(hot), list(keys), "left_semi").withColumn(part, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+    repeated = theirs.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return few.unionByName(parted.join(repeated, [*keys, part]).drop(part))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -33,10 +33,13 @@ RULES = [
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     # runs are maximal, so the least length may stand in the pattern
     ("hex", r"[0-9a-f]{16,}", 0, 16),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
+    # tried once a run of these characters, from its first eyJ on (a later one matches only if the first does): linear
+    ("jwt", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", 1, 30),
     ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
 ]
 BASE = 3
+#: Kinds whose span is the counted group at the match's end; what the match has before it counts to the gap.
+LED = {"jwt"}
 #: Follows the rules, so that an edited rule makes every blob unseen.
 RULE_VERSION = f"rules-{hashlib.sha256(repr(RULES).encode()).hexdigest()[:12]}"
 #: Plain strings without which a pattern cannot match: a cheap test before the pattern.
@@ -82,10 +85,11 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
         matches = F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
         counted = F.regexp_extract_all("content", F.lit(pattern), F.lit(group))
         gaps = F.split("content", pattern, -1)
+        own = counted if name in LED else matches
         measured = F.transform(
-            F.arrays_zip(matches.alias("m"), counted.alias("c"), F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(1))).alias("g")),
+            F.arrays_zip(matches.alias("m"), counted.alias("c"), own.alias("s"), F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(1))).alias("g")),
             lambda x: F.struct(
-                F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), (F.length(x["c"]) >= least).alias("ok")
+                (F.length(x["g"]) + F.length(x["m"]) - F.length(x["s"])).alias("gap"), F.length(x["s"]).alias("size"), (F.length(x["c"]) >= least).alias("ok")
             ),
         )
         pieces.append(

@@ -810,6 +810,38 @@ def test_no_pattern_is_slow():
     assert time.time() - began < 20
 
 
+def test_secret_patterns_are_linear(spark):
+    import time
+
+    texts = ["eyJ" * 330_000, "eyJ" + "a" * 1_000_000, "eyJaaaaaaaa." * 80_000, "a.eyJ" * 200_000, "AKIA" * 250_000, "token" * 200_000, "0" * 1_000_000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    secret_scan.scan_blobs(spark.createDataFrame([("a", "eyJ")], "blob_id string, content string")).collect()
+    began = time.time()
+    secret_scan.scan_blobs(table.selectExpr("cast(doc_id as string) AS blob_id", "text AS content")).select("blob_id", F.size("spans")).collect()
+    assert time.time() - began < 30
+
+
+def test_web_tokens_anywhere_in_a_run(spark):
+    """Against the plain pattern, which takes the first eyJ of a run that a token follows."""
+    rnd = random.Random(3)
+    part = lambda: rnd.choice(("eyJ", "eyJabcdefgh", "eyJabcdefgh.eyJ", "abcdefgh", "x_-", "12345678", ".", ".", ".", " ", "é"))
+    texts = ["".join(part() for _ in range(rnd.randrange(60))) for _ in range(400)] + ["key_eyJabcdefgh.eyJabcdefgh.abcdefghijk eyJeyJabcdefgh.eyJabcdefgh.abcdefgh"]
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    table = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "blob_id string, content string")
+    found = {(r["blob_id"], s["start"], s["end"]) for r in secret_scan.scan_blobs(table).collect() for s in r["spans"] if s["name"] == "jwt"}
+    wanted = {(str(k), m.start(), m.end()) for k, t in enumerate(texts) for m in plain.finditer(t) if m.end() - m.start() >= 30}
+    assert found == wanted and len(wanted) > 20
+
+
+def test_hot_keys_beyond_the_broadcast(spark):
+    from halyard.llm import _blocks
+
+    left = spark.range(400).selectExpr("id AS path", "IF(id % 4 = 0, id, 1) AS k").persist()
+    right = spark.range(401).selectExpr("id AS k", "concat('v', id) AS v")
+    wanted = sorted(left.join(right, "k").collect())
+    assert sorted(_blocks.join_hot(left, right, "k").collect()) == wanted == sorted(_blocks.join_hot(left, right, "k", most=0).collect())
+
+
 def test_null_ids(spark):
     rows = [(None, "the of and the of", None, None), (None, None, None, None), (3, "token=abcdefghijklmnop a b c", "en", "s"), (4, "", None, "s")]
     table = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, node string")
