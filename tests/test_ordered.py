@@ -143,6 +143,21 @@ def test_split_equals_window_form(spark, width):
     near(bind(events.HISTORY_STEPS, arrays=arrays).select("h", "t", "frame", "frame0", "grp", "occ", "chr", "dp").collect(), bind(oracles.STEPS, split=parts.select("h", "t", "grp", "pg", "occ", "chr"), rows_frames=walk).collect())
 
 
+def test_sums_written_out_equal_sums_over_arrays(spark, monkeypatch):
+    pop, walk, weights = split_inputs(spark)
+    rows = character.packed(pop).join(walk, ["h", "t"]).drop("bands")
+    both = []
+    for most in (character.WRITTEN_OUT, 0):
+        monkeypatch.setattr(character, "WRITTEN_OUT", most)
+        both.append(character.split_blocks(rows, None, weights, 10).select("h", "t", "grp", "pg", "occ", "chr", "pg0").collect())
+    near(*both)
+    # the checks hold whatever columns are read
+    monkeypatch.undo()
+    short = rows.withColumn("p", F.expr("slice(p, 1, 2)"))
+    with pytest.raises(SparkRuntimeException, match="bands are not those"):
+        character.split_blocks(short, None, weights, 10).agg(F.count(F.lit(1))).collect()
+
+
 @pytest.mark.parametrize(
     "missing, told",
     [
