@@ -6,6 +6,8 @@ row count and a checksum. Rounds are cut by checkpoints in the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, settle: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
     """node, component (its least node) for every node that has an edge.
 
     edges: columns u, v of one orderable type, in any order, repeats and loops allowed.
+    settle: what cuts the rounds.
     """
     edges = settle(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fingerprints
-from ._blocks import SPACES, blocks, bounded, chained, fresh, lower_bytes, mix, settle, span_hashes, text_buffers, through, word_spans, word_table
+from ._blocks import SPACES, blocks, bounded, chained, fresh, lower_bytes, mix, release, settle_clean, span_hashes, text_buffers, through, word_spans, word_table
 from .components import components
 
 WORDS = 5
@@ -145,8 +145,8 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([x.tobytes() if len(x) <= SET_LIMIT else None for x in sets], pa.binary())], ["node", "words"])
 
     # texts come out of one Python worker; settled first, they don't need a second one in the same task
-    held = settle(texts.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    return settle(held.transform(through, run, "node long, words binary"))
+    held = settle_clean(texts.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    return settle_clean(held.transform(through, run, "node long, words binary"))
 
 
 def _close_sets(words: list, i: np.ndarray, j: np.ndarray, bins: np.ndarray, similarity: float) -> np.ndarray:
@@ -254,9 +254,9 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 def _proven(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles are alike by the similarity."""
-    pairs = settle(pairs)
+    pairs = settle_clean(pairs)
     needed = bounded(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node"))
-    held = settle(texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    held = settle_clean(texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "a"):
@@ -276,7 +276,7 @@ def _proven(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def edges(found: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     """u, v: links that connect each group of near copies. texts: node, text."""
-    held = settle(_shared_bands(found))
+    held = settle_clean(_shared_bands(found))
     cuts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", "part"), cuts).cast("int")
     # all pairs of small groups; of large ones, each block as a chain in an order of its own for each band
@@ -284,25 +284,28 @@ def edges(found: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFr
     once = held.select("node", "part", F.when(chain, own).otherwise(0).alias("block_a"), chain.alias("chain")).select(
         "node", "part", "block_a", F.col("block_a").alias("block_b"), F.lit(0).alias("own"), F.col("node").alias("side"), "chain"
     )
-    links = settle(_proven(_compare(once, found, similarity).distinct(), texts, similarity))
+    links = settle_clean(_proven(_compare(once, found, similarity).distinct(), texts, similarity))
     large = held.filter(chain)
     if large.isEmpty():
         return links
     # what the chains left apart: block b of a large group meets all blocks; (a, b) with a <= b names the task
-    large = large.join(components(links), "node", "left").withColumn("side", F.coalesce("component", "node"))
+    linked = components(links, settle=settle_clean)
+    large = settle_clean(large.join(linked, "node", "left").withColumn("side", F.coalesce("component", "node")).drop("component"))
     apart = large.groupBy("part").agg(F.min("side").alias("a"), F.max("side").alias("b")).filter("a < b").select("part")
     rest = large.join(apart, "part").withColumn("cuts", cuts).withColumn("own", own)
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
         "node", "part", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "own", "side", F.lit(False).alias("chain")
     )
     sets = _sets(texts, large.join(apart, "part", "left_semi").select("node").distinct())
-    return links.union(_proven(_compare(rest, found, similarity, sets), texts, similarity))
+    # each component as a star about its least node connects what its links do
+    star = linked.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return star.union(_proven(_compare(rest, found, similarity, sets), texts, similarity))
 
 
 def groups(docs: DataFrame, text: str = "text", similarity: float = 0.8, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(points, node -> component of the points that have near copies)."""
-    found = settle(points(docs, text, id_column))
-    return found, components(edges(found, _texts(docs, text), similarity))
+    found = settle_clean(points(docs, text, id_column))
+    return found, components(edges(found, _texts(docs, text), similarity), settle=settle_clean)
 
 
 def _named(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -335,5 +338,6 @@ def keep_one(docs: DataFrame, text: str = "text", similarity: float = 0.8, id_co
     own = F.col(id_column).cast("long")
     rows = _named(docs, text, node).withColumn(key, F.coalesce(own, F.lit(0))).withColumn(none, own.isNull())
     row = F.struct(*[F.col(c) for c in docs.columns])
+    release(docs.sparkSession)
     rows = rows.groupBy(node, key, none).agg(F.min_by(row, F.xxhash64(*[F.col(c) for c in docs.columns])).alias(one))
     return rows.join(kept, [node, key, none], "left_semi").select(f"{one}.*")

@@ -2,13 +2,15 @@
 
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from halyard.llm import bpe
+from halyard.llm import bpe, near_copies
 from halyard.llm.queries import QUERIES
 
 
@@ -80,6 +82,28 @@ def test_run_against_brute_force(spark, sf_dir):
     assert leaked and len(found) < len(docs)
 
 
+def test_steps_are_removed_while_the_job_runs(spark):
+    """near_dedup settles its steps so that the last ones' shuffles are left only, however long the job is."""
+
+    def shuffles():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = []
+        while files.hasNext():
+            names.append(files.next().getName())
+        return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+    there = shuffles()
+    rows = spark.range(1000).selectExpr("id a", "id b")
+    for k in range(2, 14):
+        rows = near_copies.settle_clean(rows.groupBy((F.col("a") % (1000 // k)).alias("a")).agg(F.sum("b").alias("b")))
+    for _ in range(50):  # files are removed in the background
+        if len(left := shuffles() - there) <= 4:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 4
+    assert rows.agg(F.sum("b")).first()[0] == 999 * 500
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
