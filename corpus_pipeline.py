@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, that of the least id: five-word shingles
-    alike by 0.8 or more, found by MinHash bands and proven by the sets.
+    alike by 0.8 or more, found by SimHash pigeonring (op4) and by MinHash bands, proven by the sets.
 
     Null and empty texts are copies of each other; very long ones are read whole; ties for the
     least id go to the least hash of the text; of rows with one id and one text one stays, rows

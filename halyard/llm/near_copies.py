@@ -1,6 +1,9 @@
-"""Near copies at a stated similarity: bands of a MinHash over five-word shingles.
+"""Near copies at a stated similarity: SimHash by pigeonring, bands of a MinHash, exact sets.
 
-The 64 bits and two differing bits of op4 see only the closest copies. Here each text has
+Texts get the SimHash fingerprints of op4, and its pigeonring search (segments on a ring, chain
+test, full Hamming test) finds those that differ in at most two bits. Each class of equal
+fingerprints is a star about its least text, and linked fingerprints join their stars.
+That sees only the closest copies, so more candidates come from a second search: each text has
 a one-permutation MinHash of 512 bins, cut into 64 bands of eight bins. Texts that agree on a
 band meet. Texts alike by 0.8 agree on a bin with chance 0.8 wherever and however they were
 edited, so all but 1 - (1 - 0.8**8)**64, or 8 in a million, of them meet; texts alike by less
@@ -10,8 +13,8 @@ All pairs of a small group are compared. A large one is first linked along chain
 and in an order of its own for each band; then every pair of blocks is compared in a task of
 its own between what is still apart. There the texts of up to SET_LIMIT shingles bring the set
 itself, so that the many pairs of a family that are nearly but not quite alike end in that task.
-No candidate is dropped, however large the group. The bins and sets only choose which pairs
-are proven; a link is a pair whose whole sets of shingles are alike by the similarity.
+No candidate is dropped, however large the group. Fingerprints, bins and sets only choose which
+pairs are proven, and both searches' candidates are; a link is a pair whose whole sets of shingles are alike by the similarity.
 
 Null and empty texts and texts without words are copies of each other; very long texts are
 read whole. A row whose id and text repeat counts once; rows that share an id, or have none,
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import fingerprints
+from . import fingerprints, simhash
 from ._blocks import SPACES, blocks, bounded, chained, fresh, lower_bytes, mix, release, settle_clean, span_hashes, text_buffers, through, word_spans, word_table
 from .components import components
 
@@ -83,19 +86,34 @@ def bands(bins: np.ndarray) -> np.ndarray:
 
 
 def points(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """node, least (doc_id), bins: one row for each distinct text, but for spaces and case."""
+    """node, least (doc_id), fp, bins: one row for each distinct text, but for spaces and case.
+
+    fp: the SimHash fingerprint of op4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             raw, ends = text_buffers(block.column(1))
             bins, _ = fingerprints.sketch(raw, ends, BINS, 8)
+            fp = np.array([simhash.text_fingerprint(t) for t in block.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array(nodes(raw, ends)), pa.array([x.tobytes() for x in bins], pa.binary())], ["doc_id", "node", "bins"]
+                [block.column(0), pa.array(nodes(raw, ends)), pa.array(fp), pa.array([x.tobytes() for x in bins], pa.binary())], ["doc_id", "node", "fp", "bins"]
             )
 
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    made = rows.transform(through, run, "doc_id long, node long, bins binary")
-    return made.groupBy("node", "bins").agg(F.min("doc_id").alias("least")).select("node", "least", "bins")
+    made = rows.transform(through, run, "doc_id long, node long, fp long, bins binary")
+    return made.groupBy("node", "bins").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")).select("node", "least", "fp", "bins")
+
+
+def ring_pairs(found: DataFrame) -> DataFrame:
+    """u, v: texts whose fingerprints are equal or linked by pigeonring; the components are those of op4."""
+    # node 0 has no shingles: it is one point already
+    own = found.filter("node <> 0").select("fp", "node")
+    first = settle_clean(own.groupBy("fp").agg(F.min("node").alias("first")))
+    same = own.join(first, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    linked = simhash.links(first.select("fp"))
+    ends = linked.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u")
+    ends = ends.join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return same.union(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
 
 
 def _bins(column: pa.ChunkedArray) -> np.ndarray:
@@ -284,7 +302,8 @@ def edges(found: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFr
     once = held.select("node", "part", F.when(chain, own).otherwise(0).alias("block_a"), chain.alias("chain")).select(
         "node", "part", "block_a", F.col("block_a").alias("block_b"), F.lit(0).alias("own"), F.col("node").alias("side"), "chain"
     )
-    links = settle_clean(_proven(_compare(once, found, similarity).distinct(), texts, similarity))
+    pairs = ring_pairs(found).union(_compare(once, found, similarity)).distinct()
+    links = settle_clean(_proven(pairs, texts, similarity))
     large = held.filter(chain)
     if large.isEmpty():
         return links

@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version, and its contract with the entry module."""
 
 import hashlib
+import random
 import re
 import time
 
@@ -13,6 +14,8 @@ import corpus_pipeline
 from halyard.llm import bpe, near_copies
 from halyard.llm.queries import QUERIES
 
+from test_llm_operators import brute_simhash
+
 
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
@@ -104,6 +107,31 @@ def test_steps_are_removed_while_the_job_runs(spark):
     assert rows.agg(F.sum("b")).first()[0] == 999 * 500
 
 
+def test_near_dedup_goes_through_pigeonring(spark, monkeypatch, sf_dir):
+    """Without any band, copies within two bits of op4's fingerprint are found, and the sets part what isn't alike."""
+    rnd = random.Random(8)
+    texts, distances = [], set()
+    for g in range(6):
+        base = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(300)]
+        own = [" ".join(base)]
+        while len(own) < 3:
+            k = rnd.randrange(300)
+            text = " ".join([*base[:k], "other", *base[k + 1 :]])
+            far = [(brute_simhash(text) ^ brute_simhash(t)).bit_count() for t in own]
+            if far[0] <= 2:
+                own.append(text)
+                distances.add(far[0])
+        texts += own
+    # a phrase that outweighs all else makes equal fingerprints of texts that are not alike
+    texts += [" ".join(["p q r s t"] * 50 + [f"{c}{k}" for k in range(20)]) for c in "xy"]
+    assert {1, 2} <= distances and brute_simhash(texts[-1]) == brute_simhash(texts[-2])
+    none = lambda found: found.select("node", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("n")).limit(0)
+    monkeypatch.setattr(near_copies, "_shared_bands", none)
+    table = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, sf_dir).collect()}
+    assert kept == {0, 3, 6, 9, 12, 15, 18, 19}
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
